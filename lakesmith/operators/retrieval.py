@@ -19,3 +19,330 @@ SOURCE_TITLES = {
 def source_title_dim(spark: SparkSession) -> DataFrame:
     """J5 dimension: a fixed six-row table, safe to broadcast."""
     return spark.createDataFrame(list(SOURCE_TITLES.items()), "file_name string, title string")
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, Window
+from pyspark.sql import functions as F
+
+from lakesmith.functions import text as T
+from lakesmith.operators.sequence import top_k_within
+
+# Retrieval depth, BM25 parameters of the sparse model, fusion
+# constant, rerank weights, fallback answer and default tag label.
+SEARCH_K = 10
+BM25_K1, BM25_B, BM25_AVG_LEN = 1.2, 0.75, 256.0
+RRF_C = 2
+ENTITY_WEIGHT, VECTOR_WEIGHT = 0.55, 0.45
+NO_ANSWER = "Xin lỗi, tôi chưa có thông tin về vấn đề này trong cơ sở dữ liệu hiện tại."
+UNKNOWN_TAG = "không xác định"
+DOC_TEMPLATE = ("Nội dung: ", "\nNguồn trích dẫn: ", "\n---")
+DOC_SEPARATOR = "\n\n"
+
+TOKEN = r"[\p{L}\p{N}]+"
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, what: str = "query side") -> DataFrame:
+    """Broadcast ``df`` after proving it has at most ``max_rows`` rows.
+
+    The proof is a ``limit(max_rows + 1).count()``; over the bound the frame
+    is returned unhinted and the planner shuffles instead (AQE may still
+    broadcast at run time from measured sizes)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def tokens(c: str | Column) -> Column:
+    """Lower-cased letter/digit runs (the shared tokenizer)."""
+    return F.regexp_extract_all(F.lower(T.col_(c)), F.lit(TOKEN), 0)
+
+
+# ----------------------------------------------------------------------------- postings / BM25
+
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """R3 index: ``(doc, tok, tf, doc_len)``.  Tokens are exploded map-side;
+    the ``groupBy(doc, tok)`` combines partially before the shuffle."""
+    toks = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("toks"))
+    return (toks.select("doc_id", F.size("toks").cast("long").alias("doc_len"), F.explode("toks").alias("tok"))
+            .groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len")))
+
+
+def query_terms(queries: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Distinct tokens per query (each weighs 1 on the query side)."""
+    return queries.select(F.col(id_col).alias("query_id"),
+                          F.explode(F.array_distinct(tokens(text_col))).alias("tok"))
+
+
+def bm25_scores(index: DataFrame, terms: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
+                avg_len: float = BM25_AVG_LEN, idf: bool = False) -> DataFrame:
+    """Per (query, doc) BM25 sum over shared terms.  The query terms are
+    broadcast after a size check, so the index is streamed, not shuffled; the
+    per-(query, doc) sum aggregates partially before its shuffle.  A hot term
+    (present in most documents) only lengthens the stream."""
+    weight = (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.lit(avg_len)))
+    j = index.join(bounded(terms), "tok")
+    if idf:
+        n_docs = index.select("doc_id").distinct().count()
+        dfreq = index.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+        j = j.join(dfreq, "tok").withColumn(
+            "__idf", F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+        weight = weight * F.col("__idf")
+    return j.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
+
+
+def bm25_topk(index: DataFrame, terms: DataFrame, k: int = SEARCH_K, digits: int = 6) -> DataFrame:
+    """Top ``k`` documents per query by (score desc, doc_id)."""
+    s = bm25_scores(index, terms).withColumn("score", F.round("score", digits))
+    return top_k_within(s, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+
+
+# ----------------------------------------------------------------------------- dense
+
+def _query_block(queries: DataFrame, qid: str, qvec: str, max_queries: int) -> tuple[np.ndarray, np.ndarray]:
+    pdf = queries.select(qid, qvec).limit(max_queries + 1).toPandas()
+    if len(pdf) > max_queries:
+        raise ValueError(f"query block larger than {max_queries}; split the query table into blocks")
+    ids = pdf[qid].to_numpy(dtype="int64")
+    mat = np.stack([np.asarray(v, dtype="float64") for v in pdf[qvec]]) if len(pdf) else np.zeros((0, 0))
+    return ids, mat
+
+
+def dense_topk(corpus: DataFrame, queries: DataFrame, id_col: str, vec_col: str, qid: str, qvec: str,
+               k: int = SEARCH_K, metric: str = "cosine", max_queries: int = 4096, digits: int = 6) -> DataFrame:
+    """R2: exact top-``k`` by cosine similarity (or ``euclidean`` distance).
+
+    The query block (size-checked) is broadcast; every corpus partition
+    scores its rows with one Arrow-batched numpy matmul and keeps only its
+    local top ``k`` per query, so at most ``k`` rows per query per partition
+    reach the final top-k shuffle.  No pair table is materialised."""
+    spark = corpus.sparkSession
+    ids, mat = _query_block(queries, qid, qvec, max_queries)
+    if metric == "cosine" and len(ids):
+        mat = mat / np.linalg.norm(mat, axis=1, keepdims=True)
+    block = spark.sparkContext.broadcast((ids, mat))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q_ids, q = block.value
+        for pdf in batches:
+            if len(pdf) == 0 or len(q_ids) == 0:
+                continue
+            m = np.stack([np.asarray(v, dtype="float64") for v in pdf[vec_col]])
+            doc_ids = pdf[id_col].to_numpy(dtype="int64")
+            if metric == "cosine":
+                s = np.round((m / np.linalg.norm(m, axis=1, keepdims=True)) @ q.T, digits)
+                key = -s
+            else:
+                s = np.round(np.sqrt(((m[:, None, :] - q[None, :, :]) ** 2).sum(axis=2)), digits)
+                key = s
+            out = []
+            for j, qi in enumerate(q_ids):
+                order = np.lexsort((doc_ids, key[:, j]))[:k]
+                out.append(pd.DataFrame({"query_id": qi, id_col: doc_ids[order], "score": s[order, j]}))
+            yield pd.concat(out, ignore_index=True)
+
+    local = corpus.select(id_col, vec_col).mapInPandas(score, f"query_id long, {id_col} long, score double")
+    local = local.withColumn("score", F.round("score", digits))
+    order = [F.desc("score") if metric == "cosine" else F.asc("score"), F.asc(id_col)]
+    return top_k_within(local, ["query_id"], order, k)
+
+
+def rrf_fuse(rankings: Sequence[DataFrame], id_col: str, c: int = RRF_C, k: int = SEARCH_K,
+             digits: int = 9) -> DataFrame:
+    """Reciprocal-rank fusion of several ``(query_id, id, rank)`` lists
+    (1-based ``rank``; the fusion uses the 0-based rank): full outer joins,
+    ``sum(1 / (c + rank0))``, then the fused top ``k``."""
+    fused = None
+    for i, r in enumerate(rankings):
+        part = r.select("query_id", id_col, (F.lit(1.0) / (F.lit(c) + F.col("rank") - 1)).alias(f"__s{i}"))
+        fused = part if fused is None else fused.join(part, ["query_id", id_col], "full_outer")
+    total = sum((F.coalesce(F.col(f"__s{i}"), F.lit(0.0)) for i in range(len(rankings))), F.lit(0.0))
+    fused = fused.select("query_id", id_col, F.round(total, digits).alias("rrf"))
+    return top_k_within(fused, ["query_id"], [F.desc("rrf"), F.asc(id_col)], k, "fused_rank")
+
+
+# ----------------------------------------------------------------------------- metadata filter
+
+def contains_any(docs: DataFrame, doc_id: str, text_col: str, probes: DataFrame, probe_id: str,
+                 probe_text: str, max_probes: int = 1_000_000) -> DataFrame:
+    """All (probe, doc) with ``probe_text`` a substring of ``text_col``.
+
+    Exact multi-pattern matching: the (size-checked) probe set is broadcast
+    and each document partition runs one Aho-Corasick scan per document —
+    linear in the text, instead of a nested-loop ``contains`` join."""
+    import ahocorasick
+
+    spark = docs.sparkSession
+    pdf = probes.select(probe_id, probe_text).where(F.col(probe_text).isNotNull() & (F.length(probe_text) > 0)) \
+        .limit(max_probes + 1).toPandas()
+    if len(pdf) > max_probes:
+        raise ValueError(f"more than {max_probes} probes; split the probe table into blocks")
+    patterns: dict[str, list[int]] = {}
+    for pid, txt in zip(pdf[probe_id], pdf[probe_text]):
+        patterns.setdefault(txt, []).append(int(pid))
+    bc = spark.sparkContext.broadcast(patterns)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        auto = ahocorasick.Automaton()
+        for txt, pids in bc.value.items():
+            auto.add_word(txt, pids)
+        if len(auto):
+            auto.make_automaton()
+        for pdf_ in batches:
+            rows_p, rows_d = [], []
+            for d, text in zip(pdf_[doc_id], pdf_[text_col]):
+                if not isinstance(text, str) or not len(auto):
+                    continue
+                found: set[int] = set()
+                for _, pids in auto.iter(text):
+                    found.update(pids)
+                rows_p.extend(found)
+                rows_d.extend([d] * len(found))
+            yield pd.DataFrame({"query_id": pd.Series(rows_p, dtype="int64"),
+                                doc_id: pd.Series(rows_d, dtype="int64")})
+
+    return docs.select(doc_id, text_col).mapInPandas(scan, f"query_id long, {doc_id} long")
+
+
+def with_fallback(filtered: DataFrame, unfiltered: DataFrame) -> DataFrame:
+    """The filtered result, plus the unfiltered result of every
+    query that had no filtered hit (``left_anti`` on the query id)."""
+    hit = filtered.select("query_id").distinct()
+    return (filtered.withColumn("filtered", F.lit(True))
+            .unionByName(unfiltered.join(hit, "query_id", "left_anti").withColumn("filtered", F.lit(False))))
+
+
+# ----------------------------------------------------------------------------- entity tags / scores
+
+def lexicon_from(texts: DataFrame, text_col: str, min_len: int, max_len: int | None = None) -> DataFrame:
+    """Distinct tokens of a text table within a length band (the tag vocabulary)."""
+    t = texts.select(F.explode(tokens(text_col)).alias("term"))
+    cond = F.length("term") >= min_len
+    if max_len is not None:
+        cond = cond & (F.length("term") <= max_len)
+    return t.where(cond).distinct()
+
+
+def ngrams(toks: Column, n: int) -> Column:
+    """Space-joined token n-grams of an array column."""
+    if n == 1:
+        return toks
+    idx = F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(0)))
+    return F.transform(F.filter(idx, lambda i: i > 0), lambda i: F.array_join(F.slice(toks, i, n), " "))
+
+
+def entity_tags(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, max_n: int = 1,
+                default: str | None = UNKNOWN_TAG) -> DataFrame:
+    """Tags of a document = sorted distinct lexicon terms among its
+    1..``max_n``-grams (equi-join on the term, lexicon broadcast after a size
+    check); no tag -> ``default``.  Output ``tags`` (comma text) and ``tag_list``."""
+    toks = docs.select(F.col(id_col), tokens(text_col).alias("__t"))
+    grams = F.array_distinct(F.flatten(F.array(*[ngrams(F.col("__t"), n) for n in range(1, max_n + 1)])))
+    exploded = toks.select(id_col, F.explode(grams).alias("term"))
+    hits = exploded.join(bounded(lexicon.select("term").distinct(), what="lexicon"), "term")
+    tagged = hits.groupBy(id_col).agg(F.array_sort(F.collect_set("term")).alias("tag_list"))
+    out = docs.select(id_col).join(tagged, id_col, "left").withColumn(
+        "tag_list", F.coalesce("tag_list", F.array().cast("array<string>")))
+    tags = F.array_join("tag_list", ",")
+    if default is not None:
+        tags = F.when(F.size("tag_list") == 0, F.lit(default)).otherwise(tags)
+    return out.withColumn("tags", tags)
+
+
+def entity_score(herbs: Column, diseases: Column, herb_tags: Column, disease_tag: Column, content_norm: Column) -> Column:
+    """R5 per (query, chunk): herb in the tag list +3, else herb inside the
+    normalised content +2; disease inside the disease tag text +2, else inside
+    the content +1.  Blank entities score 0 (the reference scored a blank herb)."""
+    def herb_pts(h: Column) -> Column:
+        hn = T.normalize_text(h)
+        return (F.when(hn == "", 0).when(F.array_contains(herb_tags, hn), 3)
+                .when(F.instr(content_norm, hn) > 0, 2).otherwise(0))
+
+    def disease_pts(d: Column) -> Column:
+        dn = T.normalize_text(d)
+        tag = T.normalize_text(F.coalesce(disease_tag, F.lit("")))
+        return (F.when(dn == "", 0).when(F.instr(tag, dn) > 0, 2)
+                .when(F.instr(content_norm, dn) > 0, 1).otherwise(0))
+
+    zero = F.lit(0)
+    return (F.aggregate(F.coalesce(herbs, F.array().cast("array<string>")), zero, lambda a, h: a + herb_pts(h))
+            + F.aggregate(F.coalesce(diseases, F.array().cast("array<string>")), zero, lambda a, d: a + disease_pts(d)))
+
+
+def weighted_rerank(hits: DataFrame, entity_col: str = "entity_score", rank_col: str = "rank",
+                    tie_cols: Sequence[str] = ("source", "doc_id"), digits: int = 9) -> DataFrame:
+    """R6 A11 W4 K3 over each query's retrieved list (bounded by ``k``):
+    ``0.55 * entity/max(entity) + 0.45 * (1 - rank0/max(n-1, 1))``, then the
+    order (-final, -entity, -vector_rank, ties)."""
+    w = Window.partitionBy("query_id")
+    mx = F.max(entity_col).over(w)
+    n = F.count(F.lit(1)).over(w)
+    vr = F.lit(1.0) - (F.col(rank_col) - 1) / F.greatest(n - 1, F.lit(1))
+    e = F.col(entity_col) / F.when(mx == 0, F.lit(1)).otherwise(mx)
+    scored = hits.withColumn("vector_rank_norm", vr).withColumn(
+        "final_score", F.round(ENTITY_WEIGHT * e + VECTOR_WEIGHT * F.col("vector_rank_norm"), digits))
+    order = [F.desc("final_score"), F.desc(entity_col), F.desc("vector_rank_norm")] + [F.asc(c) for c in tie_cols]
+    return scored.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long"))
+
+
+# ----------------------------------------------------------------------------- context / citations
+
+def source_title(source: Column, spark_titles: dict[str, str] = SOURCE_TITLES) -> Column:
+    """J5 as an expression: file name -> catalogue title, else the file name."""
+    name = T.basename(source)
+    m = F.create_map(*[F.lit(x) for kv in spark_titles.items() for x in kv])
+    return F.coalesce(m[name], name)
+
+
+def context_text(ranked: DataFrame, rank_col: str, text_col: str, title_col: str) -> DataFrame:
+    """Per query, documents rendered with the document template in rank
+    order and joined by a blank line (a query holds at most ``k`` rows)."""
+    item = F.struct(F.col(rank_col).alias("r"), F.col(text_col).alias("t"), F.col(title_col).alias("s"))
+    rendered = lambda x: F.concat(F.lit(DOC_TEMPLATE[0]), x["t"], F.lit(DOC_TEMPLATE[1]), x["s"], F.lit(DOC_TEMPLATE[2]))
+    return ranked.groupBy("query_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(item)), rendered), DOC_SEPARATOR).alias("context"),
+        F.count(F.lit(1)).alias("n_docs"))
+
+
+def citations(ranked: DataFrame, rank_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Per query the JSON list of ``{content_snippet, metadata:{source}}``."""
+    item = F.struct(F.col(rank_col).alias("r"),
+                    F.struct(T.citation_snippet(text_col).alias("content_snippet"),
+                             F.struct(F.col(source_col).alias("source")).alias("metadata")).alias("c"))
+    return ranked.groupBy("query_id").agg(
+        F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["c"])).alias("citations_json"))
+
+
+def answer_gate(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """Queries without any retrieved document get the fixed apology."""
+    n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    out = queries.join(n, "query_id", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)).cast("long"))
+    return out.withColumn("gate", F.when(F.col("n_docs") == 0, F.lit(NO_ANSWER)).otherwise(F.lit("answer")))
+
+
+# ----------------------------------------------------------------------------- index maintenance
+
+def chunk_key(source: Column, start: Column, text: Column) -> Column:
+    """Deterministic chunk id."""
+    return F.sha2(F.concat_ws("\u001f", source, start.cast("string"), text), 256)
+
+
+def upsert_new(existing: DataFrame, incoming: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Incoming rows deduplicated on ``key`` (first in ``order``) and
+    not already present in ``existing`` (``left_anti``)."""
+    from lakesmith.operators.medallion import keep_first
+    return keep_first(incoming, [key], list(order)).join(existing.select(key), key, "left_anti")
+
+
+def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, num_features: int = 1 << 18) -> DataFrame:
+    """Deterministic hashed term-frequency vectors, L2-normalised
+    (``pyspark.ml`` HashingTF + Normalizer, JVM-side)."""
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    toks = docs.select(id_col, tokens(text_col).alias("toks"))
+    tf = HashingTF(inputCol="toks", outputCol="tf", numFeatures=num_features).transform(toks)
+    vec = Normalizer(inputCol="tf", outputCol="vec", p=2.0).transform(tf)
+    return vec.select(id_col, "vec", vector_to_array("vec").alias("__a"))

@@ -210,3 +210,184 @@ dim AS (SELECT * FROM (VALUES {values}) AS t(file_name, title))
 SELECT p.page_id, p.file_name, coalesce(dim.title, {format_source('p.url')}) AS display_title
 FROM p LEFT JOIN dim ON p.file_name = dim.file_name"""
     return out
+
+
+# ----------------------------------------------------------------------------- retrieval
+
+TOK = r"[\p{L}\p{N}]+"
+
+
+def toks(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), {lit(TOK)})"
+
+
+def chunks_sql(src: str, keep: str, size: int = 1200, overlap: int = 350) -> str:
+    step = size - overlap
+    cnt = f"CASE WHEN length(text) <= {size} THEN 1 ELSE 1 + CAST(ceil((length(text) - {size}) / {step}.0) AS BIGINT) END"
+    return f"""(SELECT {keep}, chunk_no, chunk_no * {step} AS chunk_start,
+        substring(text, CAST(chunk_no * {step} + 1 AS BIGINT), {size}) AS chunk_text
+  FROM (SELECT {keep}, text, unnest(range(0, {cnt})) AS chunk_no FROM {src}
+        WHERE text IS NOT NULL AND length(text) > 0))"""
+
+
+def postings_sql(src: str, id_col: str = "doc_id", text: str = "text") -> str:
+    return f"""(SELECT doc_id, tok, count(*) AS tf, any_value(doc_len) AS doc_len FROM (
+    SELECT {id_col} AS doc_id, len(t) AS doc_len, unnest(t) AS tok FROM (SELECT {id_col}, {toks(text)} AS t FROM {src}))
+  GROUP BY doc_id, tok)"""
+
+
+def qterms_sql() -> str:
+    return f"(SELECT DISTINCT item_id AS query_id, unnest({toks('text')}) AS tok FROM benchmark)"
+
+
+def bm25_scores_sql(post: str) -> str:
+    from lakesmith.operators.retrieval import BM25_AVG_LEN, BM25_B, BM25_K1
+    k1p = repr(BM25_K1 + 1)
+    one_b = repr(1 - BM25_B)
+    w = (f"(tf * CAST({k1p} AS DOUBLE)) / (tf + CAST({BM25_K1!r} AS DOUBLE) * "
+         f"(CAST({one_b} AS DOUBLE) + CAST({BM25_B!r} AS DOUBLE) * doc_len / CAST({BM25_AVG_LEN!r} AS DOUBLE)))")
+    return f"(SELECT query_id, doc_id, round(sum({w}), 6) AS score FROM {post} p JOIN {qterms_sql()} q USING (tok) GROUP BY 1, 2)"
+
+
+def topk_sql(src: str, order: str, k: int = 10, rank: str = "rank", part: str = "query_id") -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {order}) AS {rank} FROM {src}) WHERE {rank} <= {k})"
+
+
+def lexicon_sql(cond: str) -> str:
+    return f"(SELECT DISTINCT t AS term FROM (SELECT unnest({toks('text')}) AS t FROM benchmark) WHERE {cond})"
+
+
+HERB_LEX = lexicon_sql("length(t) >= 8")
+DIS_LEX = lexicon_sql("length(t) = 7")
+
+
+def scored_sql(hits: str, corpus: str, id_col: str) -> str:
+    """(query_id, id, rank, score, source, text, entity_score) over hits."""
+    from lakesmith.operators.retrieval import UNKNOWN_TAG
+    nt = norm_text
+    return f"""(WITH h AS (SELECT * FROM {hits}),
+  c AS (SELECT * FROM {corpus} WHERE {id_col} IN (SELECT {id_col} FROM h)),
+  dtok AS (SELECT DISTINCT {id_col}, unnest({toks('text')}) AS t FROM c),
+  dh AS (SELECT {id_col}, list_sort(list(t)) AS herb_tags FROM dtok JOIN {HERB_LEX} l ON t = l.term GROUP BY 1),
+  dd AS (SELECT {id_col}, array_to_string(list_sort(list(t)), ',') AS dis_tag FROM dtok JOIN {DIS_LEX} l ON t = l.term GROUP BY 1),
+  qtok AS (SELECT DISTINCT item_id AS query_id, unnest({toks('text')}) AS t FROM benchmark),
+  qh AS (SELECT query_id, t AS e FROM qtok JOIN {HERB_LEX} l ON t = l.term),
+  qd AS (SELECT query_id, t AS e FROM qtok JOIN {DIS_LEX} l ON t = l.term),
+  pairs AS (SELECT h.*, c.source, c.text, {nt('c.text')} AS cn, coalesce(dh.herb_tags, []) AS herb_tags,
+                   coalesce(dd.dis_tag, {lit(UNKNOWN_TAG)}) AS dis_tag
+            FROM h JOIN c USING ({id_col}) LEFT JOIN dh USING ({id_col}) LEFT JOIN dd USING ({id_col})),
+  hs AS (SELECT p.query_id, p.{id_col}, sum(CASE WHEN {nt('qh.e')} = '' THEN 0 WHEN list_contains(p.herb_tags, {nt('qh.e')}) THEN 3
+                 WHEN contains(p.cn, {nt('qh.e')}) THEN 2 ELSE 0 END) AS s FROM pairs p JOIN qh USING (query_id) GROUP BY 1, 2),
+  ds AS (SELECT p.query_id, p.{id_col}, sum(CASE WHEN {nt('qd.e')} = '' THEN 0 WHEN contains({nt('p.dis_tag')}, {nt('qd.e')}) THEN 2
+                 WHEN contains(p.cn, {nt('qd.e')}) THEN 1 ELSE 0 END) AS s FROM pairs p JOIN qd USING (query_id) GROUP BY 1, 2)
+  SELECT p.query_id, p.{id_col}, p.rank, p.source, p.text,
+         CAST(coalesce(hs.s, 0) + coalesce(ds.s, 0) AS BIGINT) AS entity_score
+  FROM pairs p LEFT JOIN hs USING (query_id, {id_col}) LEFT JOIN ds USING (query_id, {id_col}))"""
+
+
+def rerank_sql(scored: str, tie: str) -> str:
+    from lakesmith.operators.retrieval import ENTITY_WEIGHT, VECTOR_WEIGHT
+    return f"""(WITH s AS (SELECT *, max(entity_score) OVER (PARTITION BY query_id) AS mx,
+                     count(*) OVER (PARTITION BY query_id) AS n FROM {scored}),
+  f AS (SELECT *, CAST(1.0 AS DOUBLE) - CAST(rank - 1 AS DOUBLE) / CAST(greatest(n - 1, 1) AS DOUBLE) AS vr FROM s),
+  g AS (SELECT *, round(CAST({ENTITY_WEIGHT!r} AS DOUBLE) * (CAST(entity_score AS DOUBLE) /
+                  CAST(CASE WHEN mx = 0 THEN 1 ELSE mx END AS DOUBLE)) + CAST({VECTOR_WEIGHT!r} AS DOUBLE) * vr, 9) AS final_score FROM f)
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, entity_score DESC, vr DESC, {tie}) AS new_rank FROM g)"""
+
+
+def title_sql(x: str) -> str:
+    from lakesmith.operators.retrieval import SOURCE_TITLES
+    b = basename(x)
+    cases = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in SOURCE_TITLES.items())
+    return f"(CASE {b} {cases} ELSE {b} END)"
+
+
+def context_sql(ranked: str) -> str:
+    from lakesmith.operators.retrieval import DOC_SEPARATOR, DOC_TEMPLATE
+    body = f"{lit(DOC_TEMPLATE[0])} || text || {lit(DOC_TEMPLATE[1])} || {title_sql('source')} || {lit(DOC_TEMPLATE[2])}"
+    return (f"SELECT query_id AS item_id, string_agg({body}, {lit(DOC_SEPARATOR)} ORDER BY new_rank) AS context, "
+            f"count(*) AS n_docs FROM {ranked} GROUP BY query_id")
+
+
+def retrieval_sql() -> dict[str, str]:
+    from lakesmith.operators.retrieval import NO_ANSWER, RRF_C, UNKNOWN_TAG
+    from lakesmith.plans.retrieval_queries import ACCENTED, UNACCENTED
+    out: dict[str, str] = {}
+    post = postings_sql("documents")
+    scores = bm25_scores_sql(post)
+    hits = topk_sql(scores, "score DESC, doc_id")
+    meta = "(SELECT b.item_id AS query_id, d.doc_id FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text))"
+    out["chunk_fixed"] = f"SELECT * FROM {chunks_sql('documents', 'doc_id')}"
+    out["postings"] = f"SELECT * FROM {post}"
+    out["chunk_semantic"] = """
+WITH p AS (SELECT label, vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM embeddings),
+d AS (SELECT label, vec_id, round(1.0 - list_cosine_similarity(CAST(prev AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS distance FROM p),
+t AS (SELECT label, quantile_cont(distance, 0.95) AS thr FROM d GROUP BY label),
+f AS (SELECT d.*, CASE WHEN distance > thr THEN 1 ELSE 0 END AS b FROM d JOIN t USING (label))
+SELECT label, vec_id, CAST(sum(b) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chunk_no, distance FROM f"""
+    out["bm25_topk"] = f"SELECT query_id AS item_id, doc_id, score, rank FROM {hits}"
+    probes = "(SELECT label AS query_id, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY label)"
+    cos = f"(SELECT p.query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(p.q AS DOUBLE[])), 6) AS score FROM embeddings e, {probes} p)"
+    euc = f"(SELECT p.query_id, e.vec_id, round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(p.q AS DOUBLE[])), 6) AS score FROM embeddings e, {probes} p)"
+    cos_top = topk_sql(cos, "score DESC, vec_id")
+    euc_top = topk_sql(euc, "score ASC, vec_id")
+    out["dense_topk"] = f"SELECT query_id AS label, vec_id, score, rank FROM {cos_top}"
+    out["hybrid_rrf"] = f"""
+WITH a AS (SELECT query_id, vec_id, CAST(1.0 AS DOUBLE) / ({RRF_C} + rank - 1) AS s FROM {cos_top}),
+     b AS (SELECT query_id, vec_id, CAST(1.0 AS DOUBLE) / ({RRF_C} + rank - 1) AS s FROM {euc_top}),
+     f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.vec_id, b.vec_id) AS vec_id,
+                  round(CAST(0.0 AS DOUBLE) + coalesce(a.s, 0.0) + coalesce(b.s, 0.0), 9) AS rrf
+           FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.vec_id = b.vec_id)
+SELECT query_id AS label, vec_id, rrf, fused_rank FROM {topk_sql('f', 'rrf DESC, vec_id', rank='fused_rank')}"""
+    out["metadata_filter"] = f"SELECT query_id AS item_id, doc_id FROM {meta}"
+    out["filter_fallback"] = f"""
+WITH sc AS {scores}, m AS {meta},
+fil AS {topk_sql('(SELECT sc.* FROM sc JOIN m USING (query_id, doc_id))', 'score DESC, doc_id')},
+unf AS {topk_sql('(SELECT * FROM sc WHERE query_id NOT IN (SELECT query_id FROM m))', 'score DESC, doc_id')}
+SELECT query_id AS item_id, doc_id, score, rank, true AS filtered FROM fil
+UNION ALL SELECT query_id AS item_id, doc_id, score, rank, false AS filtered FROM unf"""
+    out["entity_tags"] = f"""
+WITH dt AS (SELECT DISTINCT doc_id, unnest({toks('text')}) AS t FROM documents),
+tg AS (SELECT doc_id, list_sort(list(t)) AS tl FROM dt JOIN {HERB_LEX} l ON t = l.term GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN tl IS NULL THEN {lit(UNKNOWN_TAG)} ELSE array_to_string(tl, ',') END AS tags,
+       CAST(coalesce(len(tl), 0) AS BIGINT) AS n_tags
+FROM documents d LEFT JOIN tg USING (doc_id)"""
+    scored = scored_sql(hits, "documents", "doc_id")
+    out["entity_score"] = f"SELECT query_id AS item_id, doc_id, entity_score FROM {scored}"
+    ranked = rerank_sql(scored, "source, doc_id")
+    out["weighted_rerank"] = f"SELECT query_id AS item_id, doc_id, new_rank, final_score FROM {ranked}"
+    out["context_assembly"] = context_sql(ranked)
+    snippet = "substring(text, 1, 200) || '...'"
+    out["citations_json"] = (f"SELECT query_id AS item_id, CAST(to_json(list({{'content_snippet': {snippet}, "
+                             f"'metadata': {{'source': {title_sql('source')}}}}} ORDER BY new_rank)) AS VARCHAR) AS citations_json "
+                             f"FROM {ranked} GROUP BY query_id")
+    out["answer_gate"] = f"""
+WITH n AS (SELECT query_id, count(*) AS c FROM {meta} GROUP BY query_id)
+SELECT b.item_id, CAST(coalesce(n.c, 0) AS BIGINT) AS n_docs,
+       CASE WHEN coalesce(n.c, 0) = 0 THEN {lit(NO_ANSWER)} ELSE 'answer' END AS gate
+FROM benchmark b LEFT JOIN n ON n.query_id = b.item_id"""
+    halves = "(SELECT max(doc_id) / 2 FROM documents)"
+    ck = lambda b: (f"(SELECT doc_id, chunk_no, sha256(concat_ws(chr(31), source, CAST(chunk_start AS VARCHAR), chunk_text)) AS chunk_id "
+                    f"FROM {chunks_sql(f'(SELECT * FROM documents WHERE doc_id {b} {halves})', 'doc_id, source')})")
+    first = lambda src, key, order: (f"(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn "
+                                     f"FROM {src}) WHERE rn = 1)")
+    out["index_upsert"] = f"""
+WITH e AS {first(ck('<='), 'chunk_id', 'doc_id, chunk_no')},
+n AS {first(ck('>'), 'chunk_id', 'doc_id, chunk_no')}
+SELECT doc_id, chunk_no, chunk_id, 1 AS batch FROM e
+UNION ALL SELECT doc_id, chunk_no, chunk_id, 2 AS batch FROM n WHERE chunk_id NOT IN (SELECT chunk_id FROM e)"""
+    et = lambda b: f"(SELECT doc_id, md5(text) AS etag FROM documents WHERE doc_id {b} {halves})"
+    out["file_etag_dedup"] = f"""
+WITH r1 AS {first(et('<='), 'etag', 'doc_id')}, r2 AS {first(et('>'), 'etag', 'doc_id')}
+SELECT doc_id, etag, 1 AS batch FROM r1
+UNION ALL SELECT doc_id, etag, 2 AS batch FROM r2 WHERE NOT EXISTS (SELECT 1 FROM r1 WHERE r1.etag = r2.etag)"""
+    out["load_counts"] = "SELECT source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS total_chars FROM documents GROUP BY source"
+    out["unique_violations"] = "SELECT md5(text) AS etag, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1"
+    out["changed_flag"] = (f"SELECT doc_id, {norm_text('text')} <> {norm_text(f'translate(text, {lit(ACCENTED)}, {lit(UNACCENTED)})')} "
+                           f"AS changed FROM documents")
+    chunk_rel = (f"(SELECT doc_id * 1000000 + chunk_no AS chunk_uid, source, chunk_text AS text "
+                 f"FROM {chunks_sql('documents', 'doc_id, source')})")
+    c_hits = topk_sql(bm25_scores_sql(postings_sql(chunk_rel, 'chunk_uid')), "score DESC, doc_id")
+    c_hits = f"(SELECT query_id, doc_id AS chunk_uid, score, rank FROM {c_hits})"
+    out["retrieve_job"] = context_sql(rerank_sql(scored_sql(c_hits, chunk_rel, "chunk_uid"), "source, chunk_uid"))
+    return out

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakesmith.plans import medallion_queries as MQ
+from lakesmith.plans import retrieval_queries as RQ
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for mod in (MQ,):
+    for mod in (MQ, RQ):
         for k, v in vars(mod).items():
             if k.startswith("q_") and callable(v):
                 out[k[2:]] = v
@@ -19,7 +20,8 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_queries() -> dict[str, str]:
-    from lakesmith.plans.oracle import medallion_sql
+    from lakesmith.plans.oracle import medallion_sql, retrieval_sql
     out = {}
     out.update(medallion_sql())
+    out.update(retrieval_sql())
     return out
