@@ -391,3 +391,85 @@ UNION ALL SELECT doc_id, etag, 2 AS batch FROM r2 WHERE NOT EXISTS (SELECT 1 FRO
     c_hits = f"(SELECT query_id, doc_id AS chunk_uid, score, rank FROM {c_hits})"
     out["retrieve_job"] = context_sql(rerank_sql(scored_sql(c_hits, chunk_rel, "chunk_uid"), "source, chunk_uid"))
     return out
+
+
+# ----------------------------------------------------------------------------- conversations
+
+def short_title_sql(x: str, n: int = 48) -> str:
+    s = collapse(x)
+    words = f"regexp_extract({s} || ' ', {lit('(?s)^(.{1,' + str(n) + '}) ')}, 1)"
+    return (f"(CASE WHEN length({s}) <= {n} THEN {s} WHEN {words} <> '' THEN {words} "
+            f"ELSE rtrim(substring({s}, 1, {n}), ' ') END)")
+
+
+def conversation_sql() -> dict[str, str]:
+    from lakesmith.functions.text import DISEASE_ENTITY_PREFIXES
+    from lakesmith.operators.conversations import NEW_CHAT_TITLE
+    from lakesmith.plans.conversation_queries import ALLOWED_EVENT_TYPES, EVENT_BATCH_CUT
+    out: dict[str, str] = {}
+    pairs = """(SELECT conv_id, turn, text AS user_query, nt AS ai_response FROM (
+  SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant')"""
+    keys = """(SELECT conv_id, role, role || '_' || CAST(row_number() OVER (PARTITION BY role ORDER BY conv_id) AS VARCHAR) AS session_key
+  FROM (SELECT DISTINCT conv_id, role FROM conversations WHERE role IN ('user', 'assistant')))"""
+    out["qa_pairs"] = f"SELECT * FROM {pairs}"
+    out["history_last_n"] = f"""
+SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) - rn + 1 AS pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM {pairs}) WHERE rn <= 5"""
+    out["messages_unpivot"] = (f"SELECT conv_id, turn, 0 AS msg_no, 'user' AS role, user_query AS text FROM {pairs} "
+                               f"UNION ALL SELECT conv_id, turn, 1, 'assistant', ai_response FROM {pairs}")
+    out["session_backfill"] = f"SELECT * FROM {keys}"
+    out["session_counters"] = "SELECT user_id, count(*) AS last_session_number FROM events GROUP BY user_id"
+    out["session_list"] = f"""
+WITH s AS (SELECT DISTINCT conv_id, role FROM conversations)
+SELECT s.role, s.conv_id, coalesce(k.session_key, CAST(s.conv_id AS VARCHAR)) AS display_key,
+       row_number() OVER (PARTITION BY s.role ORDER BY s.conv_id DESC) AS list_pos
+FROM s LEFT JOIN {keys} k ON k.conv_id = s.conv_id AND k.role = s.role"""
+    out["session_delete"] = """
+SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (
+  SELECT conv_id FROM conversations WHERE role = 'system'
+  INTERSECT SELECT conv_id FROM conversations WHERE role = 'user')"""
+    out["key_rewrite"] = f"""
+SELECT p.conv_id, p.turn, coalesce(k.session_key, CAST(p.conv_id AS VARCHAR)) AS session_id
+FROM {pairs} p LEFT JOIN (SELECT * FROM {keys} WHERE role = 'user') k ON k.conv_id = p.conv_id"""
+    out["short_title"] = f"SELECT conv_id, turn, {short_title_sql('text')} AS title FROM conversations"
+    out["entity_carryover"] = f"""
+WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+dt AS (SELECT DISTINCT conv_id, turn, unnest({toks('text')}) AS t FROM u),
+tg AS (SELECT conv_id, turn, array_to_string(list_sort(list(t)), ',') AS tags FROM dt JOIN {HERB_LEX} l ON t = l.term GROUP BY 1, 2),
+e AS (SELECT u.conv_id, u.turn, coalesce(tg.tags, '') AS entities FROM u LEFT JOIN tg USING (conv_id, turn))
+SELECT conv_id, turn, CASE WHEN entities = '' THEN coalesce(lag(entities) OVER (PARTITION BY conv_id ORDER BY turn), '')
+                           ELSE entities END AS entities FROM e"""
+    out["cache_lookup"] = f"""
+SELECT conv_id, turn, query_hash, row_number() OVER (PARTITION BY query_hash ORDER BY conv_id, turn) > 1 AS hit
+FROM (SELECT conv_id, turn, sha256({norm_text('text')}) AS query_hash FROM conversations WHERE role = 'user')"""
+    out["feedback_stats"] = """
+SELECT d.source, count(*) AS n_feedback, CAST(sum(r.rating) AS BIGINT) AS sum_rating, round(avg(r.rating), 6) AS avg_rating
+FROM (SELECT doc_id, CASE WHEN quality = 1 THEN 1 WHEN quality = 0 THEN -1 END AS rating FROM labels) r
+JOIN documents d USING (doc_id) WHERE r.rating IN (-1, 1) GROUP BY d.source"""
+    first = lambda role: (f"(SELECT conv_id, {short_title_sql('arg_min(text, turn)')} AS title FROM conversations "
+                          f"WHERE role = {lit(role)} GROUP BY conv_id)")
+    out["title_from_first_turn"] = f"SELECT * FROM {first('user')}"
+    out["title_update"] = f"""
+WITH s AS (SELECT c.conv_id, coalesce(x.title, {lit(NEW_CHAT_TITLE)}) AS title
+           FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN {first('system')} x USING (conv_id))
+SELECT s.conv_id, CASE WHEN s.title = {lit(NEW_CHAT_TITLE)} THEN coalesce(u.title, s.title) ELSE s.title END AS title
+FROM s LEFT JOIN {first('user')} u USING (conv_id)"""
+    allowed = ", ".join(lit(x) for x in ALLOWED_EVENT_TYPES)
+    out["domain_violations"] = f"""
+SELECT 'labels' AS table_name, doc_id AS row_key, 'quality' AS column_name, CAST(quality AS VARCHAR) AS value FROM labels WHERE quality IS NULL OR quality NOT IN (0, 1)
+UNION ALL SELECT 'labels', doc_id, 'toxic', CAST(toxic AS VARCHAR) FROM labels WHERE toxic IS NULL OR toxic NOT IN (0, 1)
+UNION ALL SELECT 'events', event_id, 'event_type', event_type FROM events WHERE event_type IS NULL OR event_type NOT IN ({allowed})"""
+    out["feedback_orphans"] = "SELECT * FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)"
+    greet = ", ".join(lit(g) for g in GREETINGS)
+    out["greeting_route"] = (f"SELECT conv_id, turn, CASE WHEN {norm_text('text')} IN ({greet}) THEN 'greeting' "
+                             f"ELSE 'retrieval' END AS route FROM conversations")
+    strip = lambda x: f"regexp_replace({x}, {lit('^(' + PUNCT + '| )+|(' + PUNCT + '| )+$')}, '', 'g')"
+    prefixes = "^(?:" + "|".join(DISEASE_ENTITY_PREFIXES) + ")*"
+    ent = strip(f"regexp_replace({strip(collapse('lower(text)'))}, {lit(prefixes)}, '')")
+    out["entity_prefix_clean"] = f"SELECT conv_id, turn, {ent} AS entity FROM conversations WHERE role = 'user'"
+    out["session_messages"] = "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations"
+    out["conversation_job"] = """
+SELECT role AS username, count(DISTINCT conv_id) AS n_sessions, count(DISTINCT conv_id) AS last_session_number, count(*) AS n_turns
+FROM conversations WHERE role IN ('user', 'assistant') GROUP BY role"""
+    return out
