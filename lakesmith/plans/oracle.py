@@ -473,3 +473,26 @@ UNION ALL SELECT 'events', event_id, 'event_type', event_type FROM events WHERE
 SELECT role AS username, count(DISTINCT conv_id) AS n_sessions, count(DISTINCT conv_id) AS last_session_number, count(*) AS n_turns
 FROM conversations WHERE role IN ('user', 'assistant') GROUP BY role"""
     return out
+
+
+# ----------------------------------------------------------------------------- ingestion
+
+def ingest_sql() -> dict[str, str]:
+    out = medallion_sql()
+    mid = "(SELECT max(p_partkey) / 2 FROM part)"
+    return {
+        "csv_bronze": """
+SELECT CAST(p_partkey AS VARCHAR) AS part_key, p_name AS name, p_brand AS brand, p_type AS type,
+       CAST(p_size AS VARCHAR) AS size, CAST(p_retailprice AS VARCHAR) AS retail_price,
+       row_number() OVER (ORDER BY p_partkey) AS cd_bronze_id FROM part""",
+        "bronze_incremental": f"""
+SELECT CAST(p_partkey AS VARCHAR) AS part_key, p_name AS name, row_number() OVER (ORDER BY p_partkey) AS cd_bronze_id,
+       CASE WHEN p_partkey <= {mid} THEN '0' ELSE '1' END AS _batch_id FROM part""",
+        "silver_incremental": out["merge_by_name"],
+        "index_incremental": retrieval_sql()["index_upsert"],
+        "schema_evolution": f"""
+SELECT p_partkey, p_name, p_brand, CAST(NULL AS VARCHAR) AS p_type, CAST(NULL AS INTEGER) AS p_size, 0 AS _batch_id
+FROM part WHERE p_partkey <= {mid}
+UNION ALL SELECT p_partkey, p_name, NULL, p_type, p_size, 1 FROM part WHERE p_partkey > {mid}""",
+        "table_roundtrip": "SELECT p_brand, count(*) AS n, round(sum(p_retailprice), 2) AS revenue FROM part GROUP BY p_brand",
+    }

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lakesmith.plans import medallion_queries as MQ
 from lakesmith.plans import retrieval_queries as RQ
 from lakesmith.plans import conversation_queries as CQ
+from lakesmith.plans import ingest_queries as IQ
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for mod in (MQ, RQ, CQ):
+    for mod in (MQ, RQ, CQ, IQ):
         for k, v in vars(mod).items():
             if k.startswith("q_") and callable(v):
                 out[k[2:]] = v
@@ -21,9 +22,10 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_queries() -> dict[str, str]:
-    from lakesmith.plans.oracle import conversation_sql, medallion_sql, retrieval_sql
+    from lakesmith.plans.oracle import conversation_sql, ingest_sql, medallion_sql, retrieval_sql
     out = {}
     out.update(medallion_sql())
     out.update(retrieval_sql())
     out.update(conversation_sql())
+    out.update(ingest_sql())
     return out

@@ -53,9 +53,12 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def register_table(spark: SparkSession, database: str, name: str, path: str) -> str:
+def register_table(spark: SparkSession, database: str, name: str, path: str, db_location: str | None = None) -> str:
     """External table over ``path`` — created when missing, refreshed otherwise."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    if db_location is None:
+        from lakesmith.session import checkpoint_root
+        db_location = f"{checkpoint_root(spark)}/warehouse/{database}.db"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{db_location}'")
     full = f"`{database}`.`{name}`"
     spark.sql(f"CREATE TABLE IF NOT EXISTS {full} USING parquet LOCATION '{path}'")
     spark.sql(f"REFRESH TABLE {full}")
