@@ -62,12 +62,30 @@ def tokens(c: str | Column) -> Column:
 
 # ----------------------------------------------------------------------------- postings / BM25
 
+def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per token occurrence ``(doc_id, tok, doc_len)``; the text is
+    tokenised once (the length travels inside the generated struct)."""
+    toks = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("toks"))
+    return toks.select("doc_id", F.inline(F.transform(
+        "toks", lambda t: F.struct(t.alias("tok"), F.size("toks").cast("long").alias("doc_len")))))
+
+
+def _index(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """R3 index: ``(doc, tok, tf, doc_len)``.  Tokens are exploded map-side;
+    """R3 index: ``(doc, tok, tf, doc_len)``.  Tokens are generated map-side;
     the ``groupBy(doc, tok)`` combines partially before the shuffle."""
-    toks = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("toks"))
-    return (toks.select("doc_id", F.size("toks").cast("long").alias("doc_len"), F.explode("toks").alias("tok"))
-            .groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len")))
+    return _index(token_rows(docs, id_col, text_col))
+
+
+def query_postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The part of the R3 index a query batch can touch: token occurrences
+    outside the batch's vocabulary are dropped map-side (broadcast semi-join
+    against the size-checked vocabulary) before anything is shuffled."""
+    vocab = bounded(terms.select("tok").distinct(), what="query vocabulary")
+    return _index(token_rows(docs, id_col, text_col).join(vocab, "tok", "left_semi"))
 
 
 def query_terms(queries: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -99,6 +117,20 @@ def bm25_topk(index: DataFrame, terms: DataFrame, k: int = SEARCH_K, digits: int
     return top_k_within(s, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
+def topk_with_fallback(scores: DataFrame, allowed: DataFrame, k: int = SEARCH_K) -> DataFrame:
+    """R7 U5 in one ranking pass: every scored (query, doc) row enters the
+    ``unfiltered`` group and, when it passes the metadata filter, also the
+    ``filtered`` group; top-``k`` per (query, group); a query keeps its
+    filtered list when it has one, else its unfiltered list."""
+    ok = allowed.select("query_id", "doc_id").distinct().withColumn("__ok", F.lit(True))
+    flagged = scores.join(bounded(ok, what="filter hits"), ["query_id", "doc_id"], "left")
+    groups = F.when(F.col("__ok"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    both = flagged.select("*", F.explode(groups).alias("filtered")).drop("__ok")
+    top = top_k_within(both, ["query_id", "filtered"], [F.desc("score"), F.asc("doc_id")], k)
+    has = F.max(F.col("filtered").cast("int")).over(Window.partitionBy("query_id"))
+    return top.withColumn("__has", has).where(F.col("filtered") | (F.col("__has") == 0)).drop("__has")
+
+
 # ----------------------------------------------------------------------------- dense
 
 def _query_block(queries: DataFrame, qid: str, qvec: str, max_queries: int) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesmith.session import checkpoint_root
+from lakesmith.session import cut_lineage
 
 _PID, _LI, _FIRST, _BEFORE = "__pid", "__li", "__first", "__before"
 
@@ -60,8 +60,7 @@ def _join_on_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
 
 def _cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder named by the session."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return cut_lineage(df)
 
 
 def sequence_within(

@@ -15,6 +15,7 @@ from lakesmith.operators import chunking as C
 from lakesmith.operators import retrieval as R
 from lakesmith.operators.medallion import keep_first
 from lakesmith.plans.tables import table
+from lakesmith.session import cut_lineage
 
 HERB_MIN_LEN, DISEASE_LEN = 8, 7
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
@@ -43,10 +44,18 @@ def disease_lexicon(spark, d):
     return R.lexicon_from(table(spark, d, "benchmark"), "text", DISEASE_LEN, DISEASE_LEN)
 
 
-def bm25_hits(spark, d, corpus: DataFrame | None = None, k: int = R.SEARCH_K) -> DataFrame:
+def bm25_hits(spark, d, corpus: DataFrame | None = None, k: int = R.SEARCH_K, id_col: str = "doc_id",
+              cut: bool = False) -> DataFrame:
+    """Top-``k`` BM25 documents per question.  Only the question batch's
+    vocabulary is indexed (query-time postings).  With ``cut`` the bounded
+    hit list (k rows per question) is checkpointed, because the rerank
+    consumes it several times."""
     corpus = corpus if corpus is not None else docs(spark, d)
-    index = R.postings(corpus)
-    return R.bm25_topk(index, R.query_terms(questions(spark, d), "query_id"), k)
+    terms = R.query_terms(questions(spark, d), "query_id")
+    hits = R.bm25_topk(R.query_postings(corpus, terms, id_col), terms, k)
+    if id_col != "doc_id":
+        hits = hits.withColumnRenamed("doc_id", id_col)
+    return cut_lineage(hits) if cut else hits
 
 
 def query_entities(spark, d) -> DataFrame:
@@ -118,15 +127,9 @@ def q_metadata_filter(spark, d):
 
 
 def q_filter_fallback(spark, d):
-    index = R.postings(docs(spark, d))
-    scores = R.bm25_scores(index, R.query_terms(questions(spark, d), "query_id")) \
-        .withColumn("score", F.round("score", 6))
-    hits = metadata_hits(spark, d)
-    from lakesmith.operators.sequence import top_k_within
-    filtered = top_k_within(scores.join(hits, ["query_id", "doc_id"], "left_semi"), ["query_id"],
-                            [F.desc("score"), F.asc("doc_id")], R.SEARCH_K)
-    unfiltered = top_k_within(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], R.SEARCH_K)
-    return R.with_fallback(filtered, unfiltered).withColumnRenamed("query_id", "item_id")
+    terms = R.query_terms(questions(spark, d), "query_id")
+    scores = R.bm25_scores(R.query_postings(docs(spark, d), terms), terms).withColumn("score", F.round("score", 6))
+    return R.topk_with_fallback(scores, metadata_hits(spark, d)).withColumnRenamed("query_id", "item_id")
 
 
 def q_entity_tags(spark, d):
@@ -135,12 +138,12 @@ def q_entity_tags(spark, d):
 
 
 def q_entity_score(spark, d):
-    s = scored_hits(spark, d, bm25_hits(spark, d), docs(spark, d))
+    s = scored_hits(spark, d, bm25_hits(spark, d, cut=True), docs(spark, d))
     return s.select(F.col("query_id").alias("item_id"), "doc_id", "entity_score")
 
 
 def reranked(spark, d):
-    s = scored_hits(spark, d, bm25_hits(spark, d), docs(spark, d))
+    s = scored_hits(spark, d, bm25_hits(spark, d, cut=True), docs(spark, d))
     return R.weighted_rerank(s)
 
 
@@ -219,9 +222,7 @@ def q_retrieve_job(spark, d):
     ch = C.chunk_fixed(docs(spark, d), keep=("doc_id", "source"))
     corpus = ch.select((F.col("doc_id") * 1_000_000 + F.col("chunk_no")).alias("chunk_uid"), "source",
                        F.col("chunk_text").alias("text"))
-    index = R.postings(corpus, "chunk_uid", "text").withColumnRenamed("doc_id", "chunk_uid")
-    hits = R.bm25_topk(index.withColumnRenamed("chunk_uid", "doc_id"), R.query_terms(questions(spark, d), "query_id")) \
-        .withColumnRenamed("doc_id", "chunk_uid")
+    hits = bm25_hits(spark, d, corpus, id_col="chunk_uid", cut=True)
     s = scored_hits(spark, d, hits, corpus, id_col="chunk_uid")
     r = R.weighted_rerank(s, tie_cols=("source", "chunk_uid")).withColumn("title", R.source_title(F.col("source")))
     return R.context_text(r, "new_rank", "text", "title").withColumnRenamed("query_id", "item_id")

@@ -58,3 +58,12 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique directory under the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(df):
+    """Materialise ``df`` with a reliable ``checkpoint()`` into the shared
+    checkpoint folder (survives executor loss; later consumers do not
+    recompute the plan).  Used for small, bounded intermediates that several
+    branches read, and where partitioning must be frozen."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
