@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesmith.functions.vectors import cosine
+from lakesmith.operators.parallel import spread
 from lakesmith.operators.sequence import cumulative_sum_within, group_percentile, neighbour
 
 # The reference's current and first chunk sizes (characters).
@@ -116,7 +117,7 @@ def chunk_recursive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                 "chunk_no": pd.Series(nos, dtype="int64"),
                                 "chunk_text": pd.Series(texts, dtype="object")})
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInPandas(
+    return spread(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col).mapInPandas(
         split, f"{id_col} long, chunk_no long, chunk_text string")
 
 

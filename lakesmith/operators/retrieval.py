@@ -28,6 +28,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from lakesmith.functions import text as T
+from lakesmith.operators.parallel import spread
 from lakesmith.operators.sequence import top_k_within
 
 # Retrieval depth, BM25 parameters of the sparse model, fusion
@@ -65,7 +66,7 @@ def tokens(c: str | Column) -> Column:
 def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per token occurrence ``(doc_id, tok, doc_len)``; the text is
     tokenised once (the length travels inside the generated struct)."""
-    toks = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("toks"))
+    toks = spread(docs, id_col).select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("toks"))
     return toks.select("doc_id", F.inline(F.transform(
         "toks", lambda t: F.struct(t.alias("tok"), F.size("toks").cast("long").alias("doc_len")))))
 
@@ -175,7 +176,7 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, id_col: str, vec_col: str,
                 out.append(pd.DataFrame({"query_id": qi, id_col: doc_ids[order], "score": s[order, j]}))
             yield pd.concat(out, ignore_index=True)
 
-    local = corpus.select(id_col, vec_col).mapInPandas(score, f"query_id long, {id_col} long, score double")
+    local = spread(corpus.select(id_col, vec_col), id_col).mapInPandas(score, f"query_id long, {id_col} long, score double")
     local = local.withColumn("score", F.round("score", digits))
     order = [F.desc("score") if metric == "cosine" else F.asc("score"), F.asc(id_col)]
     return top_k_within(local, ["query_id"], order, k)
@@ -235,7 +236,7 @@ def contains_any(docs: DataFrame, doc_id: str, text_col: str, probes: DataFrame,
             yield pd.DataFrame({"query_id": pd.Series(rows_p, dtype="int64"),
                                 doc_id: pd.Series(rows_d, dtype="int64")})
 
-    return docs.select(doc_id, text_col).mapInPandas(scan, f"query_id long, {doc_id} long")
+    return spread(docs.select(doc_id, text_col), doc_id).mapInPandas(scan, f"query_id long, {doc_id} long")
 
 
 def with_fallback(filtered: DataFrame, unfiltered: DataFrame) -> DataFrame:
@@ -270,7 +271,7 @@ def entity_tags(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
     """Tags of a document = sorted distinct lexicon terms among its
     1..``max_n``-grams (equi-join on the term, lexicon broadcast after a size
     check); no tag -> ``default``.  Output ``tags`` (comma text) and ``tag_list``."""
-    toks = docs.select(F.col(id_col), tokens(text_col).alias("__t"))
+    toks = spread(docs, id_col).select(F.col(id_col), tokens(text_col).alias("__t"))
     grams = F.array_distinct(F.flatten(F.array(*[ngrams(F.col("__t"), n) for n in range(1, max_n + 1)])))
     exploded = toks.select(id_col, F.explode(grams).alias("term"))
     hits = exploded.join(bounded(lexicon.select("term").distinct(), what="lexicon"), "term")
@@ -378,3 +379,98 @@ def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, num_features: in
     tf = HashingTF(inputCol="toks", outputCol="tf", numFeatures=num_features).transform(toks)
     vec = Normalizer(inputCol="tf", outputCol="vec", p=2.0).transform(tf)
     return vec.select(id_col, "vec", vector_to_array("vec").alias("__a"))
+
+
+# ----------------------------------------------------------------------------- BM25, document-at-a-time
+
+def _tokenize_py():
+    import regex
+    pat = regex.compile(r"[\p{L}\p{N}]+")
+    return lambda s: pat.findall(s.lower())
+
+
+def bm25_topk_scan(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   k: int = SEARCH_K, allowed: DataFrame | None = None, max_queries: int = 100_000,
+                   max_allowed: int = 5_000_000, digits: int = 6, block: int = 2048) -> DataFrame:
+    """R3 K1 scored document-at-a-time: exact BM25 top-``k`` per query.
+
+    The query block — ``(query_id, tok)`` pairs, size-checked — is broadcast
+    as an inverted index token -> queries.  Each document partition
+    tokenises its documents once, counts term frequencies, accumulates the
+    BM25 weights of shared tokens into a (queries x documents) block and
+    keeps only its local top-``k`` per query.  Only ``k`` rows per query per
+    partition are shuffled to the final top-``k``, however many (query, doc,
+    token) matches there are.  With ``allowed`` (query, doc) pairs a second,
+    filtered top-``k`` list is produced in the same scan (``filtered`` flag).
+    """
+    spark = docs.sparkSession
+    qt = terms.select("query_id", "tok").distinct().limit(max_queries * 1000 + 1).toPandas()
+    qids = np.sort(qt["query_id"].unique()) if len(qt) else np.zeros(0, dtype="int64")
+    if len(qids) > max_queries:
+        raise ValueError(f"more than {max_queries} queries; split the query table into blocks")
+    pos = {int(q): i for i, q in enumerate(qids)}
+    inv: dict[str, list[int]] = {}
+    for q, t in zip(qt["query_id"], qt["tok"]):
+        inv.setdefault(t, []).append(pos[int(q)])
+    inv_np = {t: np.asarray(v, dtype="int64") for t, v in inv.items()}
+    allow = None
+    if allowed is not None:
+        ap = allowed.select("query_id", F.col(id_col).alias("d")).distinct().limit(max_allowed + 1).toPandas()
+        if len(ap) > max_allowed:
+            raise ValueError("too many allowed pairs to broadcast")
+        allow = {}
+        for q, dd in zip(ap["query_id"], ap["d"]):
+            if int(q) in pos:
+                allow.setdefault(int(dd), []).append(pos[int(q)])
+    bc = spark.sparkContext.broadcast((qids, inv_np, allow))
+    k1, b, avg = BM25_K1, BM25_B, BM25_AVG_LEN
+    k1p, one_b = k1 + 1, 1 - b
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from collections import Counter
+        q_ids, inverted, allow_map = bc.value
+        tok = _tokenize_py()
+        nq = len(q_ids)
+        for pdf in batches:
+            ids_all = pdf[id_col].to_numpy(dtype="int64")
+            texts = pdf[text_col].tolist()
+            for s in range(0, len(ids_all), block):
+                ids = ids_all[s:s + block]
+                S = np.zeros((nq, len(ids)))
+                for j, text in enumerate(texts[s:s + block]):
+                    if not isinstance(text, str):
+                        continue
+                    toks = tok(text)
+                    dl = len(toks)
+                    norm = k1 * (one_b + b * dl / avg)
+                    for t, tf in Counter(toks).items():
+                        qs = inverted.get(t)
+                        if qs is not None:
+                            S[qs, j] += (tf * k1p) / (tf + norm)
+                S = np.round(S, digits)
+                hit = np.zeros_like(S, dtype=bool)
+                touched = S > 0
+                out = []
+                groups = [(False, touched)]
+                if allow_map is not None:
+                    for j, dd in enumerate(ids):
+                        for qi in allow_map.get(int(dd), ()):
+                            hit[qi, j] = True
+                    groups.append((True, touched & hit))
+                for flag, mask in groups:
+                    for qi in np.nonzero(mask.any(axis=1))[0]:
+                        cand = np.nonzero(mask[qi])[0]
+                        order = cand[np.lexsort((ids[cand], -S[qi, cand]))][:k]
+                        out.append(pd.DataFrame({"query_id": q_ids[qi], id_col: ids[order],
+                                                 "score": S[qi, order], "filtered": flag}))
+                if out:
+                    yield pd.concat(out, ignore_index=True)
+
+    local = spread(docs.select(id_col, text_col), id_col).mapInPandas(
+        score, f"query_id long, {id_col} long, score double, filtered boolean")
+    local = local.withColumn("score", F.round("score", digits))
+    top = top_k_within(local, ["query_id", "filtered"], [F.desc("score"), F.asc(id_col)], k)
+    if allowed is None:
+        return top.drop("filtered")
+    has = F.max(F.col("filtered").cast("int")).over(Window.partitionBy("query_id"))
+    return top.withColumn("__has", has).where(F.col("filtered") | (F.col("__has") == 0)).drop("__has")

@@ -94,7 +94,7 @@ def q_dedup_rows(spark, d):
 
 
 def q_quality_report(spark, d):
-    silver = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    silver = table(spark, d, "documents", spread_on="doc_id").join(table(spark, d, "labels"), "doc_id", "left")
     silver = silver.withColumn("lieu_dung_min_g", T.dose_bounds("text")[0])
     return M.quality_report(silver, name_col="source", check_cols=("text", "lang", "quality", "toxic"),
                             dose_col="text", dose_min_col="lieu_dung_min_g", with_timestamps=False)
@@ -130,14 +130,14 @@ def q_unique_headers(spark, d):
 
 
 def q_clean_text(spark, d):
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", spread_on="doc_id")
     c = M.clean_columns(docs.select("doc_id", "text", "lang", "source"), ["text", "lang", "source"])
     return c.select("doc_id", T.row_hash(["text", "lang", "source"]).alias("row_hash"),
                     F.length("text").cast("long").alias("clean_len"))
 
 
 def q_normalize_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.normalize_text("text").alias("norm_text"))
+    return table(spark, d, "documents", spread_on="doc_id").select("doc_id", T.normalize_text("text").alias("norm_text"))
 
 
 def q_first_integer(spark, d):
@@ -146,7 +146,7 @@ def q_first_integer(spark, d):
 
 def q_dose_range(spark, d):
     lo, hi = T.dose_bounds("text")
-    return table(spark, d, "documents").select("doc_id", lo.alias("min_g"), hi.alias("max_g"))
+    return table(spark, d, "documents", spread_on="doc_id").select("doc_id", lo.alias("min_g"), hi.alias("max_g"))
 
 
 PAGE_FIELD_PATTERNS = {
@@ -157,7 +157,7 @@ PAGE_FIELD_PATTERNS = {
 
 
 def q_semantic_fields(spark, d):
-    pages = table(spark, d, "pages")
+    pages = table(spark, d, "pages", spread_on="page_id")
     return pages.select("page_id", *[c.alias(n) for n, c in T.extract_fields("html", PAGE_FIELD_PATTERNS).items()])
 
 

@@ -23,7 +23,7 @@ UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 
 def docs(spark, d) -> DataFrame:
-    return table(spark, d, "documents")
+    return table(spark, d, "documents", spread_on="doc_id")
 
 
 def questions(spark, d) -> DataFrame:
@@ -52,9 +52,7 @@ def bm25_hits(spark, d, corpus: DataFrame | None = None, k: int = R.SEARCH_K, id
     consumes it several times."""
     corpus = corpus if corpus is not None else docs(spark, d)
     terms = R.query_terms(questions(spark, d), "query_id")
-    hits = R.bm25_topk(R.query_postings(corpus, terms, id_col), terms, k)
-    if id_col != "doc_id":
-        hits = hits.withColumnRenamed("doc_id", id_col)
+    hits = R.bm25_topk_scan(corpus, terms, id_col, "text", k)
     return cut_lineage(hits) if cut else hits
 
 
@@ -128,8 +126,7 @@ def q_metadata_filter(spark, d):
 
 def q_filter_fallback(spark, d):
     terms = R.query_terms(questions(spark, d), "query_id")
-    scores = R.bm25_scores(R.query_postings(docs(spark, d), terms), terms).withColumn("score", F.round("score", 6))
-    return R.topk_with_fallback(scores, metadata_hits(spark, d)).withColumnRenamed("query_id", "item_id")
+    return R.bm25_topk_scan(docs(spark, d), terms, allowed=metadata_hits(spark, d)).withColumnRenamed("query_id", "item_id")
 
 
 def q_entity_tags(spark, d):

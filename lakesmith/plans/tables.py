@@ -8,5 +8,11 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread_on: str | None = None) -> DataFrame:
+    """A driver table; ``spread_on`` guards CPU-heavy row work against an
+    under-split scan (see :func:`lakesmith.operators.parallel.spread`)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread_on:
+        from lakesmith.operators.parallel import spread
+        df = spread(df, spread_on, probe=True)
+    return df
