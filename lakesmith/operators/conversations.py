@@ -170,3 +170,14 @@ def unique_violations(df: DataFrame, key: Column | str) -> DataFrame:
 def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
     """Child rows whose foreign key has no parent (``left_anti``)."""
     return child.join(parent.select(F.col(pk).alias(fk)).distinct(), fk, "left_anti")
+
+
+def rolling_memory(messages: DataFrame, session: str = "conv_id", order: Sequence[str] = ("turn", "msg_no"),
+                   n: int = MEMORY_MESSAGES) -> DataFrame:
+    """K7: the last ``n`` messages of every session in time order (the
+    chatbot's rolling memory), via the partial top-``n`` filter."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(session).orderBy(*[F.desc(c) for c in order])
+    latest = messages.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n)
+    return latest.withColumn("pos", (F.count(F.lit(1)).over(Window.partitionBy(session)) - F.col("__r") + 1).cast("long")) \
+        .drop("__r")

@@ -118,3 +118,13 @@ def normalized_names(df: DataFrame, name_col: str) -> DataFrame:
 
 
 __all__ = ["ingest_bronze", "ingest_documents", "merge_into", "assign_stable_ids", "BATCH_COL"]
+
+
+def unprocessed_batches(source: DataFrame, processed: DataFrame | None, batch_col: str = BATCH_COL) -> DataFrame:
+    """Rows of ``source`` whose batch id is not yet in ``processed``
+    (``left_anti`` on the batch id; the reference keyed the whole dataset,
+    so later bronze batches never reached silver)."""
+    if processed is None:
+        return source
+    done = processed.select(batch_col).distinct()
+    return source.join(done, batch_col, "left_anti")

@@ -113,3 +113,34 @@ def test_append_batch_replay(spark, tmp_dir):
     ST.append_batch(a, p, 0)
     df = ST.read_table(spark, p)
     assert df.count() == 2 and {"a", "b"} <= set(df.columns)
+
+
+def test_jobs_end_to_end(spark, tmp_dir):
+    """M1 -> M2 -> M3 over two CSV drops: ids stay stable across runs."""
+    from lakesmith.plans import jobs as J
+    landing, bronze, ck, silver, gold = (os.path.join(tmp_dir, n) for n in ("in", "b", "ck", "s", "g"))
+    os.makedirs(landing)
+    write_csv(os.path.join(landing, "a.csv"), ["Tên cây thuốc", "Liều dùng", "Tính vị quy kinh"],
+              [["Bạc hà", "6-12g", "Vị cay, tính mát. Vào kinh phế."], ["Gừng", "", "Vị cay"]])
+    J.run_bronze(spark, landing, bronze, ck)
+    first = {r["t_n_c_y_thu_c"]: r["cd_silver_id"] for r in J.run_silver(spark, bronze, silver,
+             name_candidates=("t_n_c_y_thu_c",), dose_col="li_u_d_ng").collect()}
+    write_csv(os.path.join(landing, "b.csv"), ["Tên cây thuốc", "Liều dùng"], [["Atiso", "10 - 20 g"], ["gừng", "3g"]])
+    J.run_bronze(spark, landing, bronze, ck)
+    rows = J.run_silver(spark, bronze, silver, name_candidates=("t_n_c_y_thu_c",), dose_col="li_u_d_ng").collect()
+    second = {r["t_n_c_y_thu_c"]: r["cd_silver_id"] for r in rows}
+    assert {k: second[k] for k in first} == first and second["atiso"] == 3
+    ginger = next(r for r in rows if r["t_n_c_y_thu_c"] == "gừng")
+    assert ginger["li_u_d_ng"] == "3g" and ginger["li_u_d_ng_min_g"] == 3.0
+    paths = J.run_gold(spark, silver, gold, roles={"medicine_name": "t_n_c_y_thu_c"})
+    assert set(paths) == {"medicine_catalog", "medicine_search", "medicine_stats", "quality_report"}
+    assert ST.read_table(spark, paths["medicine_catalog"]).count() == 3
+
+
+def test_index_and_retrieve(spark):
+    from lakesmith.plans import jobs as J
+    from lakesmith.plans import retrieval_queries as RQ
+    from conftest import SF001
+    idx = J.build_index(RQ.docs(spark, SF001).limit(200), RQ.herb_lexicon(spark, SF001))
+    out = J.retrieve(RQ.questions(spark, SF001), idx["chunks"]).collect()
+    assert len(out) == 40 and all((r["gate"] == "answer") == (r["n_docs"] > 0) for r in out)
