@@ -23,9 +23,12 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     partition count (no job); on cluster-scale inputs with many splits it is
     a no-op and adds no shuffle.
 
-    ``repartitionByRange`` with an explicit count is used on purpose: AQE
-    coalesces a hash ``repartition(n, col)`` of small data back into one
-    partition, but never a shuffle whose partition number the user fixed."""
+    A round-robin ``repartition(n)`` is used on purpose: AQE coalesces a
+    hash ``repartition(n, col)`` of small data back into one partition, but
+    never a shuffle whose partition number the user fixed; unlike a range
+    repartition it needs no sampling pass over the input, and Spark sorts
+    before a round-robin split so a retried task gets the same rows.  ``key``
+    is accepted for callers that document their row key."""
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
     planned = df.rdd.getNumPartitions()
@@ -35,4 +38,4 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     # one large row group plans as several splits of which one carries all data
     if (_busy_partitions(df) if probe else planned) >= target:
         return df
-    return df.repartitionByRange(target, key) if key else df.repartition(target)
+    return df.repartition(target)

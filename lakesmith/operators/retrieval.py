@@ -426,11 +426,21 @@ def bm25_topk_scan(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", te
     k1, b, avg = BM25_K1, BM25_B, BM25_AVG_LEN
     k1p, one_b = k1 + 1, 1 - b
 
+    vocab = {t: i for i, t in enumerate(inv_np)}
+    dense_q = len(qids) * max(len(vocab), 1) <= 50_000_000
+    bc_q = spark.sparkContext.broadcast(vocab)
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
         q_ids, inverted, allow_map = bc.value
+        vid = bc_q.value
         tok = _tokenize_py()
         nq = len(q_ids)
+        if dense_q:
+            # query x vocabulary incidence: one gather + mat-vec per document
+            Q = np.zeros((nq, max(len(vid), 1)))
+            for t, qs in inverted.items():
+                Q[qs, vid[t]] = 1.0
         for pdf in batches:
             ids_all = pdf[id_col].to_numpy(dtype="int64")
             texts = pdf[text_col].tolist()
@@ -443,10 +453,17 @@ def bm25_topk_scan(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", te
                     toks = tok(text)
                     dl = len(toks)
                     norm = k1 * (one_b + b * dl / avg)
-                    for t, tf in Counter(toks).items():
-                        qs = inverted.get(t)
-                        if qs is not None:
-                            S[qs, j] += (tf * k1p) / (tf + norm)
+                    if dense_q:
+                        hit_ids = np.fromiter((vid.get(t, -1) for t in toks), dtype=np.int64, count=dl)
+                        hit_ids = hit_ids[hit_ids >= 0]
+                        if len(hit_ids):
+                            u, tf = np.unique(hit_ids, return_counts=True)
+                            S[:, j] = Q[:, u] @ ((tf * k1p) / (tf + norm))
+                    else:
+                        for t, tf in Counter(toks).items():
+                            qs = inverted.get(t)
+                            if qs is not None:
+                                S[qs, j] += (tf * k1p) / (tf + norm)
                 S = np.round(S, digits)
                 hit = np.zeros_like(S, dtype=bool)
                 touched = S > 0

@@ -56,25 +56,31 @@ def bm25_hits(spark, d, corpus: DataFrame | None = None, k: int = R.SEARCH_K, id
     return cut_lineage(hits) if cut else hits
 
 
-def query_entities(spark, d) -> DataFrame:
+def query_entities(spark, d, herbs_lex: DataFrame | None = None, dis_lex: DataFrame | None = None) -> DataFrame:
+    herbs_lex = herbs_lex if herbs_lex is not None else herb_lexicon(spark, d)
+    dis_lex = dis_lex if dis_lex is not None else disease_lexicon(spark, d)
     q = questions(spark, d).select("query_id", F.explode(F.array_distinct(R.tokens("text"))).alias("term"))
-    herbs = q.join(R.bounded(herb_lexicon(spark, d)), "term").groupBy("query_id") \
+    herbs = q.join(R.bounded(herbs_lex), "term").groupBy("query_id") \
         .agg(F.array_sort(F.collect_set("term")).alias("herbs"))
-    dis = q.join(R.bounded(disease_lexicon(spark, d)), "term").groupBy("query_id") \
+    dis = q.join(R.bounded(dis_lex), "term").groupBy("query_id") \
         .agg(F.array_sort(F.collect_set("term")).alias("diseases"))
     return questions(spark, d).select("query_id").join(herbs, "query_id", "left").join(dis, "query_id", "left")
 
 
 def scored_hits(spark, d, hits: DataFrame, corpus: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """R5 over retrieved (query, doc) pairs: tags are computed only for the
-    retrieved documents (hits are bounded by k per query)."""
-    wanted = corpus.join(R.bounded(hits.select(id_col).distinct(), what="hits"), id_col, "left_semi")
-    htags = R.entity_tags(wanted, id_col, "text", herb_lexicon(spark, d), default=None) \
+    """R5 over retrieved (query, doc) pairs.  The retrieved documents (at
+    most k per query) and the two lexicons are small, bounded tables read
+    by several branches, so each is materialised once (``checkpoint``)."""
+    herbs_lex = cut_lineage(herb_lexicon(spark, d))
+    dis_lex = cut_lineage(disease_lexicon(spark, d))
+    wanted = cut_lineage(corpus.join(R.bounded(hits.select(id_col).distinct(), what="hits"), id_col, "left_semi")
+                         .select(id_col, "source", "text"))
+    htags = R.entity_tags(wanted, id_col, "text", herbs_lex, default=None) \
         .select(id_col, F.col("tag_list").alias("herb_tags"))
-    dtags = R.entity_tags(wanted, id_col, "text", disease_lexicon(spark, d)).select(id_col, F.col("tags").alias("disease_tag"))
+    dtags = R.entity_tags(wanted, id_col, "text", dis_lex).select(id_col, F.col("tags").alias("disease_tag"))
     body = wanted.select(id_col, "source", "text", T.normalize_text("text").alias("content_norm"))
     j = (hits.join(body, id_col).join(htags, id_col, "left").join(dtags, id_col, "left")
-         .join(query_entities(spark, d), "query_id", "left"))
+         .join(query_entities(spark, d, herbs_lex, dis_lex), "query_id", "left"))
     return j.withColumn("entity_score", R.entity_score(F.col("herbs"), F.col("diseases"), F.col("herb_tags"),
                                                        F.col("disease_tag"), F.col("content_norm")).cast("long"))
 
