@@ -32,7 +32,7 @@ def test_blank_herb_scores_zero(spark):
 
 
 def test_recursive_chunks_bounded_and_cover(spark):
-    docs = RQ.docs(spark, SF001).limit(50)
+    docs = RQ.docs(spark, SF001).orderBy("doc_id").limit(50)
     chunks = C.chunk_recursive(docs).collect()
     assert all(len(r["chunk_text"]) <= C.CHUNK_SIZE for r in chunks)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}

@@ -141,6 +141,6 @@ def test_index_and_retrieve(spark):
     from lakesmith.plans import jobs as J
     from lakesmith.plans import retrieval_queries as RQ
     from conftest import SF001
-    idx = J.build_index(RQ.docs(spark, SF001).limit(200), RQ.herb_lexicon(spark, SF001))
+    idx = J.build_index(RQ.docs(spark, SF001).orderBy("doc_id").limit(200), RQ.herb_lexicon(spark, SF001))
     out = J.retrieve(RQ.questions(spark, SF001), idx["chunks"]).collect()
     assert len(out) == 40 and all((r["gate"] == "answer") == (r["n_docs"] > 0) for r in out)
