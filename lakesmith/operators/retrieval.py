@@ -143,8 +143,8 @@ def _query_block(queries: DataFrame, qid: str, qvec: str, max_queries: int) -> t
     return ids, mat
 
 
-def dense_topk(corpus: DataFrame, queries: DataFrame, id_col: str, vec_col: str, qid: str, qvec: str,
-               k: int = SEARCH_K, metric: str = "cosine", max_queries: int = 4096, digits: int = 6) -> DataFrame:
+def _dense_topk_block(corpus: DataFrame, queries: DataFrame, id_col: str, vec_col: str, qid: str, qvec: str,
+                      k: int = SEARCH_K, metric: str = "cosine", max_queries: int = 4096, digits: int = 6) -> DataFrame:
     """R2: exact top-``k`` by cosine similarity (or ``euclidean`` distance).
 
     The query block (size-checked) is broadcast; every corpus partition
@@ -198,8 +198,8 @@ def rrf_fuse(rankings: Sequence[DataFrame], id_col: str, c: int = RRF_C, k: int
 
 # ----------------------------------------------------------------------------- metadata filter
 
-def contains_any(docs: DataFrame, doc_id: str, text_col: str, probes: DataFrame, probe_id: str,
-                 probe_text: str, max_probes: int = 1_000_000) -> DataFrame:
+def _contains_block(docs: DataFrame, doc_id: str, text_col: str, probes: DataFrame, probe_id: str,
+                    probe_text: str, max_probes: int = 1_000_000) -> DataFrame:
     """All (probe, doc) with ``probe_text`` a substring of ``text_col``.
 
     Exact multi-pattern matching: the (size-checked) probe set is broadcast
@@ -389,8 +389,8 @@ def _tokenize_py():
     return lambda s: pat.findall(s.lower())
 
 
-def bm25_topk_scan(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   k: int = SEARCH_K, allowed: DataFrame | None = None, max_queries: int = 100_000,
+def _bm25_scan_block(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     k: int = SEARCH_K, allowed: DataFrame | None = None, max_queries: int = 100_000,
                    max_allowed: int = 5_000_000, digits: int = 6, block: int = 2048) -> DataFrame:
     """R3 K1 scored document-at-a-time: exact BM25 top-``k`` per query.
 
@@ -491,3 +491,73 @@ def bm25_topk_scan(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", te
         return top.drop("filtered")
     has = F.max(F.col("filtered").cast("int")).over(Window.partitionBy("query_id"))
     return top.withColumn("__has", has).where(F.col("filtered") | (F.col("__has") == 0)).drop("__has")
+
+
+
+# ----------------------------------------------------------------------------- query blocks
+
+def query_blocks(queries: DataFrame, qid: str, max_rows: int) -> list[DataFrame | None]:
+    """Split a query table into blocks of at most ``max_rows`` distinct query
+    ids; ``[None]`` when it fits whole.  Blocks are consecutive ranges of the
+    ids' dense rank (exact sizes), each returned as a table of ids to
+    semi-join with.  Each block is scored against the corpus separately
+    (block nested loop) and, since a query lives in exactly one block, its
+    top-k is final — no pair table, no broadcast beyond the proven bound."""
+    from lakesmith.operators.sequence import dense_id
+    from lakesmith.session import cut_lineage
+    n = queries.select(qid).distinct().count()
+    if n <= max_rows:
+        return [None]
+    ranked = dense_id(queries.select(qid).distinct(), [qid], "__qrank")
+    blocks = cut_lineage(ranked.select(qid, ((F.col("__qrank") - 1) / max_rows).cast("long").alias("__block")))
+    return [blocks.where(F.col("__block") == i).select(qid) for i in range(-(-n // max_rows))]
+
+
+def _in_block(df: DataFrame, block: DataFrame | None, qid: str, key: str | None = None) -> DataFrame:
+    if block is None:
+        return df
+    return df.join(block.withColumnRenamed(qid, key) if key and key != qid else block, key or qid, "left_semi")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def dense_topk(corpus: DataFrame, queries: DataFrame, id_col: str, vec_col: str, qid: str, qvec: str,
+               k: int = SEARCH_K, metric: str = "cosine", max_queries: int = 4096, digits: int = 6) -> DataFrame:
+    """R2: exact top-``k`` by cosine similarity (or ``euclidean`` distance).
+
+    Every query block (size-checked, see :func:`query_blocks`) is broadcast;
+    each corpus partition scores its rows with one Arrow-batched numpy
+    matmul and keeps only its local top ``k`` per query, so at most ``k``
+    rows per query per partition reach the final top-k shuffle."""
+    return _union([_dense_topk_block(corpus, _in_block(queries, b, qid), id_col, vec_col, qid, qvec,
+                                     k, metric, max_queries, digits)
+                   for b in query_blocks(queries, qid, max_queries)])
+
+
+def contains_any(docs: DataFrame, doc_id: str, text_col: str, probes: DataFrame, probe_id: str,
+                 probe_text: str, max_probes: int = 1_000_000) -> DataFrame:
+    """All (probe, doc) with ``probe_text`` a substring of ``text_col``.
+
+    Exact multi-pattern matching: each (size-checked) block of probes is
+    broadcast and every document partition runs one Aho-Corasick scan per
+    document — linear in the text, instead of a nested-loop ``contains``."""
+    return _union([_contains_block(docs, doc_id, text_col, _in_block(probes, b, probe_id), probe_id,
+                                   probe_text, max_probes)
+                   for b in query_blocks(probes, probe_id, max_probes)])
+
+
+def bm25_topk_scan(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   k: int = SEARCH_K, allowed: DataFrame | None = None, max_queries: int = 100_000,
+                   **kw) -> DataFrame:
+    """Exact BM25 top-``k`` per query, scored document-at-a-time
+    against size-checked query blocks (see :func:`_bm25_scan_block`)."""
+    parts = []
+    for b in query_blocks(terms, "query_id", max_queries):
+        a = None if allowed is None else _in_block(allowed, b, "query_id")
+        parts.append(_bm25_scan_block(docs, _in_block(terms, b, "query_id"), id_col, text_col, k, a, max_queries, **kw))
+    return _union(parts)

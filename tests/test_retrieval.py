@@ -78,3 +78,20 @@ def test_bm25_scan_equals_join(spark):
 def test_hashed_vectors_unit_norm(spark):
     norms = [r["norm"] for r in RQ.q_hashed_vectors(spark, SF001).collect()]
     assert all(abs(n - 1.0) < 1e-6 for n in norms if n)
+
+
+def test_query_blocks_give_same_results(spark):
+    """Beyond the broadcast bound the query side is processed in hash blocks."""
+    docs = RQ.docs(spark, SF001)
+    terms = R.query_terms(RQ.questions(spark, SF001), "query_id")
+    whole = R.bm25_topk_scan(docs, terms)
+    blocked = R.bm25_topk_scan(docs, terms, max_queries=7)
+    assert whole.exceptAll(blocked).count() == 0 and blocked.exceptAll(whole).count() == 0
+    emb = RQ.table(spark, SF001, "embeddings")
+    a = R.dense_topk(emb, RQ.probes(spark, SF001), "vec_id", "embedding", "query_id", "qvec")
+    b = R.dense_topk(emb, RQ.probes(spark, SF001), "vec_id", "embedding", "query_id", "qvec", max_queries=3)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    bench = RQ.table(spark, SF001, "benchmark")
+    x = R.contains_any(docs, "doc_id", "text", bench, "item_id", "text")
+    y = R.contains_any(docs, "doc_id", "text", bench, "item_id", "text", max_probes=9)
+    assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
