@@ -556,8 +556,21 @@ def bm25_topk_scan(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", te
                    **kw) -> DataFrame:
     """Exact BM25 top-``k`` per query, scored document-at-a-time
     against size-checked query blocks (see :func:`_bm25_scan_block`)."""
+    max_allowed = kw.get("max_allowed", 5_000_000)
     parts = []
     for b in query_blocks(terms, "query_id", max_queries):
+        t = _in_block(terms, b, "query_id")
         a = None if allowed is None else _in_block(allowed, b, "query_id")
-        parts.append(_bm25_scan_block(docs, _in_block(terms, b, "query_id"), id_col, text_col, k, a, max_queries, **kw))
+        if a is not None and a.limit(max_allowed + 1).count() > max_allowed:
+            # too many filter hits to broadcast: score exactly the allowed
+            # (query, doc) pairs with the join form, rank the rest by the scan
+            unfiltered = _bm25_scan_block(docs, t, id_col, text_col, k, None, max_queries, **kw)
+            cand = docs.join(a.select(id_col).distinct(), id_col, "left_semi")
+            sc = bm25_scores(query_postings(cand, t, id_col, text_col), t).withColumnRenamed("doc_id", id_col)
+            sc = sc.join(a.select("query_id", id_col).distinct(), ["query_id", id_col], "left_semi") \
+                .withColumn("score", F.round("score", kw.get("digits", 6)))
+            filtered = top_k_within(sc, ["query_id"], [F.desc("score"), F.asc(id_col)], k)
+            parts.append(with_fallback(filtered, unfiltered).select("query_id", id_col, "score", "filtered", "rank"))
+        else:
+            parts.append(_bm25_scan_block(docs, t, id_col, text_col, k, a, max_queries, **kw))
     return _union(parts)

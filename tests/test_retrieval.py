@@ -95,3 +95,13 @@ def test_query_blocks_give_same_results(spark):
     x = R.contains_any(docs, "doc_id", "text", bench, "item_id", "text")
     y = R.contains_any(docs, "doc_id", "text", bench, "item_id", "text", max_probes=9)
     assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
+
+
+def test_fallback_beyond_allowed_bound(spark):
+    docs = RQ.docs(spark, SF001)
+    terms = R.query_terms(RQ.questions(spark, SF001), "query_id")
+    hits = RQ.metadata_hits(spark, SF001)
+    cols = ["query_id", "doc_id", "score", "filtered", "rank"]
+    a = R.bm25_topk_scan(docs, terms, allowed=hits).select(*cols)
+    b = R.bm25_topk_scan(docs, terms, allowed=hits, max_allowed=5).select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
