@@ -108,3 +108,16 @@ def q_table_roundtrip(spark, d):
     path = ST.write_overwrite(table(spark, d, "part"), scratch_path(spark, "part_table"), observe_rows=True)
     name = ST.register_table(spark, "lakesmith", f"part_{uuid.uuid4().hex[:8]}", path)
     return spark.sql(f"SELECT p_brand, count(*) AS n, round(sum(p_retailprice), 2) AS revenue FROM {name} GROUP BY p_brand")
+
+
+def q_text_documents(spark, d):
+    """Spark writes every document as its own text file
+    (``partitionBy(doc_id)``); the loader lists the tree, dispatches by
+    suffix and reads each file whole as one document."""
+    landing = scratch_path(spark, "landing_text")
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
+    docs.write.partitionBy("doc_id").text(landing)
+    loaded, rejected = SF.load_documents(spark, landing)
+    # the text writer ends each record with one line separator
+    return loaded.select(F.regexp_extract("source", r"doc_id=([0-9]+)", 1).cast("long").alias("doc_id"),
+                         F.regexp_replace("text", r"\n\z", "").alias("text"))

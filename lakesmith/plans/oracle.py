@@ -495,4 +495,5 @@ SELECT p_partkey, p_name, p_brand, CAST(NULL AS VARCHAR) AS p_type, CAST(NULL AS
 FROM part WHERE p_partkey <= {mid}
 UNION ALL SELECT p_partkey, p_name, NULL, p_type, p_size, 1 FROM part WHERE p_partkey > {mid}""",
         "table_roundtrip": "SELECT p_brand, count(*) AS n, round(sum(p_retailprice), 2) AS revenue FROM part GROUP BY p_brand",
+        "text_documents": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL",
     }
