@@ -143,6 +143,8 @@ SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type, CAST(p_
        CAST(p_retailprice AS VARCHAR) AS p_retailprice, 'part.parquet' AS _source_file,
        row_number() OVER (ORDER BY p_partkey) AS cd_bronze_id
 FROM part"""
+    out["bronze_job"] = out["bronze_ingest"].replace(
+        "'part.parquet' AS _source_file,", "'part.parquet' AS _source_file, 'part.parquet' AS _source_uri,")
     out["silver_job"] = f"WITH {silver}\nSELECT * FROM silver"
     out["gold_catalog"] = f"WITH {silver}\nSELECT * FROM cat"
     out["gold_search"] = f"WITH {silver}\n{_search_sql()}"
