@@ -3,7 +3,16 @@ documents and many queries at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lakesmith.functions import text as T
+from lakesmith.operators.parallel import spread
+from lakesmith.operators.sequence import top_k_within
 
 # Catalogue titles of the known source files (file name -> title).
 SOURCE_TITLES = {
@@ -20,16 +29,6 @@ def source_title_dim(spark: SparkSession) -> DataFrame:
     """J5 dimension: a fixed six-row table, safe to broadcast."""
     return spark.createDataFrame(list(SOURCE_TITLES.items()), "file_name string, title string")
 
-from collections.abc import Iterator, Sequence
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, Window
-from pyspark.sql import functions as F
-
-from lakesmith.functions import text as T
-from lakesmith.operators.parallel import spread
-from lakesmith.operators.sequence import top_k_within
 
 # Retrieval depth, BM25 parameters of the sparse model, fusion
 # constant, rerank weights, fallback answer and default tag label.
@@ -322,10 +321,10 @@ def weighted_rerank(hits: DataFrame, entity_col: str = "entity_score", rank_col:
 
 # ----------------------------------------------------------------------------- context / citations
 
-def source_title(source: Column, spark_titles: dict[str, str] = SOURCE_TITLES) -> Column:
+def source_title(source: Column, titles: dict[str, str] = SOURCE_TITLES) -> Column:
     """J5 as an expression: file name -> catalogue title, else the file name."""
     name = T.basename(source)
-    m = F.create_map(*[F.lit(x) for kv in spark_titles.items() for x in kv])
+    m = F.create_map(*[F.lit(x) for kv in titles.items() for x in kv])
     return F.coalesce(m[name], name)
 
 
@@ -513,10 +512,9 @@ def query_blocks(queries: DataFrame, qid: str, max_rows: int) -> list[DataFrame
     return [blocks.where(F.col("__block") == i).select(qid) for i in range(-(-n // max_rows))]
 
 
-def _in_block(df: DataFrame, block: DataFrame | None, qid: str, key: str | None = None) -> DataFrame:
-    if block is None:
-        return df
-    return df.join(block.withColumnRenamed(qid, key) if key and key != qid else block, key or qid, "left_semi")
+def _in_block(df: DataFrame, block: DataFrame | None, qid: str) -> DataFrame:
+    """Rows of ``df`` whose ``qid`` belongs to ``block`` (all rows when unblocked)."""
+    return df if block is None else df.join(block, qid, "left_semi")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

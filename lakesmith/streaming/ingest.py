@@ -117,9 +117,6 @@ def normalized_names(df: DataFrame, name_col: str) -> DataFrame:
     return df.withColumn(name_col, normalize_name(name_col)).where(F.col(name_col).isNotNull())
 
 
-__all__ = ["ingest_bronze", "ingest_documents", "merge_into", "assign_stable_ids", "BATCH_COL"]
-
-
 def unprocessed_batches(source: DataFrame, processed: DataFrame | None, batch_col: str = BATCH_COL) -> DataFrame:
     """Rows of ``source`` whose batch id is not yet in ``processed``
     (``left_anti`` on the batch id; the reference keyed the whole dataset,
