@@ -43,6 +43,7 @@ DOC_SEPARATOR = "\n\n"
 
 TOKEN = r"[\p{L}\p{N}]+"
 MAX_BROADCAST_ROWS = 2_000_000
+SCORE_BUFFER = 4_000_000          # doubles per Python-side scoring buffer (~32 MB)
 
 
 def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, what: str = "query side") -> DataFrame:
@@ -158,21 +159,27 @@ def _dense_topk_block(corpus: DataFrame, queries: DataFrame, id_col: str, vec_co
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q = block.value
+        nq = len(q_ids)
+        dim = q.shape[1] if nq else 1
+        # bound every intermediate to ~4M doubles whatever the block size
+        rows = max(1, SCORE_BUFFER // (nq * (dim if metric != "cosine" else 1) or 1))
         for pdf in batches:
-            if len(pdf) == 0 or len(q_ids) == 0:
+            if len(pdf) == 0 or nq == 0:
                 continue
-            m = np.stack([np.asarray(v, dtype="float64") for v in pdf[vec_col]])
-            doc_ids = pdf[id_col].to_numpy(dtype="int64")
-            if metric == "cosine":
-                s = np.round((m / np.linalg.norm(m, axis=1, keepdims=True)) @ q.T, digits)
-                key = -s
-            else:
-                s = np.round(np.sqrt(((m[:, None, :] - q[None, :, :]) ** 2).sum(axis=2)), digits)
-                key = s
+            m_all = np.stack([np.asarray(v, dtype="float64") for v in pdf[vec_col]])
+            ids_all = pdf[id_col].to_numpy(dtype="int64")
             out = []
-            for j, qi in enumerate(q_ids):
-                order = np.lexsort((doc_ids, key[:, j]))[:k]
-                out.append(pd.DataFrame({"query_id": qi, id_col: doc_ids[order], "score": s[order, j]}))
+            for c in range(0, len(ids_all), rows):
+                m, doc_ids = m_all[c:c + rows], ids_all[c:c + rows]
+                if metric == "cosine":
+                    s = np.round((m / np.linalg.norm(m, axis=1, keepdims=True)) @ q.T, digits)
+                    key = -s
+                else:
+                    s = np.round(np.sqrt(((m[:, None, :] - q[None, :, :]) ** 2).sum(axis=2)), digits)
+                    key = s
+                for j, qi in enumerate(q_ids):
+                    order = np.lexsort((doc_ids, key[:, j]))[:k]
+                    out.append(pd.DataFrame({"query_id": qi, id_col: doc_ids[order], "score": s[order, j]}))
             yield pd.concat(out, ignore_index=True)
 
     local = spread(corpus.select(id_col, vec_col), id_col).mapInPandas(score, f"query_id long, {id_col} long, score double")
@@ -198,7 +205,7 @@ def rrf_fuse(rankings: Sequence[DataFrame], id_col: str, c: int = RRF_C, k: int
 # ----------------------------------------------------------------------------- metadata filter
 
 def _contains_block(docs: DataFrame, doc_id: str, text_col: str, probes: DataFrame, probe_id: str,
-                    probe_text: str, max_probes: int = 1_000_000) -> DataFrame:
+                    probe_text: str, max_probes: int = 20_000) -> DataFrame:
     """All (probe, doc) with ``probe_text`` a substring of ``text_col``.
 
     Exact multi-pattern matching: the (size-checked) probe set is broadcast
@@ -389,7 +396,7 @@ def _tokenize_py():
 
 
 def _bm25_scan_block(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     k: int = SEARCH_K, allowed: DataFrame | None = None, max_queries: int = 100_000,
+                     k: int = SEARCH_K, allowed: DataFrame | None = None, max_queries: int = 20_000,
                    max_allowed: int = 5_000_000, digits: int = 6, block: int = 2048) -> DataFrame:
     """R3 K1 scored document-at-a-time: exact BM25 top-``k`` per query.
 
@@ -426,7 +433,8 @@ def _bm25_scan_block(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id",
     k1p, one_b = k1 + 1, 1 - b
 
     vocab = {t: i for i, t in enumerate(inv_np)}
-    dense_q = len(qids) * max(len(vocab), 1) <= 50_000_000
+    dense_q = len(qids) * max(len(vocab), 1) <= SCORE_BUFFER
+    block = max(16, min(block, SCORE_BUFFER // max(len(qids), 1)))
     bc_q = spark.sparkContext.broadcast(vocab)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -538,7 +546,7 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, id_col: str, vec_col: str,
 
 
 def contains_any(docs: DataFrame, doc_id: str, text_col: str, probes: DataFrame, probe_id: str,
-                 probe_text: str, max_probes: int = 1_000_000) -> DataFrame:
+                 probe_text: str, max_probes: int = 20_000) -> DataFrame:
     """All (probe, doc) with ``probe_text`` a substring of ``text_col``.
 
     Exact multi-pattern matching: each (size-checked) block of probes is
@@ -550,7 +558,7 @@ def contains_any(docs: DataFrame, doc_id: str, text_col: str, probes: DataFrame,
 
 
 def bm25_topk_scan(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   k: int = SEARCH_K, allowed: DataFrame | None = None, max_queries: int = 100_000,
+                   k: int = SEARCH_K, allowed: DataFrame | None = None, max_queries: int = 20_000,
                    **kw) -> DataFrame:
     """Exact BM25 top-``k`` per query, scored document-at-a-time
     against size-checked query blocks (see :func:`_bm25_scan_block`)."""

@@ -105,3 +105,17 @@ def test_fallback_beyond_allowed_bound(spark):
     a = R.bm25_topk_scan(docs, terms, allowed=hits).select(*cols)
     b = R.bm25_topk_scan(docs, terms, allowed=hits, max_allowed=5).select(*cols)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_small_score_buffers_same_results(spark, monkeypatch):
+    """Chunked scoring (bounded per-task buffers) gives the unchunked result."""
+    docs = RQ.docs(spark, SF001)
+    terms = R.query_terms(RQ.questions(spark, SF001), "query_id")
+    emb = RQ.table(spark, SF001, "embeddings")
+    ref_b = R.bm25_topk_scan(docs, terms).collect()
+    ref_d = R.dense_topk(emb, RQ.probes(spark, SF001), "vec_id", "embedding", "query_id", "qvec", metric="euclidean").collect()
+    monkeypatch.setattr(R, "SCORE_BUFFER", 700)
+    got_b = R.bm25_topk_scan(docs, terms).collect()
+    got_d = R.dense_topk(emb, RQ.probes(spark, SF001), "vec_id", "embedding", "query_id", "qvec", metric="euclidean").collect()
+    assert sorted(map(tuple, got_b)) == sorted(map(tuple, ref_b))
+    assert sorted(map(tuple, got_d)) == sorted(map(tuple, ref_d))
