@@ -389,20 +389,14 @@ def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, num_features: in
 
 # ----------------------------------------------------------------------------- BM25, document-at-a-time
 
-def _tokenize_py():
-    import regex
-    pat = regex.compile(r"[\p{L}\p{N}]+")
-    return lambda s: pat.findall(s.lower())
-
-
 def _bm25_scan_block(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      k: int = SEARCH_K, allowed: DataFrame | None = None, max_queries: int = 20_000,
                    max_allowed: int = 5_000_000, digits: int = 6, block: int = 2048) -> DataFrame:
     """R3 K1 scored document-at-a-time: exact BM25 top-``k`` per query.
 
     The query block — ``(query_id, tok)`` pairs, size-checked — is broadcast
-    as an inverted index token -> queries.  Each document partition
-    tokenises its documents once, counts term frequencies, accumulates the
+    as an inverted index token -> queries.  Documents are tokenised on the
+    JVM (the postings' tokenizer) and each partition counts term frequencies, accumulates the
     BM25 weights of shared tokens into a (queries x documents) block and
     keeps only its local top-``k`` per query.  Only ``k`` rows per query per
     partition are shuffled to the final top-``k``, however many (query, doc,
@@ -441,7 +435,6 @@ def _bm25_scan_block(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id",
         from collections import Counter
         q_ids, inverted, allow_map = bc.value
         vid = bc_q.value
-        tok = _tokenize_py()
         nq = len(q_ids)
         if dense_q:
             # query x vocabulary incidence: one gather + mat-vec per document
@@ -450,14 +443,13 @@ def _bm25_scan_block(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id",
                 Q[qs, vid[t]] = 1.0
         for pdf in batches:
             ids_all = pdf[id_col].to_numpy(dtype="int64")
-            texts = pdf[text_col].tolist()
+            token_lists = pdf["__toks"].tolist()
             for s in range(0, len(ids_all), block):
                 ids = ids_all[s:s + block]
                 S = np.zeros((nq, len(ids)))
-                for j, text in enumerate(texts[s:s + block]):
-                    if not isinstance(text, str):
+                for j, toks in enumerate(token_lists[s:s + block]):
+                    if toks is None:
                         continue
-                    toks = tok(text)
                     dl = len(toks)
                     norm = k1 * (one_b + b * dl / avg)
                     if dense_q:
@@ -490,8 +482,9 @@ def _bm25_scan_block(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id",
                 if out:
                     yield pd.concat(out, ignore_index=True)
 
-    local = spread(docs.select(id_col, text_col), id_col).mapInPandas(
-        score, f"query_id long, {id_col} long, score double, filtered boolean")
+    # tokens come from the JVM tokenizer (the same expression as the postings)
+    local = spread(docs.select(id_col, text_col), id_col).select(id_col, tokens(text_col).alias("__toks")) \
+        .mapInPandas(score, f"query_id long, {id_col} long, score double, filtered boolean")
     local = local.withColumn("score", F.round("score", digits))
     top = top_k_within(local, ["query_id", "filtered"], [F.desc("score"), F.asc(id_col)], k)
     if allowed is None:
