@@ -52,8 +52,20 @@ def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, what: str = "quer
     The proof is a ``limit(max_rows + 1).count()``; over the bound the frame
     is returned unhinted and the planner shuffles instead (AQE may still
     broadcast at run time from measured sizes)."""
+    if getattr(df, "_bounded_rows", None) is not None:
+        return df
     n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    out = F.broadcast(df) if n <= max_rows else df
+    out._bounded_rows = n
+    return out
+
+
+def small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A small intermediate read by several branches: cut its lineage once
+    (``checkpoint``) and size-check it once; the returned frame carries its
+    broadcast decision, so later :func:`bounded` calls cost nothing."""
+    from lakesmith.session import cut_lineage
+    return bounded(cut_lineage(df), max_rows)
 
 
 def tokens(c: str | Column) -> Column:
@@ -280,7 +292,8 @@ def entity_tags(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
     toks = spread(docs, id_col).select(F.col(id_col), tokens(text_col).alias("__t"))
     grams = F.array_distinct(F.flatten(F.array(*[ngrams(F.col("__t"), n) for n in range(1, max_n + 1)])))
     exploded = toks.select(id_col, F.explode(grams).alias("term"))
-    hits = exploded.join(bounded(lexicon.select("term").distinct(), what="lexicon"), "term")
+    lex = lexicon if getattr(lexicon, "_bounded_rows", None) is not None else lexicon.select("term").distinct()
+    hits = exploded.join(bounded(lex, what="lexicon"), "term")
     tagged = hits.groupBy(id_col).agg(F.array_sort(F.collect_set("term")).alias("tag_list"))
     out = docs.select(id_col).join(tagged, id_col, "left").withColumn(
         "tag_list", F.coalesce("tag_list", F.array().cast("array<string>")))
@@ -391,7 +404,8 @@ def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, num_features: in
 
 def _bm25_scan_block(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      k: int = SEARCH_K, allowed: DataFrame | None = None, max_queries: int = 20_000,
-                   max_allowed: int = 5_000_000, digits: int = 6, block: int = 2048) -> DataFrame:
+                     max_allowed: int = 5_000_000, digits: int = 6, block: int = 2048,
+                     query_pairs: pd.DataFrame | None = None) -> DataFrame:
     """R3 K1 scored document-at-a-time: exact BM25 top-``k`` per query.
 
     The query block — ``(query_id, tok)`` pairs, size-checked — is broadcast
@@ -404,7 +418,8 @@ def _bm25_scan_block(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id",
     filtered top-``k`` list is produced in the same scan (``filtered`` flag).
     """
     spark = docs.sparkSession
-    qt = terms.select("query_id", "tok").distinct().limit(max_queries * 1000 + 1).toPandas()
+    qt = query_pairs if query_pairs is not None else \
+        terms.select("query_id", "tok").distinct().limit(max_queries * 1000 + 1).toPandas()
     qids = np.sort(qt["query_id"].unique()) if len(qt) else np.zeros(0, dtype="int64")
     if len(qids) > max_queries:
         raise ValueError(f"more than {max_queries} queries; split the query table into blocks")
@@ -533,6 +548,8 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, id_col: str, vec_col: str,
     each corpus partition scores its rows with one Arrow-batched numpy
     matmul and keeps only its local top ``k`` per query, so at most ``k``
     rows per query per partition reach the final top-k shuffle."""
+    if queries.select(qid).limit(max_queries + 1).count() <= max_queries:
+        return _dense_topk_block(corpus, queries, id_col, vec_col, qid, qvec, k, metric, max_queries, digits)
     return _union([_dense_topk_block(corpus, _in_block(queries, b, qid), id_col, vec_col, qid, qvec,
                                      k, metric, max_queries, digits)
                    for b in query_blocks(queries, qid, max_queries)])
@@ -557,7 +574,10 @@ def bm25_topk_scan(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", te
     against size-checked query blocks (see :func:`_bm25_scan_block`)."""
     max_allowed = kw.get("max_allowed", 5_000_000)
     parts = []
-    for b in query_blocks(terms, "query_id", max_queries):
+    pairs = terms.select("query_id", "tok").distinct()
+    qt = pairs.limit(max_queries * 1000 + 1).toPandas()
+    one_block = len(qt) <= max_queries * 1000 and qt["query_id"].nunique() <= max_queries
+    for b in ([None] if one_block else query_blocks(terms, "query_id", max_queries)):
         t = _in_block(terms, b, "query_id")
         a = None if allowed is None else _in_block(allowed, b, "query_id")
         if a is not None and a.limit(max_allowed + 1).count() > max_allowed:
@@ -571,5 +591,6 @@ def bm25_topk_scan(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", te
             filtered = top_k_within(sc, ["query_id"], [F.desc("score"), F.asc(id_col)], k)
             parts.append(with_fallback(filtered, unfiltered).select("query_id", id_col, "score", "filtered", "rank"))
         else:
-            parts.append(_bm25_scan_block(docs, t, id_col, text_col, k, a, max_queries, **kw))
+            parts.append(_bm25_scan_block(docs, t, id_col, text_col, k, a, max_queries,
+                                          query_pairs=qt if b is None else None, **kw))
     return _union(parts)

@@ -71,8 +71,8 @@ def scored_hits(spark, d, hits: DataFrame, corpus: DataFrame, id_col: str = "doc
     """R5 over retrieved (query, doc) pairs.  The retrieved documents (at
     most k per query) and the two lexicons are small, bounded tables read
     by several branches, so each is materialised once (``checkpoint``)."""
-    herbs_lex = cut_lineage(herb_lexicon(spark, d))
-    dis_lex = cut_lineage(disease_lexicon(spark, d))
+    herbs_lex = R.small(herb_lexicon(spark, d))
+    dis_lex = R.small(disease_lexicon(spark, d))
     wanted = cut_lineage(corpus.join(R.bounded(hits.select(id_col).distinct(), what="hits"), id_col, "left_semi")
                          .select(id_col, "source", "text"))
     htags = R.entity_tags(wanted, id_col, "text", herbs_lex, default=None) \
