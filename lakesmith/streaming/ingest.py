@@ -32,8 +32,17 @@ def _run(stream: DataFrame, checkpoint: str, handler: Callable[[DataFrame, int],
     q.awaitTermination()
 
 
-def existing(spark: SparkSession, path: str) -> DataFrame | None:
-    return read_table(spark, path) if table_exists(spark, path) else None
+def existing(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame | None:
+    """The table at ``path`` (``None`` if it does not exist yet).  With
+    ``before_batch`` only earlier micro-batches are returned: a batch that is
+    replayed after a failure must see the table as it was before its first
+    attempt, or it would count its own rows as already present."""
+    if not table_exists(spark, path):
+        return None
+    df = read_table(spark, path)
+    if before_batch is not None and BATCH_COL in df.columns:
+        df = df.where(F.col(BATCH_COL).cast("long") < before_batch)
+    return df
 
 
 def ingest_bronze(spark: SparkSession, landing: str, table_path: str, checkpoint: str,
@@ -59,7 +68,7 @@ def ingest_bronze(spark: SparkSession, landing: str, table_path: str, checkpoint
         raw = frames[0]
         for f in frames[1:]:
             raw = raw.unionByName(f, allowMissingColumns=True)
-        start = next_id(existing(spark, table_path), BRONZE_ID)
+        start = next_id(existing(spark, table_path, before_batch=batch_id), BRONZE_ID)
         bronze = to_bronze(raw.drop("_source_file"), ["_source_uri", "_row_no"],
                            source_file=F.substring_index("_source_uri", "/", -1),
                            source_uri=F.col("_source_uri"), start_id=start)
@@ -106,7 +115,7 @@ def ingest_documents(spark: SparkSession, landing: str, schema: str, index_path:
     def handle(batch: DataFrame, batch_id: int) -> None:
         from lakesmith.operators.retrieval import upsert_new
         rows = build(batch)
-        old = existing(spark, index_path)
+        old = existing(spark, index_path, before_batch=batch_id)
         new = upsert_new(old if old is not None else rows.limit(0), rows, key, list(order))
         append_batch(new, index_path, batch_id)
 
