@@ -200,7 +200,6 @@ SELECT doc_id, sha256(concat_ws('||', {clean('text')}, {clean('lang')}, {clean('
     out["drop_blank_rows"] = f"""
 SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)
 WHERE NOT (l.quality IS NULL AND l.toxic IS NULL) AND {non_empty('d.text')}"""
-    from lakesmith.plans.tables import TABLES  # noqa: F401  (documentation: tables are views)
     cust_cols = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
     lines = ", ".join(f"{lit(c + ': ')} || CAST({c} AS VARCHAR)" for c in cust_cols)
     out["csv_documents"] = f"SELECT c_custkey, concat_ws(chr(10), {lines}) AS page_content FROM customer"
@@ -407,7 +406,7 @@ def short_title_sql(x: str, n: int = 48) -> str:
 def conversation_sql() -> dict[str, str]:
     from lakesmith.functions.text import DISEASE_ENTITY_PREFIXES
     from lakesmith.operators.conversations import NEW_CHAT_TITLE
-    from lakesmith.plans.conversation_queries import ALLOWED_EVENT_TYPES, EVENT_BATCH_CUT
+    from lakesmith.plans.conversation_queries import ALLOWED_EVENT_TYPES
     out: dict[str, str] = {}
     pairs = """(SELECT conv_id, turn, text AS user_query, nt AS ai_response FROM (
   SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations

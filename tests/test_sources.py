@@ -149,7 +149,6 @@ def test_index_and_retrieve(spark):
 def test_replayed_batch_is_exact(spark, tmp_dir):
     """A micro-batch replayed after its write (commit lost) rewrites the same rows and ids."""
     from lakesmith.operators.retrieval import upsert_new
-    from pyspark.sql import functions as F
     idx = os.path.join(tmp_dir, "idx")
     rows0 = spark.createDataFrame([("a", 1), ("b", 2)], "chunk_id string, doc_id long")
     rows1 = spark.createDataFrame([("b", 3), ("c", 4)], "chunk_id string, doc_id long")
