@@ -111,7 +111,7 @@ def q_bm25_topk(spark, d):
 def q_dense_topk(spark, d):
     emb = table(spark, d, "embeddings")
     return R.dense_topk(emb, probes(spark, d), "vec_id", "embedding", "query_id", "qvec") \
-        .withColumnRenamed("query_id", "label")
+        .withColumn("label", F.col("query_id").cast("int")).drop("query_id")
 
 
 def q_hybrid_rrf(spark, d):
@@ -119,7 +119,7 @@ def q_hybrid_rrf(spark, d):
     p = probes(spark, d)
     cos = R.dense_topk(emb, p, "vec_id", "embedding", "query_id", "qvec", metric="cosine")
     euc = R.dense_topk(emb, p, "vec_id", "embedding", "query_id", "qvec", metric="euclidean")
-    return R.rrf_fuse([cos, euc], "vec_id").withColumnRenamed("query_id", "label")
+    return R.rrf_fuse([cos, euc], "vec_id").withColumn("label", F.col("query_id").cast("int")).drop("query_id")
 
 
 def metadata_hits(spark, d):

@@ -38,6 +38,10 @@ def _norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT"}
+
+
 def compare(spark, sf_dir: str, name: str, fn, sql: str | None, con=None) -> dict:
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -54,6 +58,12 @@ def compare(spark, sf_dir: str, name: str, fn, sql: str | None, con=None) -> dic
     if sorted(dcols) != cols:
         res["status"] = f"COLUMNS spark={cols} duck={sorted(dcols)}"
         return res
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    dtypes = dict(zip(dcols, [str(t) for t in rel.types]))
+    wrong = {c: (stypes[c], dtypes[c]) for c in cols if stypes[c] != dtypes[c]}
+    if wrong:
+        res["status"] = f"TYPES {wrong}"
+        return res
     drows = rel.select(*[f'"{c}"' for c in cols]).fetchall()
     res["duck_rows"] = len(drows)
     a = Counter(tuple(_norm(r[c]) for c in cols) for r in rows)
