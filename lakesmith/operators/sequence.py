@@ -176,7 +176,10 @@ def group_percentile(df: DataFrame, by: Sequence[str], value: str, p: float, nam
     """
     by = list(by)
     vals = df.where(F.col(value).isNotNull()).select(*by, value)
-    ranked = sequence_within(vals, by, [value], name="__r")
+    # ties get an arbitrary order so that many equal values still spread over
+    # several ranges; any tie order puts the same value at every position
+    ranked = sequence_within(vals.withColumn("__tie", F.monotonically_increasing_id()), by, [value, "__tie"],
+                             name="__r").drop("__tie")
     counts = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     pos = F.lit(1.0) + F.lit(p) * (F.col("__n") - 1)
     bounds = counts.select(*by, pos.alias("__pos"),

@@ -54,3 +54,11 @@ def test_group_percentile(spark):
     a = {r["g"]: round(r["p"], 9) for r in group_percentile(df, ["g"], "v", 0.95, "p").collect()}
     b = {r["g"]: round(r["p"], 9) for r in df.groupBy("g").agg(F.percentile("v", 0.95).alias("p")).collect()}
     assert a == b
+
+
+def test_group_percentile_with_massive_ties(spark):
+    df = spark.range(6000).select((F.col("id") % 2).alias("g"),
+                                  F.when(F.col("id") % 3 == 0, F.lit(5.0)).otherwise(F.col("id").cast("double")).alias("v"))
+    a = {r["g"]: round(r["p"], 9) for r in group_percentile(df, ["g"], "v", 0.5, "p").collect()}
+    b = {r["g"]: round(r["p"], 9) for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("p")).collect()}
+    assert a == b
