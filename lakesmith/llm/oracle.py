@@ -55,3 +55,57 @@ q AS (SELECT *, CASE r % 3
 SELECT doc_id, size, total AS source_size, target, size * copies AS taken,
        CASE WHEN copies > 0 THEN round(CAST(pos AS DOUBLE), 6) END AS first_position FROM q
 """
+
+#: A text's lines as word lists; a line is its words.
+LINES = r"""
+l AS (SELECT doc_id, i - 1 AS no, ls[i] AS line,
+             list_filter(regexp_split_to_array(ls[i], '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+            FROM documents WHERE text IS NOT NULL))"""
+
+SQL["op8_line_dedup"] = f"""
+WITH {LINES},
+k AS (SELECT *, array_to_string(w, ' ') AS s, row_number() OVER (ORDER BY doc_id, no) AS pos FROM l WHERE len(w) > 0),
+u AS (SELECT s, min(pos) AS pos, any_value(w) AS w, len(any_value(w)) AS n FROM k GROUP BY s),
+v AS (SELECT s, pos, n, i, array_to_string(list_concat(w[1:i-1], w[i+1:]), ' ') AS v
+      FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM u WHERE n >= 8)),
+near AS (SELECT a.s FROM v a JOIN (SELECT v, i, n, min(pos) AS pos FROM v GROUP BY ALL) b USING (v, i, n) WHERE b.pos < a.pos
+         UNION SELECT a.s FROM v a JOIN u b ON a.v = b.s AND b.n >= 8 WHERE b.pos < a.pos
+         UNION SELECT b.s FROM v a JOIN u b ON a.v = b.s AND b.n >= 8 WHERE a.pos < b.pos),
+j AS (SELECT k.doc_id, k.no, k.pos <> u.pos OR near.s IS NOT NULL AS gone
+      FROM k JOIN u USING (s) LEFT JOIN near USING (s)),
+d AS (SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.no) FILTER (NOT coalesce(gone, false)), '') AS text,
+             count(j.no) AS n_lines, count(*) FILTER (gone) AS n_dropped
+      FROM l LEFT JOIN j ON j.doc_id = l.doc_id AND j.no = l.no GROUP BY l.doc_id)
+SELECT documents.doc_id, d.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+FROM documents LEFT JOIN d USING (doc_id)
+"""
+
+#: Distinct five-word shingles ``(id, g)`` of a table.
+def _shingles(name: str, table: str, key: str) -> str:
+    return rf"""
+{name}_w AS (SELECT {key} AS id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM {table}),
+{name} AS (SELECT DISTINCT id, array_to_string(w[i:i+4], ' ') AS g
+           FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM {name}_w WHERE len(w) >= 5))"""
+
+
+SQL["op9_decontaminate"] = f"""
+WITH {_shingles('a', 'documents', 'doc_id')}, {_shingles('b', 'benchmark', 'item_id')},
+n AS (SELECT id, count(*) AS n FROM b GROUP BY id),
+s AS (SELECT a.id AS doc_id, b.id AS item_id, count(*) AS shared FROM a JOIN b USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, shared, n AS item_shingles FROM s JOIN n ON n.id = item_id WHERE shared >= 0.8 * n
+"""
+
+SQL["op5_jaccard_forest"] = f"""
+WITH RECURSIVE {_shingles('a5', 'documents', 'doc_id')},
+a AS (SELECT * FROM a5 UNION ALL
+      SELECT id, 'short ' || array_to_string(w, ' ') FROM a5_w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT id, count(*) AS n, list_sort(list(g)) AS gs FROM a GROUP BY id),
+p AS (SELECT x.id AS i, y.id AS j, count(*) AS s FROM a x JOIN a y ON x.g = y.g AND x.id <> y.id GROUP BY ALL),
+k AS (SELECT i, j FROM p JOIN n x ON x.id = i JOIN n y ON y.id = j WHERE s >= 0.8 * (x.n + y.n - s) - 1e-9),
+r(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT k.j, r.root FROM r JOIN k ON k.i = r.id WHERE r.root < k.j),
+c AS (SELECT gs, min(id) AS copy FROM n GROUP BY gs)
+SELECT d.doc_id, (SELECT min(root) FROM r WHERE r.id = d.doc_id) AS class_id, coalesce(c.copy, d.doc_id) AS copy_id,
+       (SELECT count(*) FROM k WHERE k.i = d.doc_id) AS n_links
+FROM documents d LEFT JOIN n ON n.id = d.doc_id LEFT JOIN c ON c.gs = n.gs
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesmith.llm import chat, langid, mixing, ranking, rules, warc
+from lakesmith.llm import chat, classlm, decontaminate, langid, linededup, mixing, neardup, ranking, rules, warc
 from lakesmith.llm.common import fold_of
 
 
@@ -57,6 +57,18 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.expand_prefixes(turns.unionByName(probe)))
 
 
+def op5_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links (five-word shingles, Jaccard 0.8) of all documents."""
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op6_class_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-bigram and unigram log-probabilities of every whole text; one fold of ten held out."""
+    out_fold = F.coalesce(fold_of(F.col("doc_id"), 10) == 0, F.lit(False))
+    got = classlm.score(read(spark, sf_dir, "documents"), ~out_fold)
+    return got.select("doc_id", out_fold.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole text; one fold of five is held out of all learning."""
     docs = read(spark, sf_dir, "documents")
@@ -66,6 +78,18 @@ def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", out_fold.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that repeat an earlier line up to one word."""
+    return linededup.drop_repeated_lines(read(spark, sf_dir, "documents"), lines_col="n_lines",
+                                         dropped_col="n_dropped").select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 0.8 of the five-word shingles of a benchmark item."""
+    got = decontaminate.find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return got.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "shared", "item_shingles")
+
+
 def op10_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document, its source's target and the position of its first copy."""
     plan = mixing.assign_positions(read(spark, sf_dir, "documents"))
@@ -76,7 +100,9 @@ def op10_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    import corpus_pipeline
+    ops = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return ops | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_queries() -> dict[str, str]:
