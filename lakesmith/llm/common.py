@@ -51,6 +51,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bit_filter(keys: DataFrame, key: str, log_bits: int = 26) -> DataFrame:
+    """A bitmap over ``key`` (long) as rows ``(bucket, bits)``: ``2 ** log_bits`` bits, 8 MB by
+    default whatever the number of keys, so it is safe to broadcast."""
+    at = F.pmod(F.col(key), F.lit(1 << log_bits)) + 1
+    return (keys.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+            .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+
+
+def may_contain(rows: DataFrame, key: Column, bitmap: DataFrame, out: str, log_bits: int = 26) -> DataFrame:
+    """Append ``out``: false where ``key`` is certainly none of the bitmap's keys.  As the bitmap
+    fills, more rows pass; an exact join must follow."""
+    at = F.pmod(key, F.lit(1 << log_bits)) + 1
+    x = rows.withColumn("__bucket", F.bitmap_bucket_number(at)).withColumn("__bit", F.bitmap_bit_position(at))
+    x = x.join(F.broadcast(bitmap.withColumnsRenamed({"bucket": "__bucket", "bits": "__bits"})), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(F.col("__bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = (F.floor(byte / F.pow(F.lit(2), F.col("__bit") % 8)).cast("int") % 2) == 1
+    return x.withColumn(out, F.coalesce(hit, F.lit(False))).drop("__bucket", "__bit", "__bits")
+
+
 # --- connected components ------------------------------------------------------------------------
 
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFrame:

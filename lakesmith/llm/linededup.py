@@ -12,8 +12,8 @@ witness is then verified by comparing the words.
 
 Variants are emitted only for lines that can have a partner: of two lines within one edit, either
 the first or the second half is equal, so lines whose half keys are all unique are left out first
-(that loses nothing).  Variant keys come from running XORs over (word, position) hashes, so a line
-of n words costs n, not n * n.
+(that loses nothing), and of the rest only deletions in the half that differs are made.  Variant keys
+are mended sums of word hashes, so a line of n words costs n, not n * n.
 
 Defined results: null text stays null; lines without a word are never dropped; a document of which
 nothing is left has an empty text; rows equal in id and text are treated alike and are not each
@@ -23,10 +23,11 @@ first; an empty table gives an empty table; all other columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesmith.llm.common import BLANKS, bind, materialise, words
+from lakesmith.llm.common import BLANKS, bind, bit_filter, materialise, may_contain, words
+from lakesmith.operators.sequence import dense_id
 
 LINE = ["h1", "h2"]  # a line's identity: 128 bits over its words
 
@@ -62,46 +63,82 @@ def _same_but_one(a: Column, b: Column) -> Column:
                            == rest(F.when(at > 0, b).otherwise(F.array(F.lit(""))), shorter & (at > 0))))
 
 
-def near_lines(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The distinct lines ``(h1, h2)`` that an earlier distinct line matches by one edit.
-    ``distinct``: ``(h1, h2, first(d, th, no), keys)``."""
-    keyed = distinct.where(F.col("keys").isNotNull())
-    shared = (keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-              .where("n > 1").select("key"))
-    able = (keyed.select(*LINE, "first", F.explode("keys").alias("key")).join(shared, "key", "left_semi")
-            .select(*LINE, "first").groupBy(*LINE).agg(F.min("first.d").alias("d"), F.min("first.th").alias("th"),
-                                                     F.min("first.no").alias("no")))
-    per_doc = able.groupBy("d", "th").agg(F.collect_list(F.struct("no", *LINE)).alias("ls"))  # at most a document's lines
-    texts = docs.select(F.col(id_col).alias("d0"), F.xxhash64(text_col).alias("th0"), F.split(text_col, "\n").alias("all"))
-    cond = F.col("d").eqNullSafe(F.col("d0")) & (F.col("th") == F.col("th0"))
-    able = (texts.join(per_doc, cond).select("d", "th", "all", F.explode("ls").alias("l"))
-            .select(F.struct("d", "th", F.col("l.no").alias("no")).alias("at"), F.col("l.h1").alias("h1"), F.col("l.h2").alias("h2"),
-                    words(F.get("all", F.col("l.no"))).alias("w")).dropDuplicates(LINE))
+P61 = (1 << 61) - 1
+
+
+def _neighbourhood(w: Column, mask: Column, kind: str) -> Column:
+    """Variant keys of a line's words.  ``kind`` sub: one position deleted (from both lines of a
+    substitution), del: one deleted so that the rest may equal a shorter line, full: the line itself.
+
+    Substitution keys are the XOR of (word, position) hashes without one position; insertion keys
+    are the sum of hashes of neighbouring words, mended around the deleted one.  Both cost one step
+    a position.  ``mask`` tells which halves are shared (bits as in ``_half_keys``): an edit lies in
+    the other half, so only its positions are emitted."""
+    pair = lambda a, b: F.xxhash64(F.coalesce(a, F.lit(" ")), F.lit(0), F.coalesce(b, F.lit(" "))).bitwiseAND(F.lit((1 << 60) - 1))
+    n, has = F.size(w), lambda bit: mask.bitwiseAND(F.lit(1 << bit)) != 0
+    middle, upper = F.floor(n / 2), F.floor((n - 1) / 2)
+
+    def keys(own: Column) -> Column:  # x: hashes of (word, position), t: their XOR, c: the sum over neighbours
+        def of(i: Column) -> Column:
+            left, right = F.get(w, i - 1), F.get(w, i + 1)
+            mended = F.pmod((own["c"] - pair(left, w[i]) + pair(left, right)) % P61 - pair(w[i], right), F.lit(P61))
+            if kind == "sub":
+                return F.xxhash64(F.lit("sub"), n, i, own["t"].bitwiseXOR(own["x"][i]))
+            return F.xxhash64(F.lit("ins"), n - 1, mended)
+        if kind == "full":
+            return F.when(has(0) | has(1), F.array(F.xxhash64(F.lit("ins"), n, own["c"]))).otherwise(F.array().cast("array<bigint>"))
+        if kind == "sub":
+            wanted = lambda i: (has(0) & (i >= middle)) | (has(1) & (i < middle))
+        else:
+            wanted = lambda i: (has(2) & (i >= upper)) | (has(3) & (i <= upper))
+        return F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: wanted(i)), lambda i: of(i))
+
+    x = F.transform(w, lambda v, i: F.xxhash64(v, i))
+    p = F.transform(w, lambda v, i: pair(v, F.get(w, i + 1)))
+    totals = bind(F.struct(x.alias("x"), p.alias("p")), lambda o: F.struct(
+        o["x"].alias("x"), F.aggregate(o["x"], F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(v)).alias("t"),
+        F.aggregate(o["p"], pair(F.lit(None).cast("string"), w[0]), lambda acc, v: (acc + v) % P61).alias("c")))
+    return bind(totals, lambda o: keys(o))
+
+
+def near_lines(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The distinct lines ``(h1, h2)`` that an earlier distinct line matches by one edit."""
+    keyed = lines.where(F.col("keys").isNotNull())
+    shared = materialise(keyed.select("h1", F.explode("keys").alias("key")).groupBy("key")
+                         .agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("key"), "shared-halves")
+    halves = keyed.select("d", "th", "no", *LINE, F.posexplode("keys").alias("ki", "key"))
+    halves = may_contain(halves, F.col("key"), bit_filter(shared, "key"), "may").where("may")  # most are unique: not shuffled
+    able = (halves.join(shared, "key", "left_semi")
+            .groupBy(*LINE).agg(F.min(F.struct("d", "th", "no")).alias("at"),
+                                F.bit_or(F.expr("shiftleft(1, ki)")).alias("mask")))
+    # numbered in line order, so that the earliest of a bucket is the least number
+    able = dense_id(able.select(*LINE, "at.*", "mask"), ["d", "th", "no"], name="lid")
     able = materialise(able, "partner-lines")
-
-    # the neighbourhood: prefix and suffix XORs around every position
-    each = able.select("at", *LINE, F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
-    each = each.select("at", *LINE, "n", "i", F.xxhash64("word", "i").alias("x"), F.xxhash64("word", F.col("i") - 1).alias("y"))
-    line = Window.partitionBy(*LINE)
-    upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    v = each.select("at", *LINE, "n", "i", "x", F.bit_xor("x").over(upto).alias("px"), F.bit_xor("y").over(upto).alias("py"),
-                    F.bit_xor("x").over(line).alias("tx"), F.bit_xor("y").over(line).alias("ty"))
-    gone = F.col("px").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("ty")).bitwiseXOR(F.col("py"))
-    sub = F.struct(F.xxhash64(F.lit("sub"), "n", "i", gone).alias("key"), F.lit(0).alias("kind"))
-    dele = F.struct(F.xxhash64(F.lit("ins"), F.col("n") - 1, gone).alias("key"), F.lit(2).alias("kind"))
-    full = F.struct(F.xxhash64(F.lit("ins"), "n", "tx").alias("key"), F.lit(1).alias("kind"))
-    v = v.select("at", *LINE, F.explode(F.when(F.col("i") == 0, F.array(sub, dele, full)).otherwise(F.array(sub, dele))).alias("k"))
-    v = materialise(v.select("at", *LINE, "k.key", "k.kind"), "line-variants")
-
-    least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("at")))
-    buckets = (v.groupBy("key").agg(F.count(F.lit(1)).alias("n"), least(0).alias("m0"), least(1).alias("m1"), least(2).alias("m2"))
-               .where((F.col("n") > 1) & (F.col("m0").isNotNull() | (F.col("m1").isNotNull() & F.col("m2").isNotNull()))).drop("n"))
-    witness = F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1"))
-    met = (v.join(buckets, "key").select("at", *LINE, witness.alias("by")).where(F.col("by") < F.col("at"))
-           .groupBy(*LINE).agg(F.min("by").alias("by")))
-    mine = able.select(*LINE, F.col("w").alias("a"))
-    theirs = able.select(F.col("at").alias("by"), F.col("w").alias("b"))
-    return (met.join(mine, LINE).join(theirs, "by").where(_same_but_one(F.col("a"), F.col("b"))).select(*LINE))
+    per_doc = able.groupBy("d", "th").agg(F.collect_list(F.struct("no", "lid", "mask")).alias("ls"))  # a document's lines
+    row_key = lambda d, th: F.xxhash64(d, th)
+    bitmap = bit_filter(able.select(row_key("d", "th").alias("k")), "k")
+    texts = docs.select(F.col(id_col).alias("d0"), F.xxhash64(text_col).alias("th0"), F.col(text_col).alias("text0"))
+    texts = may_contain(texts, row_key("d0", "th0"), bitmap, "may").where("may")
+    cond = F.col("d").eqNullSafe(F.col("d0")) & (F.col("th") == F.col("th0"))
+    told = (texts.join(per_doc, cond).select(F.split("text0", "\n").alias("all"), F.explode("ls").alias("l"))
+            .select("l.lid", "l.mask", words(F.get("all", F.col("l.no"))).alias("w")))
+    told = materialise(told, "partner-words")
+    subs, dels, fulls = (told.select("lid", F.explode(_neighbourhood(F.col("w"), F.col("mask"), kind)).alias("key"))
+                         for kind in ("sub", "del", "full"))
+    first = materialise(subs.groupBy("key").agg(F.min("lid").alias("by"), F.max("lid").alias("last"))
+                        .where("by < last").select("key", "by"), "substitutions")
+    met = subs.join(first, "key").where("by < lid").select("lid", "by")
+    least_full = materialise(fulls.groupBy("key").agg(F.min("lid").alias("by")), "whole-lines")
+    longer = materialise(dels.join(least_full, "key"), "insertions")
+    met = met.unionAll(longer.where("by < lid").select("lid", "by"))
+    # a whole line equal to a variant of an earlier, longer line
+    least_del = longer.groupBy("key").agg(F.min("lid").alias("by"))
+    met = met.unionAll(fulls.join(least_del, "key").where("by < lid").select("lid", "by"))
+    met = met.groupBy("lid").agg(F.min("by").alias("by"))
+    mine = told.select("lid", F.col("w").alias("a"))
+    theirs = told.select(F.col("lid").alias("by"), F.col("w").alias("b"))
+    sure = met.join(mine, "lid").join(theirs, "by").where(_same_but_one(F.col("a"), F.col("b"))).select("lid").distinct()
+    return able.join(sure, "lid").select(*LINE)
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_min_words: int = 8,
@@ -110,20 +147,26 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``dropped_col`` the numbers of lines with a word, and of those removed, are appended."""
     lines = materialise(_lines(docs, id_col, text_col, near_min_words), "lines")
     at = F.struct("d", "th", "no")
-    distinct = materialise(
-        lines.groupBy(*LINE).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")),
-        "distinct-lines")
-    near = near_lines(distinct.select(*LINE, "first", "keys"), docs, id_col, text_col).withColumn("near", F.lit(True))
+    near = near_lines(lines, docs, id_col, text_col).select(*LINE, F.lit(None).cast(
+        lines.select(at.alias("a")).schema["a"].dataType).alias("first"), F.lit(True).alias("near"))
     # only lines seen twice, or near an earlier one, can lose a copy
-    judged = (distinct.select(*LINE, "first", "n").join(near, LINE, "left")
-              .where((F.col("n") > 1) | F.col("near").isNotNull()).select(*LINE, "first", "near"))
-    drops = (lines.select("d", "th", "no", *LINE).join(judged, LINE)
+    twice = (lines.groupBy(*LINE).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+             .select(*LINE, "first", F.lit(None).cast("boolean").alias("near")))
+    judged = materialise(twice.unionAll(near).groupBy(*LINE).agg(F.max("first").alias("first"), F.max("near").alias("near")),
+                         "repeated-lines")
+    repeated = may_contain(lines.select("d", "th", "no", *LINE), F.col("h1"), bit_filter(judged, "h1"), "may").where("may")
+    drops = (repeated.join(judged, LINE)
              .where(F.col("near").isNotNull() | (at != F.col("first")))
              .groupBy("d", "th").agg(F.collect_set("no").alias("__drops")))  # at most a document's lines
+    drops = materialise(drops, "line-drops").withColumnsRenamed({"d": "__d2", "th": "__th2"})
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     x = docs.select(row, F.col(id_col).alias("__d"), F.xxhash64(text_col).alias("__th"))
-    x = x.join(drops.withColumnsRenamed({"d": "__d2", "th": "__th2"}),
-               F.col("__d").eqNullSafe(F.col("__d2")) & (F.col("__th") == F.col("__th2")), "left")
+    bitmap = bit_filter(drops.select(F.xxhash64("__d2", "__th2").alias("k")), "k")
+    x = may_contain(x, F.xxhash64("__d", "__th"), bitmap, "__may")
+    # documents that lose nothing are not shuffled
+    hit = x.where("__may").join(drops, F.col("__d").eqNullSafe(F.col("__d2")) & (F.col("__th") == F.col("__th2")), "left")
+    none = F.lit(None).cast("array<int>")
+    x = hit.select("__row", "__drops").unionAll(x.where("not __may").select("__row", none.alias("__drops")))
     text = F.col("__row").getField(text_col)
     def rebuilt(ls: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__drops"))
