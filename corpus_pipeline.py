@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every near-duplicate group the row of smallest id stays; texts without words all stay."""
+    """Of every near-duplicate group the row of smallest id (a null id first) stays; texts without words all stay."""
     near = neardup.near_duplicates(docs, keep_hash=True)
     chosen = (near.where(F.col("__root").isNotNull()).groupBy("__root")
               .agg(F.min(F.struct(F.col("doc_id").alias("d"), F.col("__th").alias("h"))).alias("__k")).select("__k").distinct())
