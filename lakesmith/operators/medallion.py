@@ -191,6 +191,8 @@ def gold_catalog(silver: DataFrame, roles: Mapping[str, str] | None = None,
     name = roles.get("medicine_name") or find_first_column(silver, name_candidates)
     roles["medicine_name"] = name
     order_col = SILVER_ID if SILVER_ID in silver.columns else None
+    if roles["source_file"] not in silver.columns:
+        roles["source_file"] = "source_file"
     sel = [column_or_null(silver, roles.get(t), t, dtype) for t, dtype in CATALOG_COLUMNS]
     if order_col:
         sel.append(F.col(order_col).alias("__ord"))
@@ -262,7 +264,10 @@ def quality_report(silver: DataFrame, name_col: str | None = None,
                     ("missing_medicine_name_rows", F.count_if(~non_empty(name))),
                     ("distinct_medicine_names", distinct)]
     else:
-        metrics += [("gold_catalog_rows", F.lit(0)), ("duplicate_medicine_rows_removed", F.count(F.lit(1)))]
+        # all names are NULL: the catalog keeps one row of them
+        total = F.count(F.lit(1))
+        kept = F.least(total, F.lit(1))
+        metrics += [("gold_catalog_rows", kept), ("duplicate_medicine_rows_removed", total - kept)]
     for c in check_cols:
         if c in silver.columns:
             metrics.append((f"missing_{c}_rows", F.count_if(~non_empty(F.col(c).cast("string")))))

@@ -43,19 +43,19 @@ DOC_SEPARATOR = "\n\n"
 
 TOKEN = r"[\p{L}\p{N}]+"
 MAX_BROADCAST_ROWS = 2_000_000
-SCORE_BUFFER = 4_000_000          # doubles per Python-side scoring buffer (~32 MB)
+MAX_BROADCAST_BYTES = 128 << 20
 
 
-def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, what: str = "query side") -> DataFrame:
-    """Broadcast ``df`` after proving it has at most ``max_rows`` rows.
+def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` after proving it small in rows and in bytes (JSON length of its rows).
 
-    The proof is a ``limit(max_rows + 1).count()``; over the bound the frame
-    is returned unhinted and the planner shuffles instead (AQE may still
-    broadcast at run time from measured sizes)."""
+    The proof reads at most ``max_rows + 1`` rows in one aggregate; over either bound the frame is
+    returned unhinted and the planner shuffles instead (AQE may still broadcast from measured sizes)."""
     if getattr(df, "_bounded_rows", None) is not None:
         return df
-    n = df.limit(max_rows + 1).count()
-    out = F.broadcast(df) if n <= max_rows else df
+    n, size = df.limit(max_rows + 1).agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    out = F.broadcast(df) if n <= max_rows and size <= max_bytes else df
     out._bounded_rows = n
     return out
 
@@ -83,21 +83,35 @@ def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "toks", lambda t: F.struct(t.alias("tok"), F.size("toks").cast("long").alias("doc_len")))))
 
 
-def _index(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
+def _index(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """Counts per (document, token), partitioned by document alone, so that scoring needs no other exchange."""
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartition(n, "doc_id").groupBy("doc_id", "tok")
+            .agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len")))
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """R3 index: ``(doc, tok, tf, doc_len)``.  Tokens are generated map-side;
-    the ``groupBy(doc, tok)`` combines partially before the shuffle."""
-    return _index(token_rows(docs, id_col, text_col))
+    """R3 index: ``(doc_id, tok, tf, doc_len)``; tokens are generated map-side."""
+    return token_rows(docs, id_col, text_col).groupBy("doc_id", "tok").agg(
+        F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
+
+
+def build_index(docs: DataFrame, name: str, path: str, id_col: str = "doc_id", text_col: str = "text",
+                buckets: int | None = None) -> DataFrame:
+    """Write the postings as table ``name`` at ``path``, bucketed by document and sorted by
+    (document, token); returns the stored table.  Scores over it aggregate inside a bucket."""
+    spark = docs.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (_index(token_rows(docs, id_col, text_col), n).write.bucketBy(n, "doc_id").sortBy("doc_id", "tok")
+     .option("path", path).mode("overwrite").saveAsTable(name))
+    return spark.table(name)
 
 
 def query_postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The part of the R3 index a query batch can touch: token occurrences
     outside the batch's vocabulary are dropped map-side (broadcast semi-join
     against the size-checked vocabulary) before anything is shuffled."""
-    vocab = bounded(terms.select("tok").distinct(), what="query vocabulary")
+    vocab = bounded(terms.select("tok").distinct())
     return _index(token_rows(docs, id_col, text_col).join(vocab, "tok", "left_semi"))
 
 
@@ -108,26 +122,24 @@ def query_terms(queries: DataFrame, id_col: str = "item_id", text_col: str = "te
 
 
 def bm25_scores(index: DataFrame, terms: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
-                avg_len: float = BM25_AVG_LEN, idf: bool = False) -> DataFrame:
-    """Per (query, doc) BM25 sum over shared terms.  The query terms are
-    broadcast after a size check, so the index is streamed, not shuffled; the
-    per-(query, doc) sum aggregates partially before its shuffle.  A hot term
-    (present in most documents) only lengthens the stream."""
+                avg_len: float = BM25_AVG_LEN, digits: int = 6) -> DataFrame:
+    """BM25 sum per (query, document) over shared terms.  The query terms are broadcast after a size
+    check, so the index is streamed; an index partitioned by document (stored buckets, or
+    :func:`query_postings`) is aggregated where it lies.  A hot term only lengthens the stream."""
     weight = (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.lit(avg_len)))
-    j = index.join(bounded(terms), "tok")
-    if idf:
-        n_docs = index.select("doc_id").distinct().count()
-        dfreq = index.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-        j = j.join(dfreq, "tok").withColumn(
-            "__idf", F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-        weight = weight * F.col("__idf")
-    return j.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
+    j = index.join(bounded(terms.select("query_id", "tok").distinct()), "tok")
+    return j.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), digits).alias("score"))
+
+
+def bm25_topk(index: DataFrame, terms: DataFrame, k: int = SEARCH_K) -> DataFrame:
+    """Top ``k`` documents per query by (score desc, doc_id); only a partition's best ``k`` move."""
+    return top_k_within(bm25_scores(index, terms), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
-def bm25_topk(index: DataFrame, terms: DataFrame, k: int = SEARCH_K, digits: int = 6) -> DataFrame:
-    """Top ``k`` documents per query by (score desc, doc_id)."""
-    s = bm25_scores(index, terms).withColumn("score", F.round("score", digits))
-    return top_k_within(s, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+def bm25_search(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                k: int = SEARCH_K) -> DataFrame:
+    """R3 K1 over documents without a stored index: only the questions' vocabulary is indexed."""
+    return bm25_topk(query_postings(docs, terms, id_col, text_col), terms, k).withColumnRenamed("doc_id", id_col)
 
 
 def topk_with_fallback(scores: DataFrame, allowed: DataFrame, k: int = SEARCH_K) -> DataFrame:
@@ -136,7 +148,7 @@ def topk_with_fallback(scores: DataFrame, allowed: DataFrame, k: int = SEARCH_K)
     ``filtered`` group; top-``k`` per (query, group); a query keeps its
     filtered list when it has one, else its unfiltered list."""
     ok = allowed.select("query_id", "doc_id").distinct().withColumn("__ok", F.lit(True))
-    flagged = scores.join(bounded(ok, what="filter hits"), ["query_id", "doc_id"], "left")
+    flagged = scores.join(ok, ["query_id", "doc_id"], "left")
     groups = F.when(F.col("__ok"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
     both = flagged.select("*", F.explode(groups).alias("filtered")).drop("__ok")
     top = top_k_within(both, ["query_id", "filtered"], [F.desc("score"), F.asc("doc_id")], k)
@@ -146,58 +158,64 @@ def topk_with_fallback(scores: DataFrame, allowed: DataFrame, k: int = SEARCH_K)
 
 # ----------------------------------------------------------------------------- dense
 
-def _query_block(queries: DataFrame, qid: str, qvec: str, max_queries: int) -> tuple[np.ndarray, np.ndarray]:
-    pdf = queries.select(qid, qvec).limit(max_queries + 1).toPandas()
-    if len(pdf) > max_queries:
-        raise ValueError(f"query block larger than {max_queries}; split the query table into blocks")
-    ids = pdf[qid].to_numpy(dtype="int64")
-    mat = np.stack([np.asarray(v, dtype="float64") for v in pdf[qvec]]) if len(pdf) else np.zeros((0, 0))
-    return ids, mat
+def _usable(vec: str) -> Column:
+    """A vector that has a direction: not NULL, no NULL or NaN entry, not all zero."""
+    return F.col(vec).isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists(vec, lambda x: x != 0)
 
 
-def _dense_topk_block(corpus: DataFrame, queries: DataFrame, id_col: str, vec_col: str, qid: str, qvec: str,
-                      k: int = SEARCH_K, metric: str = "cosine", max_queries: int = 4096, digits: int = 6) -> DataFrame:
-    """R2: exact top-``k`` by cosine similarity (or ``euclidean`` distance).
+def _distances(m: np.ndarray, q: np.ndarray, metric: str, digits: int) -> Iterator[np.ndarray]:
+    """Sort keys (smaller is better) of all rows of ``m``, one question at a time."""
+    if metric == "cosine":
+        m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for v in q:
+        yield np.round(-(m @ (v / np.linalg.norm(v))) if metric == "cosine"
+                       else np.sqrt(((m - v) ** 2).sum(axis=1)), digits)
+
 
-    The query block (size-checked) is broadcast; every corpus partition
-    scores its rows with one Arrow-batched numpy matmul and keeps only its
-    local top ``k`` per query, so at most ``k`` rows per query per partition
-    reach the final top-k shuffle.  No pair table is materialised."""
-    spark = corpus.sparkSession
-    ids, mat = _query_block(queries, qid, qvec, max_queries)
-    if metric == "cosine" and len(ids):
-        mat = mat / np.linalg.norm(mat, axis=1, keepdims=True)
-    block = spark.sparkContext.broadcast((ids, mat))
+def _dense_partials(corpus: DataFrame, ids: np.ndarray, mat: np.ndarray, id_col: str, vec_col: str,
+                    k: int, metric: str, digits: int) -> DataFrame:
+    """Each partition's best ``k`` rows per question vector, kept while its batches pass and emitted
+    once at the end: at most ``k`` x question vectors x partitions rows leave Python."""
+    block = corpus.sparkSession.sparkContext.broadcast((ids, mat))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q = block.value
-        nq = len(q_ids)
-        dim = q.shape[1] if nq else 1
-        # bound every intermediate to ~4M doubles whatever the block size
-        rows = max(1, SCORE_BUFFER // (nq * (dim if metric != "cosine" else 1) or 1))
+        best = [(np.zeros(0), np.zeros(0, dtype="int64"))] * len(q_ids)
         for pdf in batches:
-            if len(pdf) == 0 or nq == 0:
+            if len(pdf) == 0 or len(q_ids) == 0:
                 continue
-            m_all = np.stack([np.asarray(v, dtype="float64") for v in pdf[vec_col]])
-            ids_all = pdf[id_col].to_numpy(dtype="int64")
-            out = []
-            for c in range(0, len(ids_all), rows):
-                m, doc_ids = m_all[c:c + rows], ids_all[c:c + rows]
-                if metric == "cosine":
-                    s = np.round((m / np.linalg.norm(m, axis=1, keepdims=True)) @ q.T, digits)
-                    key = -s
-                else:
-                    s = np.round(np.sqrt(((m[:, None, :] - q[None, :, :]) ** 2).sum(axis=2)), digits)
-                    key = s
-                for j, qi in enumerate(q_ids):
-                    order = np.lexsort((doc_ids, key[:, j]))[:k]
-                    out.append(pd.DataFrame({"query_id": qi, id_col: doc_ids[order], "score": s[order, j]}))
-            yield pd.concat(out, ignore_index=True)
-
-    local = spread(corpus.select(id_col, vec_col), id_col).mapInPandas(score, f"query_id long, {id_col} long, score double")
-    local = local.withColumn("score", F.round("score", digits))
-    order = [F.desc("score") if metric == "cosine" else F.asc("score"), F.asc(id_col)]
-    return top_k_within(local, ["query_id"], order, k)
+            m = np.stack([np.asarray(v, dtype="float64") for v in pdf[vec_col]])
+            rows = pdf[id_col].to_numpy(dtype="int64")
+            for j, key in enumerate(_distances(m, q, metric, digits)):
+                held, held_ids = best[j]
+                near = key <= held[-1] if len(held) == k else np.ones(len(key), dtype=bool)
+                keys, names = np.concatenate([held, key[near]]), np.concatenate([held_ids, rows[near]])
+                order = np.lexsort((names, keys))[:k]
+                best[j] = keys[order], names[order]
+        for q_id, (keys, names) in zip(q_ids, best):
+            yield pd.DataFrame({"query_id": q_id, id_col: names, "score": -keys if metric == "cosine" else keys})
+
+    return spread(corpus, id_col).mapInPandas(score, f"query_id long, {id_col} long, score double")
+
+
+def dense_topk(corpus: DataFrame, queries: DataFrame, id_col: str, vec_col: str, qid: str, qvec: str,
+               k: int = SEARCH_K, metric: str = "cosine", max_queries: int = 4096, digits: int = 6) -> DataFrame:
+    """R2: exact top-``k`` by cosine similarity (or ``euclidean`` distance).
+
+    Question vectors travel in blocks of at most ``max_queries`` ROWS; a question may have several
+    vectors, a document then counts with its best one.  Vectors that are NULL, hold a NULL or NaN, or
+    are all zero have no direction: such documents are not found and such questions find nothing."""
+    corpus = corpus.select(id_col, vec_col).where(_usable(vec_col))
+    asked = queries.select(qid, qvec).where(_usable(qvec))
+    parts = []
+    for block in query_blocks(asked, qid, max_queries):
+        pdf = block.toPandas()
+        ids = pdf[qid].to_numpy(dtype="int64")
+        mat = np.stack([np.asarray(v, dtype="float64") for v in pdf[qvec]]) if len(pdf) else np.zeros((0, 0))
+        parts.append(_dense_partials(corpus, ids, mat, id_col, vec_col, k, metric, digits))
+    best = F.max("score") if metric == "cosine" else F.min("score")
+    scored = _union(parts).groupBy("query_id", id_col).agg((best + F.lit(0.0)).alias("score"))
+    return top_k_within(scored, ["query_id"], [F.desc("score") if metric == "cosine" else F.asc("score"), F.asc(id_col)], k)
 
 
 def rrf_fuse(rankings: Sequence[DataFrame], id_col: str, c: int = RRF_C, k: int = SEARCH_K,
@@ -216,45 +234,29 @@ def rrf_fuse(rankings: Sequence[DataFrame], id_col: str, c: int = RRF_C, k: int
 
 # ----------------------------------------------------------------------------- metadata filter
 
-def _contains_block(docs: DataFrame, doc_id: str, text_col: str, probes: DataFrame, probe_id: str,
-                    probe_text: str, max_probes: int = 20_000) -> DataFrame:
-    """All (probe, doc) with ``probe_text`` a substring of ``text_col``.
+def tag_rows(index: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """J11 from the stored index: ``(doc_id, tag)`` for every lexicon term a document holds."""
+    lex = bounded(lexicon.select(F.col("term").alias("tok")).distinct())
+    return index.join(lex, "tok", "left_semi").select("doc_id", F.col("tok").alias("tag"))
 
-    Exact multi-pattern matching: the (size-checked) probe set is broadcast
-    and each document partition runs one Aho-Corasick scan per document —
-    linear in the text, instead of a nested-loop ``contains`` join."""
-    import ahocorasick
 
-    spark = docs.sparkSession
-    pdf = probes.select(probe_id, probe_text).where(F.col(probe_text).isNotNull() & (F.length(probe_text) > 0)) \
-        .limit(max_probes + 1).toPandas()
-    if len(pdf) > max_probes:
-        raise ValueError(f"more than {max_probes} probes; split the probe table into blocks")
-    patterns: dict[str, list[int]] = {}
-    for pid, txt in zip(pdf[probe_id], pdf[probe_text]):
-        patterns.setdefault(txt, []).append(int(pid))
-    bc = spark.sparkContext.broadcast(patterns)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        auto = ahocorasick.Automaton()
-        for txt, pids in bc.value.items():
-            auto.add_word(txt, pids)
-        if len(auto):
-            auto.make_automaton()
-        for pdf_ in batches:
-            rows_p, rows_d = [], []
-            for d, text in zip(pdf_[doc_id], pdf_[text_col]):
-                if not isinstance(text, str) or not len(auto):
-                    continue
-                found: set[int] = set()
-                for _, pids in auto.iter(text):
-                    found.update(pids)
-                rows_p.extend(found)
-                rows_d.extend([d] * len(found))
-            yield pd.DataFrame({"query_id": pd.Series(rows_p, dtype="int64"),
-                                doc_id: pd.Series(rows_d, dtype="int64")})
-
-    return spread(docs.select(doc_id, text_col), doc_id).mapInPandas(scan, f"query_id long, {doc_id} long")
+def matching_tags(tags: DataFrame, entities: DataFrame) -> DataFrame:
+    """``(entity, tag)`` with the normalised entity inside the tag text.  Every distinct tag is opened
+    into its substrings, which meet the distinct entities in an equi-join: no nested loop."""
+    opened = tags.select("tag").distinct().where(F.length("tag") > 0).select("tag", F.explode(F.array_distinct(F.flatten(
+        F.transform(F.sequence(F.lit(1), F.length("tag")),
+                    lambda i: F.transform(F.sequence(F.lit(1), F.length("tag") - i + 1),
+                                          lambda n: F.substring(F.col("tag"), i, n)))))).alias("key"))
+    asked = entities.select("entity", T.normalize_text("entity").alias("key")).where(F.col("key") != "").distinct()
+    return opened.join(asked, "key").select("entity", "tag")
+
+
+def tag_filter(tags: DataFrame, entities: DataFrame) -> DataFrame:
+    """``(query_id, doc_id)`` of documents with a tag that contains one of the question's entities.
+
+    ``tags`` is ``(doc_id, tag)``, ``entities`` is ``(query_id, entity)``; blank entities match nothing."""
+    wanted = entities.join(matching_tags(tags, entities), "entity").select("query_id", "tag").distinct()
+    return tags.join(bounded(wanted), "tag").select("query_id", "doc_id").distinct()
 
 
 def with_fallback(filtered: DataFrame, unfiltered: DataFrame) -> DataFrame:
@@ -293,7 +295,7 @@ def entity_tags(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
     grams = F.array_distinct(F.flatten(F.array(*[ngrams(F.col("__t"), n) for n in range(1, max_n + 1)])))
     exploded = toks.select(id_col, F.explode(grams).alias("term"))
     lex = lexicon if getattr(lexicon, "_bounded_rows", None) is not None else lexicon.select("term").distinct()
-    hits = exploded.join(bounded(lex, what="lexicon"), "term")
+    hits = exploded.join(bounded(lex), "term")
     tagged = hits.groupBy(id_col).agg(F.array_sort(F.collect_set("term")).alias("tag_list"))
     out = docs.select(id_col).join(tagged, id_col, "left").withColumn(
         "tag_list", F.coalesce("tag_list", F.array().cast("array<string>")))
@@ -389,148 +391,26 @@ def upsert_new(existing: DataFrame, incoming: DataFrame, key: str, order: Sequen
 
 
 def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, num_features: int = 1 << 18) -> DataFrame:
-    """Deterministic hashed term-frequency vectors, L2-normalised
-    (``pyspark.ml`` HashingTF + Normalizer, JVM-side)."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    toks = docs.select(id_col, tokens(text_col).alias("toks"))
-    tf = HashingTF(inputCol="toks", outputCol="tf", numFeatures=num_features).transform(toks)
-    vec = Normalizer(inputCol="tf", outputCol="vec", p=2.0).transform(tf)
-    return vec.select(id_col, "vec", vector_to_array("vec").alias("__a"))
-
-
-# ----------------------------------------------------------------------------- BM25, document-at-a-time
-
-def _bm25_scan_block(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     k: int = SEARCH_K, allowed: DataFrame | None = None, max_queries: int = 20_000,
-                     max_allowed: int = 5_000_000, digits: int = 6, block: int = 2048,
-                     query_pairs: pd.DataFrame | None = None) -> DataFrame:
-    """R3 K1 scored document-at-a-time: exact BM25 top-``k`` per query.
-
-    The query block — ``(query_id, tok)`` pairs, size-checked — is broadcast
-    as an inverted index token -> queries.  Documents are tokenised on the
-    JVM (the postings' tokenizer) and each partition counts term frequencies, accumulates the
-    BM25 weights of shared tokens into a (queries x documents) block and
-    keeps only its local top-``k`` per query.  Only ``k`` rows per query per
-    partition are shuffled to the final top-``k``, however many (query, doc,
-    token) matches there are.  With ``allowed`` (query, doc) pairs a second,
-    filtered top-``k`` list is produced in the same scan (``filtered`` flag).
-    """
-    spark = docs.sparkSession
-    qt = query_pairs if query_pairs is not None else \
-        terms.select("query_id", "tok").distinct().limit(max_queries * 1000 + 1).toPandas()
-    qids = np.sort(qt["query_id"].unique()) if len(qt) else np.zeros(0, dtype="int64")
-    if len(qids) > max_queries:
-        raise ValueError(f"more than {max_queries} queries; split the query table into blocks")
-    pos = {int(q): i for i, q in enumerate(qids)}
-    inv: dict[str, list[int]] = {}
-    for q, t in zip(qt["query_id"], qt["tok"]):
-        inv.setdefault(t, []).append(pos[int(q)])
-    inv_np = {t: np.asarray(v, dtype="int64") for t, v in inv.items()}
-    allow = None
-    if allowed is not None:
-        ap = allowed.select("query_id", F.col(id_col).alias("d")).distinct().limit(max_allowed + 1).toPandas()
-        if len(ap) > max_allowed:
-            raise ValueError("too many allowed pairs to broadcast")
-        allow = {}
-        for q, dd in zip(ap["query_id"], ap["d"]):
-            if int(q) in pos:
-                allow.setdefault(int(dd), []).append(pos[int(q)])
-    bc = spark.sparkContext.broadcast((qids, inv_np, allow))
-    k1, b, avg = BM25_K1, BM25_B, BM25_AVG_LEN
-    k1p, one_b = k1 + 1, 1 - b
-
-    vocab = {t: i for i, t in enumerate(inv_np)}
-    dense_q = len(qids) * max(len(vocab), 1) <= SCORE_BUFFER
-    block = max(16, min(block, SCORE_BUFFER // max(len(qids), 1)))
-    bc_q = spark.sparkContext.broadcast(vocab)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import Counter
-        q_ids, inverted, allow_map = bc.value
-        vid = bc_q.value
-        nq = len(q_ids)
-        if dense_q:
-            # query x vocabulary incidence: one gather + mat-vec per document
-            Q = np.zeros((nq, max(len(vid), 1)))
-            for t, qs in inverted.items():
-                Q[qs, vid[t]] = 1.0
-        for pdf in batches:
-            ids_all = pdf[id_col].to_numpy(dtype="int64")
-            token_lists = pdf["__toks"].tolist()
-            for s in range(0, len(ids_all), block):
-                ids = ids_all[s:s + block]
-                S = np.zeros((nq, len(ids)))
-                for j, toks in enumerate(token_lists[s:s + block]):
-                    if toks is None:
-                        continue
-                    dl = len(toks)
-                    norm = k1 * (one_b + b * dl / avg)
-                    if dense_q:
-                        hit_ids = np.fromiter((vid.get(t, -1) for t in toks), dtype=np.int64, count=dl)
-                        hit_ids = hit_ids[hit_ids >= 0]
-                        if len(hit_ids):
-                            u, tf = np.unique(hit_ids, return_counts=True)
-                            S[:, j] = Q[:, u] @ ((tf * k1p) / (tf + norm))
-                    else:
-                        for t, tf in Counter(toks).items():
-                            qs = inverted.get(t)
-                            if qs is not None:
-                                S[qs, j] += (tf * k1p) / (tf + norm)
-                S = np.round(S, digits)
-                hit = np.zeros_like(S, dtype=bool)
-                touched = S > 0
-                out = []
-                groups = [(False, touched)]
-                if allow_map is not None:
-                    for j, dd in enumerate(ids):
-                        for qi in allow_map.get(int(dd), ()):
-                            hit[qi, j] = True
-                    groups.append((True, touched & hit))
-                for flag, mask in groups:
-                    for qi in np.nonzero(mask.any(axis=1))[0]:
-                        cand = np.nonzero(mask[qi])[0]
-                        order = cand[np.lexsort((ids[cand], -S[qi, cand]))][:k]
-                        out.append(pd.DataFrame({"query_id": q_ids[qi], id_col: ids[order],
-                                                 "score": S[qi, order], "filtered": flag}))
-                if out:
-                    yield pd.concat(out, ignore_index=True)
-
-    # tokens come from the JVM tokenizer (the same expression as the postings)
-    local = spread(docs.select(id_col, text_col), id_col).select(id_col, tokens(text_col).alias("__toks")) \
-        .mapInPandas(score, f"query_id long, {id_col} long, score double, filtered boolean")
-    local = local.withColumn("score", F.round("score", digits))
-    top = top_k_within(local, ["query_id", "filtered"], [F.desc("score"), F.asc(id_col)], k)
-    if allowed is None:
-        return top.drop("filtered")
-    has = F.max(F.col("filtered").cast("int")).over(Window.partitionBy("query_id"))
-    return top.withColumn("__has", has).where(F.col("filtered") | (F.col("__has") == 0)).drop("__has")
-
+    """Hashed term-frequency vectors of unit length as sparse rows ``(id, slot, weight)``; the slot
+    is the first 32 bits of the token's MD5 modulo ``num_features``.  A text without tokens has no row."""
+    slot = (F.conv(F.substring(F.md5("tok"), 1, 8), 16, 10).cast("long") % F.lit(num_features)).alias("slot")
+    counts = token_rows(docs, id_col, text_col).groupBy("doc_id", slot).agg(F.count(F.lit(1)).alias("tf"))
+    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("doc_id")).cast("double"))
+    return counts.select(F.col("doc_id").alias(id_col), "slot", (F.col("tf") / norm).alias("weight"))
 
 
 # ----------------------------------------------------------------------------- query blocks
 
-def query_blocks(queries: DataFrame, qid: str, max_rows: int) -> list[DataFrame | None]:
-    """Split a query table into blocks of at most ``max_rows`` distinct query
-    ids; ``[None]`` when it fits whole.  Blocks are consecutive ranges of the
-    ids' dense rank (exact sizes), each returned as a table of ids to
-    semi-join with.  Each block is scored against the corpus separately
-    (block nested loop) and, since a query lives in exactly one block, its
-    top-k is final — no pair table, no broadcast beyond the proven bound."""
+def query_blocks(queries: DataFrame, qid: str, max_rows: int) -> list[DataFrame]:
+    """Split a query table into blocks of at most ``max_rows`` ROWS, each scored separately against
+    the corpus (block nested loop).  Rows are numbered in ``qid`` order; one block when all fit."""
     from lakesmith.operators.sequence import dense_id
-    from lakesmith.session import cut_lineage
-    n = queries.select(qid).distinct().count()
+    n = queries.count()
     if n <= max_rows:
-        return [None]
-    ranked = dense_id(queries.select(qid).distinct(), [qid], "__qrank")
-    blocks = cut_lineage(ranked.select(qid, ((F.col("__qrank") - 1) / max_rows).cast("long").alias("__block")))
-    return [blocks.where(F.col("__block") == i).select(qid) for i in range(-(-n // max_rows))]
-
-
-def _in_block(df: DataFrame, block: DataFrame | None, qid: str) -> DataFrame:
-    """Rows of ``df`` whose ``qid`` belongs to ``block`` (all rows when unblocked)."""
-    return df if block is None else df.join(block, qid, "left_semi")
+        return [queries]
+    ranked = dense_id(queries, [qid], "__qrank")
+    block = F.floor((F.col("__qrank") - 1) / F.lit(max_rows))
+    return [ranked.where(block == i).drop("__qrank") for i in range(-(-n // max_rows))]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -538,59 +418,3 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def dense_topk(corpus: DataFrame, queries: DataFrame, id_col: str, vec_col: str, qid: str, qvec: str,
-               k: int = SEARCH_K, metric: str = "cosine", max_queries: int = 4096, digits: int = 6) -> DataFrame:
-    """R2: exact top-``k`` by cosine similarity (or ``euclidean`` distance).
-
-    Every query block (size-checked, see :func:`query_blocks`) is broadcast;
-    each corpus partition scores its rows with one Arrow-batched numpy
-    matmul and keeps only its local top ``k`` per query, so at most ``k``
-    rows per query per partition reach the final top-k shuffle."""
-    if queries.select(qid).limit(max_queries + 1).count() <= max_queries:
-        return _dense_topk_block(corpus, queries, id_col, vec_col, qid, qvec, k, metric, max_queries, digits)
-    return _union([_dense_topk_block(corpus, _in_block(queries, b, qid), id_col, vec_col, qid, qvec,
-                                     k, metric, max_queries, digits)
-                   for b in query_blocks(queries, qid, max_queries)])
-
-
-def contains_any(docs: DataFrame, doc_id: str, text_col: str, probes: DataFrame, probe_id: str,
-                 probe_text: str, max_probes: int = 20_000) -> DataFrame:
-    """All (probe, doc) with ``probe_text`` a substring of ``text_col``.
-
-    Exact multi-pattern matching: each (size-checked) block of probes is
-    broadcast and every document partition runs one Aho-Corasick scan per
-    document — linear in the text, instead of a nested-loop ``contains``."""
-    return _union([_contains_block(docs, doc_id, text_col, _in_block(probes, b, probe_id), probe_id,
-                                   probe_text, max_probes)
-                   for b in query_blocks(probes, probe_id, max_probes)])
-
-
-def bm25_topk_scan(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   k: int = SEARCH_K, allowed: DataFrame | None = None, max_queries: int = 20_000,
-                   **kw) -> DataFrame:
-    """Exact BM25 top-``k`` per query, scored document-at-a-time
-    against size-checked query blocks (see :func:`_bm25_scan_block`)."""
-    max_allowed = kw.get("max_allowed", 5_000_000)
-    parts = []
-    pairs = terms.select("query_id", "tok").distinct()
-    qt = pairs.limit(max_queries * 1000 + 1).toPandas()
-    one_block = len(qt) <= max_queries * 1000 and qt["query_id"].nunique() <= max_queries
-    for b in ([None] if one_block else query_blocks(terms, "query_id", max_queries)):
-        t = _in_block(terms, b, "query_id")
-        a = None if allowed is None else _in_block(allowed, b, "query_id")
-        if a is not None and a.limit(max_allowed + 1).count() > max_allowed:
-            # too many filter hits to broadcast: score exactly the allowed
-            # (query, doc) pairs with the join form, rank the rest by the scan
-            unfiltered = _bm25_scan_block(docs, t, id_col, text_col, k, None, max_queries, **kw)
-            cand = docs.join(a.select(id_col).distinct(), id_col, "left_semi")
-            sc = bm25_scores(query_postings(cand, t, id_col, text_col), t).withColumnRenamed("doc_id", id_col)
-            sc = sc.join(a.select("query_id", id_col).distinct(), ["query_id", id_col], "left_semi") \
-                .withColumn("score", F.round("score", kw.get("digits", 6)))
-            filtered = top_k_within(sc, ["query_id"], [F.desc("score"), F.asc(id_col)], k)
-            parts.append(with_fallback(filtered, unfiltered).select("query_id", id_col, "score", "filtered", "rank"))
-        else:
-            parts.append(_bm25_scan_block(docs, t, id_col, text_col, k, a, max_queries,
-                                          query_pairs=qt if b is None else None, **kw))
-    return _union(parts)

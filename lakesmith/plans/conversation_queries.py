@@ -89,7 +89,7 @@ def q_short_title(spark, d):
 
 def q_entity_carryover(spark, d):
     users = conv(spark, d).where(F.col("role") == "user") \
-        .withColumn("turn_uid", F.col("conv_id") * 1_000_000 + F.col("turn"))
+        .withColumn("turn_uid", F.concat_ws(":", "conv_id", "turn"))
     tags = R.entity_tags(users, "turn_uid", "text", herb_lexicon(spark, d), default=None) \
         .select("turn_uid", F.col("tags").alias("entities"))
     t = users.join(tags, "turn_uid").select("conv_id", "turn", "entities")

@@ -66,7 +66,7 @@ def build_index(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", tex
     """M4: documents -> keyed chunks with entity tags, and their postings."""
     ch = C.chunk_fixed(docs, text_col, size, overlap, keep=(id_col, source_col))
     chunks = ch.select(
-        (F.col(id_col) * 1_000_000 + F.col("chunk_no")).alias("chunk_uid"), id_col, "chunk_no", source_col,
+        F.concat_ws(":", id_col, "chunk_no").alias("chunk_uid"), id_col, "chunk_no", source_col,
         F.col("chunk_text").alias("text"),
         R.chunk_key(F.col(source_col), F.col("chunk_start"), F.col("chunk_text")).alias("chunk_id"))
     tags = R.entity_tags(chunks, "chunk_uid", "text", lexicon).select("chunk_uid", "tags")
@@ -74,17 +74,16 @@ def build_index(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", tex
     return {"chunks": chunks, "postings": R.postings(chunks, "chunk_uid", "text")}
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, k: int = R.SEARCH_K) -> DataFrame:
-    """M5: questions ``(query_id, text)`` -> BM25 top-``k`` chunks -> context
-    text and citations per question; questions without hits get the gate
-    message (R10)."""
-    terms = R.query_terms(questions, "query_id", "text")
-    hits = R.bm25_topk_scan(chunks, terms, "chunk_uid", "text", k)
-    ranked = hits.join(chunks.select("chunk_uid", "text", "source"), "chunk_uid") \
-        .withColumn("title", R.source_title(F.col("source")))
-    ctx = R.context_text(ranked, "rank", "text", "title")
-    cites = R.citations(ranked, "rank", "text", "title")
-    gate = R.answer_gate(questions.select("query_id"), hits)
+def retrieve(questions: DataFrame, scored: DataFrame) -> DataFrame:
+    """M5: questions ``(query_id, text)`` and their scored hits ``(query_id, chunk_uid, source, text,
+    rank, entity_score)`` -> one row per question with context, citations and the gate (R10).
+
+    Hits are reranked by entity and retrieval rank; where no hit has an entity point that order is
+    the retrieval order itself.  Ties go by source and chunk."""
+    ranked = R.weighted_rerank(scored, tie_cols=("source", "chunk_uid")).withColumn("title", R.source_title(F.col("source")))
+    ctx = R.context_text(ranked, "new_rank", "text", "title")
+    cites = R.citations(ranked, "new_rank", "text", "title")
+    gate = R.answer_gate(questions.select("query_id"), scored)
     return gate.join(ctx.drop("n_docs"), "query_id", "left").join(cites, "query_id", "left")
 
 

@@ -317,7 +317,11 @@ def retrieval_sql() -> dict[str, str]:
     post = postings_sql("documents")
     scores = bm25_scores_sql(post)
     hits = topk_sql(scores, "score DESC, doc_id")
-    meta = "(SELECT b.item_id AS query_id, d.doc_id FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text))"
+    meta_sql = lambda p: f"""(WITH lex AS {lexicon_sql('length(t) >= 7')},
+  qe AS (SELECT query_id, {norm_text('tok')} AS e FROM {qterms_sql()} q WHERE tok IN (SELECT term FROM lex)),
+  hit AS (SELECT DISTINCT qe.query_id, l.term AS tag FROM qe JOIN lex l ON contains(l.term, qe.e) WHERE qe.e <> '')
+  SELECT DISTINCT hit.query_id, p.doc_id FROM {p} p JOIN hit ON p.tok = hit.tag)"""
+    meta = meta_sql(post)
     out["chunk_fixed"] = f"SELECT * FROM {chunks_sql('documents', 'doc_id')}"
     out["postings"] = f"SELECT * FROM {post}"
     out["chunk_semantic"] = """
@@ -333,20 +337,27 @@ SELECT label, vec_id, CAST(sum(b) OVER (PARTITION BY label ORDER BY vec_id ROWS
     cos_top = topk_sql(cos, "score DESC, vec_id")
     euc_top = topk_sql(euc, "score ASC, vec_id")
     out["dense_topk"] = f"SELECT query_id AS label, vec_id, score, rank FROM {cos_top}"
-    out["hybrid_rrf"] = f"""
-WITH a AS (SELECT query_id, vec_id, CAST(1.0 AS DOUBLE) / ({RRF_C} + rank - 1) AS s FROM {cos_top}),
-     b AS (SELECT query_id, vec_id, CAST(1.0 AS DOUBLE) / ({RRF_C} + rank - 1) AS s FROM {euc_top}),
-     f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.vec_id, b.vec_id) AS vec_id,
+    fuse = lambda x, y, key: f"""a AS (SELECT query_id, {key}, CAST(1.0 AS DOUBLE) / ({RRF_C} + rank - 1) AS s FROM {x}),
+     b AS (SELECT query_id, {key}, CAST(1.0 AS DOUBLE) / ({RRF_C} + rank - 1) AS s FROM {y}),
+     f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.{key}, b.{key}) AS {key},
                   round(CAST(0.0 AS DOUBLE) + coalesce(a.s, 0.0) + coalesce(b.s, 0.0), 9) AS rrf
-           FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.vec_id = b.vec_id)
-SELECT query_id AS label, vec_id, rrf, fused_rank FROM {topk_sql('f', 'rrf DESC, vec_id', rank='fused_rank')}"""
+           FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.{key} = b.{key})"""
+    out["rrf_metrics"] = (f"WITH {fuse(cos_top, euc_top, 'vec_id')} SELECT query_id AS label, vec_id, rrf, fused_rank "
+                          f"FROM {topk_sql('f', 'rrf DESC, vec_id', rank='fused_rank')}")
+    doc_cos = ("(SELECT b.item_id AS query_id, d.doc_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), "
+               "CAST(q.embedding AS DOUBLE[])), 6) AS score FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id, "
+               "benchmark b JOIN embeddings q ON q.vec_id = b.item_id)")
+    out["hybrid_rrf"] = (f"WITH {fuse(hits, topk_sql(doc_cos, 'score DESC, doc_id'), 'doc_id')} "
+                         f"SELECT query_id AS item_id, doc_id, rrf, fused_rank "
+                         f"FROM {topk_sql('f', 'rrf DESC, doc_id', rank='fused_rank')}")
     out["metadata_filter"] = f"SELECT query_id AS item_id, doc_id FROM {meta}"
-    out["filter_fallback"] = f"""
-WITH sc AS {scores}, m AS {meta},
+    fallback_sql = lambda sc, m: f"""(WITH sc AS {sc}, m AS {m},
 fil AS {topk_sql('(SELECT sc.* FROM sc JOIN m USING (query_id, doc_id))', 'score DESC, doc_id')},
-unf AS {topk_sql('(SELECT * FROM sc WHERE query_id NOT IN (SELECT query_id FROM m))', 'score DESC, doc_id')}
-SELECT query_id AS item_id, doc_id, score, rank, true AS filtered FROM fil
-UNION ALL SELECT query_id AS item_id, doc_id, score, rank, false AS filtered FROM unf"""
+unf AS {topk_sql('(SELECT * FROM sc WHERE query_id NOT IN (SELECT query_id FROM fil))', 'score DESC, doc_id')}
+SELECT query_id, doc_id, score, rank, true AS filtered FROM fil
+UNION ALL SELECT query_id, doc_id, score, rank, false AS filtered FROM unf)"""
+    fallback = fallback_sql(scores, meta)
+    out["filter_fallback"] = f"SELECT query_id AS item_id, doc_id, score, rank, filtered FROM {fallback}"
     out["entity_tags"] = f"""
 WITH dt AS (SELECT DISTINCT doc_id, unnest({toks('text')}) AS t FROM documents),
 tg AS (SELECT doc_id, list_sort(list(t)) AS tl FROM dt JOIN {HERB_LEX} l ON t = l.term GROUP BY doc_id)
@@ -359,14 +370,19 @@ FROM documents d LEFT JOIN tg USING (doc_id)"""
     out["weighted_rerank"] = f"SELECT query_id AS item_id, doc_id, new_rank, final_score FROM {ranked}"
     out["context_assembly"] = context_sql(ranked)
     snippet = "substring(text, 1, 200) || '...'"
-    out["citations_json"] = (f"SELECT query_id AS item_id, CAST(to_json(list({{'content_snippet': {snippet}, "
-                             f"'metadata': {{'source': {title_sql('source')}}}}} ORDER BY new_rank)) AS VARCHAR) AS citations_json "
-                             f"FROM {ranked} GROUP BY query_id")
-    out["answer_gate"] = f"""
-WITH n AS (SELECT query_id, count(*) AS c FROM {meta} GROUP BY query_id)
+    cites_sql = lambda r: (f"SELECT query_id AS item_id, CAST(to_json(list({{'content_snippet': {snippet}, "
+                           f"'metadata': {{'source': {title_sql('source')}}}}} ORDER BY new_rank)) AS VARCHAR) AS citations_json "
+                           f"FROM {r} GROUP BY query_id")
+    out["citations_json"] = cites_sql(ranked)
+    gate_sql = lambda src: f"""(WITH n AS (SELECT query_id, count(*) AS c FROM {src} GROUP BY query_id)
 SELECT b.item_id, CAST(coalesce(n.c, 0) AS BIGINT) AS n_docs,
        CASE WHEN coalesce(n.c, 0) = 0 THEN {lit(NO_ANSWER)} ELSE 'answer' END AS gate
-FROM benchmark b LEFT JOIN n ON n.query_id = b.item_id"""
+FROM benchmark b LEFT JOIN n ON n.query_id = b.item_id)"""
+    out["answer_gate"] = f"SELECT * FROM {gate_sql(fallback)}"
+    out["hashed_vectors"] = f"""
+WITH t AS (SELECT doc_id, unnest({toks('text')}) AS tok FROM documents),
+c AS (SELECT doc_id, CAST(('0x' || substring(md5(tok), 1, 8)) AS BIGINT) % 262144 AS slot, count(*) AS tf FROM t GROUP BY 1, 2)
+SELECT doc_id, slot, round(tf / sqrt(CAST(sum(tf * tf) OVER (PARTITION BY doc_id) AS DOUBLE)), 9) AS weight FROM c"""
     halves = "(SELECT max(doc_id) / 2 FROM documents)"
     ck = lambda b: (f"(SELECT doc_id, chunk_no, sha256(concat_ws(chr(31), source, CAST(chunk_start AS VARCHAR), chunk_text)) AS chunk_id "
                     f"FROM {chunks_sql(f'(SELECT * FROM documents WHERE doc_id {b} {halves})', 'doc_id, source')})")
@@ -386,11 +402,14 @@ UNION ALL SELECT doc_id, etag, 2 AS batch FROM r2 WHERE NOT EXISTS (SELECT 1 FRO
     out["unique_violations"] = "SELECT md5(text) AS etag, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1"
     out["changed_flag"] = (f"SELECT doc_id, {norm_text('text')} <> {norm_text(f'translate(text, {lit(ACCENTED)}, {lit(UNACCENTED)})')} "
                            f"AS changed FROM documents")
-    chunk_rel = (f"(SELECT doc_id * 1000000 + chunk_no AS chunk_uid, source, chunk_text AS text "
+    chunk_rel = (f"(SELECT CAST(doc_id AS VARCHAR) || ':' || CAST(chunk_no AS VARCHAR) AS chunk_uid, source, chunk_text AS text "
                  f"FROM {chunks_sql('documents', 'doc_id, source')})")
-    c_hits = topk_sql(bm25_scores_sql(postings_sql(chunk_rel, 'chunk_uid')), "score DESC, doc_id")
-    c_hits = f"(SELECT query_id, doc_id AS chunk_uid, score, rank FROM {c_hits})"
-    out["retrieve_job"] = context_sql(rerank_sql(scored_sql(c_hits, chunk_rel, "chunk_uid"), "source, chunk_uid"))
+    c_post = postings_sql(chunk_rel, "chunk_uid")
+    c_hits = f"(SELECT query_id, doc_id AS chunk_uid, score, rank FROM {fallback_sql(bm25_scores_sql(c_post), meta_sql(c_post))})"
+    c_ranked = rerank_sql(scored_sql(c_hits, chunk_rel, "chunk_uid"), "source, chunk_uid")
+    out["retrieve_job"] = f"""
+SELECT g.item_id, g.n_docs, g.gate, x.context, c.citations_json FROM {gate_sql(c_hits)} g
+LEFT JOIN ({context_sql(c_ranked)}) x USING (item_id) LEFT JOIN ({cites_sql(c_ranked)}) c USING (item_id)"""
     return out
 
 

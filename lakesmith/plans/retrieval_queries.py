@@ -7,6 +7,9 @@ tokens of exactly 7 characters disease names."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from lakesmith.operators import chunking as C
 from lakesmith.operators import retrieval as R
 from lakesmith.operators.medallion import keep_first
 from lakesmith.plans.tables import table
-from lakesmith.session import cut_lineage
+from lakesmith.session import cut_lineage, scratch_path
 
 HERB_MIN_LEN, DISEASE_LEN = 8, 7
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
@@ -40,49 +43,65 @@ def herb_lexicon(spark, d):
     return R.lexicon_from(table(spark, d, "benchmark"), "text", HERB_MIN_LEN)
 
 
-def disease_lexicon(spark, d):
-    return R.lexicon_from(table(spark, d, "benchmark"), "text", DISEASE_LEN, DISEASE_LEN)
-
-
-def bm25_hits(spark, d, corpus: DataFrame | None = None, k: int = R.SEARCH_K, id_col: str = "doc_id",
-              cut: bool = False) -> DataFrame:
-    """Top-``k`` BM25 documents per question.  Only the question batch's
-    vocabulary is indexed (query-time postings).  With ``cut`` the bounded
-    hit list (k rows per question) is checkpointed, because the rerank
-    consumes it several times."""
-    corpus = corpus if corpus is not None else docs(spark, d)
-    terms = R.query_terms(questions(spark, d), "query_id")
-    hits = R.bm25_topk_scan(corpus, terms, id_col, "text", k)
-    return cut_lineage(hits) if cut else hits
-
-
-def query_entities(spark, d, herbs_lex: DataFrame | None = None, dis_lex: DataFrame | None = None) -> DataFrame:
-    herbs_lex = herbs_lex if herbs_lex is not None else herb_lexicon(spark, d)
-    dis_lex = dis_lex if dis_lex is not None else disease_lexicon(spark, d)
-    q = questions(spark, d).select("query_id", F.explode(F.array_distinct(R.tokens("text"))).alias("term"))
-    herbs = q.join(R.bounded(herbs_lex), "term").groupBy("query_id") \
-        .agg(F.array_sort(F.collect_set("term")).alias("herbs"))
-    dis = q.join(R.bounded(dis_lex), "term").groupBy("query_id") \
-        .agg(F.array_sort(F.collect_set("term")).alias("diseases"))
-    return questions(spark, d).select("query_id").join(herbs, "query_id", "left").join(dis, "query_id", "left")
-
-
-def scored_hits(spark, d, hits: DataFrame, corpus: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """R5 over retrieved (query, doc) pairs.  The retrieved documents (at
-    most k per query) and the two lexicons are small, bounded tables read
-    by several branches, so each is materialised once (``checkpoint``)."""
-    herbs_lex = R.small(herb_lexicon(spark, d))
-    dis_lex = R.small(disease_lexicon(spark, d))
-    wanted = cut_lineage(corpus.join(R.bounded(hits.select(id_col).distinct(), what="hits"), id_col, "left_semi")
-                         .select(id_col, "source", "text"))
-    htags = R.entity_tags(wanted, id_col, "text", herbs_lex, default=None) \
-        .select(id_col, F.col("tag_list").alias("herb_tags"))
-    dtags = R.entity_tags(wanted, id_col, "text", dis_lex).select(id_col, F.col("tags").alias("disease_tag"))
-    body = wanted.select(id_col, "source", "text", T.normalize_text("text").alias("content_norm"))
-    j = (hits.join(body, id_col).join(htags, id_col, "left").join(dtags, id_col, "left")
-         .join(query_entities(spark, d, herbs_lex, dis_lex), "query_id", "left"))
-    return j.withColumn("entity_score", R.entity_score(F.col("herbs"), F.col("diseases"), F.col("herb_tags"),
-                                                       F.col("disease_tag"), F.col("content_norm")).cast("long"))
+def lexicon(spark, d) -> DataFrame:
+    """Both entity lexicons as one table ``(term, kind)``."""
+    return R.lexicon_from(table(spark, d, "benchmark"), "text", DISEASE_LEN).withColumn(
+        "kind", F.when(F.length("term") >= HERB_MIN_LEN, "herb").otherwise("disease"))
+
+
+_INDEXES: dict[tuple[str, ...], str] = {}
+
+
+def stored_index(spark, d, kind: str = "documents") -> DataFrame:
+    """The postings of the documents (or of their chunks), written by ``build_index`` once per session
+    and data folder, then read by every query."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(d), kind)
+    if key not in _INDEXES:
+        name = f"postings_{uuid.uuid4().hex[:12]}"
+        rows, id_col = (docs(spark, d), "doc_id") if kind == "documents" else (chunks(spark, d), "chunk_uid")
+        R.build_index(rows, name, scratch_path(spark, name), id_col)
+        _INDEXES[key] = name
+    return spark.table(_INDEXES[key])
+
+
+def chunks(spark, d) -> DataFrame:
+    """1200/350 chunks of the documents under the id ``doc_id:chunk_no``."""
+    ch = C.chunk_fixed(docs(spark, d), keep=("doc_id", "source"))
+    return ch.select(F.concat_ws(":", "doc_id", "chunk_no").alias("chunk_uid"), "source", F.col("chunk_text").alias("text"))
+
+
+def question_terms(spark, d) -> DataFrame:
+    return R.query_terms(questions(spark, d), "query_id")
+
+
+def query_entities(spark, d) -> DataFrame:
+    """``(query_id, entity, kind)``: the lexicon terms a question names."""
+    return question_terms(spark, d).withColumnRenamed("tok", "term").join(R.bounded(lexicon(spark, d)), "term") \
+        .select("query_id", F.col("term").alias("entity"), "kind")
+
+
+def bm25_hits(spark, d, kind: str = "documents", id_col: str = "doc_id") -> DataFrame:
+    """Top-``k`` BM25 documents (or chunks) per question from the stored index."""
+    return R.bm25_topk(stored_index(spark, d, kind), question_terms(spark, d)).withColumnRenamed("doc_id", id_col)
+
+
+def scored_hits(spark, d, hits: DataFrame, corpus: DataFrame, index: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """R5 over retrieved (query, doc) pairs: ``k`` rows per question, materialised once; tags come
+    from the stored index, the text of the hits from the corpus by key."""
+    hits = cut_lineage(hits)
+    lex = R.small(lexicon(spark, d))
+    wanted = R.bounded(hits.select(id_col).distinct())
+    of_kind = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("term"))))
+    tags = (index.withColumnsRenamed({"doc_id": id_col, "tok": "term"}).join(wanted, id_col, "left_semi").join(lex, "term")
+            .groupBy(id_col).agg(of_kind("herb").alias("herb_tags"), F.array_join(of_kind("disease"), ",").alias("dis")))
+    body = corpus.join(wanted, id_col, "left_semi").select(id_col, "source", "text", T.normalize_text("text").alias("content_norm"))
+    asked = question_terms(spark, d).withColumnRenamed("tok", "term").join(lex, "term") \
+        .groupBy("query_id").agg(of_kind("herb").alias("herbs"), of_kind("disease").alias("diseases"))
+    j = hits.join(body, id_col).join(tags, id_col, "left").join(asked, "query_id", "left")
+    disease_tag = F.coalesce(F.nullif(F.col("dis"), F.lit("")), F.lit(R.UNKNOWN_TAG))
+    herb_tags = F.coalesce("herb_tags", F.array().cast("array<string>"))
+    return j.withColumn("entity_score", R.entity_score(F.col("herbs"), F.col("diseases"), herb_tags, disease_tag,
+                                                       F.col("content_norm")).cast("long"))
 
 
 # ----------------------------------------------------------------------------- queries
@@ -114,7 +133,8 @@ def q_dense_topk(spark, d):
         .withColumn("label", F.col("query_id").cast("int")).drop("query_id")
 
 
-def q_hybrid_rrf(spark, d):
+def q_rrf_metrics(spark, d):
+    """Fusion of two dense rankings (cosine, euclidean)."""
     emb = table(spark, d, "embeddings")
     p = probes(spark, d)
     cos = R.dense_topk(emb, p, "vec_id", "embedding", "query_id", "qvec", metric="cosine")
@@ -122,8 +142,26 @@ def q_hybrid_rrf(spark, d):
     return R.rrf_fuse([cos, euc], "vec_id").withColumn("label", F.col("query_id").cast("int")).drop("query_id")
 
 
-def metadata_hits(spark, d):
-    return R.contains_any(docs(spark, d), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
+def q_hybrid_rrf(spark, d):
+    """The BM25 and the dense ranking of documents fused.  The vector of document (question)
+    ``i`` is the embedding ``vec_id = i``; documents without one come in by BM25 alone."""
+    emb = table(spark, d, "embeddings").select("vec_id", "embedding")
+    vectors = docs(spark, d).select("doc_id").join(emb, F.col("doc_id") == F.col("vec_id")).select("doc_id", "embedding")
+    asked = questions(spark, d).select("query_id").join(emb, F.col("query_id") == F.col("vec_id")) \
+        .select("query_id", F.col("embedding").alias("qvec"))
+    dense = R.dense_topk(vectors, asked, "doc_id", "embedding", "query_id", "qvec")
+    return R.rrf_fuse([bm25_hits(spark, d), dense], "doc_id").withColumnRenamed("query_id", "item_id")
+
+
+def metadata_hits(spark, d, kind: str = "documents"):
+    """Documents (chunks) whose herb or disease tags hold an entity of the question."""
+    return R.tag_filter(R.tag_rows(stored_index(spark, d, kind), lexicon(spark, d)), query_entities(spark, d))
+
+
+def filtered_hits(spark, d, kind: str = "documents", id_col: str = "doc_id"):
+    """Filtered top-``k``, the unfiltered one where the filter leaves nothing."""
+    scores = R.bm25_scores(stored_index(spark, d, kind), question_terms(spark, d))
+    return R.topk_with_fallback(scores, metadata_hits(spark, d, kind)).withColumnRenamed("doc_id", id_col)
 
 
 def q_metadata_filter(spark, d):
@@ -131,8 +169,7 @@ def q_metadata_filter(spark, d):
 
 
 def q_filter_fallback(spark, d):
-    terms = R.query_terms(questions(spark, d), "query_id")
-    return R.bm25_topk_scan(docs(spark, d), terms, allowed=metadata_hits(spark, d)).withColumnRenamed("query_id", "item_id")
+    return filtered_hits(spark, d).withColumnRenamed("query_id", "item_id")
 
 
 def q_entity_tags(spark, d):
@@ -140,14 +177,16 @@ def q_entity_tags(spark, d):
     return t.select("doc_id", "tags", F.size("tag_list").cast("long").alias("n_tags"))
 
 
+def document_scores(spark, d):
+    return scored_hits(spark, d, bm25_hits(spark, d), docs(spark, d), stored_index(spark, d))
+
+
 def q_entity_score(spark, d):
-    s = scored_hits(spark, d, bm25_hits(spark, d, cut=True), docs(spark, d))
-    return s.select(F.col("query_id").alias("item_id"), "doc_id", "entity_score")
+    return document_scores(spark, d).select(F.col("query_id").alias("item_id"), "doc_id", "entity_score")
 
 
 def reranked(spark, d):
-    s = scored_hits(spark, d, bm25_hits(spark, d, cut=True), docs(spark, d))
-    return R.weighted_rerank(s)
+    return R.weighted_rerank(document_scores(spark, d))
 
 
 def q_weighted_rerank(spark, d):
@@ -165,7 +204,8 @@ def q_citations_json(spark, d):
 
 
 def q_answer_gate(spark, d):
-    return R.answer_gate(questions(spark, d).select("query_id"), metadata_hits(spark, d)) \
+    """R10 on the list after the fallback."""
+    return R.answer_gate(questions(spark, d).select("query_id"), filtered_hits(spark, d)) \
         .withColumnRenamed("query_id", "item_id")
 
 
@@ -197,8 +237,8 @@ def q_file_etag_dedup(spark, d):
 
 
 def q_hashed_vectors(spark, d):
-    v = R.hashed_vectors(docs(spark, d), "doc_id", "text", num_features=1 << 12)
-    return v.select("doc_id", F.round(F.sqrt(F.aggregate("__a", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+    v = R.hashed_vectors(docs(spark, d), "doc_id", "text")
+    return v.select("doc_id", "slot", F.round("weight", 9).alias("weight"))
 
 
 def q_load_counts(spark, d):
@@ -220,12 +260,10 @@ def q_changed_flag(spark, d):
 
 
 def q_retrieve_job(spark, d):
-    """M5: chunk (1200/350) -> BM25 top-10 chunks per question -> entity
-    score -> weighted rerank -> context text with titles."""
-    ch = C.chunk_fixed(docs(spark, d), keep=("doc_id", "source"))
-    corpus = ch.select((F.col("doc_id") * 1_000_000 + F.col("chunk_no")).alias("chunk_uid"), "source",
-                       F.col("chunk_text").alias("text"))
-    hits = bm25_hits(spark, d, corpus, id_col="chunk_uid", cut=True)
-    s = scored_hits(spark, d, hits, corpus, id_col="chunk_uid")
-    r = R.weighted_rerank(s, tie_cols=("source", "chunk_uid")).withColumn("title", R.source_title(F.col("source")))
-    return R.context_text(r, "new_rank", "text", "title").withColumnRenamed("query_id", "item_id")
+    """M5: tag filter, BM25 over stored chunk postings, fallback, entity score, rerank, then context,
+    citations and gate for every question."""
+    from lakesmith.plans import jobs
+    q = questions(spark, d)
+    hits = filtered_hits(spark, d, "chunks", "chunk_uid")
+    scored = scored_hits(spark, d, hits, chunks(spark, d), stored_index(spark, d, "chunks"), "chunk_uid")
+    return jobs.retrieve(q, scored).withColumnRenamed("query_id", "item_id")

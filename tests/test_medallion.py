@@ -37,3 +37,14 @@ def test_quality_report_all_metrics(spark):
     names = {r["metric_name"] for r in MQ.q_quality_report(spark, SF001).collect()}
     assert {"silver_total_rows", "gold_catalog_rows", "duplicate_medicine_rows_removed",
             "missing_medicine_name_rows", "distinct_medicine_names", "unparsable_text_rows"} <= names
+
+
+def test_gold_without_a_name_column(spark):
+    """Without a name column the catalog is one nameless row, and the report says so."""
+    silver = spark.createDataFrame([("x", "f.csv"), ("y", "f.csv"), ("z", "f.csv")], "cong_dung string, source_file string")
+    catalog = M.gold_catalog(silver, with_timestamps=False).collect()
+    assert [r["source_file"] for r in catalog] == ["f.csv"]
+    report = {r["metric_name"]: r["metric_value"] for r in M.quality_report(silver, with_timestamps=False).collect()}
+    assert (report["gold_catalog_rows"], report["duplicate_medicine_rows_removed"]) == (1, 2)
+    none = {r["metric_name"]: r["metric_value"] for r in M.quality_report(silver.where("false"), with_timestamps=False).collect()}
+    assert (none["gold_catalog_rows"], none["duplicate_medicine_rows_removed"]) == (0, 0)

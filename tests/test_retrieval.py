@@ -1,5 +1,7 @@
 """Retrieval operators against brute force and the rerank fixture."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -46,14 +48,12 @@ def test_split_recursive_small():
     assert all(len(p) <= 100 for p in parts) and len(parts) > 20
 
 
-def test_contains_any_brute_force(spark):
-    docs = RQ.docs(spark, SF001)
-    bench = RQ.table(spark, SF001, "benchmark")
-    got = {(r["query_id"], r["doc_id"]) for r in R.contains_any(docs, "doc_id", "text", bench, "item_id", "text").collect()}
-    d = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    b = [(r["item_id"], r["text"]) for r in bench.collect()]
-    want = {(i, di) for i, bt in b if bt for di, dt in d if dt and bt in dt}
-    assert got == want
+def test_tag_filter_brute_force(spark):
+    tags = [(1, "gingerroot"), (1, "fever"), (2, "ginger"), (3, "mint"), (4, "")]
+    asked = [(7, "Ginger"), (7, "mint!"), (8, "rootx"), (9, ""), (9, None)]
+    got = R.tag_filter(spark.createDataFrame(tags, "doc_id long, tag string"),
+                       spark.createDataFrame(asked, "query_id long, entity string")).collect()
+    assert sorted(map(tuple, got)) == [(7, 1), (7, 2), (7, 3)]
 
 
 def test_dense_topk_brute_force(spark):
@@ -67,55 +67,50 @@ def test_dense_topk_brute_force(spark):
         assert [k for _, k in sims] == [k for _, k in mine]
 
 
-def test_bm25_scan_equals_join(spark):
+def test_bm25_from_stored_index_equals_search(spark):
+    """A question of 1,500 words keeps every term; the stored index is read without an exchange below the limit."""
     docs = RQ.docs(spark, SF001)
-    terms = R.query_terms(RQ.questions(spark, SF001), "query_id")
-    scan = R.bm25_topk_scan(docs, terms).select("query_id", "doc_id", "rank", "score")
-    join = R.bm25_topk(R.postings(docs), terms).select("query_id", "doc_id", "rank", "score")
-    assert scan.exceptAll(join).count() == 0 and join.exceptAll(scan).count() == 0
+    long_text = " ".join(f"w{i}" for i in range(1490)) + " " + " ".join(r["text"] for r in docs.limit(3).collect())
+    q = RQ.questions(spark, SF001).unionByName(spark.createDataFrame([(10**6, long_text)], "query_id long, text string"))
+    terms = R.query_terms(q, "query_id")
+    stored = R.bm25_topk(RQ.stored_index(spark, SF001), terms)
+    fresh = R.bm25_search(docs, terms)
+    assert stored.exceptAll(fresh).count() == 0 and fresh.exceptAll(stored).count() == 0
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "regexp_extract_all" not in plan.split("HashedRelationBroadcastMode")[0]
+    # the exchanges: the questions' distinct terms, and the k best rows of every question
+    assert "hashpartitioning(doc_id" not in plan and not re.search(r"hashpartitioning\(query_id#\d+L, doc_id", plan)
 
 
-def test_hashed_vectors_unit_norm(spark):
-    norms = [r["norm"] for r in RQ.q_hashed_vectors(spark, SF001).collect()]
-    assert all(abs(n - 1.0) < 1e-6 for n in norms if n)
+def test_hashed_vectors_unit_length(spark):
+    v = R.hashed_vectors(RQ.docs(spark, SF001), "doc_id", "text", num_features=1 << 12)
+    bad = v.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).where(F.abs(F.col("n") - 1) > 1e-9)
+    assert bad.count() == 0
 
 
 def test_query_blocks_give_same_results(spark):
-    """Beyond the broadcast bound the query side is processed in hash blocks."""
-    docs = RQ.docs(spark, SF001)
-    terms = R.query_terms(RQ.questions(spark, SF001), "query_id")
-    whole = R.bm25_topk_scan(docs, terms)
-    blocked = R.bm25_topk_scan(docs, terms, max_queries=7)
-    assert whole.exceptAll(blocked).count() == 0 and blocked.exceptAll(whole).count() == 0
+    """Blocks are counted in rows: several vectors of one question may fall into different blocks."""
     emb = RQ.table(spark, SF001, "embeddings")
-    a = R.dense_topk(emb, RQ.probes(spark, SF001), "vec_id", "embedding", "query_id", "qvec")
-    b = R.dense_topk(emb, RQ.probes(spark, SF001), "vec_id", "embedding", "query_id", "qvec", max_queries=3)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    bench = RQ.table(spark, SF001, "benchmark")
-    x = R.contains_any(docs, "doc_id", "text", bench, "item_id", "text")
-    y = R.contains_any(docs, "doc_id", "text", bench, "item_id", "text", max_probes=9)
-    assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
-
-
-def test_fallback_beyond_allowed_bound(spark):
-    docs = RQ.docs(spark, SF001)
-    terms = R.query_terms(RQ.questions(spark, SF001), "query_id")
-    hits = RQ.metadata_hits(spark, SF001)
-    cols = ["query_id", "doc_id", "score", "filtered", "rank"]
-    a = R.bm25_topk_scan(docs, terms, allowed=hits).select(*cols)
-    b = R.bm25_topk_scan(docs, terms, allowed=hits, max_allowed=5).select(*cols)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-
-
-def test_small_score_buffers_same_results(spark, monkeypatch):
-    """Chunked scoring (bounded per-task buffers) gives the unchunked result."""
-    docs = RQ.docs(spark, SF001)
-    terms = R.query_terms(RQ.questions(spark, SF001), "query_id")
+    many = emb.select(F.col("label").cast("long").alias("query_id"), F.col("embedding").alias("qvec")).limit(40)
+    for metric in ("cosine", "euclidean"):
+        a = R.dense_topk(emb, many, "vec_id", "embedding", "query_id", "qvec", metric=metric)
+        b = R.dense_topk(emb, many, "vec_id", "embedding", "query_id", "qvec", metric=metric, max_queries=3)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_dense_topk_odd_vectors(spark):
+    """NULL, all-zero and NaN vectors are neither found nor ask; k rows a question and partition leave the scorer."""
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, 1.0])],
+                                 "id long, v array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], "q long, w array<double>")
+    got = R.dense_topk(docs, asked, "id", "v", "q", "w").collect()
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in got) == [(1, 1, 1), (1, 2, 5)]
+    big = spark.range(3000).select("id", F.array(F.col("id") + 1.0, F.lit(1.0)).alias("v")).repartition(3)
+    parts = R._dense_partials(big, np.array([1, 2]), np.array([[1.0, 0.0], [0.0, 1.0]]), "id", "v", 5, "euclidean", 6)
+    assert parts.count() <= 5 * 2 * max(parts.rdd.getNumPartitions(), 1)
+
+
+def test_empty_question_table(spark):
     emb = RQ.table(spark, SF001, "embeddings")
-    ref_b = R.bm25_topk_scan(docs, terms).collect()
-    ref_d = R.dense_topk(emb, RQ.probes(spark, SF001), "vec_id", "embedding", "query_id", "qvec", metric="euclidean").collect()
-    monkeypatch.setattr(R, "SCORE_BUFFER", 700)
-    got_b = R.bm25_topk_scan(docs, terms).collect()
-    got_d = R.dense_topk(emb, RQ.probes(spark, SF001), "vec_id", "embedding", "query_id", "qvec", metric="euclidean").collect()
-    assert sorted(map(tuple, got_b)) == sorted(map(tuple, ref_b))
-    assert sorted(map(tuple, got_d)) == sorted(map(tuple, ref_d))
+    none = RQ.probes(spark, SF001).where("false")
+    assert R.dense_topk(emb, none, "vec_id", "embedding", "query_id", "qvec").count() == 0

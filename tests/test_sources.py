@@ -61,6 +61,23 @@ def write_csv(path, header, rows):
         w.writerows(rows)
 
 
+def test_csv_header_over_several_lines(spark, tmp_dir):
+    """A header record ends where its last quoted cell closes; no column is lost."""
+    path = os.path.join(tmp_dir, "q.csv")
+    with open(path, "w", encoding="utf-8-sig") as f:
+        f.write('\n"Tên\nthuốc","a ""b""\n\nc",d\n1,2,3\n"4\n4",5,6\n')
+    df = SF.read_csv_files(spark, [path])
+    assert df.columns[:3] == ["t_n_thu_c", "a_b_c", "d"]
+    assert sorted(tuple(r)[:3] for r in df.collect()) == [("1", "2", "3"), ("4\n4", "5", "6")]
+
+
+def test_load_documents_without_accepted_files(spark, tmp_dir):
+    with open(os.path.join(tmp_dir, "a.bin"), "w") as f:
+        f.write("x")
+    docs, rejected = SF.load_documents(spark, tmp_dir)
+    assert docs.count() == 0 and rejected.count() == 1
+
+
 def test_csv_headers_and_schema_union(spark, tmp_dir):
     write_csv(os.path.join(tmp_dir, "a.csv"), ["Tên cây thuốc", "a", "A", ""], [["x", "1", "2", "3"], ["y\nz", "4", "5", "6"]])
     write_csv(os.path.join(tmp_dir, "b.CSV"), ["Tên cây thuốc", "extra"], [["w", "e"]])
@@ -142,7 +159,11 @@ def test_index_and_retrieve(spark):
     from lakesmith.plans import retrieval_queries as RQ
     from conftest import SF001
     idx = J.build_index(RQ.docs(spark, SF001).orderBy("doc_id").limit(200), RQ.herb_lexicon(spark, SF001))
-    out = J.retrieve(RQ.questions(spark, SF001), idx["chunks"]).collect()
+    from lakesmith.operators import retrieval as R
+    terms = R.query_terms(RQ.questions(spark, SF001), "query_id")
+    hits = R.bm25_topk(idx["postings"], terms).withColumnRenamed("doc_id", "chunk_uid")
+    scored = hits.join(idx["chunks"].select("chunk_uid", "text", "source"), "chunk_uid").withColumn("entity_score", F.lit(0))
+    out = J.retrieve(RQ.questions(spark, SF001), scored).collect()
     assert len(out) == 40 and all((r["gate"] == "answer") == (r["n_docs"] > 0) for r in out)
 
 
