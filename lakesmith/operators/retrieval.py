@@ -121,14 +121,29 @@ def query_terms(queries: DataFrame, id_col: str = "item_id", text_col: str = "te
                           F.explode(F.array_distinct(tokens(text_col))).alias("tok"))
 
 
-def bm25_scores(index: DataFrame, terms: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
-                avg_len: float = BM25_AVG_LEN, digits: int = 6) -> DataFrame:
+def _bm25_weight(k1: float = BM25_K1, b: float = BM25_B, avg_len: float = BM25_AVG_LEN) -> Column:
+    return (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.lit(avg_len)))
+
+
+def bm25_scores(index: DataFrame, terms: DataFrame, digits: int = 6) -> DataFrame:
     """BM25 sum per (query, document) over shared terms.  The query terms are broadcast after a size
     check, so the index is streamed; an index partitioned by document (stored buckets, or
     :func:`query_postings`) is aggregated where it lies.  A hot term only lengthens the stream."""
-    weight = (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.lit(avg_len)))
     j = index.join(bounded(terms.select("query_id", "tok").distinct()), "tok")
-    return j.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), digits).alias("score"))
+    return j.groupBy("query_id", "doc_id").agg(F.round(F.sum(_bm25_weight()), digits).alias("score"))
+
+
+def bm25_filter_scores(index: DataFrame, terms: DataFrame, wanted: DataFrame, digits: int = 6) -> DataFrame:
+    """BM25 scores and the metadata filter in one pass: ``allowed`` is true where the document holds one
+    of the tags that the question wants, ``(query_id, tag)``.  Scores and flags are sums over the same
+    posting rows, so no (query, document) pairs are joined."""
+    keys = terms.select("query_id", "tok").distinct().withColumn("term", F.lit(True)).join(
+        wanted.select("query_id", F.col("tag").alias("tok")).distinct().withColumn("wanted", F.lit(True)),
+        ["query_id", "tok"], "full_outer")
+    return (index.join(bounded(keys), "tok").groupBy("query_id", "doc_id")
+            .agg(F.round(F.sum(F.when(F.col("term"), _bm25_weight())), digits).alias("score"),
+                 F.coalesce(F.bool_or("wanted"), F.lit(False)).alias("allowed"))
+            .where(F.col("score").isNotNull()))
 
 
 def bm25_topk(index: DataFrame, terms: DataFrame, k: int = SEARCH_K) -> DataFrame:
@@ -142,15 +157,12 @@ def bm25_search(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     return bm25_topk(query_postings(docs, terms, id_col, text_col), terms, k).withColumnRenamed("doc_id", id_col)
 
 
-def topk_with_fallback(scores: DataFrame, allowed: DataFrame, k: int = SEARCH_K) -> DataFrame:
-    """R7 U5 in one ranking pass: every scored (query, doc) row enters the
-    ``unfiltered`` group and, when it passes the metadata filter, also the
-    ``filtered`` group; top-``k`` per (query, group); a query keeps its
-    filtered list when it has one, else its unfiltered list."""
-    ok = allowed.select("query_id", "doc_id").distinct().withColumn("__ok", F.lit(True))
-    flagged = scores.join(ok, ["query_id", "doc_id"], "left")
-    groups = F.when(F.col("__ok"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-    both = flagged.select("*", F.explode(groups).alias("filtered")).drop("__ok")
+def topk_with_fallback(scores: DataFrame, k: int = SEARCH_K) -> DataFrame:
+    """R7 U5 in one ranking pass over ``(query_id, doc_id, score, allowed)``: every row enters the
+    unfiltered group and, when ``allowed``, also the ``filtered`` group; top-``k`` per (query, group);
+    a query keeps its filtered list when it has one, else its unfiltered list."""
+    groups = F.when(F.col("allowed"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    both = scores.select("query_id", "doc_id", "score", F.explode(groups).alias("filtered"))
     top = top_k_within(both, ["query_id", "filtered"], [F.desc("score"), F.asc("doc_id")], k)
     has = F.max(F.col("filtered").cast("int")).over(Window.partitionBy("query_id"))
     return top.withColumn("__has", has).where(F.col("filtered") | (F.col("__has") == 0)).drop("__has")
@@ -251,20 +263,16 @@ def matching_tags(tags: DataFrame, entities: DataFrame) -> DataFrame:
     return opened.join(asked, "key").select("entity", "tag")
 
 
+def wanted_tags(tags: DataFrame, entities: DataFrame) -> DataFrame:
+    """``(query_id, tag)``: the tags that contain an entity ``(query_id, entity)`` of the question."""
+    return entities.join(matching_tags(tags, entities), "entity").select("query_id", "tag").distinct()
+
+
 def tag_filter(tags: DataFrame, entities: DataFrame) -> DataFrame:
     """``(query_id, doc_id)`` of documents with a tag that contains one of the question's entities.
 
     ``tags`` is ``(doc_id, tag)``, ``entities`` is ``(query_id, entity)``; blank entities match nothing."""
-    wanted = entities.join(matching_tags(tags, entities), "entity").select("query_id", "tag").distinct()
-    return tags.join(bounded(wanted), "tag").select("query_id", "doc_id").distinct()
-
-
-def with_fallback(filtered: DataFrame, unfiltered: DataFrame) -> DataFrame:
-    """The filtered result, plus the unfiltered result of every
-    query that had no filtered hit (``left_anti`` on the query id)."""
-    hit = filtered.select("query_id").distinct()
-    return (filtered.withColumn("filtered", F.lit(True))
-            .unionByName(unfiltered.join(hit, "query_id", "left_anti").withColumn("filtered", F.lit(False))))
+    return tags.join(bounded(wanted_tags(tags, entities)), "tag").select("query_id", "doc_id").distinct()
 
 
 # ----------------------------------------------------------------------------- entity tags / scores

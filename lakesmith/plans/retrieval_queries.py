@@ -74,9 +74,9 @@ def question_terms(spark, d) -> DataFrame:
     return R.query_terms(questions(spark, d), "query_id")
 
 
-def query_entities(spark, d) -> DataFrame:
+def query_entities(spark, d, terms: DataFrame, lex: DataFrame) -> DataFrame:
     """``(query_id, entity, kind)``: the lexicon terms a question names."""
-    return question_terms(spark, d).withColumnRenamed("tok", "term").join(R.bounded(lexicon(spark, d)), "term") \
+    return terms.withColumnRenamed("tok", "term").join(R.bounded(lex), "term") \
         .select("query_id", F.col("term").alias("entity"), "kind")
 
 
@@ -85,17 +85,18 @@ def bm25_hits(spark, d, kind: str = "documents", id_col: str = "doc_id") -> Data
     return R.bm25_topk(stored_index(spark, d, kind), question_terms(spark, d)).withColumnRenamed("doc_id", id_col)
 
 
-def scored_hits(spark, d, hits: DataFrame, corpus: DataFrame, index: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def scored_hits(spark, d, hits: DataFrame, corpus: DataFrame, index: DataFrame, id_col: str = "doc_id",
+                lex: DataFrame | None = None) -> DataFrame:
     """R5 over retrieved (query, doc) pairs: ``k`` rows per question, materialised once; tags come
     from the stored index, the text of the hits from the corpus by key."""
     hits = cut_lineage(hits)
-    lex = R.small(lexicon(spark, d))
+    lex = lex if lex is not None else R.small(lexicon(spark, d))
     wanted = R.bounded(hits.select(id_col).distinct())
     of_kind = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("term"))))
     tags = (index.withColumnsRenamed({"doc_id": id_col, "tok": "term"}).join(wanted, id_col, "left_semi").join(lex, "term")
             .groupBy(id_col).agg(of_kind("herb").alias("herb_tags"), F.array_join(of_kind("disease"), ",").alias("dis")))
     body = corpus.join(wanted, id_col, "left_semi").select(id_col, "source", "text", T.normalize_text("text").alias("content_norm"))
-    asked = question_terms(spark, d).withColumnRenamed("tok", "term").join(lex, "term") \
+    asked = query_entities(spark, d, question_terms(spark, d), lex).withColumnRenamed("entity", "term") \
         .groupBy("query_id").agg(of_kind("herb").alias("herbs"), of_kind("disease").alias("diseases"))
     j = hits.join(body, id_col).join(tags, id_col, "left").join(asked, "query_id", "left")
     disease_tag = F.coalesce(F.nullif(F.col("dis"), F.lit("")), F.lit(R.UNKNOWN_TAG))
@@ -153,19 +154,21 @@ def q_hybrid_rrf(spark, d):
     return R.rrf_fuse([bm25_hits(spark, d), dense], "doc_id").withColumnRenamed("query_id", "item_id")
 
 
-def metadata_hits(spark, d, kind: str = "documents"):
-    """Documents (chunks) whose herb or disease tags hold an entity of the question."""
-    return R.tag_filter(R.tag_rows(stored_index(spark, d, kind), lexicon(spark, d)), query_entities(spark, d))
-
-
-def filtered_hits(spark, d, kind: str = "documents", id_col: str = "doc_id"):
-    """Filtered top-``k``, the unfiltered one where the filter leaves nothing."""
-    scores = R.bm25_scores(stored_index(spark, d, kind), question_terms(spark, d))
-    return R.topk_with_fallback(scores, metadata_hits(spark, d, kind)).withColumnRenamed("doc_id", id_col)
+def filtered_hits(spark, d, kind: str = "documents", id_col: str = "doc_id", lex: DataFrame | None = None):
+    """Filtered top-``k``, the unfiltered one where the filter leaves nothing.  Questions and
+    lexicon are small tables read by several branches, so each is materialised once."""
+    lex = lex if lex is not None else R.small(lexicon(spark, d))
+    terms = R.small(question_terms(spark, d))
+    wanted = R.wanted_tags(lex.select(F.col("term").alias("tag")), query_entities(spark, d, terms, lex))
+    return R.topk_with_fallback(R.bm25_filter_scores(stored_index(spark, d, kind), terms, wanted)) \
+        .withColumnRenamed("doc_id", id_col)
 
 
 def q_metadata_filter(spark, d):
-    return metadata_hits(spark, d).withColumnRenamed("query_id", "item_id")
+    """Documents whose herb or disease tags hold an entity of the question."""
+    lex = R.small(lexicon(spark, d))
+    return R.tag_filter(R.tag_rows(stored_index(spark, d), lex), query_entities(spark, d, question_terms(spark, d), lex)) \
+        .withColumnRenamed("query_id", "item_id")
 
 
 def q_filter_fallback(spark, d):
@@ -264,6 +267,7 @@ def q_retrieve_job(spark, d):
     citations and gate for every question."""
     from lakesmith.plans import jobs
     q = questions(spark, d)
-    hits = filtered_hits(spark, d, "chunks", "chunk_uid")
-    scored = scored_hits(spark, d, hits, chunks(spark, d), stored_index(spark, d, "chunks"), "chunk_uid")
+    lex = R.small(lexicon(spark, d))
+    hits = filtered_hits(spark, d, "chunks", "chunk_uid", lex)
+    scored = scored_hits(spark, d, hits, chunks(spark, d), stored_index(spark, d, "chunks"), "chunk_uid", lex)
     return jobs.retrieve(q, scored).withColumnRenamed("query_id", "item_id")

@@ -48,7 +48,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if current:
         return current.rstrip("/")
     master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if master.startswith("local-cluster") or not master.startswith("local"):
         raise RuntimeError(f"{_CKPT_KEY} must name a shared folder on a cluster")
     folder = tempfile.mkdtemp(prefix="lakesmith-ckpt-")
     spark.conf.set(_CKPT_KEY, folder)
