@@ -13,7 +13,9 @@ witness is then verified by comparing the words.
 Variants are emitted only for lines that can have a partner: of two lines within one edit, either
 the first or the second half is equal, so lines whose half keys are all unique are left out first
 (that loses nothing), and of the rest only deletions in the half that differs are made.  Variant keys
-are mended sums of word hashes, so a line of n words costs n, not n * n.
+are mended sums of word hashes, so a line of n words costs n, not n * n.  A rearrangement with the same
+neighbouring words has the same sum and may stand before the true witness; lines whose witness fails
+the check, and all lines in their buckets, go through a second join on hashes of the whole variants.
 
 Defined results: null text stays null; lines without a word are never dropped; a document of which
 nothing is left has an empty text; rows equal in id and text are treated alike and are not each
@@ -101,6 +103,31 @@ def _neighbourhood(w: Column, mask: Column, kind: str) -> Column:
     return bind(totals, lambda o: keys(o))
 
 
+def _spelled(w: Column, kind: str) -> Column:
+    """``_neighbourhood`` for insertions with hashes over the whole variant (n * n for n words)."""
+    n = F.size(w)
+    if kind == "full":
+        return F.array(F.xxhash64(w))
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, n))))
+
+
+def _insertions(fulls: DataFrame, dels: DataFrame, name: str) -> DataFrame:
+    """``(lid, by)``: lines that equal a deletion variant of another, with the earliest such line."""
+    least_full = materialise(fulls.groupBy("key").agg(F.min("lid").alias("by")), f"{name}-whole-lines")
+    longer = materialise(dels.join(least_full, "key"), f"{name}-insertions")
+    # a whole line equal to a variant of an earlier, longer line
+    least_del = longer.groupBy("key").agg(F.min("lid").alias("by"))
+    return longer.where("by < lid").select("lid", "by").unionAll(
+        fulls.join(least_del, "key").where("by < lid").select("lid", "by"))
+
+
+def _verified(met: DataFrame, told: DataFrame) -> DataFrame:
+    """Lines of ``met`` whose witness differs by one edit in fact."""
+    mine = told.select("lid", F.col("w").alias("a"))
+    theirs = told.select(F.col("lid").alias("by"), F.col("w").alias("b"))
+    return met.join(mine, "lid").join(theirs, "by").where(_same_but_one(F.col("a"), F.col("b"))).select("lid").distinct()
+
+
 def near_lines(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The distinct lines ``(h1, h2)`` that an earlier distinct line matches by one edit."""
     keyed = lines.where(F.col("keys").isNotNull())
@@ -127,17 +154,19 @@ def near_lines(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
                          for kind in ("sub", "del", "full"))
     first = materialise(subs.groupBy("key").agg(F.min("lid").alias("by"), F.max("lid").alias("last"))
                         .where("by < last").select("key", "by"), "substitutions")
-    met = subs.join(first, "key").where("by < lid").select("lid", "by")
-    least_full = materialise(fulls.groupBy("key").agg(F.min("lid").alias("by")), "whole-lines")
-    longer = materialise(dels.join(least_full, "key"), "insertions")
-    met = met.unionAll(longer.where("by < lid").select("lid", "by"))
-    # a whole line equal to a variant of an earlier, longer line
-    least_del = longer.groupBy("key").agg(F.min("lid").alias("by"))
-    met = met.unionAll(fulls.join(least_del, "key").where("by < lid").select("lid", "by"))
-    met = met.groupBy("lid").agg(F.min("by").alias("by"))
-    mine = told.select("lid", F.col("w").alias("a"))
-    theirs = told.select(F.col("lid").alias("by"), F.col("w").alias("b"))
-    sure = met.join(mine, "lid").join(theirs, "by").where(_same_but_one(F.col("a"), F.col("b"))).select("lid").distinct()
+    changed = materialise(subs.join(first, "key").where("by < lid").groupBy("lid").agg(F.min("by").alias("by")), "changed")
+    met = changed.unionAll(_insertions(fulls, dels, "near"))
+    met = materialise(met.groupBy("lid").agg(F.min("by").alias("by")), "witnesses")
+    sure = materialise(_verified(met, told), "verified")
+    failed = materialise(met.join(sure, "lid", "left_anti").select("lid"), "unverified")
+    if not failed.isEmpty():
+        keyed_by = fulls.unionAll(dels)
+        suspect = keyed_by.join(failed, "lid", "left_semi").select("key").distinct()
+        again = materialise(told.join(keyed_by.join(suspect, "key", "left_semi").select("lid").distinct(), "lid", "left_semi"),
+                            "second-look")
+        exact = {k: again.select("lid", F.explode(_spelled(F.col("w"), k)).alias("key")) for k in ("full", "del")}
+        second = changed.join(failed, "lid", "left_semi").unionAll(_insertions(exact["full"], exact["del"], "exact"))
+        sure = sure.unionAll(_verified(second.distinct(), told)).distinct()
     return able.join(sure, "lid").select(*LINE)
 
 

@@ -58,6 +58,14 @@ def test_rules_learn_a_separating_threshold(spark):
     assert rules.learn_rules(df.where("y = 1"), "y", "id", features=("words",)) == []
 
 
+def test_line_dedup_rearranged_witness(spark):
+    """An earlier rearrangement with the same neighbouring words does not hide a true witness."""
+    one, two = "s v a b v c d v e", "s v c d v a b v e"
+    docs = fixture(spark, [(1, two), (2, one), (3, one + " z"), (4, two + " z"), (5, "s v a b v c d e"), (6, "s v c d v a b v x")])
+    got = {r["doc_id"]: r["text"] for r in linededup.drop_repeated_lines(docs).collect()}
+    assert got == {1: two, 2: one, 3: "", 4: "", 5: "", 6: ""}
+
+
 def test_line_dedup_matches_brute_force(spark):
     docs = fixture(spark)
     got = sorted((r["doc_id"] or -1, r["text"] or "", r["key"]) for r in linededup.drop_repeated_lines(docs).collect())
