@@ -111,14 +111,16 @@ def _spelled(w: Column, kind: str) -> Column:
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, n))))
 
 
-def _insertions(fulls: DataFrame, dels: DataFrame, name: str) -> DataFrame:
-    """``(lid, by)``: lines that equal a deletion variant of another, with the earliest such line."""
+def _insertions(fulls: DataFrame, dels: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``(lid, by)``: lines that equal a deletion variant of another, with the earliest such line;
+    and ``(lid, key)`` of the deletion variants that equal a line."""
     least_full = materialise(fulls.groupBy("key").agg(F.min("lid").alias("by")), f"{name}-whole-lines")
     longer = materialise(dels.join(least_full, "key"), f"{name}-insertions")
     # a whole line equal to a variant of an earlier, longer line
     least_del = longer.groupBy("key").agg(F.min("lid").alias("by"))
-    return longer.where("by < lid").select("lid", "by").unionAll(
+    found = longer.where("by < lid").select("lid", "by").unionAll(
         fulls.join(least_del, "key").where("by < lid").select("lid", "by"))
+    return found, longer.select("lid", "key")
 
 
 def _verified(met: DataFrame, told: DataFrame) -> DataFrame:
@@ -155,17 +157,17 @@ def near_lines(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     first = materialise(subs.groupBy("key").agg(F.min("lid").alias("by"), F.max("lid").alias("last"))
                         .where("by < last").select("key", "by"), "substitutions")
     changed = materialise(subs.join(first, "key").where("by < lid").groupBy("lid").agg(F.min("by").alias("by")), "changed")
-    met = changed.unionAll(_insertions(fulls, dels, "near"))
-    met = materialise(met.groupBy("lid").agg(F.min("by").alias("by")), "witnesses")
+    inserted, longer = _insertions(fulls, dels, "near")
+    met = materialise(changed.unionAll(inserted).groupBy("lid").agg(F.min("by").alias("by")), "witnesses")
     sure = materialise(_verified(met, told), "verified")
     failed = materialise(met.join(sure, "lid", "left_anti").select("lid"), "unverified")
     if not failed.isEmpty():
-        keyed_by = fulls.unionAll(dels)
+        keyed_by = fulls.unionAll(longer)  # a deletion variant that equals no line decides nothing
         suspect = keyed_by.join(failed, "lid", "left_semi").select("key").distinct()
         again = materialise(told.join(keyed_by.join(suspect, "key", "left_semi").select("lid").distinct(), "lid", "left_semi"),
                             "second-look")
         exact = {k: again.select("lid", F.explode(_spelled(F.col("w"), k)).alias("key")) for k in ("full", "del")}
-        second = changed.join(failed, "lid", "left_semi").unionAll(_insertions(exact["full"], exact["del"], "exact"))
+        second = changed.join(failed, "lid", "left_semi").unionAll(_insertions(exact["full"], exact["del"], "exact")[0])
         sure = sure.unionAll(_verified(second.distinct(), told)).distinct()
     return able.join(sure, "lid").select(*LINE)
 
