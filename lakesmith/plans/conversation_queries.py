@@ -28,9 +28,9 @@ def pairs(spark, d) -> DataFrame:
     return CV.qa_pairs(conv(spark, d))
 
 
-def sessions_with_keys(spark, d, roles=("user", "assistant")) -> DataFrame:
+def sessions_with_keys(spark, d) -> DataFrame:
     c = conv(spark, d)
-    sessions = c.where(F.col("role").isin(*roles)).select("conv_id", "role").distinct()
+    sessions = c.select("conv_id", "role").distinct()
     users = dense_id(sessions.select("role").distinct(), ["role"], "user_id").withColumnRenamed("role", "username")
     s = sessions.join(users, sessions["role"] == users["username"]).select("conv_id", "user_id")
     return CV.backfill_session_keys(s, users, order=["conv_id"])

@@ -104,10 +104,13 @@ def q_schema_evolution(spark, d):
 
 
 def q_table_roundtrip(spark, d):
-    """Overwrite, register an external table, query it with SQL."""
-    path = ST.write_overwrite(table(spark, d, "part"), scratch_path(spark, "part_table"), observe_rows=True)
+    """Overwrite with the count of written rows, list, register an external table, query it with SQL."""
+    path = scratch_path(spark, "part_table")
+    written = ST.write_counted(table(spark, d, "part"), path)
     name = ST.register_table(spark, "lakesmith", f"part_{uuid.uuid4().hex[:8]}", path)
-    return spark.sql(f"SELECT p_brand, count(*) AS n, round(sum(p_retailprice), 2) AS revenue FROM {name} GROUP BY p_brand")
+    listed = name.split(".")[1] in ST.list_tables(spark, "lakesmith")
+    return spark.sql(f"SELECT p_brand, count(*) AS n, round(sum(p_retailprice), 2) AS revenue FROM {name} GROUP BY p_brand") \
+        .select("*", F.lit(written).cast("long").alias("rows_written"), F.lit(listed).alias("listed"))
 
 
 def q_text_documents(spark, d):

@@ -46,7 +46,7 @@ def run_silver(spark: SparkSession, bronze_path: str, silver_path: str, **silver
         ids = cut_lineage(old.select(name, M.SILVER_ID))
         stable = IN.assign_stable_ids(silver.select(name, M.BRONZE_ID), ids, name, [M.BRONZE_ID], M.SILVER_ID)
         silver = silver.drop(M.SILVER_ID).join(stable, name)
-    ST.write_overwrite(silver, silver_path, observe_rows=True)
+    ST.write_overwrite(silver, silver_path)
     return ST.read_table(spark, silver_path)
 
 
@@ -57,7 +57,7 @@ def run_gold(spark: SparkSession, silver_path: str, gold_root: str, roles: Mappi
     silver = ST.read_table(spark, silver_path)
     out = {}
     for name, df in M.to_gold(silver, roles, dimensions).items():
-        out[name] = ST.write_overwrite(df, f"{gold_root.rstrip('/')}/{name}", observe_rows=True)
+        out[name] = ST.write_overwrite(df, f"{gold_root.rstrip('/')}/{name}")
     return out
 
 

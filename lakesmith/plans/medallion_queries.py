@@ -12,6 +12,7 @@ from lakesmith.functions import text as T
 from lakesmith.operators import medallion as M
 from lakesmith.operators.sequence import dense_id
 from lakesmith.plans.tables import table
+from lakesmith.sources.files import rows_as_documents
 
 PART_ROLES = {
     "medicine_name": "p_name", "bo_phan_dung": "p_type", "cong_dung": "p_brand",
@@ -177,9 +178,8 @@ def q_drop_blank_rows(spark, d):
 
 def q_csv_documents(spark, d):
     """One document per customer row, ``column: value`` lines."""
-    cust = table(spark, d, "customer")
-    lines = [F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in cust.columns]
-    return cust.select("c_custkey", F.concat_ws("\n", *lines).alias("page_content"))
+    return rows_as_documents(table(spark, d, "customer"), source="c_custkey") \
+        .select(F.col("source").alias("c_custkey"), F.col("text").alias("page_content"))
 
 
 def q_source_titles(spark, d):

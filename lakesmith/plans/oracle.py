@@ -431,7 +431,7 @@ def conversation_sql() -> dict[str, str]:
   SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant')"""
     keys = """(SELECT conv_id, role, role || '_' || CAST(row_number() OVER (PARTITION BY role ORDER BY conv_id) AS VARCHAR) AS session_key
-  FROM (SELECT DISTINCT conv_id, role FROM conversations WHERE role IN ('user', 'assistant')))"""
+  FROM (SELECT DISTINCT conv_id, role FROM conversations))"""
     out["qa_pairs"] = f"SELECT * FROM {pairs}"
     out["history_last_n"] = f"""
 SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) - rn + 1 AS pos FROM (
@@ -491,7 +491,7 @@ UNION ALL SELECT 'events', event_id, 'event_type', event_type FROM events WHERE
     out["session_messages"] = "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations"
     out["conversation_job"] = """
 SELECT role AS username, count(DISTINCT conv_id) AS n_sessions, count(DISTINCT conv_id) AS last_session_number, count(*) AS n_turns
-FROM conversations WHERE role IN ('user', 'assistant') GROUP BY role"""
+FROM conversations GROUP BY role"""
     return out
 
 
@@ -514,6 +514,7 @@ SELECT CAST(p_partkey AS VARCHAR) AS part_key, p_name AS name, row_number() OVER
 SELECT p_partkey, p_name, p_brand, CAST(NULL AS VARCHAR) AS p_type, CAST(NULL AS INTEGER) AS p_size, 0 AS _batch_id
 FROM part WHERE p_partkey <= {mid}
 UNION ALL SELECT p_partkey, p_name, NULL, p_type, p_size, 1 FROM part WHERE p_partkey > {mid}""",
-        "table_roundtrip": "SELECT p_brand, count(*) AS n, round(sum(p_retailprice), 2) AS revenue FROM part GROUP BY p_brand",
+        "table_roundtrip": "SELECT p_brand, count(*) AS n, round(sum(p_retailprice), 2) AS revenue, "
+                           "(SELECT count(*) FROM part) AS rows_written, true AS listed FROM part GROUP BY p_brand",
         "text_documents": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL",
     }

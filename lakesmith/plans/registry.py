@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from lakesmith.plans import medallion_queries as MQ
 from lakesmith.plans import retrieval_queries as RQ
 from lakesmith.plans import conversation_queries as CQ
+from lakesmith.plans import derived_queries as DQ
 from lakesmith.plans import ingest_queries as IQ
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for mod in (MQ, RQ, CQ, IQ):
+    for mod in (MQ, RQ, CQ, IQ, DQ):
         for k, v in vars(mod).items():
             if k.startswith("q_") and callable(v):
                 out[k[2:]] = v
@@ -28,4 +29,5 @@ def oracle_queries() -> dict[str, str]:
     out.update(retrieval_sql())
     out.update(conversation_sql())
     out.update(ingest_sql())
+    out.update(DQ.SQL)
     return out

@@ -17,20 +17,19 @@ from pyspark.sql import functions as F
 BATCH_COL = "_batch_id"
 
 
-def write_overwrite(df: DataFrame, path: str, observe_rows: bool = False) -> str:
-    """Replace the table at ``path`` (data and schema).  With
-    ``observe_rows`` the written row count is collected by ``observe`` in the
-    same job (A10) and logged, instead of a second ``count()`` pass."""
-    if observe_rows:
-        obs = Observation("rows_written")
-        df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-        df.write.mode("overwrite").parquet(path)
-        df.sparkSession.conf.set("lakesmith.last_rows_written", str(obs.get["rows"]))
-    else:
-        df.write.mode("overwrite").parquet(path)
+def write_overwrite(df: DataFrame, path: str) -> str:
+    """Replace the table at ``path`` (data and schema)."""
+    df.write.mode("overwrite").parquet(path)
     return path
 
 
+def write_counted(df: DataFrame, path: str) -> int:
+    """``write_overwrite`` that returns the number of rows written, observed in the same job."""
+    rows = Observation("rows_written")
+    write_overwrite(df.observe(rows, F.count(F.lit(1)).alias("rows")), path)
+    return rows.get["rows"]
+
+
 def append_batch(df: DataFrame, path: str, batch_id: str | int) -> str:
     """Append one batch under ``_batch_id``; replaying the same batch
     overwrites only its own partition (idempotent), new columns are allowed."""
