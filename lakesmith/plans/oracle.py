@@ -6,13 +6,17 @@ shared pieces are SQL text fragments, never Spark code.
 
 from __future__ import annotations
 
-from lakesmith.functions.text import (
-    DOSE_RANGE_SEPARATORS,
-    GREETINGS,
-    PUNCTUATION,
-    SOURCE_NAME_OVERRIDES,
-    UNKNOWN_SOURCE,
-)
+# Fixed values, written out here as well: the SQL must not take them from the code it checks.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+UNKNOWN_SOURCE = "Không rõ nguồn"
+UNKNOWN_TAG = "không xác định"
+NEW_CHAT_TITLE = "Cuộc trò chuyện mới"
+NO_ANSWER = "Xin lỗi, tôi chưa có thông tin về vấn đề này trong cơ sở dữ liệu hiện tại."
+RRF_C = 2
+GREETINGS = ("chao", "chao ban", "xin chao", "xin chao ban", "hi", "hello", "hey",
+             "chào", "chào bạn", "xin chào", "xin chào bạn")
+SOURCE_NAME_OVERRIDES = {"cay thuoc thong dung": "Cây thuốc thông dụng", "duoclieutrungcap": "Dược liệu trung cấp",
+                         "so tay thuoc nam": "Sổ tay thuốc Nam"}
 
 WS = r"[\t\n\x0B\f\r\x{85}\p{Z}]+"
 PUNCT = "[" + "".join("\\" + ch if ch in "[]\\^-" else ch for ch in PUNCTUATION) + "]"
@@ -41,7 +45,7 @@ def norm_text(x: str) -> str:
 def dose(x: str) -> tuple[str, str]:
     t = f"replace(lower({x}), ',', '.')"
     num = r"([0-9]+(?:[.][0-9]+)?)"
-    rng = num + r"[ \t\n\r\f]*(?:" + "|".join(DOSE_RANGE_SEPARATORS) + r")[ \t\n\r\f]*" + num
+    rng = num + r"[ \t\n\r\f]*(?:-|–|—|đến|den|to)[ \t\n\r\f]*" + num
     lo = f"regexp_extract({t}, {lit(rng)}, 1)"
     hi = f"regexp_extract({t}, {lit(rng)}, 2)"
     single = f"regexp_extract({t}, {lit(num)}, 1)"
@@ -194,8 +198,9 @@ SELECT doc_id, sha256(concat_ws('||', {clean('text')}, {clean('lang')}, {clean('
     out["first_integer"] = "SELECT doc_id, TRY_CAST(NULLIF(regexp_extract(text, '[0-9]+', 0), '') AS INTEGER) AS stt FROM documents"
     mn, mx = dose("text")
     out["dose_range"] = f"SELECT doc_id, {mn} AS min_g, {mx} AS max_g FROM documents"
-    from lakesmith.plans.medallion_queries import PAGE_FIELD_PATTERNS
-    fields = ", ".join(f"{clean(f'regexp_extract(html, {lit(p)}, 1)')} AS {n}" for n, p in PAGE_FIELD_PATTERNS.items())
+    patterns = {"page_lang": '(?i)lang *= *"([^"]*)"', "page_title": "(?i)<title>([^<]*)",
+                "page_charset": '(?i)charset *= *"?([^";,>]+)'}
+    fields = ", ".join(f"{clean(f'regexp_extract(html, {lit(p)}, 1)')} AS {n}" for n, p in patterns.items())
     out["semantic_fields"] = f"SELECT page_id, {fields} FROM pages"
     out["drop_blank_rows"] = f"""
 SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)
@@ -242,11 +247,8 @@ def qterms_sql() -> str:
 
 
 def bm25_scores_sql(post: str) -> str:
-    from lakesmith.operators.retrieval import BM25_AVG_LEN, BM25_B, BM25_K1
-    k1p = repr(BM25_K1 + 1)
-    one_b = repr(1 - BM25_B)
-    w = (f"(tf * CAST({k1p} AS DOUBLE)) / (tf + CAST({BM25_K1!r} AS DOUBLE) * "
-         f"(CAST({one_b} AS DOUBLE) + CAST({BM25_B!r} AS DOUBLE) * doc_len / CAST({BM25_AVG_LEN!r} AS DOUBLE)))")
+    w = ("(tf * CAST(2.2 AS DOUBLE)) / (tf + CAST(1.2 AS DOUBLE) * "
+         "(CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * doc_len / CAST(256.0 AS DOUBLE)))")
     return f"(SELECT query_id, doc_id, round(sum({w}), 6) AS score FROM {post} p JOIN {qterms_sql()} q USING (tok) GROUP BY 1, 2)"
 
 
@@ -264,7 +266,6 @@ DIS_LEX = lexicon_sql("length(t) = 7")
 
 def scored_sql(hits: str, corpus: str, id_col: str) -> str:
     """(query_id, id, rank, score, source, text, entity_score) over hits."""
-    from lakesmith.operators.retrieval import UNKNOWN_TAG
     nt = norm_text
     return f"""(WITH h AS (SELECT * FROM {hits}),
   c AS (SELECT * FROM {corpus} WHERE {id_col} IN (SELECT {id_col} FROM h)),
@@ -287,12 +288,11 @@ def scored_sql(hits: str, corpus: str, id_col: str) -> str:
 
 
 def rerank_sql(scored: str, tie: str) -> str:
-    from lakesmith.operators.retrieval import ENTITY_WEIGHT, VECTOR_WEIGHT
     return f"""(WITH s AS (SELECT *, max(entity_score) OVER (PARTITION BY query_id) AS mx,
                      count(*) OVER (PARTITION BY query_id) AS n FROM {scored}),
   f AS (SELECT *, CAST(1.0 AS DOUBLE) - CAST(rank - 1 AS DOUBLE) / CAST(greatest(n - 1, 1) AS DOUBLE) AS vr FROM s),
-  g AS (SELECT *, round(CAST({ENTITY_WEIGHT!r} AS DOUBLE) * (CAST(entity_score AS DOUBLE) /
-                  CAST(CASE WHEN mx = 0 THEN 1 ELSE mx END AS DOUBLE)) + CAST({VECTOR_WEIGHT!r} AS DOUBLE) * vr, 9) AS final_score FROM f)
+  g AS (SELECT *, round(CAST(0.55 AS DOUBLE) * (CAST(entity_score AS DOUBLE) /
+                  CAST(CASE WHEN mx = 0 THEN 1 ELSE mx END AS DOUBLE)) + CAST(0.45 AS DOUBLE) * vr, 9) AS final_score FROM f)
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, entity_score DESC, vr DESC, {tie}) AS new_rank FROM g)"""
 
 
@@ -304,14 +304,12 @@ def title_sql(x: str) -> str:
 
 
 def context_sql(ranked: str) -> str:
-    from lakesmith.operators.retrieval import DOC_SEPARATOR, DOC_TEMPLATE
-    body = f"{lit(DOC_TEMPLATE[0])} || text || {lit(DOC_TEMPLATE[1])} || {title_sql('source')} || {lit(DOC_TEMPLATE[2])}"
-    return (f"SELECT query_id AS item_id, string_agg({body}, {lit(DOC_SEPARATOR)} ORDER BY new_rank) AS context, "
+    body = f"'Nội dung: ' || text || chr(10) || 'Nguồn trích dẫn: ' || {title_sql('source')} || chr(10) || '---'"
+    return (f"SELECT query_id AS item_id, string_agg({body}, chr(10) || chr(10) ORDER BY new_rank) AS context, "
             f"count(*) AS n_docs FROM {ranked} GROUP BY query_id")
 
 
 def retrieval_sql() -> dict[str, str]:
-    from lakesmith.operators.retrieval import NO_ANSWER, RRF_C, UNKNOWN_TAG
     from lakesmith.plans.retrieval_queries import ACCENTED, UNACCENTED
     out: dict[str, str] = {}
     post = postings_sql("documents")
@@ -424,8 +422,6 @@ def short_title_sql(x: str, n: int = 48) -> str:
 
 def conversation_sql() -> dict[str, str]:
     from lakesmith.functions.text import DISEASE_ENTITY_PREFIXES
-    from lakesmith.operators.conversations import NEW_CHAT_TITLE
-    from lakesmith.plans.conversation_queries import ALLOWED_EVENT_TYPES
     out: dict[str, str] = {}
     pairs = """(SELECT conv_id, turn, text AS user_query, nt AS ai_response FROM (
   SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations
@@ -475,7 +471,7 @@ WITH s AS (SELECT c.conv_id, coalesce(x.title, {lit(NEW_CHAT_TITLE)}) AS title
            FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN {first('system')} x USING (conv_id))
 SELECT s.conv_id, CASE WHEN s.title = {lit(NEW_CHAT_TITLE)} THEN coalesce(u.title, s.title) ELSE s.title END AS title
 FROM s LEFT JOIN {first('user')} u USING (conv_id)"""
-    allowed = ", ".join(lit(x) for x in ALLOWED_EVENT_TYPES)
+    allowed = "'view', 'click', 'signup', 'purchase'"
     out["domain_violations"] = f"""
 SELECT 'labels' AS table_name, doc_id AS row_key, 'quality' AS column_name, CAST(quality AS VARCHAR) AS value FROM labels WHERE quality IS NULL OR quality NOT IN (0, 1)
 UNION ALL SELECT 'labels', doc_id, 'toxic', CAST(toxic AS VARCHAR) FROM labels WHERE toxic IS NULL OR toxic NOT IN (0, 1)
