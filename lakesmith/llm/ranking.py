@@ -5,8 +5,9 @@ bad labelled document) give the logistic loss ``log(1 + exp(-w . (x_good - x_bad
 differences.  The threshold is a quantile of the training scores (the share of bad ones), and scores
 are squashed to (0, 1) so that the threshold falls on ``cut``.
 
-The fit uses a bounded, documented sample of labelled rows (``fit_rows`` of each label, smallest key
-hash); everything else, scaling of all documents included, runs in column expressions.
+Only the weights are fitted on a bounded, documented sample of labelled rows (``fit_rows`` of each
+label, smallest key hash).  Means, scales, the bad share, its exact quantile and the spread are
+aggregates over all labelled rows; scoring runs in column expressions.
 
 Defined results: null and blank texts are scored by their (zero) statistics like any other; repeated
 rows get equal scores; without labels of both kinds every score is 0.5; extra columns are left alone.
@@ -21,7 +22,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakesmith.llm.common import bit_filter, materialise, may_contain
 from lakesmith.llm.rules import ratio_columns, with_stats
+from lakesmith.operators.sequence import sequence_within
 
 #: Smooth features of the ratios: logarithms of counts, and squares so that both too low and too
 #: high values of a ratio can count against a text.
@@ -51,15 +54,18 @@ class Ranker:
     spread: float
     cut: float
 
+    def strength(self, features: Column) -> Column:
+        """The linear score before threshold and spread."""
+        per = [w / s for w, s in zip(self.weights, self.scale)]
+        shift = sum(m * p for m, p in zip(self.mean, per))
+        return F.aggregate(F.zip_with(features, F.array(*[F.lit(float(p)) for p in per]), lambda x, p: x * p),
+                           F.lit(-float(shift)), lambda a, x: a + x)
+
     def score(self, features: Column) -> Column:
         """Score in (0, 1); a document at the threshold scores exactly ``cut``."""
         if not self.weights:
             return F.lit(0.5)
-        per = [w / s for w, s in zip(self.weights, self.scale)]
-        shift = sum(m * p for m, p in zip(self.mean, per))
-        dot = F.aggregate(F.zip_with(features, F.array(*[F.lit(float(p)) for p in per]), lambda x, p: x * p),
-                          F.lit(-float(shift)), lambda a, x: a + x)
-        z = (dot - self.threshold) / self.spread + float(np.log(self.cut / (1 - self.cut)))
+        z = (self.strength(features) - self.threshold) / self.spread + float(np.log(self.cut / (1 - self.cut)))
         return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
 
 
@@ -76,12 +82,9 @@ def preference_pairs(label: np.ndarray, rounds: int) -> tuple[np.ndarray, np.nda
     return np.concatenate(g), np.concatenate(b)
 
 
-def fit(x: np.ndarray, label: np.ndarray, cut: float = 0.3, rounds: int = 4, steps: int = 400,
-        rate: float = 0.5, ridge: float = 1e-3) -> Ranker:
+def fit_weights(x: np.ndarray, label: np.ndarray, mean: np.ndarray, scale: np.ndarray, rounds: int = 4,
+                steps: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> np.ndarray:
     """Full-batch gradient steps with momentum on the pairwise logistic loss."""
-    if not (label == 1).any() or not (label == 0).any():
-        return Ranker((), (), (), 0.0, 1.0, cut)
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     z = np.clip((x - mean) / scale, -8, 8)
     g, b = preference_pairs(label, rounds)
     diff = z[g] - z[b]
@@ -92,31 +95,57 @@ def fit(x: np.ndarray, label: np.ndarray, cut: float = 0.3, rounds: int = 4, ste
         grad = -(diff * p[:, None]).mean(axis=0) + ridge * w
         speed = 0.9 * speed - rate * 0.1 * grad
         w = w + speed
-    raw = ((x - mean) / scale) @ w
-    threshold = float(np.quantile(raw, float((label == 0).mean())))
-    spread = float(max(np.std(raw), 1e-9) / 2)
-    return Ranker(tuple(map(float, mean)), tuple(map(float, scale)), tuple(map(float, w)), threshold, spread, cut)
+    return w
 
 
-def learn_ranker(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 label_col: str = "quality", usable: Column | None = None, fit_rows: int = 8000, **kw) -> Ranker:
-    """Fit on at most ``fit_rows`` labelled documents of each label (of several labels of one id the
-    lowest holds).  The chosen ids, bounded by ``2 * fit_rows``, are broadcast to the texts."""
+def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
+                      usable: Column | None) -> DataFrame:
+    """``(__id, __label, x)`` of all usable labelled documents (of several labels of one id the lowest
+    holds).  A bitmap over the ids leaves out other texts before their statistics are taken; what is
+    shuffled are features, not texts."""
     one = labels.where(F.col(label_col).isin(0, 1))
     if usable is not None:
         one = one.where(usable)
     one = one.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label")).where("__id is not null")
-    chosen = None
-    for v in (0, 1):
-        part = one.where(F.col("__label") == v).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
-        chosen = part if chosen is None else chosen.unionAll(part)
-    x = (docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-         .join(F.broadcast(chosen), "__id").select("__label", "__text"))
-    got = with_features(x, "__text", "x").limit(4 * fit_rows).toPandas()
-    if got.empty:
-        return Ranker((), (), (), 0.0, 1.0, kw.get("cut", 0.3))
-    order = np.lexsort(np.stack(got["x"].to_list()).T)  # row order must not depend on task order
-    return fit(np.stack(got["x"].to_list())[order], got["__label"].to_numpy()[order], **kw)
+    some = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__id is not null")
+    some = may_contain(some, F.xxhash64("__id"), bit_filter(one.select(F.xxhash64("__id").alias("h")), "h"), "__may")
+    x = with_features(some.where("__may").drop("__may"), "__text", "x")
+    return materialise(x.join(one, "__id").select("__id", "__label", "x"), "labelled-features")
+
+
+def exact_quantile(rows: DataFrame, value: str, share: float, n: int) -> float:
+    """Linear-interpolation quantile of ``n`` values: the two ranked rows around it."""
+    at = share * (n - 1)
+    lo, hi = int(np.floor(at)), int(np.ceil(at))
+    ranked = sequence_within(rows.select(value, F.monotonically_increasing_id().alias("__tie")), [], [value, "__tie"], name="__r")
+    got = {r["__r"] - 1: r[value] for r in ranked.where(F.col("__r").isin(lo + 1, hi + 1)).select("__r", value).collect()}
+    return float(got[lo] + (got[hi] - got[lo]) * (at - lo))
+
+
+def learn_ranker(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 label_col: str = "quality", usable: Column | None = None, fit_rows: int = 8000, cut: float = 0.3,
+                 **kw) -> Ranker:
+    """Weights from at most ``fit_rows`` labelled rows of each label; all else from every labelled row."""
+    rows = labelled_features(docs, labels, id_col, text_col, label_col, usable)
+    width = 2 * len(NAMES)  # logs and ratios, and a square or root of each
+    x = [F.col("x")[i] for i in range(width)]
+    s = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__label") == 0).alias("bad"),
+                 *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(x)]).first()
+    if s["bad"] in (0, s["n"]):
+        return Ranker((), (), (), 0.0, 1.0, cut)
+    # nine digits: the last ones depend on the order in which tasks are summed
+    mean = np.array([float(f"{s[f'm{i}']:.9g}") for i in range(width)])
+    scale = np.array([max(float(f"{s[f's{i}']:.9g}"), 1e-9) for i in range(width)])
+    got = [r for v in (0, 1) for r in rows.where(F.col("__label") == v).orderBy(F.xxhash64("__id"), "__id", "x")
+           .limit(fit_rows).select("__label", "x").collect()]
+    sample, label = np.array([r["x"] for r in got]), np.array([r["__label"] for r in got])
+    order = np.lexsort(sample.T)
+    w = fit_weights(sample[order], label[order], mean, scale, **kw)
+    bare = Ranker(tuple(map(float, mean)), tuple(map(float, scale)), tuple(map(float, w)), 0.0, 1.0, cut)
+    raw = materialise(rows.select(bare.strength(F.col("x")).alias("raw")), "labelled-strengths")
+    threshold = exact_quantile(raw, "raw", s["bad"] / s["n"], s["n"])
+    spread = max(raw.agg(F.stddev_pop("raw")).first()[0], 1e-9) / 2
+    return Ranker(bare.mean, bare.scale, bare.weights, threshold, float(spread), cut)
 
 
 def score_documents(docs: DataFrame, ranker: Ranker, text_col: str = "text", out_col: str = "score",

@@ -226,3 +226,15 @@ def test_pipeline_keeps_columns_and_clean_rows(spark):
     assert x.columns == docs.columns and len(kept & bad) <= 0.1 * max(len(bad), 10)
     z = P.jaccard_dedup(spark, fixture(spark), "")
     assert sorted(r["doc_id"] or -1 for r in z.collect()) == sorted([-1, 4, 5, 6, 7, 9, 10, 11, 12, 13, 14, 15, 16])
+
+
+def test_ranker_statistics_cover_all_labelled_rows(spark):
+    """A small fit sample moves neither the bad share, its quantile, nor mean and scale."""
+    docs = fixture(spark, [(i, " ".join(f"w{i}x{j}" if j % 7 else "## $" for j in range(10 + i % 37 + (20 if i % 10 else 0)))
+                            + f" {'é' * (i % 13)}{i}") for i in range(200)])
+    labels = spark.createDataFrame([(i, 1 if i % 10 else 0) for i in range(200)], "doc_id long, quality int")
+    all_of_them, few = ranking.learn_ranker(docs, labels), ranking.learn_ranker(docs, labels, fit_rows=12)
+    assert few.mean == pytest.approx(all_of_them.mean) and few.scale == pytest.approx(all_of_them.scale)
+    for r in (all_of_them, few):
+        s = [x["score"] for x in ranking.score_documents(docs, r).collect()]
+        assert sum(v < 0.3 for v in s) == 20
