@@ -158,18 +158,20 @@ def _verify(size: int, threshold: float, meet: list[float]):
         node = node[order]
         copies = table.column("copies").to_numpy()[order]
         side = table.column("block").to_numpy()[order]
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
+        if not len(left) or not len(right):  # the other block is empty: its diagonal pair has all links
+            return schema.empty_table()
         sets: list = [None] * len(node)
         text = table.column("text").take(pa.array(order))
         for first, data, offsets in text_slices(text):
             for i, s in enumerate(shingle_sets(data, offsets, size)):
                 sets[first + i] = s
         n = np.array([len(s) for s in sets], dtype=np.float32)
-        left = np.flatnonzero(side == side.min())
-        right = np.flatnonzero(side == side.max())
         inter = intersections([sets[i] for i in left], [sets[i] for i in right])
         jac = inter / np.maximum(n[left][:, None] + n[right][None, :] - inter, 1)
         linked = jac >= threshold - 1e-6
-        one = side.min() == side.max()
+        one = low == high
         if one:
             np.fill_diagonal(linked, False)
         links = np.zeros(len(node), dtype=np.int64)
@@ -203,9 +205,9 @@ def verified(candidates: DataFrame, classes: DataFrame, texts: DataFrame, size:
     t = texts.withColumnsRenamed({"d": "td", "th": "tth"})
     m = m.join(t, F.col("d").eqNullSafe(F.col("td")) & (F.col("th") == F.col("tth"))).dropDuplicates(["node"])
     m = m.select("root", "node", "copies", "block", "text", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    m = m.select(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("pair"),
+    m = m.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
                  "node", "copies", "block", "text")
-    return m.groupBy("pair").applyInArrow(
+    return m.groupBy("root", "low", "high").applyInArrow(
         lambda table: _verify(size, threshold, meet)(table),
         "node long, links long, kin long, weighed double, pairs long")
 

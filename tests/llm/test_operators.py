@@ -238,3 +238,20 @@ def test_ranker_statistics_cover_all_labelled_rows(spark):
     for r in (all_of_them, few):
         s = [x["score"] for x in ranking.score_documents(docs, r).collect()]
         assert sum(v < 0.3 for v in s) == 20
+
+
+def test_links_of_long_copies_with_an_empty_block(spark):
+    """Few long members leave blocks empty; a pair with an empty side adds no link twice."""
+    rows = [(k * 10 + i, " ".join(f"k{k}v{j}" for j in range(200)) + f" end{i}") for k in range(8) for i in range(2)]
+    docs = fixture(spark, rows)
+    sk = neardup.sketch(docs, "doc_id", "text", 5, 20, 8)
+    classes = sk.select("node", "n", F.lit(1).cast("long").alias("copies"), "d", "th")
+    first = sk.groupBy(F.floor(F.col("d") / 10).alias("k")).agg(F.min("node").alias("root"))
+    members = sk.join(first, F.floor(F.col("d") / 10) == F.col("k")).select("node", "root")
+    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), "text")
+    got = neardup.verified(members, classes, texts, 5, 0.8, [1.0] * 201, block_shingles=200).collect()
+    links, pairs = {}, 0
+    for r in got:
+        links[r["node"]] = links.get(r["node"], 0) + r["links"]
+        pairs += r["pairs"]
+    assert len(links) == 16 and set(links.values()) == {1} and pairs == 8
