@@ -15,8 +15,8 @@ of bounded size (a broadcast each); every block meets all documents in one narro
 shuffled.
 
 Defined results: null and blank texts match nothing; an item or document of fewer than ``size``
-words has no shingle and matches nothing; repeated rows and equal items are all reported; an empty
-table on either side gives no match; other columns are not read.
+words has no shingle and matches nothing; repeated rows and equal items are all reported, items
+of null id with a null ``item``; an empty table on either side gives no match; other columns are not read.
 """
 
 from __future__ import annotations
@@ -141,10 +141,10 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     ``threshold`` of the distinct shingles occur in the document."""
     spark = docs.sparkSession
     it = materialise(shingled(items, item_id_col, item_text_col, size), "items")
-    sized = cumulative_sum_within(it.select("id", "n", F.xxhash64("s").alias("k")), [], ["id", "k"], "n", "__cum")
-    blocks = sized.select(F.col("id"), F.col("k"), F.floor((F.col("__cum") - F.col("n")) / block_shingles).alias("block"))
-    it = it.withColumn("k", F.xxhash64("s")).join(blocks.distinct(), ["id", "k"])
-    top = blocks.agg(F.max("block")).first()[0]
+    # every row carries its own block: null ids and equal items need no join
+    sized = cumulative_sum_within(it.withColumn("k", F.xxhash64("s")), [], ["id", "k"], "n", "__cum")
+    it = materialise(sized.select("id", "s", F.floor((F.col("__cum") - F.col("n")) / block_shingles).alias("block")), "item-blocks")
+    top = it.agg(F.max("block")).first()[0]
     kind, item_kind = (x.schema[c].dataType.simpleString() for x, c in ((docs, id_col), (items, item_id_col)))
     schema = f"id {kind}, item {item_kind}, shared long, item_shingles long"
     out = spark.createDataFrame([], schema)

@@ -255,3 +255,11 @@ def test_links_of_long_copies_with_an_empty_block(spark):
         links[r["node"]] = links.get(r["node"], 0) + r["links"]
         pairs += r["pairs"]
     assert len(links) == 16 and set(links.values()) == {1} and pairs == 8
+
+
+def test_decontamination_finds_items_of_null_id(spark):
+    items = [(None, " ".join(f"word{i}" for i in range(20, 45))), (7, " ".join(f"word{i}" for i in range(3, 30)))]
+    it = spark.createDataFrame(items + items[:1], "item_id long, text string")
+    for block in (1 << 20, 10):
+        got = [(r["item"], r["shared"]) for r in decontaminate.find_items(fixture(spark), it, block_shingles=block).collect() if r["id"] == 1]
+        assert sorted(got, key=str) == [(7, 23), (None, 21), (None, 21)]
