@@ -122,23 +122,23 @@ class Centroids:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         usable: Column | None = None, bits: int = 12, centroids: int = 4, fit_rows: int = 400,
-        max_langs: int = 200, reject_share: float = 0.01) -> Centroids:
-    """Learn from rows with a language for which ``usable`` holds.  ``fit_rows`` a language (at most
-    ``max_langs`` languages, the commonest) bound what reaches the driver; the frequencies of
-    n-grams come from every usable row."""
+        reject_share: float = 0.01) -> Centroids:
+    """Learn every language of the rows for which ``usable`` holds.  Each is fitted in a task of its
+    own on at most ``fit_rows`` ids; only centroids reach the driver.  The frequencies of n-grams
+    come from every usable row."""
+    spark = docs.sparkSession
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if usable is not None:
         rows = rows.where(usable)
     df, n = document_frequencies(rows, text_col, bits)
-    idf = np.log((n + 1) / (df + 1)) + 1
-    known = [r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_langs).collect()]
+    shared = spark.sparkContext.broadcast(np.log((n + 1) / (df + 1)) + 1)
     by = Window.partitionBy("l").orderBy("k", "i")
     ids = (rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.xxhash64(id_col).alias("k"))
-           .where(F.col("l").isin(known) & F.col("i").isNotNull()).withColumn("r", F.row_number().over(by)).where(F.col("r") <= fit_rows))
+           .where(F.col("i").isNotNull()).withColumn("r", F.row_number().over(by)).where(F.col("r") <= fit_rows))
     sample = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).join(
         F.broadcast(ids.select("i", "l")), ["i", "l"])
 
-    def sparse(batches):  # n-gram counts, not texts, reach the driver: bounded by 2**bits a text
+    def sparse(batches):  # n-gram counts, not texts, are shuffled: bounded by 2**bits a text
         for b in batches:
             out = []
             for i, lang, t in zip(*(b.column(j).to_pylist() for j in range(3))):
@@ -148,27 +148,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     out.append({"l": lang, "i": i, "at": hit.tolist(), "n": c[hit].tolist()})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(
                 [("l", pa.string()), ("i", pa.int64()), ("at", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
-    got = (sample.select(F.col("i").cast("long"), "l", "t")
-           .mapInArrow(sparse, "l string, i long, at array<long>, n array<long>").collect())
-    by_lang: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: (r["l"], r["i"])):
-        c = np.zeros(1 << bits, dtype=np.int64)
-        c[r["at"]] = r["n"]
-        by_lang.setdefault(r["l"], []).append(vector(c, idf))
-    langs: list[str] = []
-    parts, floors = [], []
-    for lang in sorted(by_lang):
-        x = np.stack(by_lang[lang])
+
+    def learn(table: pa.Table) -> pa.Table:
+        idf, own = shared.value, []
+        for r in sorted(table.to_pylist(), key=lambda r: r["i"]):
+            c = np.zeros(1 << bits, dtype=np.int64)
+            c[r["at"]] = r["n"]
+            own.append(vector(c, idf))
+        x = np.stack(own)
         m = spherical_kmeans(x, centroids)
         sim = x @ m.T
         near = np.argmax(sim, axis=1)
-        for j in range(len(m)):
-            own = sim[near == j, j]
-            parts.append(m[j])
-            langs.append(lang)
-            floors.append(float(np.quantile(own, reject_share)) if len(own) else 1.0)
-    matrix = np.stack(parts) if parts else np.zeros((0, 1 << bits))
-    return Centroids(bits, idf, tuple(langs), matrix, np.array(floors))
+        floors = [float(np.quantile(sim[near == j, j], reject_share)) if (near == j).any() else 1.0 for j in range(len(m))]
+        lang = table.column("l")[0].as_py()
+        return pa.table([pa.array([lang] * len(m)), pa.array(range(len(m)), pa.int32()), pa.array(floors, pa.float64()),
+                         pa.array([c.astype("<f8").tobytes() for c in m], pa.binary())], names=["l", "j", "floor", "c"])
+    got = (sample.select(F.col("i").cast("long"), "l", "t")
+           .mapInArrow(sparse, "l string, i long, at array<long>, n array<long>")
+           .groupBy("l").applyInArrow(learn, "l string, j int, floor double, c binary").collect())
+    got = sorted(got, key=lambda r: (r["l"], r["j"]))
+    matrix = np.stack([np.frombuffer(r["c"], "<f8") for r in got]) if got else np.zeros((0, 1 << bits))
+    return Centroids(bits, shared.value, tuple(r["l"] for r in got), matrix, np.array([r["floor"] for r in got]))
 
 
 def predict(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

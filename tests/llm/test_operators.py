@@ -263,3 +263,12 @@ def test_decontamination_finds_items_of_null_id(spark):
     for block in (1 << 20, 10):
         got = [(r["item"], r["shared"]) for r in decontaminate.find_items(fixture(spark), it, block_shingles=block).collect() if r["id"] == 1]
         assert sorted(got, key=str) == [(7, 23), (None, 21), (None, 21)]
+
+
+def test_every_language_has_centroids(spark):
+    """No cap on languages: 230 of them, one text each."""
+    rows = [(i, f"l{i:03}", " ".join(chr(0x4E00 + 40 * i + j) * 2 for j in range(30))) for i in range(230)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit(docs)
+    assert set(model.langs) == {r[1] for r in rows}
+    assert {(r["doc_id"], r["lang_pred"]) for r in langid.predict(docs, model).collect()} == {(r[0], r[1]) for r in rows}
