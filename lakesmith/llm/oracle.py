@@ -109,3 +109,83 @@ SELECT d.doc_id, (SELECT min(root) FROM r WHERE r.id = d.doc_id) AS class_id, co
        (SELECT count(*) FROM k WHERE k.i = d.doc_id) AS n_links
 FROM documents d LEFT JOIN n ON n.id = d.doc_id LEFT JOIN c ON c.gs = n.gs
 """
+
+SQL["op11_merkle_manifest"] = """
+WITH RECURSIVE f AS (
+  SELECT *, concat(CASE WHEN doc_id IS NULL THEN '-' ELSE octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id END,
+    CASE WHEN source IS NULL THEN '-' ELSE octet_length(encode(source)) || ':' || source END,
+    CASE WHEN lang IS NULL THEN '-' ELSE octet_length(encode(lang)) || ':' || lang END,
+    CASE WHEN n_chars IS NULL THEN '-' ELSE octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars END) AS head,
+    replace(text, chr(10), '') AS cut FROM documents),
+b AS (SELECT DISTINCT doc_id, CAST(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS BIGINT) AS crc
+  FROM documents WHERE doc_id IS NOT NULL),
+a AS (SELECT f.doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(text)) || ':' || text END) AS leaf,
+    CASE WHEN crc % 2 = 1 THEN sha256(head || CASE WHEN cut IS NULL THEN '-' ELSE octet_length(encode(cut)) || ':' || cut END) END AS bad
+  FROM f LEFT JOIN b USING (doc_id)),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM a),
+t(source, lvl, i, h) AS (SELECT source, 0, i, leaf FROM l UNION ALL
+  SELECT source, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, max(i) OVER (PARTITION BY source) AS m FROM t)
+  WHERE m > 0 GROUP BY source, lvl, i // 3),
+s AS (SELECT source, max_by(h, lvl) AS subroot, max(lvl) AS depth, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS p
+  FROM t WHERE i = 0 GROUP BY source),
+u(lvl, i, h) AS (SELECT 0, p, subroot FROM s UNION ALL
+  SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, max(i) OVER () AS m FROM u) WHERE m > 0 GROUP BY lvl, i // 3),
+r AS (SELECT max_by(h, lvl) AS root, max(lvl) AS above FROM u WHERE i = 0),
+w(source, i, lvl, pos, folded, sib) AS (SELECT source, i, 0, i, coalesce(bad, leaf), '' FROM l UNION ALL
+  SELECT w.source, w.i, w.lvl + 1, w.pos // 3,
+    sha256(coalesce(x0, folded) || CASE WHEN w.pos % 3 = 1 THEN folded ELSE coalesce(x1, '') END || CASE WHEN w.pos % 3 = 2 THEN folded ELSE coalesce(x2, '') END),
+    sib || coalesce(x0, '') || CASE WHEN w.pos % 3 = 1 THEN '' ELSE coalesce(x1, '') END || CASE WHEN w.pos % 3 = 2 THEN '' ELSE coalesce(x2, '') END
+  FROM w JOIN s ON s.source IS NOT DISTINCT FROM w.source JOIN (
+    SELECT source, lvl, i // 3 AS run, max(h) FILTER (i % 3 = 0) AS h0, max(h) FILTER (i % 3 = 1) AS x1, max(h) FILTER (i % 3 = 2) AS x2 FROM t GROUP BY ALL) k
+    ON k.source IS NOT DISTINCT FROM w.source AND k.lvl = w.lvl AND k.run = w.pos // 3,
+    LATERAL (SELECT CASE WHEN w.pos % 3 = 0 THEN NULL ELSE h0 END AS x0) WHERE w.lvl < s.depth),
+z(source, i, lvl, pos, folded, sib) AS (SELECT w.source, w.i, 0, s.p, folded, sib FROM w JOIN s ON s.source IS NOT DISTINCT FROM w.source AND w.lvl = s.depth
+  UNION ALL
+  SELECT z.source, z.i, z.lvl + 1, z.pos // 3,
+    sha256(coalesce(x0, folded) || CASE WHEN z.pos % 3 = 1 THEN folded ELSE coalesce(x1, '') END || CASE WHEN z.pos % 3 = 2 THEN folded ELSE coalesce(x2, '') END),
+    sib || coalesce(x0, '') || CASE WHEN z.pos % 3 = 1 THEN '' ELSE coalesce(x1, '') END || CASE WHEN z.pos % 3 = 2 THEN '' ELSE coalesce(x2, '') END
+  FROM z JOIN (SELECT lvl, i // 3 AS run, max(h) FILTER (i % 3 = 0) AS h0, max(h) FILTER (i % 3 = 1) AS x1, max(h) FILTER (i % 3 = 2) AS x2 FROM u GROUP BY ALL) k
+    ON k.lvl = z.lvl AND k.run = z.pos // 3,
+    LATERAL (SELECT CASE WHEN z.pos % 3 = 0 THEN NULL ELSE h0 END AS x0), r WHERE z.lvl < r.above)
+SELECT l.doc_id, l.leaf, s.subroot, r.root, sha256(z.sib) AS proof_sha256, z.folded AS folded_root, z.folded = r.root AS verified
+FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source CROSS JOIN r
+JOIN z ON z.source IS NOT DISTINCT FROM l.source AND z.i = l.i AND z.lvl = r.above
+"""
+
+SQL["op12_bitsliced_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q,
+                  row_number() OVER () AS r FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, a.r AS qr, b.vec_id, b.r,
+             CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0 AND b.vec_id IS NOT NULL),
+k AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10
+"""
+
+SQL["op13_filter_interaction"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+g AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+e AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+w AS (SELECT d.*, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+x AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+        len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+        100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+        regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > e.first, false)] AS fails
+      FROM w JOIN e USING (t) LEFT JOIN g USING (doc_id)),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM x GROUP BY ALL),
+f AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+r AS (SELECT part, p, n, good, toxic, fails, list_position(list_transform(p, lambda i: fails[i]), true) AS step FROM m, o),
+s AS (SELECT part, p, k.i AS step, p[k.i] AS filter,
+             CAST(sum(n) FILTER (step IS NULL OR step > k.i) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (step = k.i), 0) AS BIGINT) AS removed,
+             CAST(coalesce(sum(n) FILTER (step < k.i AND fails[p[k.i]]), 0) AS BIGINT) AS redundant,
+             CAST(coalesce(sum(n) FILTER (fails[p[k.i]] AND len(list_filter(fails, lambda y: y)) = 1), 0) AS BIGINT) AS unique_fails,
+             CAST(coalesce(sum(good) FILTER (step = k.i), 0) AS BIGINT) AS good_lost,
+             CAST(coalesce(sum(toxic) FILTER (step = k.i), 0) AS BIGINT) AS toxic_lost
+      FROM r, f k GROUP BY part, p, k.i)
+SELECT part, array_to_string(list_transform(p, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, CAST(step AS INTEGER) AS step,
+       coalesce(kept, 0) AS kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM s
+"""

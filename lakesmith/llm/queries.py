@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesmith.llm import chat, classlm, decontaminate, langid, linededup, mixing, neardup, ranking, rules, warc
+from lakesmith.llm import (bitslice, chat, classlm, decontaminate, interaction, langid, linededup, merkle, mixing, neardup,
+                           ranking, rules, warc)
 from lakesmith.llm.common import fold_of
 
 
@@ -99,6 +100,26 @@ def op10_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.try_element_at("__positions", F.lit(1)), 6).alias("first_position")).orderBy("first_position", "doc_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verification of every document; in one half of the ids the text's line ends are
+    deleted before the root is computed again."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    leaves = merkle.leaf_rows(read(spark, sf_dir, "documents"), fields, "doc_id", "source",
+                              altered={"text": F.replace("text", F.lit("\n"), F.lit(""))}, where=fold_of(F.col("doc_id"), 2) == 0)
+    return merkle.prove(merkle.manifest(leaves)).withColumnRenamed("id", "doc_id")
+
+
+def op12_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors by integer inner product, of every vector whose id 100 divides."""
+    rows = bitslice.quantise(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", scale=1024)
+    return bitslice.top_k(rows, F.col("id") % 100 == 0, k=10)
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every step of all 120 orders of the five filters keeps and removes, per source."""
+    return interaction.audit(interaction.masks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
     ops = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
