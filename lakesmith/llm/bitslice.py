@@ -25,8 +25,12 @@ more raises an error, as scores might not fit 64 bits.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,17 +38,28 @@ from lakesmith.llm.common import materialise
 from lakesmith.operators.sequence import dense_id, top_k_within
 
 LIMIT = float(1 << 30)
-_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def quantise(rows: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """``(id, values)``: the integers ``floor(scale * x)``, computed in doubles, of all usable vectors."""
-    x = F.transform(F.col(vec_col), lambda v: v.cast("double"))
-    sound = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    small = F.forall("x", lambda v: F.abs(v) * scale < LIMIT)
-    return (rows.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull() & sound)
-            .select("id", F.transform("x", lambda v: F.when(small, F.floor(v * scale).cast("int"))
-                                      .otherwise(F.raise_error(F.lit("component too large to be indexed")).cast("int"))).alias("values")))
+
+    def run(batches):
+        for batch in batches:
+            vectors = batch.column(1)
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(vectors), 0)), dtype=np.int64)
+            with np.errstate(over="ignore", invalid="ignore"):
+                x = np.floor(vectors.flatten().to_numpy(zero_copy_only=False) * float(scale))  # a null component is a NaN
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
+            keep = np.asarray(vectors.is_valid()) & (bad[ends] == bad[np.concatenate([[0], ends[:-1]]).astype(np.int64)])
+            of_kept = np.repeat(keep, np.diff(ends, prepend=0))
+            if np.abs(x[of_kept]).max(initial=0) >= LIMIT:
+                raise ValueError("a component is too large to be indexed")
+            offsets = np.concatenate([[0], np.cumsum(np.diff(ends, prepend=0)[keep])]).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[of_kept].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), values], names=["id", "values"])
+
+    usable = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("values")).where("id IS NOT NULL")
+    return usable.mapInArrow(run, "id long, values array<int>")
 
 
 # --- the index -----------------------------------------------------------------------------------
@@ -68,10 +83,7 @@ def slice_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _slice(key, rows):
     """One block of the index from its rows."""
     rows = rows.sort_values("place")
-    values = np.zeros((len(rows), max(map(len, rows["values"]))), dtype=np.int64)
-    for i, v in enumerate(rows["values"]):
-        values[i, : len(v)] = v
-    low, slices = slice_block(values)
+    low, slices = slice_block(_padded(rows["values"], max(map(len, rows["values"]))))
     return pd.DataFrame([(key[0], rows["id"].to_numpy(dtype=np.int64).tobytes(), low.tobytes(), slices.shape[1], slices.tobytes())],
                         columns=["block", "ids", "low", "digits", "slices"])
 
@@ -100,30 +112,62 @@ def signed_digits(values: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=np.int64).reshape(-1, 3)
 
 
-def score_slices(question: np.ndarray, low: np.ndarray, slices: np.ndarray) -> tuple[np.ndarray, int]:
-    """Bitmaps of ``score - offset`` of all rows of a block, least significant first, and the offset."""
-    d, digits, words = slices.shape
-    component, place, minus = signed_digits(question[:d]).T
-    offset = sum(a * b for a, b in zip(question.tolist(), low.tolist())) - ((1 << digits) - 1) * sum(1 << p for p in place[minus == 1].tolist())
-    flat = slices.reshape(d * digits, words)
-    flip = np.where(minus == 1, _FULL, np.uint64(0))[:, None]
-    out, carried = [], np.zeros((0, words), dtype=np.uint64)
-    for w in range(int(place.max(initial=0)) + digits + int(len(place)).bit_length() + 1):
-        here = (place <= w) & (w < place + digits)
-        column = np.concatenate([flat[component[here] * digits + w - place[here]] ^ flip[here], carried])
-        carries = []
-        while len(column) > 2:  # full adders: three bitmaps of this place become one, and one of the next
-            k = len(column) // 3
-            x, y, z = column[:k], column[k: 2 * k], column[2 * k: 3 * k]
-            half = x ^ y
-            carries.append((x & y) | (half & z))
-            column = np.concatenate([half ^ z, column[3 * k:]])
-        if len(column) == 2:
-            carries.append(column[:1] & column[1:])
-            column = column[:1] ^ column[1:]
-        out.append(column[0] if len(column) else np.zeros(words, dtype=np.uint64))
-        carried = np.concatenate(carries) if carries else carried[:0]
-    return np.stack(out), offset
+def planes(slices: np.ndarray) -> np.ndarray:
+    """A block's bitmaps and their complements, as rows."""
+    flat = slices.reshape(-1, slices.shape[2])
+    return np.concatenate([flat, ~flat])
+
+
+def schedule(question: np.ndarray, digits: int) -> list[np.ndarray]:
+    """Per binary place of the scores, the planes that the question adds there.  It holds for all blocks of
+    that many components and digits."""
+    size = len(question) * digits
+    component, place, minus = signed_digits(question).T
+    start = minus * size + component * digits - place
+    return [start[(place <= w) & (w < place + digits)] + w for w in range(int(place.max(initial=0)) + digits)]
+
+
+def score_slices(plan: list[np.ndarray], flat: np.ndarray) -> np.ndarray:
+    """Bitmaps of the scores of all rows of a block less their offset: places x words, the least significant
+    first.  All bitmaps of a place are summed in one buffer, their carries go into the next place's."""
+    words, most = flat.shape[1], 2 * max(map(len, plan), default=0) + 2
+    here, after, half, both = (np.empty((most, words), dtype=np.uint64) for _ in range(4))
+    out, carried, w = [], 0, 0
+    while w < len(plan) or carried:
+        m, carries = carried, 0
+        if w < len(plan) and len(plan[w]):
+            np.take(flat, plan[w], axis=0, out=here[m: m + len(plan[w])], mode="clip")
+            m += len(plan[w])
+        while m > 1:  # full adders: three bitmaps of this place become one, and one of the next
+            k = m // 3
+            if k:
+                x, y, z, h, c = here[:k], here[k: 2 * k], here[2 * k: 3 * k], half[:k], both[:k]
+                np.bitwise_xor(x, y, out=h)
+                np.bitwise_and(x, y, out=c)
+                np.bitwise_and(h, z, out=x)
+                np.bitwise_or(c, x, out=after[carries: carries + k])
+                np.bitwise_xor(h, z, out=x)
+                here[k: m - 2 * k] = here[3 * k: m]
+                m -= 2 * k
+            else:
+                k, m = 1, 1
+                np.bitwise_and(here[0], here[1], out=after[carries])
+                here[0] ^= here[1]
+            carries += k
+        out.append(here[0].copy() if m else np.zeros(words, dtype=np.uint64))
+        here, after, carried, w = after, here, carries, w + 1
+    return np.stack(out) if out else np.zeros((1, words), dtype=np.uint64)
+
+
+def negatives(question: np.ndarray) -> int:
+    """The sum of the places of the question's negative digits."""
+    _, place, minus = signed_digits(question).T
+    return sum(1 << p for p in place[minus == 1].tolist())
+
+
+def offset(question: np.ndarray, low: np.ndarray, digits: int, negative: int) -> int:
+    """What a score is above its bitmaps: the components' minima, and the complements of negative digits."""
+    return int(question @ low) - ((1 << digits) - 1) * negative
 
 
 def _count(bits: np.ndarray) -> int:
@@ -163,29 +207,41 @@ def scores_of(rows: np.ndarray, scores: np.ndarray, offset: int) -> np.ndarray:
 
 # --- search --------------------------------------------------------------------------------------
 
+def _padded(vectors: Iterable, width: int) -> np.ndarray:
+    out = np.zeros((len(vectors), width), dtype=np.int64)
+    for row, v in zip(out, vectors):
+        row[: min(width, len(v))] = v[:width]
+    return out
+
+
 def _search(k: int, block_bits: int):
     def run(index, asked):
         blocks = []
         for b in index.sort_values("block").itertuples():
             ids, low = np.frombuffer(b.ids, dtype=np.int64), np.frombuffer(b.low, dtype=np.int64)
-            slices = np.frombuffer(b.slices, dtype=np.uint64).reshape(len(low), b.digits, -1)
-            everyone = np.packbits(np.arange(slices.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
-            blocks.append((b.block, ids, low, slices, everyone))
-        out = [pd.DataFrame(columns=["place", "query_id", "vec_id", "score"])]
+            flat = planes(np.frombuffer(b.slices, dtype=np.uint64).reshape(len(low), b.digits, -1))
+            everyone = np.packbits(np.arange(flat.shape[1] * 64) < len(ids), bitorder="little").view(np.uint64)
+            blocks.append((b.block, ids, low, b.digits, flat, everyone))
+        found = [pd.DataFrame(columns=["place", "query_id", "vec_id", "score"])]
         for place, query_id, values in zip(asked["place"], asked["id"], asked["values"]):
-            question, own, row = np.asarray(values, dtype=np.int64), place >> block_bits, place & ((1 << block_bits) - 1)
-            best, names = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for block, ids, low, slices, among in blocks:
-                if block == own:
+            own, row = place >> block_bits, place & ((1 << block_bits) - 1)
+            plans, held, names = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for block, ids, low, digits, flat, among in blocks:
+                if (len(low), digits) not in plans:
+                    question = _padded([values], len(low))[0]
+                    plans[len(low), digits] = question, schedule(question, digits), negatives(question)
+                question, plan, negative = plans[len(low), digits]
+                if block == own:  # all rows but the question's own
                     among = among.copy()
                     among[row // 64] &= ~np.uint64(1 << (row % 64))
-                scores, offset = score_slices(question, low, slices)
-                rows = select_top(scores, among, k)
-                best, names = np.concatenate([best, scores_of(rows, scores, offset)]), np.concatenate([names, ids[rows]])
-                order = np.lexsort((names, -best))[:k]
-                best, names = best[order], names[order]
-            out.append(pd.DataFrame({"place": place, "query_id": query_id, "vec_id": names, "score": best}))
-        return pd.concat(out[1:] or out)
+                sums = score_slices(plan, flat)
+                rows = select_top(sums, among, k)
+                held = np.concatenate([held, scores_of(rows, sums, offset(question, low, digits, negative))])
+                names = np.concatenate([names, ids[rows]])
+                order = np.lexsort((names, -held))[:k]
+                held, names = held[order], names[order]
+            found.append(pd.DataFrame({"place": place, "query_id": query_id, "vec_id": names, "score": held}))
+        return pd.concat(found[1:] or found)
 
     return run
 

@@ -13,7 +13,7 @@ narrow columns, then tables of parts x masks and parts x steps x ranks.
 Defined results: null texts are empty (and equal to empty texts); a null part counts as the empty string;
 a document is a copy if a strictly smaller id holds an identical text, so rows of null id and rows that
 repeat an id are no copies of each other; several label rows of an id count as one (the mark if any row
-has it); a null mark is none; an empty table has no part and gives no row; other columns are not read.
+has it), those of null id as none; a null mark is none; an empty table has no part and gives no row; other columns are not read.
 """
 
 from __future__ import annotations
