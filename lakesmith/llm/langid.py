@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakesmith.llm.common import materialise
+
 UNKNOWN = "und"
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _PIECE = 1 << 20  # letters counted at a time, so that a very long text needs no long arrays
@@ -124,7 +126,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         usable: Column | None = None, bits: int = 12, centroids: int = 4, fit_rows: int = 400,
         reject_share: float = 0.01) -> Centroids:
     """Learn every language of the rows for which ``usable`` holds.  Each is fitted in a task of its
-    own on at most ``fit_rows`` ids; only centroids reach the driver.  The frequencies of n-grams
+    own on at most ``fit_rows`` distinct rows; only centroids reach the driver.  The frequencies of n-grams
     come from every usable row."""
     spark = docs.sparkSession
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -132,26 +134,26 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         rows = rows.where(usable)
     df, n = document_frequencies(rows, text_col, bits)
     shared = spark.sparkContext.broadcast(np.log((n + 1) / (df + 1)) + 1)
-    by = Window.partitionBy("l").orderBy("k", "i")
-    ids = (rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.xxhash64(id_col).alias("k"))
-           .where(F.col("i").isNotNull()).withColumn("r", F.row_number().over(by)).where(F.col("r") <= fit_rows))
-    sample = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).join(
-        F.broadcast(ids.select("i", "l")), ["i", "l"])
+    # a row is known by the hash of its id and text: any type of id, and repeated rows count once
+    keyed = rows.select(F.col(lang_col).alias("l"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("t"))
+    first = F.row_number().over(Window.partitionBy("l").orderBy("k"))
+    chosen = materialise(keyed.select("l", "k").distinct().withColumn("r", first).where(F.col("r") <= fit_rows).select("l", "k"), "language-sample")
+    sample = keyed.join(chosen, ["l", "k"])
 
     def sparse(batches):  # n-gram counts, not texts, are shuffled: bounded by 2**bits a text
         for b in batches:
             out = []
-            for i, lang, t in zip(*(b.column(j).to_pylist() for j in range(3))):
+            for lang, k, t in zip(*(b.column(j).to_pylist() for j in range(3))):
                 c = ngram_counts(t, bits)
                 if c is not None:
                     hit = np.flatnonzero(c)
-                    out.append({"l": lang, "i": i, "at": hit.tolist(), "n": c[hit].tolist()})
+                    out.append({"l": lang, "k": k, "at": hit.tolist(), "n": c[hit].tolist()})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(
-                [("l", pa.string()), ("i", pa.int64()), ("at", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
+                [("l", pa.string()), ("k", pa.int64()), ("at", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
 
     def learn(table: pa.Table) -> pa.Table:
         idf, own = shared.value, []
-        for r in sorted(table.to_pylist(), key=lambda r: r["i"]):
+        for r in sorted(table.to_pylist(), key=lambda r: r["k"]):
             c = np.zeros(1 << bits, dtype=np.int64)
             c[r["at"]] = r["n"]
             own.append(vector(c, idf))
@@ -163,8 +165,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         lang = table.column("l")[0].as_py()
         return pa.table([pa.array([lang] * len(m)), pa.array(range(len(m)), pa.int32()), pa.array(floors, pa.float64()),
                          pa.array([c.astype("<f8").tobytes() for c in m], pa.binary())], names=["l", "j", "floor", "c"])
-    got = (sample.select(F.col("i").cast("long"), "l", "t")
-           .mapInArrow(sparse, "l string, i long, at array<long>, n array<long>")
+    got = (sample.mapInArrow(sparse, "l string, k long, at array<long>, n array<long>")
+           .groupBy("l", "k").agg(F.first("at").alias("at"), F.first("n").alias("n"))  # equal rows have equal counts
            .groupBy("l").applyInArrow(learn, "l string, j int, floor double, c binary").collect())
     got = sorted(got, key=lambda r: (r["l"], r["j"]))
     matrix = np.stack([np.frombuffer(r["c"], "<f8") for r in got]) if got else np.zeros((0, 1 << bits))
