@@ -15,6 +15,7 @@ rows get equal scores; without labels of both kinds every score is 0.5; extra co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -32,6 +33,10 @@ NAMES = ("words", "word_length", "symbol_ratio", "dup_line_ratio", "repeat_ratio
          "upper_ratio", "distinct_ratio", "line_words")
 
 
+#: Scaled features beyond this many deviations count as this many, in the fit and in every score.
+CLIP = 8.0
+
+
 def with_features(rows: DataFrame, text: str, out: str = "__x") -> DataFrame:
     """Replace column ``text`` by an array of doubles; undefined ratios (empty texts) are 0."""
     x = with_stats(rows, text, "__stats")
@@ -56,10 +61,9 @@ class Ranker:
 
     def strength(self, features: Column) -> Column:
         """The linear score before threshold and spread."""
-        per = [w / s for w, s in zip(self.weights, self.scale)]
-        shift = sum(m * p for m, p in zip(self.mean, per))
-        return F.aggregate(F.zip_with(features, F.array(*[F.lit(float(p)) for p in per]), lambda x, p: x * p),
-                           F.lit(-float(shift)), lambda a, x: a + x)
+        own = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip("msw", p)]) for p in zip(self.mean, self.scale, self.weights)])
+        scaled = F.zip_with(features, own, lambda x, p: F.greatest(F.least((x - p["m"]) / p["s"], F.lit(CLIP)), F.lit(-CLIP)) * p["w"])
+        return F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x)
 
     def score(self, features: Column) -> Column:
         """Score in (0, 1); a document at the threshold scores exactly ``cut``."""
@@ -71,21 +75,22 @@ class Ranker:
 
 def preference_pairs(label: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """``rounds`` pairings: every row of the larger class meets a row of the other, each time
-    another (a cyclic shift), so the number of pairs is rounds x rows, never good x bad."""
+    another (a cyclic shift), so the number of pairs is rounds x rows, never good x bad.  The step
+    through the bad rows has no divisor in common with their number, so every row is in a pair."""
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    n = max(len(good), len(bad))
+    n, step = max(len(good), len(bad)), next(k for k in range(7, 7 + 2 * len(bad)) if math.gcd(k, len(bad)) == 1)
     g, b = [], []
     for r in range(rounds):
         i = np.arange(n)
         g.append(good[(i + r) % len(good)])
-        b.append(bad[(i * 7 + r * 13 + i // len(bad)) % len(bad)])
+        b.append(bad[(i * step + r * 13 + i // len(bad)) % len(bad)])
     return np.concatenate(g), np.concatenate(b)
 
 
 def fit_weights(x: np.ndarray, label: np.ndarray, mean: np.ndarray, scale: np.ndarray, rounds: int = 4,
                 steps: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> np.ndarray:
     """Full-batch gradient steps with momentum on the pairwise logistic loss."""
-    z = np.clip((x - mean) / scale, -8, 8)
+    z = np.clip((x - mean) / scale, -CLIP, CLIP)
     g, b = preference_pairs(label, rounds)
     diff = z[g] - z[b]
     w = np.zeros(x.shape[1])
