@@ -14,8 +14,12 @@ exact containment of the item's distinct shingles in the whole document.  Items
 of bounded size (a broadcast each); every block meets all documents in one narrow pass, nothing is
 shuffled.
 
-Defined results: null and blank texts match nothing; an item or document of fewer than ``size``
-words has no shingle and matches nothing; repeated rows and equal items are all reported, items
+An item of fewer than ``size`` words is one shingle of all its words.  Such items are looked up among the
+documents' windows of their own number of words (``short_items``); an item of a word or two is part of many
+clean texts, so a filter may leave them out.
+
+Defined results: null and blank texts match nothing, neither does a document with fewer words than the item's
+shingles have; repeated rows and equal items are all reported, items
 of null id with a null ``item``; an empty table on either side gives no match; other columns are not read.
 """
 
@@ -27,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lakesmith.llm.common import materialise, mix64, shingle_hashes, text_slices, word_hashes
 from lakesmith.operators.sequence import cumulative_sum_within
@@ -57,14 +62,19 @@ def _hash(s: np.ndarray, salt: np.uint64) -> np.ndarray:
 
 
 class ItemIndex:
-    """Minima of a block of items by partition; picklable arrays only."""
+    """Minima of a block of items ``(id, words of a shingle, shingles)`` by partition; its attributes are
+    plain arrays and dictionaries, and only those travel to the tasks."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], threshold: float, recall: float) -> None:
+    def __init__(self, items: list[tuple[object, int, np.ndarray]], size: int, threshold: float, recall: float) -> None:
         self.threshold = threshold
-        self.sets = [s for _, s in items]
-        self.ids = [i for i, _ in items]
+        self.sets = [s for _, _, s in items]
+        self.ids = [i for i, _, _ in items]
         by: dict[int, list[int]] = {}
-        for k, s in enumerate(self.sets):
+        self.short: dict[int, dict[int, list[int]]] = {}  # by words and hash, the items of one shingle
+        for k, (_, words, s) in enumerate(items):
+            if words < size:
+                self.short.setdefault(words, {}).setdefault(int(s[0]), []).append(k)
+                continue
             by.setdefault(1 << max(0, (len(s) - 1).bit_length()), []).append(k)
         self.need = {u: functions_needed(threshold, u, recall) for u in by}
         self.salts = _salts(max(self.need.values(), default=0))
@@ -116,8 +126,15 @@ class ItemIndex:
         return found
 
 
-def shingled(texts: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(id, n, s)``: the distinct shingles of texts that have any."""
+def restored(attributes: dict) -> ItemIndex:
+    x = ItemIndex.__new__(ItemIndex)
+    vars(x).update(attributes)
+    return x
+
+
+def shingled(texts: DataFrame, id_col: str, text_col: str, size: int, short: bool) -> DataFrame:
+    """``(id, w, n, s)``: the distinct shingles of ``w`` words of texts that have any; ``w`` is ``size``, or
+    all words of a shorter text if ``short``."""
     def run(batches):
         for b in batches:
             for first, data, offsets in text_slices(b.column(1)):
@@ -125,44 +142,42 @@ def shingled(texts: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
                 s = shingle_hashes(h, size)
                 rows = []
                 for i in range(len(offsets) - 1):
-                    if r[i + 1] - r[i] >= size:
-                        own = np.unique(s[r[i]: r[i + 1] - size + 1])
-                        rows.append({"id": b.column(0)[first + i].as_py(), "n": len(own), "s": own.view(np.int64).tolist()})
+                    n = int(r[i + 1] - r[i])
+                    if n >= size or (short and n):
+                        own = np.unique(s[r[i]: r[i + 1] - size + 1] if n >= size else shingle_hashes(h[r[i]: r[i + 1]], n))
+                        rows.append({"id": b.column(0)[first + i].as_py(), "w": min(n, size), "n": len(own), "s": own.view(np.int64).tolist()})
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(
-                    [("id", b.schema.field(0).type), ("n", pa.int64()), ("s", pa.list_(pa.int64()))]))
+                    [("id", b.schema.field(0).type), ("w", pa.int64()), ("n", pa.int64()), ("s", pa.list_(pa.int64()))]))
     kind = texts.schema[id_col].dataType.simpleString()
-    return texts.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, s array<long>")
+    return texts.select(id_col, text_col).mapInArrow(run, f"id {kind}, w long, n long, s array<long>")
 
 
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_id_col: str = "item_id", item_text_col: str = "text", size: int = 5, threshold: float = 0.8,
-               recall: float = 0.9995, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+               recall: float = 0.9995, block_shingles: int = BLOCK_SHINGLES, short_items: bool = True) -> DataFrame:
     """``(id, item, shared, item_shingles)``: every document and item of which at least
     ``threshold`` of the distinct shingles occur in the document."""
     spark = docs.sparkSession
-    it = materialise(shingled(items, item_id_col, item_text_col, size), "items")
+    it = materialise(shingled(items, item_id_col, item_text_col, size, short_items), "items")
     # every row carries its own block: null ids and equal items need no join
-    sized = cumulative_sum_within(it.withColumn("k", F.xxhash64("s")), [], ["id", "k"], "n", "__cum")
-    it = materialise(sized.select("id", "s", F.floor((F.col("__cum") - F.col("n")) / block_shingles).alias("block")), "item-blocks")
+    sized = cumulative_sum_within(it.withColumn("k", F.xxhash64("w", "s")), [], ["id", "k"], "n", "__cum")
+    it = materialise(sized.select("id", "w", "s", F.floor((F.col("__cum") - F.col("n")) / block_shingles).alias("block")), "item-blocks")
     top = it.agg(F.max("block")).first()[0]
     kind, item_kind = (x.schema[c].dataType.simpleString() for x, c in ((docs, id_col), (items, item_id_col)))
     schema = f"id {kind}, item {item_kind}, shared long, item_shingles long"
     out = spark.createDataFrame([], schema)
     for block in range(0 if top is None else top + 1):
-        rows = it.where(F.col("block") == block).select("id", "s").collect()  # bounded by block_shingles and one item
-        index = spark.sparkContext.broadcast(ItemIndex(
-            sorted(((r["id"], np.array(r["s"], dtype=np.int64).view(np.uint64)) for r in rows), key=lambda x: (str(x[0]), len(x[1]))),
-            threshold, recall))
-        part = docs.select(id_col, text_col).mapInArrow(_matcher(index, size, threshold, item_kind), schema)
+        rows = it.where(F.col("block") == block).select("id", "w", "s").collect()  # bounded by block_shingles and one item
+        items_of = sorted(((r["id"], r["w"], np.array(r["s"], dtype=np.int64).view(np.uint64)) for r in rows), key=lambda x: (str(x[0]), len(x[2])))
+        index = spark.sparkContext.broadcast(vars(ItemIndex(items_of, size, threshold, recall)))
+        part = docs.select(id_col, text_col).mapInArrow(_matcher(index, size, threshold, to_arrow_type(it.schema["id"].dataType)), schema)
         out = out.unionAll(part)
     return out
 
 
-def _matcher(index, size: int, threshold: float, item_kind: str):
-    item_type = pa.string() if item_kind == "string" else pa.int64() if item_kind == "bigint" else pa.int32()
-
+def _matcher(index, size: int, threshold: float, item_type: pa.DataType):
     def run(batches):
-        x = index.value
+        x = restored(index.value)
         for b in batches:
             for first, data, offsets in text_slices(b.column(1)):
                 h, r = word_hashes(data, offsets)
@@ -181,6 +196,15 @@ def _matcher(index, size: int, threshold: float, item_kind: str):
                         rows["item"].append(x.ids[k])
                         rows["shared"].append(shared)
                         rows["item_shingles"].append(len(item))
+                for n, wanted in x.short.items():
+                    own = shingle_hashes(h, n)
+                    own_starts = np.arange(len(own))
+                    of = np.searchsorted(r, own_starts, side="right") - 1  # the text of a window, which must end in it
+                    at = np.flatnonzero(np.isin(own, np.fromiter(wanted, np.uint64)) & (own_starts + n <= r[of + 1]))
+                    for t, v in sorted({(int(of[j]), int(own[j])) for j in at}):
+                        for k in wanted[v]:
+                            for name, value in zip(rows, (b.column(0)[first + t].as_py(), x.ids[k], 1, 1)):
+                                rows[name].append(value)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows["id"], b.schema.field(0).type), pa.array(rows["item"], item_type),
                      pa.array(rows["shared"], pa.int64()), pa.array(rows["item_shingles"], pa.int64())], names=list(rows))

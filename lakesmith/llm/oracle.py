@@ -94,6 +94,9 @@ WITH {_shingles('a', 'documents', 'doc_id')}, {_shingles('b', 'benchmark', 'item
 n AS (SELECT id, count(*) AS n FROM b GROUP BY id),
 s AS (SELECT a.id AS doc_id, b.id AS item_id, count(*) AS shared FROM a JOIN b USING (g) GROUP BY ALL)
 SELECT doc_id, item_id, shared, n AS item_shingles FROM s JOIN n ON n.id = item_id WHERE shared >= 0.8 * n
+UNION ALL
+SELECT a_w.id, b_w.id, 1, 1 FROM b_w JOIN a_w ON len(b_w.w) BETWEEN 1 AND 4 AND list_contains(
+  list_transform(range(1, len(a_w.w) - len(b_w.w) + 2), lambda i: array_to_string(a_w.w[i:i + len(b_w.w) - 1], ' ')), array_to_string(b_w.w, ' '))
 """
 
 SQL["op5_jaccard_forest"] = f"""
