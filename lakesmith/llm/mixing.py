@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesmith.llm.common import words
+from lakesmith.llm.common import materialise, words
 from lakesmith.operators.sequence import cumulative_sum_within
 
 Schedule = Sequence[tuple[float, float]]
@@ -95,11 +95,11 @@ def assign_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A source whose target is ``r`` times its size gives every document ``floor(r)`` times and the
     first ``r - floor(r)`` of its words, in a fixed pseudo-random order, once more.
     """
-    narrow = docs.select(
+    narrow = materialise(docs.select(
         F.col(id_col).alias("__id"), F.col(source_col).alias("__src"),
         F.size(words(F.col(text_col))).cast("long").alias("__size"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-        .alias("__key"))
+        .alias("__key")), "mix-sizes")  # texts are split into words once
     running = cumulative_sum_within(narrow, ["__src"], ["__key", "__id", "__size"], "__size", "__cum")
     targets = source_targets(narrow.groupBy("__src").agg(F.sum("__size").alias("__total")), weights, max_repeats)
     # one row per source; joined by the source's hash so that a hot source may be split by the optimiser
@@ -126,7 +126,8 @@ def assign_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                epoch_name: str = "epoch", position_name: str = "position", **kw) -> DataFrame:
     """The training sequence: one row per taken copy with all columns of ``docs``, ``epoch_name``
-    and ``position_name``, range-sorted by position.  Documents taken no time are left out."""
+    and ``position_name``, range-sorted by position.  Documents taken no time are left out; columns of
+    ``docs`` that bear one of the two names give way to them."""
     plan = assign_positions(docs, id_col, text_col, source_col, **kw)
     # rows of one id may repeat: number the copies of a key on both sides, so that none is lost
     due = (plan.where(F.col("__copies") > 0)
@@ -138,6 +139,6 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     twin = Window.partitionBy("__k").orderBy(F.xxhash64(F.col(text_col)))
     keyed = keyed.withColumn("__nth", F.row_number().over(twin))
     out = (keyed.join(due, "__k").where(F.col("__nth") <= F.size("__at"))
-           .select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__epoch").alias(epoch_name),
+           .select(*[F.col(f"`{c}`") for c in docs.columns if c not in (epoch_name, position_name)], F.col("__epoch").alias(epoch_name),
                    F.element_at(F.col("__at"), F.col("__nth")).alias(position_name)))
     return out.orderBy(position_name, id_col)
