@@ -16,13 +16,15 @@ from lakesmith.llm.queries import read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base and the decision list learnt from ``labels`` stay."""
+    """Documents that pass the base and the decision list learnt from ``labels`` stay; null and empty texts
+    fail the base (fewer than ten words) and go."""
     learnt = rules.learn_from(rules.stats_frame(docs, "doc_id", "text"), read(spark, sf_dir, "labels"))
     return rules.keep_good(docs, learnt)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go; documents of which nothing is left go with them."""
+    """Lines that repeat an earlier line go; documents of which nothing is left go with them, texts that had no
+    line to begin with stay."""
     x = linededup.drop_repeated_lines(docs, lines_col="__lines", dropped_col="__dropped")
     return x.where((F.col("__dropped") == 0) | (F.col("__lines") > F.col("__dropped"))).drop("__lines", "__dropped")
 
@@ -39,14 +41,16 @@ def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item of five words or more go (one of a word or two is part of clean
+    texts); null and empty texts hold none and stay."""
     keyed = docs.withColumn("__k", F.xxhash64("doc_id", "text"))
-    leaks = decontaminate.find_items(keyed, read(spark, sf_dir, "benchmark"), id_col="__k")
+    leaks = decontaminate.find_items(keyed, read(spark, sf_dir, "benchmark"), id_col="__k", short_items=False)
     return keyed.join(leaks.select(F.col("id").alias("__k")).distinct(), "__k", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training sequence: a row per taken copy, range-sorted by position."""
+    """The training sequence: a row per taken copy, range-sorted by position.  Texts without words follow
+    their source's whole repeats."""
     return mixing.curriculum(docs)
 
 
@@ -58,7 +62,7 @@ STAGES = [
     ("mix", mix_sources),
 ]
 
-#: The learnt rules have no SQL form; the pipeline is tested against a brute-force version.
+#: The learnt rules have no SQL form; tests/llm holds plain versions of the stages.
 ORACLE_SQL = None
 
 
