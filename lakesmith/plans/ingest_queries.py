@@ -74,6 +74,20 @@ def q_silver_incremental(spark, d):
     return state.withColumnRenamed("p_partkey", "first_partkey")
 
 
+def q_silver_buckets(spark, d):
+    """Part reaches bronze in two batches; each is folded into the bucketed silver state, of which
+    only the buckets of its names are rewritten.  The state equals silver derived from everything at once."""
+    from lakesmith.plans import jobs
+    from lakesmith.plans.medallion_queries import part_bronze
+    bronze_path, state = scratch_path(spark, "bronze_batches"), scratch_path(spark, "silver_state")
+    bronze = part_bronze(spark, d)
+    mid = _mid(bronze, BRONZE_ID)
+    for batch, rows in enumerate((bronze.where(F.col(BRONZE_ID) <= mid), bronze.where(F.col(BRONZE_ID) > mid))):
+        ST.append_batch(rows, bronze_path, batch)
+        silver = jobs.run_silver_buckets(spark, bronze_path, state, name_candidates=("p_name",), dose_col="p_size")
+    return silver.drop("_source_uri")
+
+
 def q_index_incremental(spark, d):
     """Two document drops streamed into the chunk index; the
     second run appends only chunks whose key is new."""
@@ -90,6 +104,48 @@ def q_index_incremental(spark, d):
                                             (F.col(ST.BATCH_COL).cast("int") + 1).alias("batch"))
 
 
+DOCS_PER_FILE = 20
+
+
+def _drop_files(spark, d, folder: str, docs: DataFrame) -> None:
+    """A drop of files that Spark writes: texts of twenty neighbouring documents a file, supplier rows as
+    CSV files, and nations as JSON, which no reader accepts."""
+    (docs.withColumn("file_no", F.floor(F.col("doc_id") / DOCS_PER_FILE)).repartition("file_no")
+     .sortWithinPartitions("file_no", "doc_id").select("file_no", "text").write.partitionBy("file_no").text(f"{folder}/text"))
+    (table(spark, d, "supplier").select((F.col("s_suppkey") % 4).alias("file_no"), F.col("s_suppkey").alias("Supp Key"), F.col("s_name").alias("Name"),
+                                        F.col("s_nationkey").alias("Nation Key"))
+     .repartition("file_no").sortWithinPartitions("file_no", "Supp Key").write.partitionBy("file_no").option("header", "true").csv(f"{folder}/csv"))
+    table(spark, d, "nation").coalesce(1).write.json(f"{folder}/json")
+
+
+def q_file_index(spark, d):
+    """Two drops of files streamed into the tagged chunk index.  The second holds the first
+    files of the first drop again, all its CSV files and files that are rejected; a run without new files
+    adds nothing.  Files, chunks and summed counters as one relation."""
+    from lakesmith.plans.retrieval_queries import herb_lexicon
+    from lakesmith.streaming.documents import ingest_files
+    landing, store, ck = (scratch_path(spark, n) for n in ("landing_files", "file_index", "file_index_ckpt"))
+    docs = table(spark, d, "documents")
+    mid = _mid(docs, "doc_id")
+    name = F.concat(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)), F.lit("-"), F.regexp_extract("path", "file_no=([0-9]+)", 1))
+    lexicon = herb_lexicon(spark, d)
+    _drop_files(spark, d, f"{landing}/d1", docs.where(F.col("doc_id") <= mid))
+    ingest_files(spark, landing, store, ck, lexicon, source=name)
+    ingest_files(spark, landing, store, ck, lexicon, source=name)      # no new files: no batch
+    _drop_files(spark, d, f"{landing}/d2", docs.where((F.col("doc_id") > mid) | (F.col("doc_id") < 5 * DOCS_PER_FILE)))
+    ingest_files(spark, landing, store, ck, lexicon, source=name)
+    row = lambda kind, key, value, n: (F.lit(kind).alias("kind"), key.alias("name"), value.alias("value"), n.cast("long").alias("n"))
+    files = ST.read_table(spark, f"{store}/files").select(*row("file", name, F.concat_ws(
+        ":", "status", F.when(F.col("status") != "rejected", F.col("etag")), "reason"), F.when(F.col("status") != "rejected", F.col("length"))))
+    chunks = ST.read_table(spark, f"{store}/chunks").select(*row("chunk", F.concat_ws(":", "source", "doc_no", "chunk_no"), F.concat_ws(
+        ":", "chunk_id", "tags"), F.length("text")))
+    counters = ST.read_table(spark, f"{store}/counters")
+    names = [c for c in counters.columns if c != ST.BATCH_COL]
+    summed = counters.agg(*[F.sum(c).alias(c) for c in names]).select(F.inline(F.array(*[
+        F.struct(F.lit("counter").alias("kind"), F.lit(c).alias("name"), F.lit(None).cast("string").alias("value"), F.col(c).alias("n")) for c in names])))
+    return files.unionByName(chunks).unionByName(summed)
+
+
 def q_schema_evolution(spark, d):
     """Two batches with different columns appended to one table
     (batch 0 replayed once: idempotent), read back with merged schema."""

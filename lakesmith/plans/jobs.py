@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakesmith.functions.schema import business_columns, normalize_column_names
 from lakesmith.operators import chunking as C
 from lakesmith.operators import conversations as CV
 from lakesmith.operators import medallion as M
@@ -50,6 +51,56 @@ def run_silver(spark: SparkSession, bronze_path: str, silver_path: str, **silver
     return ST.read_table(spark, silver_path)
 
 
+def fold_silver(name: str, order: Sequence[str]):
+    """The fold of a silver batch into the touched buckets of the state: first non-NULL value per column in
+    arrival order, ids kept, new names numbered from the next free id in first-seen order.  The row hash
+    reads the columns of ``order``, in that order."""
+    from lakesmith.functions.text import row_hash
+    from lakesmith.operators.sequence import dense_id
+
+    def fold(old: DataFrame | None, batch: DataFrame, next_id: int) -> DataFrame:
+        have = set(old.columns) if old is not None else set()
+        types = dict(batch.dtypes) | (dict(old.dtypes) if old is not None else {})
+        cols = [c for c in types if c not in (name, M.BRONZE_ID, M.SILVER_ID, "row_hash")]
+        null = lambda df, c: df if c in df.columns else df.withColumn(c, F.lit(None).cast(types[c]))
+        for c in cols:
+            batch = null(batch, c)
+            old = null(old, c) if old is not None else None
+        merged = IN.merge_into(old.drop(M.SILVER_ID, "row_hash") if have else None, batch, name, M.BRONZE_ID, cols)
+        known = old.select(name, M.SILVER_ID) if have else None
+        fresh = merged.select(name, M.BRONZE_ID)
+        fresh = fresh.join(known, name, "left_anti") if have else fresh
+        ids = dense_id(fresh, [M.BRONZE_ID], M.SILVER_ID, start=next_id).select(name, M.SILVER_ID)
+        hashed = row_hash([c for c in order if c in merged.columns])
+        return merged.withColumn("row_hash", hashed).join(known.unionByName(ids) if have else ids, name)
+
+    return fold
+
+
+def run_silver_buckets(spark: SparkSession, bronze_path: str, state_path: str, n_buckets: int = 64, **silver_kwargs) -> DataFrame:
+    """M2 (I4 J4): fold the bronze batches that are not in the silver state yet, oldest first; only the
+    buckets of their names are read and rewritten (:class:`lakesmith.streaming.bucketed.BucketedState`).
+
+    The result equals silver derived from all batches at once: a batch is cleaned and merged on its own,
+    then folded behind the earlier ones.  Running it again, or after a crash, changes nothing."""
+    from lakesmith.streaming.bucketed import BucketedState
+    bronze = ST.read_table(spark, bronze_path).withColumn(ST.BATCH_COL, F.col(ST.BATCH_COL).cast("int"))
+    candidates = silver_kwargs.get("name_candidates") or M.NAME_CANDIDATES
+    name = next(c for c in candidates if c in bronze.columns)
+    state = BucketedState(spark, state_path, name, n_buckets)
+    now = state.version()
+    batches = sorted(r[0] for r in bronze.select(ST.BATCH_COL).distinct().collect())
+    for batch_id in batches:
+        if now is not None and batch_id <= now.last_batch:
+            continue
+        rows = bronze.where(F.col(ST.BATCH_COL) == batch_id).drop(ST.BATCH_COL)
+        silver = M.to_silver(rows, **{"with_timestamps": False, **silver_kwargs}).drop(M.SILVER_ID, "row_hash")
+        raw = business_columns(normalize_column_names(rows), M.ID_AND_AUDIT)
+        order = [*raw, *(c for c in business_columns(silver, M.ID_AND_AUDIT) if c not in raw)]
+        now = state.merge(silver, batch_id, fold_silver(name, order), M.SILVER_ID)
+    return state.read()
+
+
 def run_gold(spark: SparkSession, silver_path: str, gold_root: str, roles: Mapping[str, str] | None = None,
              dimensions: Sequence[tuple[str, str]] = M.DEFAULT_STAT_DIMENSIONS) -> dict[str, str]:
     """M3 (I5): full refresh of the four gold tables (overwrite), row counts

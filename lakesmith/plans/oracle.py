@@ -150,6 +150,7 @@ FROM part"""
     out["bronze_job"] = out["bronze_ingest"].replace(
         "'part.parquet' AS _source_file,", "'part.parquet' AS _source_file, 'part.parquet' AS _source_uri,")
     out["silver_job"] = f"WITH {silver}\nSELECT * FROM silver"
+    out["silver_buckets"] = out["silver_job"]
     out["gold_catalog"] = f"WITH {silver}\nSELECT * FROM cat"
     out["gold_search"] = f"WITH {silver}\n{_search_sql()}"
     out["gold_stats"] = f"WITH {silver}\n{_stats_sql()}"
@@ -309,6 +310,40 @@ def context_sql(ranked: str) -> str:
             f"count(*) AS n_docs FROM {ranked} GROUP BY query_id")
 
 
+def read_share_sql(post: str) -> str:
+    """Blocks of 8 documents by (most frequent token, length, id); the 16 blocks of the highest limits give the
+    threshold; common tokens whose largest weights stay below it together are opened last."""
+    weight = ("(tf * CAST(2.2 AS DOUBLE)) / (tf + CAST(1.2 AS DOUBLE) * "
+              "(CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * doc_len / CAST(256.0 AS DOUBLE)))")
+    return f"""
+WITH p AS (SELECT * FROM {post}),
+pl AS (SELECT doc_id, (row_number() OVER (ORDER BY encode(top), n, doc_id) - 1) // 8 AS block
+       FROM (SELECT doc_id, max(doc_len) AS n, arg_max(tok, (tf, encode(tok))) AS top FROM p GROUP BY doc_id)),
+w AS (SELECT doc_id, tok, block, {weight} AS weight FROM p JOIN pl USING (doc_id)),
+b AS (SELECT block, tok, max(weight) AS bound, count(*) AS n FROM w GROUP BY ALL),
+t AS (SELECT DISTINCT query_id, tok FROM {qterms_sql()}),
+l AS (SELECT query_id, block, round(sum(bound), 9) AS lim FROM b JOIN t USING (tok) GROUP BY ALL),
+s AS (SELECT query_id, block FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lim DESC, block) AS r FROM l) WHERE r <= 16),
+d AS (SELECT query_id, doc_id, round(sum(weight), 6) AS score FROM w JOIN t USING (tok) JOIN s USING (query_id, block) GROUP BY ALL),
+k AS (SELECT query_id, min(score) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM d)
+      WHERE r <= 10 GROUP BY query_id HAVING count(*) = 10),
+o AS (SELECT l.query_id, l.block, threshold, s.block IS NOT NULL AS seed, threshold IS NULL OR lim + 0.000001 >= threshold AS reaches
+      FROM l LEFT JOIN s USING (query_id, block) LEFT JOIN k USING (query_id)),
+f AS (SELECT tok, max(bound) AS top, sum(n) AS df FROM b GROUP BY tok),
+r AS (SELECT query_id, tok, threshold IS NULL OR round(sum(top) OVER (PARTITION BY query_id ORDER BY df DESC, encode(tok) ROWS UNBOUNDED PRECEDING), 9)
+        + 0.000001 >= threshold AS rare FROM t JOIN f USING (tok) LEFT JOIN k USING (query_id)),
+x AS (SELECT o.query_id, o.block, any_value(threshold) AS threshold, round(coalesce(sum(bound) FILTER (NOT rare), 0), 9) AS still
+      FROM o JOIN r USING (query_id) JOIN b USING (block, tok) WHERE reaches AND NOT seed GROUP BY ALL),
+a AS (SELECT DISTINCT query_id, block FROM (SELECT x.query_id, x.block, w.doc_id, any_value(threshold) AS threshold, round(sum(weight) + any_value(still), 9) AS most
+      FROM x JOIN r ON r.query_id = x.query_id AND rare JOIN w ON w.block = x.block AND w.tok = r.tok GROUP BY ALL)
+      WHERE threshold IS NULL OR most + 0.000001 >= threshold),
+q AS (SELECT o.query_id, sum(n) AS postings, sum(n) FILTER (seed OR (reaches AND (rare OR a.block IS NOT NULL))) AS postings_read
+      FROM o JOIN r USING (query_id) JOIN b USING (block, tok) LEFT JOIN a ON a.query_id = o.query_id AND a.block = o.block GROUP BY o.query_id),
+z AS (SELECT query_id, count(*) AS blocks, count(*) FILTER (seed OR reaches) AS blocks_read FROM o GROUP BY query_id)
+SELECT query_id AS item_id, CAST(postings AS BIGINT) AS postings, CAST(coalesce(postings_read, 0) AS BIGINT) AS postings_read, blocks, blocks_read
+FROM q JOIN z USING (query_id)"""
+
+
 def retrieval_sql() -> dict[str, str]:
     from lakesmith.plans.retrieval_queries import ACCENTED, UNACCENTED
     out: dict[str, str] = {}
@@ -340,6 +375,11 @@ SELECT label, vec_id, CAST(sum(b) OVER (PARTITION BY label ORDER BY vec_id ROWS
      f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.{key}, b.{key}) AS {key},
                   round(CAST(0.0 AS DOUBLE) + coalesce(a.s, 0.0) + coalesce(b.s, 0.0), 9) AS rrf
            FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.{key} = b.{key})"""
+    out["bm25_pruned_topk"] = out["bm25_topk"]
+    out["bm25_read_share"] = read_share_sql(post)
+    all_cos = ("(SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), "
+               "CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)")
+    out["dense_topk_all"] = f"SELECT query_id, vec_id, score, rank FROM {topk_sql(all_cos, 'score DESC, vec_id')}"
     out["rrf_metrics"] = (f"WITH {fuse(cos_top, euc_top, 'vec_id')} SELECT query_id AS label, vec_id, rrf, fused_rank "
                           f"FROM {topk_sql('f', 'rrf DESC, vec_id', rank='fused_rank')}")
     doc_cos = ("(SELECT b.item_id AS query_id, d.doc_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), "
@@ -493,6 +533,32 @@ FROM conversations GROUP BY role"""
 
 # ----------------------------------------------------------------------------- ingestion
 
+def file_index_sql() -> str:
+    """Two drops of files of twenty documents; the second repeats the first five files and all CSV files."""
+    mid = "(SELECT max(doc_id) / 2 FROM documents)"
+    texts = lambda n, cond: (f"SELECT {n} AS nth, '.txt-' || (doc_id // 20) AS name, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS content "
+                             f"FROM documents WHERE {cond} GROUP BY doc_id // 20")
+    sheets = lambda n: (f"SELECT {n}, '.csv-' || (s_suppkey % 4), 'Supp Key,Name,Nation Key' || chr(10) || "
+                        "string_agg(s_suppkey || ',' || s_name || ',' || s_nationkey || chr(10), '' ORDER BY s_suppkey) FROM supplier GROUP BY s_suppkey % 4")
+    chunk = chunks_sql("docs", "source, doc_no")
+    return f"""
+WITH raw AS ({texts(1, f'doc_id <= {mid}')} UNION ALL {texts(2, f'doc_id > {mid} OR doc_id < 100')} UNION ALL {sheets(1)} UNION ALL {sheets(2)}),
+f AS (SELECT *, md5(content) AS etag, CASE WHEN row_number() OVER (PARTITION BY content ORDER BY nth, name) = 1 THEN 'loaded' ELSE 'repeated' END AS status FROM raw),
+docs AS (SELECT name AS source, 0 AS doc_no, content AS text FROM f WHERE status = 'loaded' AND name LIKE '.txt%'
+  UNION ALL SELECT '.csv-' || (s_suppkey % 4), row_number() OVER (PARTITION BY s_suppkey % 4 ORDER BY s_suppkey) - 1,
+    'supp_key: ' || s_suppkey || chr(10) || 'name: ' || s_name || chr(10) || 'nation_key: ' || s_nationkey FROM supplier),
+cut AS (SELECT *, sha256(concat_ws(chr(31), source, CAST(chunk_start AS VARCHAR), chunk_text)) AS chunk_id FROM {chunk}),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY source, doc_no, chunk_no) AS rn FROM cut) WHERE rn = 1),
+ct AS (SELECT DISTINCT chunk_id, unnest({toks('chunk_text')}) AS t FROM c),
+tg AS (SELECT chunk_id, array_to_string(list_sort(list(t)), ',') AS tags FROM ct JOIN {HERB_LEX} l ON t = l.term GROUP BY chunk_id),
+counted AS (SELECT (SELECT count(*) FROM f WHERE status = 'loaded') AS loaded, (SELECT count(*) FROM f WHERE status = 'repeated') AS repeated, 2 AS rejected,
+  (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM cut) AS chunks_cut, (SELECT count(*) FROM c) AS chunks_added)
+SELECT 'file' AS kind, name, status || ':' || etag AS value, octet_length(encode(content)) AS n FROM f
+UNION ALL SELECT 'file', '.json-', 'rejected:unsupported suffix', NULL FROM range(2)
+UNION ALL SELECT 'chunk', source || ':' || doc_no || ':' || chunk_no, chunk_id || ':' || coalesce(tags, {lit(UNKNOWN_TAG)}), length(chunk_text) FROM c LEFT JOIN tg USING (chunk_id)
+UNION ALL SELECT 'counter', name, NULL, n FROM (UNPIVOT counted ON loaded, repeated, rejected, documents, chunks_cut, chunks_added INTO NAME name VALUE n)"""
+
+
 def ingest_sql() -> dict[str, str]:
     out = medallion_sql()
     mid = "(SELECT max(p_partkey) / 2 FROM part)"
@@ -505,6 +571,7 @@ SELECT CAST(p_partkey AS VARCHAR) AS part_key, p_name AS name, p_brand AS brand,
 SELECT CAST(p_partkey AS VARCHAR) AS part_key, p_name AS name, row_number() OVER (ORDER BY p_partkey) AS cd_bronze_id,
        CASE WHEN p_partkey <= {mid} THEN '0' ELSE '1' END AS _batch_id FROM part""",
         "silver_incremental": out["merge_by_name"],
+        "file_index": file_index_sql(),
         "index_incremental": retrieval_sql()["index_upsert"],
         "schema_evolution": f"""
 SELECT p_partkey, p_name, p_brand, CAST(NULL AS VARCHAR) AS p_type, CAST(NULL AS INTEGER) AS p_size, 0 AS _batch_id

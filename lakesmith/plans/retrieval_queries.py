@@ -7,7 +7,6 @@ tokens of exactly 7 characters disease names."""
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame
@@ -15,9 +14,11 @@ from pyspark.sql import functions as F
 
 from lakesmith.functions import text as T
 from lakesmith.operators import chunking as C
+from lakesmith.operators import dense_index as DI
+from lakesmith.operators import pruning as PR
 from lakesmith.operators import retrieval as R
 from lakesmith.operators.medallion import keep_first
-from lakesmith.plans.tables import table
+from lakesmith.plans.tables import table, table_files
 from lakesmith.session import cut_lineage, scratch_path
 
 HERB_MIN_LEN, DISEASE_LEN = 8, 7
@@ -49,19 +50,41 @@ def lexicon(spark, d) -> DataFrame:
         "kind", F.when(F.length("term") >= HERB_MIN_LEN, "herb").otherwise("disease"))
 
 
-_INDEXES: dict[tuple[str, ...], str] = {}
+_STORED: dict[tuple, object] = {}
+
+
+def stored(spark, d, name: str, of: str, build):
+    """What ``build()`` wrote for table ``of`` of a data folder, once per session and state of that table: the
+    key holds the table's files with their sizes and times, so a changed table is indexed anew."""
+    key = (spark.sparkContext.applicationId, name, table_files(spark, d, of))
+    if key not in _STORED:
+        _STORED[key] = build()
+    return _STORED[key]
 
 
 def stored_index(spark, d, kind: str = "documents") -> DataFrame:
-    """The postings of the documents (or of their chunks), written by ``build_index`` once per session
-    and data folder, then read by every query."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(d), kind)
-    if key not in _INDEXES:
+    """The postings of the documents (or of their chunks), written by ``build_index`` and read by every query."""
+    def build():
         name = f"postings_{uuid.uuid4().hex[:12]}"
         rows, id_col = (docs(spark, d), "doc_id") if kind == "documents" else (chunks(spark, d), "chunk_uid")
         R.build_index(rows, name, scratch_path(spark, name), id_col)
-        _INDEXES[key] = name
-    return spark.table(_INDEXES[key])
+        return name
+    return spark.table(stored(spark, d, f"postings of {kind}", "documents", build))
+
+
+def stored_blocks(spark, d) -> DataFrame:
+    """The postings of the documents in blocks with bounds."""
+    def build():
+        name = f"blocks_{uuid.uuid4().hex[:12]}"
+        PR.build_block_index(docs(spark, d), name, scratch_path(spark, name))
+        return name
+    return spark.table(stored(spark, d, "blocks", "documents", build))
+
+
+def stored_cells(spark, d) -> DI.DenseIndex:
+    """The vectors in cells."""
+    return stored(spark, d, "cells", "embeddings", lambda: DI.build_dense_index(
+        table(spark, d, "embeddings"), scratch_path(spark, "cells"), "vec_id", "embedding"))
 
 
 def chunks(spark, d) -> DataFrame:
@@ -134,6 +157,39 @@ def q_dense_topk(spark, d):
         .withColumn("label", F.col("query_id").cast("int")).drop("query_id")
 
 
+def q_bm25_pruned_topk(spark, d):
+    """The rows of ``bm25_topk`` without scoring blocks of documents that cannot reach the top."""
+    hits = PR.bm25_topk_pruned(stored_blocks(spark, d), question_terms(spark, d)).hits
+    return hits.withColumnRenamed("query_id", "item_id")
+
+
+def q_bm25_read_share(spark, d):
+    """How many postings and blocks hold a question's tokens, and how many the pruned search opens."""
+    work = PR.bm25_topk_pruned(stored_blocks(spark, d), question_terms(spark, d)).work
+    return work.withColumnRenamed("query_id", "item_id")
+
+
+def hundredth(spark, d) -> DataFrame:
+    """The vectors whose id 100 divides, as questions."""
+    return table(spark, d, "embeddings").where(F.col("vec_id") % 100 == 0).select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+
+
+def q_dense_topk_all(spark, d):
+    """R2: exact top ten of every hundredth vector among all vectors."""
+    return R.dense_topk(table(spark, d, "embeddings"), hundredth(spark, d), "vec_id", "embedding", "query_id", "qvec")
+
+
+def q_dense_index_topk(spark, d):
+    """R2: the same questions on the index of cells."""
+    return DI.dense_topk_cells(stored_cells(spark, d), hundredth(spark, d), "query_id", "qvec").withColumnRenamed("id", "vec_id")
+
+
+def q_dense_index_recall(spark, d):
+    """R2: the share of the exact top ten that the index of cells finds."""
+    return DI.recall(q_dense_index_topk(spark, d), q_dense_topk_all(spark, d), ("query_id", "vec_id"))
+
+
 def q_rrf_metrics(spark, d):
     """Fusion of two dense rankings (cosine, euclidean)."""
     emb = table(spark, d, "embeddings")

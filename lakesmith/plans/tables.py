@@ -16,3 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread_on: str | None = N
         from lakesmith.operators.parallel import spread
         df = spread(df, spread_on, probe=True)
     return df
+
+
+def table_files(spark: SparkSession, sf_dir: str, name: str) -> tuple[tuple[str, int, int], ...]:
+    """``(path, length, modification time)`` of a driver table's files: a table that was written again, or
+    has one file more, gives another value.  Read through Spark's file system, no job runs."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))

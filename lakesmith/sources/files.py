@@ -234,6 +234,15 @@ def rows_as_documents(df: DataFrame, cols: Sequence[str] | None = None, source:
     return df.select(src.alias("source"), F.concat_ws("\n", *lines).alias("text"))
 
 
+def table_documents(content: bytes, ext: str) -> list[str]:
+    """S11 S12 of one file's bytes: a text per non-blank row below the header, ``column: value`` lines of its
+    non-empty cells under P1/P2 names."""
+    table = xlsx_rows(content) if ext == ".xlsx" else csv.reader(io.StringIO(content.decode("utf-8", "replace"), newline=""))
+    rows = (row for row in table if any(v.strip() for v in row))
+    names = unique_columns(next(rows, []))
+    return ["\n".join(f"{n}: {v}" for n, v in zip(names, row) if v != "") for row in rows]
+
+
 def load_documents(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """S14 composite: list a tree, dispatch by suffix, load each kind with
     its reader; returns (documents(source, text), rejected files)."""
