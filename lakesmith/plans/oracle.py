@@ -402,6 +402,20 @@ tg AS (SELECT doc_id, list_sort(list(t)) AS tl FROM dt JOIN {HERB_LEX} l ON t =
 SELECT d.doc_id, CASE WHEN tl IS NULL THEN {lit(UNKNOWN_TAG)} ELSE array_to_string(tl, ',') END AS tags,
        CAST(coalesce(len(tl), 0) AS BIGINT) AS n_tags
 FROM documents d LEFT JOIN tg USING (doc_id)"""
+    out["phrase_tags"] = f"""
+WITH q AS (SELECT {toks('text')} AS t FROM benchmark),
+g AS (SELECT t, unnest(range(1, len(t) - 1)) - 1 AS i FROM q WHERE len(t) >= 3),
+lex AS (SELECT DISTINCT unnest(CASE WHEN i % 3 = 0 THEN [t[i+1:i+2]] WHEN i % 3 = 1 THEN [t[i+1:i+1]] ELSE [t[i+1:i+2], t[i+1:i+3]] END) AS w FROM g WHERE i % 4 <> 3),
+d AS (SELECT doc_id, {toks("coalesce(text, '')")} AS t FROM documents),
+p AS (SELECT doc_id, n, unnest(list_transform(range(0, len(t) - n + 1), lambda i: {{'pos': i, 'term': array_to_string(t[i + 1:i + n], ' ')}})) AS x
+      FROM d, (SELECT unnest([1, 2, 3]) AS n)),
+h AS (SELECT doc_id, x.pos AS pos, n, x.term AS term FROM p JOIN (SELECT array_to_string(w, ' ') AS term FROM lex) l ON l.term = x.term),
+f AS (SELECT doc_id, list_reduce(list_prepend({{'pos': -1, 'n': 0, 'fin': 0, 'tags': CAST([] AS VARCHAR[]), 'term': ''}},
+        list({{'pos': pos, 'n': n, 'fin': pos + n, 'tags': CAST([] AS VARCHAR[]), 'term': term}} ORDER BY pos, n DESC)),
+        lambda a, x: CASE WHEN x.pos >= a.fin THEN {{'pos': x.pos, 'n': x.n, 'fin': x.fin, 'tags': list_append(a.tags, x.term), 'term': ''}} ELSE a END).tags AS tags
+      FROM h GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(array_to_string(list_sort(list_distinct(tags)), ','), {lit(UNKNOWN_TAG)}) AS tags,
+       CAST(coalesce(len(tags), 0) AS BIGINT) AS n_matches FROM documents LEFT JOIN f USING (doc_id)"""
     scored = scored_sql(hits, "documents", "doc_id")
     out["entity_score"] = f"SELECT query_id AS item_id, doc_id, entity_score FROM {scored}"
     ranked = rerank_sql(scored, "source, doc_id")

@@ -17,6 +17,7 @@ from lakesmith.operators import chunking as C
 from lakesmith.operators import dense_index as DI
 from lakesmith.operators import pruning as PR
 from lakesmith.operators import retrieval as R
+from lakesmith.operators import tagging as TG
 from lakesmith.operators.medallion import keep_first
 from lakesmith.plans.tables import table, table_files
 from lakesmith.session import cut_lineage, scratch_path
@@ -236,6 +237,22 @@ def q_entity_tags(spark, d):
     return t.select("doc_id", "tags", F.size("tag_list").cast("long").alias("n_tags"))
 
 
+def phrase_names(spark, d) -> DataFrame:
+    """Herb names as a person writes them, from the questions: single words, word pairs behind a plant part,
+    and pairs with a three-word synonym in brackets.  Neighbouring names overlap."""
+    t = table(spark, d, "benchmark").select(R.tokens("text").alias("t")).select("t", F.explode(F.sequence(F.lit(0), F.size("t") - 3)).alias("i"))
+    gram = lambda n: F.array_join(F.slice("t", F.col("i") + 1, n), " ")
+    name = (F.when(F.col("i") % 3 == 0, F.concat(F.lit("Lá  "), gram(2))).when(F.col("i") % 3 == 1, F.upper(gram(1)))
+            .otherwise(F.concat(gram(2), F.lit(" ("), gram(3), F.lit(")"))))
+    return t.where((F.size("t") >= 3) & (F.col("i") % 4 != 3)).select(name.alias("name"))
+
+
+def q_phrase_tags(spark, d):
+    """One- to three-word names in documents, the longest that do not overlap."""
+    t = TG.phrase_tags(docs(spark, d), "doc_id", "text", R.small(TG.phrase_dictionary(phrase_names(spark, d), "name")))
+    return t.select("doc_id", "tags", "n_matches")
+
+
 def document_scores(spark, d):
     return scored_hits(spark, d, bm25_hits(spark, d), docs(spark, d), stored_index(spark, d))
 
