@@ -252,15 +252,31 @@ def tag_rows(index: DataFrame, lexicon: DataFrame) -> DataFrame:
     return index.join(lex, "tok", "left_semi").select("doc_id", F.col("tok").alias("tag"))
 
 
+QGRAM = 3
+
+
+def _qgrams(c: str, n: Column | int) -> Column:
+    """The distinct ``n``-character pieces of a text (none if it is shorter)."""
+    size = F.lit(n) if isinstance(n, int) else n
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: i <= F.length(c) - size + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(c), i, size)))
+
+
 def matching_tags(tags: DataFrame, entities: DataFrame) -> DataFrame:
-    """``(entity, tag)`` with the normalised entity inside the tag text.  Every distinct tag is opened
-    into its substrings, which meet the distinct entities in an equi-join: no nested loop."""
-    opened = tags.select("tag").distinct().where(F.length("tag") > 0).select("tag", F.explode(F.array_distinct(F.flatten(
-        F.transform(F.sequence(F.lit(1), F.length("tag")),
-                    lambda i: F.transform(F.sequence(F.lit(1), F.length("tag") - i + 1),
-                                          lambda n: F.substring(F.col("tag"), i, n)))))).alias("key"))
-    asked = entities.select("entity", T.normalize_text("entity").alias("key")).where(F.col("key") != "").distinct()
-    return opened.join(asked, "key").select("entity", "tag")
+    """``(entity, tag)`` with the normalised entity inside the tag text.
+
+    A tag of ``L`` characters gives at most ``3 L`` pieces of one to three characters.  An entity of up to
+    three characters looks itself up among them; a longer one the rarest of its own three-character pieces
+    (one that no tag has means no match), and the tags met there are compared in full.  Null, blank and empty
+    entities match nothing, null and empty tags are matched by nothing."""
+    distinct = tags.select("tag").distinct().where(F.length("tag") > 0)
+    pieces = distinct.select("tag", F.explode(F.flatten(F.array(*[_qgrams("tag", n) for n in range(1, QGRAM + 1)]))).alias("key"))
+    asked = entities.select("entity", T.normalize_text("entity").alias("sought")).where(F.col("sought") != "").distinct()
+    keys = asked.select("entity", "sought", F.explode(_qgrams("sought", F.least(F.length("sought"), F.lit(QGRAM)))).alias("key"))
+    known = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    rarest = (keys.join(known, "key", "left").groupBy("entity", "sought")
+              .agg(F.min_by("key", F.struct(F.coalesce("df", F.lit(0)), "key")).alias("key")))
+    return pieces.join(rarest, "key").where(F.contains("tag", F.col("sought"))).select("entity", "tag")
 
 
 def wanted_tags(tags: DataFrame, entities: DataFrame) -> DataFrame:

@@ -114,3 +114,18 @@ def test_empty_question_table(spark):
     emb = RQ.table(spark, SF001, "embeddings")
     none = RQ.probes(spark, SF001).where("false")
     assert R.dense_topk(emb, none, "vec_id", "embedding", "query_id", "qvec").count() == 0
+
+
+def test_substring_filter_on_pieces(spark):
+    """Tags that contain the normalised entity: short, long, repeated, blank and null ones; pieces grow linearly."""
+    tags = ["abc", "ab", "a", "b", "xabcx", "cough and cold", "COLD", "aaaa", "", None, "a b", "é", "x" * 500]
+    asked = ["a", "ab", "abc", "cold", "Cold ", "aaa", "and c", "", "  ", None, "zzz", "abcd", "é", "x" * 40, "b"]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(tags + tags[:3])], "doc_id long, tag string")
+    e = spark.createDataFrame([(i, x) for i, x in enumerate(asked)], "query_id long, entity string")
+    got = sorted((r["entity"], r["tag"]) for r in R.matching_tags(t, e).collect())
+    norm = lambda x: " ".join(x.lower().split())
+    want = sorted({(x, y) for x in asked if x and norm(x) for y in tags if y and norm(x) in y})
+    assert got == want
+    lengths = {n: spark.createDataFrame([("".join(chr(0x4E00 + i) for i in range(n)),)], "tag string").select(
+        *[F.size(R._qgrams("tag", k)) for k in (1, 2, 3)]).first() for n in (2, 50, 100)}
+    assert [sum(v) for v in lengths.values()] == [3, 147, 297]
