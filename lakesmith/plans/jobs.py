@@ -1,8 +1,8 @@
 """Composite jobs (M1-M6): the user-level API over table locations.
 
 Each job reads its inputs from tables, runs DataFrame operators and writes
-with the sinks of :mod:`lakesmith.sources.tables`; no data passes through
-the driver.
+with the sinks of :mod:`lakesmith.sources.tables`; what reaches the driver are
+batch numbers and bucket numbers.
 """
 
 from __future__ import annotations
@@ -102,12 +102,12 @@ def run_silver_buckets(spark: SparkSession, bronze_path: str, state_path: str, n
 
 
 def run_gold(spark: SparkSession, silver_path: str, gold_root: str, roles: Mapping[str, str] | None = None,
-             dimensions: Sequence[tuple[str, str]] = M.DEFAULT_STAT_DIMENSIONS) -> dict[str, str]:
-    """M3 (I5): full refresh of the four gold tables (overwrite), row counts
-    gathered with ``observe`` while writing."""
+             dimensions: Sequence[tuple[str, str]] = M.DEFAULT_STAT_DIMENSIONS,
+             quality_kwargs: Mapping[str, object] | None = None) -> dict[str, str]:
+    """M3 (I5): full refresh of the four gold tables (overwrite)."""
     silver = ST.read_table(spark, silver_path)
     out = {}
-    for name, df in M.to_gold(silver, roles, dimensions).items():
+    for name, df in M.to_gold(silver, roles, dimensions, quality_kwargs).items():
         out[name] = ST.write_overwrite(df, f"{gold_root.rstrip('/')}/{name}")
     return out
 

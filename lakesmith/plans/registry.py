@@ -11,12 +11,13 @@ from lakesmith.plans import retrieval_queries as RQ
 from lakesmith.plans import conversation_queries as CQ
 from lakesmith.plans import derived_queries as DQ
 from lakesmith.plans import ingest_queries as IQ
+from lakesmith.plans import job_queries as JQ
 from lakesmith.plans import stream_queries as SQ
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for mod in (MQ, RQ, CQ, IQ, DQ, SQ):
+    for mod in (MQ, RQ, CQ, IQ, DQ, SQ, JQ):
         for k, v in vars(mod).items():
             if k.startswith("q_") and callable(v):
                 out[k[2:]] = v
@@ -32,4 +33,5 @@ def oracle_queries() -> dict[str, str]:
     out.update(ingest_sql())
     out.update(DQ.SQL)
     out.update({k: v.replace("{norm}", norm_text("text")) for k, v in SQ.SQL.items()})
+    out.update(JQ.sql())
     return out
