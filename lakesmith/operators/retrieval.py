@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakesmith.functions import text as T
+from lakesmith.functions.vectors import cosine
 from lakesmith.operators.parallel import spread
 from lakesmith.operators.sequence import top_k_within
 
@@ -168,8 +169,41 @@ def topk_with_fallback(scores: DataFrame, k: int = SEARCH_K) -> DataFrame:
     return top.withColumn("__has", has).where(F.col("filtered") | (F.col("__has") == 0)).drop("__has")
 
 
+def hybrid_with_fallback(scores: DataFrame, dense: DataFrame, dense_allowed: DataFrame, id_col: str = "doc_id",
+                         c: int | None = None, k: int = SEARCH_K, digits: int = 9) -> DataFrame:
+    """The hybrid search of a question with its metadata filter, ``(query_id, id, rrf, rank, filtered)``.
+
+    ``scores`` is ``(query_id, doc_id, score, allowed)`` of BM25, ``dense`` and ``dense_allowed`` are dense top-``k``
+    lists ``(query_id, id, rank)`` over all and over the allowed documents.  Both searches are fused by reciprocal
+    rank within the filtered and within the unfiltered group; a question keeps the fused filtered list when it
+    has one, else the unfiltered one."""
+    c = RRF_C if c is None else c
+    groups = F.when(F.col("allowed"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    sparse = top_k_within(scores.select("query_id", "doc_id", "score", F.explode(groups).alias("filtered")), ["query_id", "filtered"],
+                          [F.desc("score"), F.asc("doc_id")], k).withColumnRenamed("doc_id", id_col)
+    lists = [sparse, dense.withColumn("filtered", F.lit(False)).unionByName(dense_allowed.withColumn("filtered", F.lit(True)), allowMissingColumns=True)]
+    points = None
+    for part in lists:
+        one = part.select("query_id", "filtered", id_col, (F.lit(1.0) / (F.lit(c) + F.col("rank") - 1)).alias("points"))
+        points = one if points is None else points.unionByName(one)
+    fused = points.groupBy("query_id", "filtered", id_col).agg(F.round(F.sum("points"), digits).alias("rrf"))
+    top = top_k_within(fused, ["query_id", "filtered"], [F.desc("rrf"), F.asc(id_col)], k)
+    has = F.max(F.col("filtered").cast("int")).over(Window.partitionBy("query_id"))
+    return top.withColumn("__has", has).where(F.col("filtered") | (F.col("__has") == 0)).drop("__has")
+
+
 # ----------------------------------------------------------------------------- dense
 
+def dense_topk_of(pairs: DataFrame, corpus: DataFrame, questions: DataFrame, id_col: str, vec_col: str, qvec: str,
+                  k: int = SEARCH_K, digits: int = 6) -> DataFrame:
+    """R2 within a filter: the top ``k`` by cosine among each question's allowed ``(query_id, id)`` only.
+    Documents and questions without a vector that has a direction are left out."""
+    j = (pairs.join(corpus.where(_usable(vec_col)).select(id_col, vec_col), id_col)
+         .join(bounded(questions.where(_usable(qvec)).select("query_id", qvec)), "query_id"))
+    scored = j.select("query_id", id_col, (F.round(cosine(F.col(vec_col), F.col(qvec)), digits) + F.lit(0.0)).alias("score"))
+    return top_k_within(scored, ["query_id"], [F.desc("score"), F.asc(id_col)], k)
+
+
 def _usable(vec: str) -> Column:
     """A vector that has a direction: not NULL, no NULL or NaN entry, not all zero."""
     return F.col(vec).isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists(vec, lambda x: x != 0)

@@ -462,6 +462,21 @@ UNION ALL SELECT doc_id, etag, 2 AS batch FROM r2 WHERE NOT EXISTS (SELECT 1 FRO
     out["retrieve_job"] = f"""
 SELECT g.item_id, g.n_docs, g.gate, x.context, c.citations_json FROM {gate_sql(c_hits)} g
 LEFT JOIN ({context_sql(c_ranked)}) x USING (item_id) LEFT JOIN ({cites_sql(c_ranked)}) c USING (item_id)"""
+    chunk_cos = (f"(SELECT b.item_id AS query_id, c.chunk_uid, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score "
+                 f"FROM {chunk_rel} c JOIN embeddings e ON e.vec_id = CAST(split_part(c.chunk_uid, ':', 1) AS BIGINT), benchmark b JOIN embeddings q ON q.vec_id = b.item_id)")
+    out["retrieve_hybrid"] = f"""
+WITH cp AS (SELECT * FROM {c_post}), sc AS (SELECT query_id, doc_id AS chunk_uid, score FROM {bm25_scores_sql('cp')}),
+m AS (SELECT query_id, doc_id AS chunk_uid FROM {meta_sql('cp')}), dn AS (SELECT * FROM {chunk_cos} WHERE chunk_uid IN (SELECT doc_id FROM cp)),
+l AS (SELECT query_id, chunk_uid, rank, true AS filtered FROM {topk_sql('(SELECT sc.* FROM sc JOIN m USING (query_id, chunk_uid))', 'score DESC, chunk_uid')}
+  UNION ALL SELECT query_id, chunk_uid, rank, true FROM {topk_sql('(SELECT dn.* FROM dn JOIN m USING (query_id, chunk_uid))', 'score DESC, chunk_uid')}
+  UNION ALL SELECT query_id, chunk_uid, rank, false FROM {topk_sql('sc', 'score DESC, chunk_uid')}
+  UNION ALL SELECT query_id, chunk_uid, rank, false FROM {topk_sql('dn', 'score DESC, chunk_uid')}),
+f AS (SELECT query_id, filtered, chunk_uid, round(sum(CAST(1.0 AS DOUBLE) / ({RRF_C} + rank - 1)), 9) AS rrf FROM l GROUP BY ALL),
+h AS (SELECT query_id, chunk_uid, rrf, rank, filtered FROM {topk_sql('f', 'rrf DESC, chunk_uid', part='query_id, filtered')}
+      WHERE filtered OR query_id NOT IN (SELECT query_id FROM f WHERE filtered)),
+rk AS (SELECT * FROM {rerank_sql(scored_sql('h', chunk_rel, 'chunk_uid'), 'source, chunk_uid')})
+SELECT g.item_id, g.n_docs, g.gate, x.context, c.citations_json FROM {gate_sql('h')} g
+LEFT JOIN ({context_sql('rk')}) x USING (item_id) LEFT JOIN ({cites_sql('rk')}) c USING (item_id)"""
     return out
 
 

@@ -19,6 +19,7 @@ from lakesmith.operators import pruning as PR
 from lakesmith.operators import retrieval as R
 from lakesmith.operators import tagging as TG
 from lakesmith.operators.medallion import keep_first
+from lakesmith.operators.sequence import dense_id
 from lakesmith.plans.tables import table, table_files
 from lakesmith.session import cut_lineage, scratch_path
 
@@ -344,3 +345,30 @@ def q_retrieve_job(spark, d):
     hits = filtered_hits(spark, d, "chunks", "chunk_uid", lex)
     scored = scored_hits(spark, d, hits, chunks(spark, d), stored_index(spark, d, "chunks"), "chunk_uid", lex)
     return jobs.retrieve(q, scored).withColumnRenamed("query_id", "item_id")
+
+
+def hybrid_hits(spark, d, lex: DataFrame) -> DataFrame:
+    """R4 R7 over chunks: BM25 and dense lists fused inside the metadata filter, else without it.  A chunk
+    has the vector of its document (``vec_id = doc_id``), a question the one of its id."""
+    terms = R.small(question_terms(spark, d))
+    entities = query_entities(spark, d, terms, lex)
+    index = stored_index(spark, d, "chunks")
+    wanted = R.small(R.wanted_tags(lex.select(F.col("term").alias("tag")), entities))
+    emb = table(spark, d, "embeddings").select("vec_id", "embedding")
+    keys = index.select(F.col("doc_id").alias("chunk_uid")).distinct().withColumn("vec_id", F.substring_index("chunk_uid", ":", 1).try_cast("long"))
+    vectors = keys.join(emb, "vec_id").select("chunk_uid", "embedding")
+    asked = questions(spark, d).select("query_id").join(emb, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("qvec"))
+    numbered = dense_id(vectors, ["chunk_uid"], "no")  # the dense scan keeps whole numbers
+    every = R.dense_topk(numbered, asked, "no", "embedding", "query_id", "qvec").join(numbered.select("no", "chunk_uid"), "no").drop("no")
+    pairs = index.withColumnsRenamed({"doc_id": "chunk_uid", "tok": "tag"}).join(wanted, "tag").select("query_id", "chunk_uid").distinct()
+    within = R.dense_topk_of(pairs, vectors, asked, "chunk_uid", "embedding", "qvec")
+    return R.hybrid_with_fallback(R.bm25_filter_scores(index, terms, wanted), every, within, "chunk_uid")
+
+
+def q_retrieve_hybrid(spark, d):
+    """M5 with hybrid ranking: tag filter on both searches, fallback, fusion, entity score, rerank, then
+    context, citations and gate for every question."""
+    from lakesmith.plans import jobs
+    lex = R.small(lexicon(spark, d))
+    scored = scored_hits(spark, d, hybrid_hits(spark, d, lex), chunks(spark, d), stored_index(spark, d, "chunks"), "chunk_uid", lex)
+    return jobs.retrieve(questions(spark, d), scored).withColumnRenamed("query_id", "item_id")
