@@ -11,7 +11,7 @@ from conftest import SF001
 
 QUERIES = spark_queries()
 SQL = oracle_queries()
-ROWS_ONLY = {"chunk_recursive"}
+ROWS_ONLY = {"chunk_recursive", "dense_index_topk", "dense_index_recall"}
 
 
 @pytest.fixture(scope="module")
