@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from lakesmith.functions import text as T
 from lakesmith.operators import medallion as M
+from lakesmith.operators import quality_state as QS
 from lakesmith.operators.sequence import dense_id
 from lakesmith.plans.tables import table
+from lakesmith.session import scratch_path
 from lakesmith.sources.files import rows_as_documents
+from lakesmith.sources.tables import BATCH_COL, append_batch, read_table
 
 PART_ROLES = {
     "medicine_name": "p_name", "bo_phan_dung": "p_type", "cong_dung": "p_brand",
@@ -107,6 +110,26 @@ def q_quality_report(spark, d):
                             dose_col="text", dose_min_col="lieu_dung_min_g", with_timestamps=False)
 
 
+def q_quality_states(spark, d):
+    """The report from the merged states of four batches, one of them stored twice.  Counts are returned;
+    estimates are compared with the one-pass report and must lie within four standard errors."""
+    checks = ("text", "lang", "quality", "toxic")
+    silver = table(spark, d, "documents", spread_on="doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    silver = silver.withColumn("lieu_dung_min_g", T.dose_bounds("text")[0])
+    path = scratch_path(spark, "quality_states")
+    for batch in (0, 1, 2, 2, 3):
+        rows = silver.where(F.col("doc_id") % 4 == batch)
+        append_batch(QS.quality_state(rows, "text", checks, "text", "lieu_dung_min_g"), path, batch)
+    merged = QS.report(QS.merge_states(read_table(spark, path).drop(BATCH_COL)))
+    once = M.quality_report(silver, name_col="text", check_cols=checks, dose_col="text", dose_min_col="lieu_dung_min_g", with_timestamps=False)
+    estimated = F.col("metric_name").isin(*QS.ESTIMATED)
+    rows_in_all = silver.count()
+    near = F.abs(F.col("metric_value") - F.col("exact")) <= 4 * QS.standard_error() * rows_in_all
+    return merged.join(once.withColumnRenamed("metric_value", "exact"), "metric_name", "full_outer").select(
+        "metric_name", F.when(~estimated, F.col("metric_value")).alias("metric_value"),
+        F.when(estimated, near).otherwise(F.col("metric_value") == F.col("exact")).alias("sound"))
+
+
 def q_id_continuation(spark, d):
     """Orders arrive in two batches (before / from 1998); the
     second batch's ids continue at max(first)+1."""

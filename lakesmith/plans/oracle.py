@@ -179,6 +179,11 @@ SELECT min(doc_id) AS doc_id, lang, arg_min(n_chars, doc_id) AS n_chars FROM doc
     out["quality_report"] = f"""
 WITH s AS (SELECT d.*, l.quality, l.toxic, {mn} AS lieu_dung_min_g FROM documents d LEFT JOIN labels l USING (doc_id))
 {_quality_sql('s', 'source', ['text', 'lang', 'quality', 'toxic'], 'text', 'lieu_dung_min_g')}"""
+    out["quality_states"] = f"""
+WITH s AS (SELECT d.*, l.quality, l.toxic, {mn} AS lieu_dung_min_g FROM documents d LEFT JOIN labels l USING (doc_id)),
+r AS ({_quality_sql('s', 'text', ['text', 'lang', 'quality', 'toxic'], 'text', 'lieu_dung_min_g')})
+SELECT metric_name, CASE WHEN metric_name NOT IN ('gold_catalog_rows', 'duplicate_medicine_rows_removed', 'distinct_medicine_names') THEN metric_value END AS metric_value,
+       true AS sound FROM r"""
     out["id_continuation"] = """
 WITH b1 AS (SELECT o_orderkey, 1 AS batch, row_number() OVER (ORDER BY o_orderkey) AS cd_id
             FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'),
