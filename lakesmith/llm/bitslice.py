@@ -83,7 +83,7 @@ def slice_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _slice(key, rows):
     """One block of the index from its rows."""
     rows = rows.sort_values("place")
-    low, slices = slice_block(_padded(rows["values"], max(map(len, rows["values"]))))
+    low, slices = slice_block(_padded(rows["values"], max(1, *map(len, rows["values"]))))
     return pd.DataFrame([(key[0], rows["id"].to_numpy(dtype=np.int64).tobytes(), low.tobytes(), slices.shape[1], slices.tobytes())],
                         columns=["block", "ids", "low", "digits", "slices"])
 

@@ -162,6 +162,7 @@ def test_search_ties_across_blocks_and_small_tables(spark):
     rows = [(i, [0.5, -0.25]) for i in range(400)]
     assert search(vectors(spark, rows), block_bits=6) == plain_search(rows, 10)
     assert search(vectors(spark, [(0, [1.0]), (1, [2.0])])) == [(0, 1, 1, 1024 * 2048)]
+    assert search(vectors(spark, [(0, []), (3, []), (2, [])])) == [(0, 1, 2, 0), (0, 2, 3, 0)]
     assert search(vectors(spark, [(0, [1.0])])) == [] and search(vectors(spark, [])) == [] and search(vectors(spark, [(1, [1.0])])) == []
 
 
