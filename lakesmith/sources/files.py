@@ -29,6 +29,8 @@ from lakesmith.session import cut_lineage
 TABLE_SUFFIXES = (".csv", ".xlsx", ".xlsm")
 DOCUMENT_SUFFIXES = (".pdf", ".txt", ".docx", ".md", ".csv", ".xlsx")
 
+MAX_HEADER_LINES = 256
+
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -67,7 +69,8 @@ def _header_names(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[s
     A record ends with the line that closes its last quoted cell.  Line ``i`` ends the record when the
     quotes up to it are even; files whose first non-blank line is not yet whole are looked at again
     with twice as many lines, so usually one job reads one line per file.  Only header records reach
-    the driver (schema metadata)."""
+    the driver (schema metadata); a record that is not closed within ``MAX_HEADER_LINES`` lines (a stray
+    quote would make the whole file its header) raises an error that names the files."""
     lines = (spark.read.text(list(paths)).where(F.trim("value") != "")
              .select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"), "value",
                      F.monotonically_increasing_id().alias("i")).where(F.col("at") == 0))
@@ -78,15 +81,19 @@ def _header_names(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[s
         heads = first.withColumn("n", F.row_number().over(Window.partitionBy("f").orderBy("i"))) \
             .where(F.col("n") <= depth).groupBy("f") \
             .agg(F.array_sort(F.collect_list(F.struct("n", "value")))["value"].alias("lines")).collect()
+        whole = set()
         for row in heads:
             quotes = 0
             for n, line in enumerate(row["lines"], start=1):
                 quotes += line.count('"')
-                if quotes % 2 == 0 or len(row["lines"]) < depth:
+                if quotes % 2 == 0:
+                    out[row["f"]] = unique_columns(next(csv.reader(io.StringIO("\n".join(row["lines"][:n]), newline="")), []))
                     break
-            if quotes % 2 == 0 or len(row["lines"]) < depth:
-                cells = next(csv.reader(io.StringIO("\n".join(row["lines"][:n]))), [])
-                out[row["f"]] = unique_columns(cells)
+            else:
+                if len(row["lines"]) < depth or depth >= MAX_HEADER_LINES:
+                    whole.add(row["f"])
+        if whole:
+            raise ValueError(f"header record not closed in {min(depth, MAX_HEADER_LINES)} lines: {', '.join(sorted(whole))}")
         if all(row["f"] in out for row in heads):
             return out
         depth *= 2

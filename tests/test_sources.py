@@ -185,3 +185,17 @@ def test_replayed_batch_is_exact(spark, tmp_dir):
     run(1, rows1)  # replay of batch 1
     again = sorted(map(tuple, ST.read_table(spark, idx).select("chunk_id", "doc_id").collect()))
     assert first == again == [("a", 1), ("b", 2), ("c", 4)]
+
+
+def test_header_search_is_bounded(spark, tmp_dir):
+    """A stray quote in the header is an error after a bounded number of lines; a header of some lines is read."""
+    import pytest
+    good, bad = os.path.join(tmp_dir, "good.csv"), os.path.join(tmp_dir, "bad.csv")
+    with open(good, "w") as f:
+        f.write('"a\n' + "x\n" * 40 + '",b\n1,2\n')
+    with open(bad, "w") as f:
+        f.write('"a,b\n' + "1,2\n" * 3000)
+    rows = SF.read_csv_files(spark, [good])
+    assert rows.count() == 1 and rows.first()["b"] == "2"
+    with pytest.raises(ValueError, match="bad.csv"):
+        SF.read_csv_files(spark, [bad])
