@@ -68,12 +68,23 @@ def stored_index(spark, d, kind: str = "documents") -> DataFrame:
     """The postings of the documents (or of their chunks), written by ``build_index`` and read by every query."""
     def build():
         name = f"postings_{uuid.uuid4().hex[:12]}"
-        rows, id_col = (docs(spark, d), "doc_id") if kind == "documents" else (chunks(spark, d), "chunk_uid")
+        rows, id_col = (docs(spark, d), "doc_id") if kind == "documents" else (stored_chunks(spark, d), "chunk_uid")
         R.build_index(rows, name, scratch_path(spark, name), id_col)
         return name
     return spark.table(stored(spark, d, f"postings of {kind}", "documents", build))
 
 
+def stored_chunks(spark, d) -> DataFrame:
+    """The chunk table beside the chunk postings, bucketed by the same key; queries read the hits' texts here."""
+    def build():
+        name = f"chunks_{uuid.uuid4().hex[:12]}"
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        (chunks(spark, d).repartition(n, "chunk_uid").write.bucketBy(n, "chunk_uid").sortBy("chunk_uid")
+         .option("path", scratch_path(spark, name)).saveAsTable(name))
+        return name
+    return spark.table(stored(spark, d, "chunks", "documents", build))
+
+
 def stored_blocks(spark, d) -> DataFrame:
     """The postings of the documents in blocks with bounds."""
     def build():
@@ -343,7 +354,7 @@ def q_retrieve_job(spark, d):
     q = questions(spark, d)
     lex = R.small(lexicon(spark, d))
     hits = filtered_hits(spark, d, "chunks", "chunk_uid", lex)
-    scored = scored_hits(spark, d, hits, chunks(spark, d), stored_index(spark, d, "chunks"), "chunk_uid", lex)
+    scored = scored_hits(spark, d, hits, stored_chunks(spark, d), stored_index(spark, d, "chunks"), "chunk_uid", lex)
     return jobs.retrieve(q, scored).withColumnRenamed("query_id", "item_id")
 
 
@@ -370,5 +381,5 @@ def q_retrieve_hybrid(spark, d):
     context, citations and gate for every question."""
     from lakesmith.plans import jobs
     lex = R.small(lexicon(spark, d))
-    scored = scored_hits(spark, d, hybrid_hits(spark, d, lex), chunks(spark, d), stored_index(spark, d, "chunks"), "chunk_uid", lex)
+    scored = scored_hits(spark, d, hybrid_hits(spark, d, lex), stored_chunks(spark, d), stored_index(spark, d, "chunks"), "chunk_uid", lex)
     return jobs.retrieve(questions(spark, d), scored).withColumnRenamed("query_id", "item_id")
