@@ -57,3 +57,17 @@ def test_lives_across_a_state():
     assert hit.tolist() == [True, True, False, True] and times.tolist() == [5, 6, 1, 2]
     hit, times = lives(t, None, 0, 60)
     assert hit.tolist() == [False, True, False, True] and times.tolist() == [1, 2, 1, 2]
+
+
+def test_many_keys_share_a_few_states(spark, tmp_dir):
+    """State and Python calls go by bucket, not by key, and the hits stay those of every key on its own."""
+    data = [(i, f"k{i * 7 % 300}", 1_700_000_000 + i // 6) for i in range(1500)]
+    landing, out, ck = (os.path.join(tmp_dir, n) for n in ("in", "out", "ck"))
+    for a, b in ((0, 700), (700, 1500)):
+        part = spark.createDataFrame(data[a:b], "id long, key string, t long")
+        part.select("id", "key", F.timestamp_seconds("t").alias("at")).write.mode("append").parquet(landing)
+        stream = seen_within(spark.readStream.schema("id long, key string, at timestamp").parquet(landing), "key", "at", ["id"], TTL, buckets=3)
+        _run(stream, ck, lambda batch, n: ST.append_batch(batch, out, n))
+    got = sorted((r["id"], r["key"], r["hit"], r["times"]) for r in ST.read_table(spark, out).collect())
+    assert got == plain(data)
+    assert spark.read.format("statestore").load(ck).count() == 3
