@@ -19,9 +19,10 @@ from math import isqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakesmith.llm.common import materialise
 from lakesmith.operators.retrieval import SEARCH_K, _usable, dense_topk
 from lakesmith.operators.sequence import top_k_within
 
@@ -35,11 +36,24 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def first_hashed(rows: DataFrame, hashed: Column, id_col: str, count: int) -> DataFrame:
+    """The first ``count`` rows in the order of ``(hashed, id)``, read below a bound on the hash that about
+    twice as many rows meet: a plain limit would send ``count`` rows of every partition to the driver."""
+    n = rows.count()
+    share = 2 * count / n if n else 1.0
+    below = rows
+    if share < 0.5:
+        below = rows.where(hashed < F.lit(int(-2**63 + share * 2**64)))
+        if below.count() < count:  # many rows of few ids
+            below = rows
+    return materialise(below.orderBy(hashed, id_col).limit(count), "sample")
+
+
 def fit_cells(vectors: DataFrame, id_col: str, vec_col: str, cells: int, sample_rows: int = SAMPLE_ROWS,
               rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
     """Unit centroids of spherical k-means over at most ``sample_rows`` vectors, the first in the order of
     their id's hash; fewer centroids if the sample has fewer distinct vectors."""
-    sample = vectors.orderBy(F.xxhash64(id_col), id_col).select(vec_col).limit(sample_rows).toPandas()[vec_col]
+    sample = first_hashed(vectors.select(id_col, vec_col), F.xxhash64(id_col), id_col, sample_rows).select(vec_col).toPandas()[vec_col]
     if not len(sample):
         return np.zeros((0, 0))
     points = _unit(np.stack([np.asarray(v, dtype="float64") for v in sample]))
@@ -106,8 +120,7 @@ def build_dense_index(vectors: DataFrame, path: str, id_col: str, vec_col: str,
 def needed_probes(stored: DataFrame, centroids: np.ndarray, k: int = SEARCH_K, target: float = TARGET, tuning_rows: int = TUNING_ROWS) -> int:
     """The smallest number of nearest cells that hold ``target`` of the exact top ``k`` of ``tuning_rows``
     stored vectors (taken in another hash order than the sample of the fit)."""
-    asked = stored.orderBy(F.xxhash64("id", F.lit("tune")), "id").limit(tuning_rows).select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
-    asked = stored.sparkSession.createDataFrame(asked.collect(), asked.schema)
+    asked = first_hashed(stored.select("id", "vec"), F.xxhash64("id", F.lit("tune")), "id", tuning_rows).select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
     exact = dense_topk(stored, asked, "id", "vec", "query_id", "qvec", k)
     pairs = exact.join(stored.select("id", "cell"), "id").select("query_id", "cell").toPandas()  # at most tuning_rows * k rows
     vectors = asked.toPandas()
