@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesmith.operators.retrieval import SEARCH_K, _bm25_weight, _index, bounded, token_rows
+from lakesmith.operators.retrieval import SEARCH_K, _bm25_weight, _text_index, bounded
 from lakesmith.operators.sequence import dense_id, top_k_within
 from lakesmith.session import cut_lineage, scratch_path
 
@@ -38,7 +38,7 @@ def build_block_index(docs: DataFrame, name: str, path: str, id_col: str = "doc_
     spark = docs.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     stored = scratch_path(spark, "block-postings")
-    _index(token_rows(docs, id_col, text_col), n).write.parquet(stored)
+    _text_index(docs, id_col, text_col, n).write.parquet(stored)
     counts = spark.read.parquet(stored)
     features = counts.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"), F.max_by("tok", F.struct("tf", "tok")).alias("top"))
     placed = dense_id(features, ["top", "doc_len", "doc_id"], "no", start=0)

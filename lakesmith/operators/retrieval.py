@@ -79,7 +79,11 @@ def tokens(c: str | Column) -> Column:
 def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per token occurrence ``(doc_id, tok, doc_len)``; the text is
     tokenised once (the length travels inside the generated struct)."""
-    toks = spread(docs, id_col).select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("toks"))
+    return _occurrences(spread(docs, id_col), id_col, text_col)
+
+
+def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    toks = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("toks"))
     return toks.select("doc_id", F.inline(F.transform(
         "toks", lambda t: F.struct(t.alias("tok"), F.size("toks").cast("long").alias("doc_len")))))
 
@@ -87,14 +91,24 @@ def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _index(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """Counts per (document, token), partitioned by document alone, so that scoring needs no other exchange."""
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.repartition(n, "doc_id").groupBy("doc_id", "tok")
-            .agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len")))
+    return _counts(rows.repartition(n, "doc_id"))
+
+
+def _text_index(docs: DataFrame, id_col: str, text_col: str, parts: int | None = None) -> DataFrame:
+    """:func:`_index` of whole texts: the texts move, once, and their tokens are counted where they land; a
+    token row is several times as long as the token in its text."""
+    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition(n, "doc_id")
+    return _counts(_occurrences(placed, "doc_id", "text"))
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """R3 index: ``(doc_id, tok, tf, doc_len)``; tokens are generated map-side."""
-    return token_rows(docs, id_col, text_col).groupBy("doc_id", "tok").agg(
-        F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
+    return _counts(token_rows(docs, id_col, text_col))
 
 
 def build_index(docs: DataFrame, name: str, path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -103,7 +117,7 @@ def build_index(docs: DataFrame, name: str, path: str, id_col: str = "doc_id", t
     (document, token); returns the stored table.  Scores over it aggregate inside a bucket."""
     spark = docs.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (_index(token_rows(docs, id_col, text_col), n).write.bucketBy(n, "doc_id").sortBy("doc_id", "tok")
+    (_text_index(docs, id_col, text_col, n).write.bucketBy(n, "doc_id").sortBy("doc_id", "tok")
      .option("path", path).mode("overwrite").saveAsTable(name))
     return spark.table(name)
 

@@ -110,3 +110,21 @@ def test_stored_index_follows_its_table(spark, tmp_path):
     assert item["item_id"] in {r["item_id"] for r in hits}
     pruned = RQ.q_bm25_pruned_topk(spark, str(d)).where("doc_id = 999999").collect()
     assert sorted(map(tuple, pruned)) == sorted(map(tuple, hits))
+
+
+def test_fit_sample_is_the_head_of_the_hash_order(spark):
+    """The bounded read takes the rows of a plain limit; few ids of many rows fall back to all rows."""
+    for rows, count in (([(i,) for i in range(3000)], 40), ([(i % 3,) for i in range(3000)], 40), ([(1,)], 5), ([], 5)):
+        df = spark.createDataFrame(rows, "id long").repartition(6)
+        want = [r["id"] for r in df.orderBy(F.xxhash64("id"), "id").limit(count).collect()]
+        assert sorted(r["id"] for r in DI.first_hashed(df, F.xxhash64("id"), "id", count).collect()) == sorted(want)
+
+
+def test_index_build_moves_texts_not_tokens(spark):
+    """One exchange, of rows of the table; a repeated id counts as one document."""
+    docs = spark.createDataFrame([(1, "a b a"), (1, "a c"), (2, None), (None, "b b"), (3, "A")], "doc_id long, text string")
+    index = R._text_index(docs, "doc_id", "text", 3)
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.index("Generate") < plan.index("RepartitionByExpression")
+    key = lambda r: str(tuple(r))
+    assert sorted(index.collect(), key=key) == sorted(R.postings(docs).select(*index.columns).collect(), key=key)
