@@ -25,7 +25,9 @@ empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,13 @@ from pyspark.sql import functions as F
 from lakesmith.llm.common import materialise
 
 FLUSH_WORDS = 300_000  # distinct words that a counting task holds before it passes them on
+SLICE_TOKENS = 200_000  # tokens that a scoring task handles at a time
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words of a text with A-Z in lower case (bytes.lower and bytes.split know ASCII only)."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def tokens(column: pa.Array) -> Iterator[list[bytes]]:
+    """Words of every text of a column with A-Z in lower case (bytes.lower and bytes.split know ASCII only)."""
+    raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    return (x.as_py().lower().split() if x.is_valid else [] for x in raw)
 
 
 def tail_class(word: bytes, classes: int) -> int:
@@ -61,8 +65,8 @@ def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
             held.clear()
             return batch
         for b in batches:
-            for t in b.column(0):
-                held.update(tokens(t.as_py()))
+            for words in tokens(b.column(0)):
+                held.update(words)
                 if len(held) >= FLUSH_WORDS:
                     yield flush()
         if held:
@@ -70,8 +74,16 @@ def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
     return texts.select(text_col).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _ids(words: list[bytes], known: dict[bytes, int], base: int, classes: int) -> list[int]:
-    return [known[w] if w in known else base + tail_class(w, classes) for w in words]
+def _ids(known: dict[bytes, int], base: int, classes: int) -> dict[bytes, int]:
+    """Row of every word that is asked for: vocabulary rows, else by ending.  Endings are kept for a bounded
+    number of words."""
+    class Rows(dict):
+        def __missing__(self, word):
+            row = base + tail_class(word, classes)
+            if len(self) < FLUSH_WORDS:
+                self[word] = row
+            return row
+    return Rows(known)
 
 
 def bigram_matrix(texts: DataFrame, text_col: str, vocabulary: list[bytes], tail_classes: int) -> np.ndarray:
@@ -82,15 +94,15 @@ def bigram_matrix(texts: DataFrame, text_col: str, vocabulary: list[bytes], tail
     v, size = len(vocabulary), len(vocabulary) + tail_classes + 1
 
     def run(batches):
-        index, total = known.value, np.zeros(size * size, dtype=np.int64)
+        row, total = _ids(known.value, v, tail_classes).__getitem__, np.zeros(size * size, dtype=np.int64)
         ids: list[int] = [size - 1]
 
         def add():
             a = np.array(ids, dtype=np.int64)
             np.add.at(total, a[:-1] * size + a[1:], 1)
         for b in batches:
-            for t in b.column(0):
-                ids.extend(_ids(tokens(t.as_py()), index, v, tail_classes))
+            for words in tokens(b.column(0)):
+                ids.extend(map(row, words))
                 ids.append(size - 1)
                 if len(ids) > 500_000:
                     add()
@@ -243,43 +255,61 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     unknown = np.where(kind_n > 0, np.log10(np.maximum(d * kind_n, 1e-9) / total), 0.0)
     log_total = np.log10(total)
 
-    head = counts.orderBy(F.desc("c"), "word").limit(head_words).toArrow()  # bounded by ``head_words``
-    table = dict(zip((bytes(w) for w in head.column("word").to_pylist()), head.column("c").to_pylist()))
-    shared = spark.sparkContext.broadcast((vars(model), table, log_total))
+    # bounded by ``head_words``; the vocabulary comes first.  Per head word, and last the end: its class and what it adds
+    head = counts.orderBy(F.desc("c"), "word").limit(max(head_words, n_vocab)).toArrow()
+    words, c = [bytes(w) for w in head.column("word").to_pylist()], head.column("c").to_numpy().astype(np.float64)
     ends = model.train_tokens - int(counts.agg(F.sum("c")).first()[0] or 0)
+    end_class = int(model.row_class[model.end])
+    tails = np.array([tail_class(w, tail_classes) for w in words[n_vocab:]], dtype=np.int64)
+    cls = np.concatenate([model.row_class[:n_vocab], first_tail + tails, [end_class]]).astype(np.int64)
+    emission = np.concatenate([model.row_emission[:n_vocab], np.log10(np.maximum(c[n_vocab:] - d, 1e-9)) - log_total[tails], model.row_emission[-1:]])
+    base = np.log10(np.append(c, ends) + 0.1)
+    shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, cls, emission, base, model.transition))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        parts, common, log_n = shared.value  # plain values: executors need no copy of this package
-        m = ClassModel(**parts)
-        rows, end, v = m.vocabulary, m.end, len(m.vocabulary)
-        end_class = int(m.row_class[end])
+        index, cls, emission, base, transition = shared.value  # plain values: executors need no copy of this package
+        end = len(index)
+
+        def scored(ids: list[int], met: list, lengths: list[int]):
+            """Sums per text of a slice; texts end with the end, which so stands before the first word of the next."""
+            at, stop = np.array(ids, dtype=np.int64), np.cumsum(lengths)
+            start = stop - lengths
+            unknown = np.flatnonzero(at < 0)
+            of, add, unigram, seen = cls[at], emission[at], base[at], at >= 0
+            if not ends:
+                seen &= at != end
+            of[unknown] = [first_tail + tail_class(met[i], tail_classes) for i in unknown]
+            add[unknown] = unigram[unknown] = 0
+            add += transition[np.concatenate([[cls[end]], of[:-1]]), of]
+            rare: list[Counter] = [Counter() for _ in lengths]
+            for i, text in zip(unknown, np.searchsorted(stop, unknown, side="right")):
+                rare[text][met[i]] += 1
+            return (lengths, np.add.reduceat(seen.astype(np.int64), start).tolist(), np.add.reduceat(unigram, start).tolist(),
+                    np.add.reduceat(add, start).tolist(), [list(r) for r in rare], [list(r.values()) for r in rare])
+
         for b in batches:
-            out: dict[str, list] = {x: [] for x in ("row", "words", "known", "base", "score", "rare", "times")}
-            for t in b.column(2):
-                w = tokens(t.as_py())
-                ids = np.array(_ids(w, rows, v, m.tail_classes) + [end], dtype=np.int64)
-                cls = m.row_class[ids]
-                s = float(m.transition[np.concatenate([[end_class], cls[:-1]]), cls].sum())
-                s += float(m.row_emission[ids[(ids < v) | (ids == end)]].sum())
-                base, seen, rare, times = float(np.log10(ends + 0.1)), 1 if ends else 0, [], []
-                for x, k in Counter(w).items():
-                    c = common.get(x)
-                    if c is None:
-                        rare.append(x)
-                        times.append(k)
-                        continue
-                    seen += k
-                    base += k * float(np.log10(c + 0.1))
-                    if x not in rows:
-                        s += k * float(np.log10(max(c - m.discount, 1e-9)) - log_n[tail_class(x, m.tail_classes)])
-                for name, x in zip(out, (None, len(w) + 1, seen, base, s, rare, times)):
-                    out[name].append(x)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(out["words"], pa.int64()), pa.array(out["known"], pa.int64()),
-                 pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64()),
-                 pa.array(out["rare"], pa.list_(pa.binary())), pa.array(out["times"], pa.list_(pa.int64()))],
-                names=["id", "key", "words", "known", "base", "score", "rare", "times"])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            ids, met, lengths = [], [], []
+
+            def flush():
+                if lengths:
+                    for values, more in zip(out, scored(ids, met, lengths)):
+                        values.extend(more)
+                    for x in (ids, met, lengths):
+                        x.clear()
+            for w in tokens(b.column(2)):
+                ids.extend(map(index.get, w, repeat(-1)))
+                ids.append(end)
+                met.extend(w)
+                met.append(None)
+                lengths.append(len(w) + 1)
+                if len(ids) >= SLICE_TOKENS:
+                    flush()
+            flush()
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, t) for x, t in zip(out, types))],
+                                             names=["id", "key", "words", "known", "base", "score", "rare", "times"])
 
     keyed = docs.select(id_col, F.xxhash64(id_col, text_col).alias("key"), text_col)
     local = materialise(keyed.mapInArrow(run, f"id {kind}, key long, words long, known long, base double, score double, "

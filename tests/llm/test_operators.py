@@ -208,6 +208,21 @@ def test_empty_tables(spark):
     assert not classlm.score(docs, F.lit(True)).collect()
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert not ranking.score_documents(docs, ranking.learn_ranker(docs, labels)).collect()
+
+
+def test_class_scores_of_small_slices(spark, monkeypatch):
+    """Slices of a few tokens give the scores of one slice: words in and out of the head, empty and null texts."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(i % 9))) for i in range(40)] + [(40, None), (41, "x\ty W1")],
+                                 "doc_id long, text string").coalesce(1)
+    got = []
+    for size in (200_000, 5):
+        monkeypatch.setattr(classlm, "SLICE_TOKENS", size)
+        got.append({r["doc_id"]: r for r in classlm.score(docs, F.col("doc_id") % 3 != 0, vocabulary=4, classes=2, head_words=6).collect()})
+    assert set(got[0]) == set(range(42)) and got[0][40]["n_tokens"] == 1
+    for i, a in got[0].items():
+        b = got[1][i]
+        assert (a["n_tokens"], a["n_known"]) == (b["n_tokens"], b["n_known"])
+        assert abs(a["base_score"] - b["base_score"]) < 1e-9 and abs(a["score"] - b["score"]) < 1e-9
     assert rules.learn_from(rules.stats_frame(docs, "doc_id", "text"), labels) == []
 
 
