@@ -169,13 +169,17 @@ def q_table_roundtrip(spark, d):
         .select("*", F.lit(written).cast("long").alias("rows_written"), F.lit(listed).alias("listed"))
 
 
+TEXT_FOLDERS = 256
+
+
 def q_text_documents(spark, d):
-    """Spark writes every document as its own text file
-    (``partitionBy(doc_id)``); the loader lists the tree, dispatches by
-    suffix and reads each file whole as one document."""
+    """Every document becomes its own text file, in folders by its key; the loader lists the
+    tree, dispatches by suffix and reads each file whole as one document."""
     landing = scratch_path(spark, "landing_text")
     docs = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
-    docs.write.partitionBy("doc_id").text(landing)
+    name = F.concat(F.pmod(F.xxhash64("doc_id"), F.lit(TEXT_FOLDERS)), F.lit("/doc_id="),
+                    F.coalesce(F.col("doc_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit(".txt"))
+    SF.write_text_files(docs, landing, name)
     loaded, rejected = SF.load_documents(spark, landing)
     # the text writer ends each record with one line separator
     return loaded.select(F.regexp_extract("source", r"doc_id=([0-9]+)", 1).cast("long").alias("doc_id"),

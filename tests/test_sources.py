@@ -199,3 +199,31 @@ def test_header_search_is_bounded(spark, tmp_dir):
     assert rows.count() == 1 and rows.first()["b"] == "2"
     with pytest.raises(ValueError, match="bad.csv"):
         SF.read_csv_files(spark, [bad])
+
+
+def test_text_files_are_written_by_all_cores_without_side_files(spark, tmp_dir):
+    """One row group of documents: a file per key and nothing beside it, the rows of a key as its lines, null texts left out."""
+    rows = [(i, f"text {i}\nsecond line") for i in range(300)] + [(7, "again"), (8, None), (None, "no key"), (301, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    SF.write_text_files(df, f"{tmp_dir}/t", F.concat(F.lit("a/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
+    found = {os.path.relpath(os.path.join(at, f), f"{tmp_dir}/t") for at, _, files in os.walk(f"{tmp_dir}/t") for f in files}
+    assert found == {f"a/{i}.txt" for i in [*range(300), 301, "none"]}
+    docs, rejected = SF.load_documents(spark, f"{tmp_dir}/t")
+    texts = {os.path.basename(r["source"]): r["text"] for r in docs.collect()}
+    assert texts["7.txt"] == "text 7\nsecond line\nagain\n" and texts["301.txt"] == "\n" and texts["none.txt"] == "no key\n"
+    assert len(texts) == 302 and rejected.count() == 0
+
+
+def test_text_documents_writes_a_file_per_document_in_few_folders(spark, tmp_path):
+    """The tree of text_documents holds one file a document and nothing else, below a bounded number of folders."""
+    from lakesmith.plans import ingest_queries as Q
+    from lakesmith.session import checkpoint_root
+    (tmp_path / "d").mkdir()
+    spark.range(1000).selectExpr("id AS doc_id", "concat('t', id) AS text").write.parquet(str(tmp_path / "d" / "documents.parquet"))
+    root = checkpoint_root(spark)
+    before = set(os.listdir(root))
+    got = Q.q_text_documents(spark, str(tmp_path / "d"))
+    assert {tuple(r) for r in got.collect()} == {(i, f"t{i}") for i in range(1000)}
+    landing = next(x for x in set(os.listdir(root)) - before if x.startswith("landing_text"))
+    walked = list(os.walk(f"{root}/{landing}"))
+    assert sum(len(files) for _, _, files in walked) == 1000 and len(walked) <= Q.TEXT_FOLDERS + 1
