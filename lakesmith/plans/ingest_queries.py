@@ -109,9 +109,9 @@ DOCS_PER_FILE = 20
 
 def _drop_files(spark, d, folder: str, docs: DataFrame) -> None:
     """A drop of files that Spark writes: texts of twenty neighbouring documents a file, supplier rows as
-    CSV files, and nations as JSON, which no reader accepts."""
-    (docs.withColumn("file_no", F.floor(F.col("doc_id") / DOCS_PER_FILE)).repartition("file_no")
-     .sortWithinPartitions("file_no", "doc_id").select("file_no", "text").write.partitionBy("file_no").text(f"{folder}/text"))
+    CSV files, and nations as JSON, which no reader accepts.  The text files lie in one folder, so that the
+    stream lists them by one call and not by a task per file."""
+    SF.write_text_files(docs, f"{folder}/text", F.concat(F.lit("file_no="), F.floor(F.col("doc_id") / DOCS_PER_FILE), F.lit(".txt")), order=["doc_id"])
     (table(spark, d, "supplier").select((F.col("s_suppkey") % 4).alias("file_no"), F.col("s_suppkey").alias("Supp Key"), F.col("s_name").alias("Name"),
                                         F.col("s_nationkey").alias("Nation Key"))
      .repartition("file_no").sortWithinPartitions("file_no", "Supp Key").write.partitionBy("file_no").option("header", "true").csv(f"{folder}/csv"))

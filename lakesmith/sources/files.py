@@ -232,7 +232,7 @@ def read_docx_files(files: DataFrame) -> DataFrame:
 
 def write_text_files(rows: DataFrame, root: str, name: Column, text: str = "text", order: Sequence[str] = ()) -> None:
     """One file below ``root`` per value of ``name`` (a relative path): the texts of its rows in ``order``, a line
-    separator behind each (rows of null text are left out), as Spark's text writer has them.
+    separator behind each (a null text is an empty one), as Spark's text writer has them.
 
     The files of a task are written one after the other and once; Spark's writer makes a folder, a checksum file
     and a rename of each, and on a local file system a process per mode that it sets.  A task that runs again
@@ -261,7 +261,7 @@ def write_text_files(rows: DataFrame, root: str, name: Column, text: str = "text
 
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
     # the place in the scan makes the order of equal keys, and so the files of a task, the same in every run of it
-    placed = rows.where(F.col(text).isNotNull()).select(name.alias("file"), F.col(text).alias("line"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
+    placed = rows.select(name.alias("file"), F.coalesce(F.col(text), F.lit("")).alias("line"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
                                                        F.monotonically_increasing_id().alias("place"))
     (placed.repartition(parts, "file").sortWithinPartitions("file", *[f"o{i}" for i in range(len(order))], "place")
      .select("file", F.col("line").cast("binary")).mapInArrow(write, "n long").agg(F.sum("n")).collect())

@@ -19,12 +19,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakesmith.operators import chunking as C
 from lakesmith.operators import retrieval as R
-from lakesmith.operators.medallion import keep_first
 from lakesmith.session import cut_lineage
 from lakesmith.sources.files import DOCUMENT_SUFFIXES, docx_text, extension, table_documents
 from lakesmith.sources.tables import BATCH_COL, append_batch, table_exists
@@ -46,14 +45,15 @@ def file_states(batch: DataFrame, earlier: DataFrame | None, suffixes: Sequence[
     unreadable = F.create_map(*[F.lit(x) for kv in UNREADABLE.items() for x in kv])
     reason = (F.when(~ext.isin(*suffixes), F.lit("unsupported suffix")).when(ext.isin(*UNREADABLE), unreadable[ext]))
     files = batch.select("path", "length", ext.alias("ext"), F.md5("content").alias("etag"), reason.alias("reason"))
-    usable = files.where(F.col("reason").isNull())
-    first = keep_first(usable.select("etag", "path"), ["etag"], ["path"])
+    # the contents are read and hashed once; what moves are rows without content
+    files = files.withColumn("__first", F.min(F.when(F.col("reason").isNull(), F.col("path"))).over(Window.partitionBy("etag")))
+    repeated = F.col("path") != F.col("__first")
     if earlier is not None:
-        known = earlier.where("status = 'loaded'").select("etag").distinct()
-        first = first.join(known, "etag", "left_anti")
-    first = first.withColumn("__new", F.lit(True))
-    status = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("__new").isNull(), "repeated").otherwise("loaded")
-    return files.join(first, ["etag", "path"], "left").select("path", "length", "ext", "etag", status.alias("status"), "reason")
+        known = earlier.where("status = 'loaded'").select("etag").distinct().withColumn("__known", F.lit(True))
+        files = files.join(known, "etag", "left")
+        repeated = repeated | F.col("__known").isNotNull()
+    status = F.when(F.col("reason").isNotNull(), "rejected").when(repeated, "repeated").otherwise("loaded")
+    return files.select("path", "length", "ext", "etag", status.alias("status"), "reason")
 
 
 def file_documents(files: DataFrame) -> DataFrame:
@@ -116,6 +116,10 @@ def index_batch(spark: SparkSession, batch: DataFrame, batch_id: int, store: str
         chunks = keyed_chunks(stored)
         n_cut = chunks.select("chunk_no").count()
         old = before("chunks")
+        if old is not None:
+            # the key holds the source: only chunks of this batch's sources (a name per file) can be there already
+            names = F.broadcast(stored.select(F.col("source").alias("__name")).distinct())
+            old = old.join(names, F.col("source").eqNullSafe(F.col("__name")), "left_semi")
         new = cut_lineage(R.upsert_new(old if old is not None else chunks.limit(0), chunks, "chunk_id", ["source", "doc_no", "chunk_no"]))
         tagged = new.join(R.entity_tags(new, "chunk_id", "text", lexicon).select("chunk_id", "tags"), "chunk_id")
         append_batch(tagged, f"{store}/chunks", batch_id)

@@ -23,13 +23,21 @@ from lakesmith.sources.files import TABLE_SUFFIXES, extension, read_csv_files, r
 from lakesmith.sources.tables import BATCH_COL, append_batch, read_table, table_exists
 
 MAX_FILES_PER_TRIGGER = 1000
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def _run(stream: DataFrame, checkpoint: str, handler: Callable[[DataFrame, int], None]) -> None:
-    q = (stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    # a micro-batch names its files one by one, and Spark would look at every one in a task of its own
+    spark = stream.sparkSession
+    before = spark.conf.get(LISTING_TASKS)
+    spark.conf.set(LISTING_TASKS, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        q = (stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(LISTING_TASKS, before)
 
 
 def existing(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame | None:

@@ -202,7 +202,7 @@ def test_header_search_is_bounded(spark, tmp_dir):
 
 
 def test_text_files_are_written_by_all_cores_without_side_files(spark, tmp_dir):
-    """One row group of documents: a file per key and nothing beside it, the rows of a key as its lines, null texts left out."""
+    """One row group of documents: a file per key and nothing beside it, the rows of a key as its lines, a null text as an empty line."""
     rows = [(i, f"text {i}\nsecond line") for i in range(300)] + [(7, "again"), (8, None), (None, "no key"), (301, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     SF.write_text_files(df, f"{tmp_dir}/t", F.concat(F.lit("a/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
@@ -210,7 +210,7 @@ def test_text_files_are_written_by_all_cores_without_side_files(spark, tmp_dir):
     assert found == {f"a/{i}.txt" for i in [*range(300), 301, "none"]}
     docs, rejected = SF.load_documents(spark, f"{tmp_dir}/t")
     texts = {os.path.basename(r["source"]): r["text"] for r in docs.collect()}
-    assert texts["7.txt"] == "text 7\nsecond line\nagain\n" and texts["301.txt"] == "\n" and texts["none.txt"] == "no key\n"
+    assert texts["7.txt"] == "text 7\nsecond line\nagain\n" and texts["8.txt"] == "text 8\nsecond line\n\n" and texts["301.txt"] == "\n" and texts["none.txt"] == "no key\n"
     assert len(texts) == 302 and rejected.count() == 0
 
 
