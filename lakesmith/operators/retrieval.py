@@ -7,8 +7,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from lakesmith.functions import text as T
 from lakesmith.functions.vectors import cosine
@@ -148,17 +151,128 @@ def bm25_scores(index: DataFrame, terms: DataFrame, digits: int = 6) -> DataFram
     return j.groupBy("query_id", "doc_id").agg(F.round(F.sum(_bm25_weight()), digits).alias("score"))
 
 
-def bm25_filter_scores(index: DataFrame, terms: DataFrame, wanted: DataFrame, digits: int = 6) -> DataFrame:
-    """BM25 scores and the metadata filter in one pass: ``allowed`` is true where the document holds one
-    of the tags that the question wants, ``(query_id, tag)``.  Scores and flags are sums over the same
-    posting rows, so no (query, document) pairs are joined."""
+def bm25_filter_scores(index: DataFrame, terms: DataFrame, wanted: DataFrame, digits: int = 6, k: int | None = None,
+                       max_queries: int = 4096) -> DataFrame:
+    """BM25 scores and the metadata filter in one pass, ``(query_id, doc_id, score, allowed)``: ``allowed`` is true
+    where the document holds one of the tags that the question wants, ``(query_id, tag)``.
+
+    A posting that many questions ask for stays one row: the tokens met are gathered per document where the index
+    lies, and the sums over questions are formed in arrays.  With ``k`` only rows that can be among the best ``k`` of a
+    question, by (score desc, doc_id) over all or over its allowed documents, leave a task.  Questions travel in
+    blocks of at most ``max_queries``."""
     keys = terms.select("query_id", "tok").distinct().withColumn("term", F.lit(True)).join(
         wanted.select("query_id", F.col("tag").alias("tok")).distinct().withColumn("wanted", F.lit(True)),
         ["query_id", "tok"], "full_outer")
-    return (index.join(bounded(keys), "tok").groupBy("query_id", "doc_id")
-            .agg(F.round(F.sum(F.when(F.col("term"), _bm25_weight())), digits).alias("score"),
-                 F.coalesce(F.bool_or("wanted"), F.lit(False)).alias("allowed"))
-            .where(F.col("score").isNotNull()))
+    blocks = query_blocks(keys.select("query_id").distinct(), "query_id", max_queries)
+    parts = []
+    for block in blocks:
+        of = block.withColumnRenamed("query_id", "__q")
+        mine = keys if len(blocks) == 1 else keys.join(of, F.col("query_id").eqNullSafe(F.col("__q")), "left_semi")
+        parts.append(_filter_sums(index, mine, digits, k))
+    return _union(parts)
+
+
+def _filter_sums(index: DataFrame, keys: DataFrame, digits: int, k: int | None) -> DataFrame:
+    """:func:`bm25_filter_scores` of one block of ``(query_id, tok, term, wanted)``."""
+    spark = index.sparkSession
+    got = keys.toArrow().combine_chunks()
+    ids, toks = (got.column(c).combine_chunks().dictionary_encode("encode") for c in ("query_id", "tok"))
+    q, no = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (ids, toks))
+    n_tok, n_q = len(toks.dictionary), len(ids.dictionary)
+
+    def by_token(flag: str):
+        """The questions of every token: where its run starts, and the runs one behind the other."""
+        on = np.flatnonzero(got.column(flag).fill_null(False).to_numpy())
+        on = on[np.argsort(no[on], kind="stable")]
+        return np.searchsorted(no[on], np.arange(n_tok + 1)), q[on]
+    shared = spark.sparkContext.broadcast((ids.dictionary, by_token("term"), by_token("wanted")))
+    vocab = spark.createDataFrame(pa.table({"tok": toks.dictionary, "no": pa.array(np.arange(n_tok), pa.int32())}), "tok string, no int")
+    held = index.join(bounded(vocab), "tok").groupBy("doc_id").agg(F.collect_list("no").alias("no"), F.collect_list(_bm25_weight()).alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        questions, (start, asked), (tag_start, tag_asked) = shared.value
+        floor = np.zeros((2, n_q))  # what the best k reach so far, over all and over the allowed documents
+        pool: list[tuple] = []      # (questions, scores, allowed, ids) of the rows that are still in
+
+        def expand(rows, no, first, runs):
+            """``(entry, cell)``: a cell of the slice, row times question, for every question of every entry."""
+            n = first[no + 1] - first[no]
+            entry = np.repeat(np.arange(len(no)), n)
+            at = np.arange(len(entry)) + np.repeat(first[no] - (np.cumsum(n) - n), n)
+            return entry, rows[entry] * n_q + runs[at]
+
+        def scores(names, lens, no, w):
+            n = len(lens)
+            rows = np.repeat(np.arange(n), lens)
+            entry, cell = expand(rows, no, start, asked)
+            total = np.round(np.bincount(cell, weights=w[entry], minlength=n * n_q), digits).reshape(n, n_q)
+            met = np.zeros(n * n_q, dtype=bool)
+            met[cell] = True
+            met = met.reshape(n, n_q)
+            allowed = np.zeros(n * n_q, dtype=bool)
+            allowed[expand(rows, no, tag_start, tag_asked)[1]] = True
+            allowed = allowed.reshape(n, n_q)
+            if k is not None:
+                inside = np.where(allowed, total, 0)
+                if n >= k:
+                    for g, x in enumerate((total, inside)):
+                        np.maximum(floor[g], np.partition(x, n - k, axis=0)[n - k], out=floor[g])
+                met &= (total >= floor[0]) | (allowed & (total >= floor[1]))
+            row, question = np.nonzero(met)
+            pool.append((question, total[row, question], allowed[row, question], names.take(pa.array(row))))
+
+        def best():
+            """The pool cut to the best ``k`` of every question, twice."""
+            question, score, allowed = (np.concatenate([p[i] for p in pool]) for i in range(3))
+            names = pa.concat_arrays([p[3] for p in pool])
+            if k is not None:
+                place = np.empty(len(names), dtype=np.int64)
+                place[pc.sort_indices(names, null_placement="at_start").to_numpy()] = np.arange(len(names))
+                order = np.lexsort((place, -score, question))
+                keep = np.zeros(len(names), dtype=bool)
+                for g, some in enumerate((order, order[allowed[order]])):
+                    of = question[some]
+                    rank = np.arange(len(some)) - np.searchsorted(of, of)
+                    keep[some[rank < k]] = True
+                    last = some[rank == k - 1]
+                    np.maximum.at(floor[g], question[last], score[last])
+                question, score, allowed, names = question[keep], score[keep], allowed[keep], names.filter(pa.array(keep))
+            pool[:] = [(question, score, allowed, names)]
+
+        def rows():
+            for question, score, allowed, names in pool:
+                for a in range(0, len(names), 50_000):
+                    part = slice(a, a + 50_000)
+                    yield pa.RecordBatch.from_arrays([questions.take(pa.array(question[part])), names[part], pa.array(score[part], pa.float64()),
+                                                      pa.array(allowed[part], pa.bool_())], names=["query_id", "doc_id", "score", "allowed"])
+
+        limit = 1 << 20  # cells of a slice, and sums over them; one document at least
+        for b in batches:
+            names, lists, weights = b.column(0), b.column(1), b.column(2)
+            lens = np.diff(lists.offsets.to_numpy())
+            ends = np.cumsum(lens)
+            no, w = lists.flatten().to_numpy(), weights.flatten().to_numpy()
+            sums = np.concatenate([[0], np.cumsum(start[no + 1] - start[no] + tag_start[no + 1] - tag_start[no])])
+            work = sums[ends] + n_q * np.arange(1, len(lens) + 1)
+            a = 0
+            while a < len(lens):
+                done = work[a - 1] if a else 0
+                z = max(a + 1, int(np.searchsorted(work, done + limit, side="right")))
+                at = slice(ends[a] - lens[a], ends[z - 1])
+                scores(names[a:z], lens[a:z], no[at], w[at])
+                a = z
+                if k is None:
+                    yield from rows()
+                    pool.clear()
+                elif sum(len(p[0]) for p in pool) > limit:
+                    best()
+        if pool:
+            best()
+            yield from rows()
+
+    kinds = StructType([StructField("query_id", keys.schema["query_id"].dataType), StructField("doc_id", index.schema["doc_id"].dataType),
+                          StructField("score", DoubleType()), StructField("allowed", BooleanType())])
+    return held.mapInArrow(run, kinds)
 
 
 def bm25_topk(index: DataFrame, terms: DataFrame, k: int = SEARCH_K) -> DataFrame:
@@ -209,13 +323,15 @@ def hybrid_with_fallback(scores: DataFrame, dense: DataFrame, dense_allowed: Dat
 # ----------------------------------------------------------------------------- dense
 
 def dense_topk_of(pairs: DataFrame, corpus: DataFrame, questions: DataFrame, id_col: str, vec_col: str, qvec: str,
-                  k: int = SEARCH_K, digits: int = 6) -> DataFrame:
-    """R2 within a filter: the top ``k`` by cosine among each question's allowed ``(query_id, id)`` only.
-    Documents and questions without a vector that has a direction are left out."""
+                  k: int = SEARCH_K, digits: int = 6, tie: str | None = None) -> DataFrame:
+    """R2 within a filter: the top ``k`` by cosine among each question's allowed ``(query_id, id)`` only, equal ones
+    by ``tie``, a column of the pairs (by id without one).  Documents and questions without a vector that has a
+    direction are left out."""
     j = (pairs.join(corpus.where(_usable(vec_col)).select(id_col, vec_col), id_col)
          .join(bounded(questions.where(_usable(qvec)).select("query_id", qvec)), "query_id"))
-    scored = j.select("query_id", id_col, (F.round(cosine(F.col(vec_col), F.col(qvec)), digits) + F.lit(0.0)).alias("score"))
-    return top_k_within(scored, ["query_id"], [F.desc("score"), F.asc(id_col)], k)
+    names = [id_col, tie] if tie else [id_col]
+    scored = j.select("query_id", *names, (F.round(cosine(F.col(vec_col), F.col(qvec)), digits) + F.lit(0.0)).alias("score"))
+    return top_k_within(scored, ["query_id"], [F.desc("score"), F.asc(names[-1])], k)
 
 
 def _usable(vec: str) -> Column:

@@ -47,6 +47,43 @@ def test_pruned_topk_equals_the_full_sum(spark):
     assert work[3]["blocks_read"] == work[3]["blocks"]  # fewer than k documents hold its words: no threshold
 
 
+def test_filter_scores_cut_in_the_tasks(spark):
+    """The cut to the best ``k`` keeps both lists of every question; all rows are the plain sums."""
+    docs = corpus(spark, 300).unionByName(spark.createDataFrame([(None, "rare common"), (5, "rare topic")], "doc_id long, text string"))
+    asked = spark.createDataFrame([(1, "rare topic common"), (2, "common"), (3, "only40 only80"), (4, "unknown"), (None, "w1 rare"), (6, "")],
+                                  "item_id long, text string")
+    terms, index = R.query_terms(asked), R.postings(docs)
+    wanted = spark.createDataFrame([(1, "w2"), (1, "w3"), (2, "rare"), (4, "common"), (None, "w5")], "query_id long, tag string")
+    plain = {(q, i): s for q, i, s in R.bm25_scores(index, terms).collect()}
+    tags = {}
+    for i, t in index.select("doc_id", "tok").collect():
+        tags.setdefault(i, set()).add(t)
+    pairs = [tuple(r) for r in wanted.collect()]
+    want = {(q, i): (s, any(a == q and t in tags[i] for a, t in pairs)) for (q, i), s in plain.items()}
+    for most in (4096, 2):
+        got = {(r[0], r[1]): (r[2], r[3]) for r in R.bm25_filter_scores(index, terms, wanted, max_queries=most).collect()}
+        assert got.keys() == want.keys() and all(abs(got[x][0] - s) < 2e-6 and got[x][1] == a for x, (s, a) in want.items())
+    best = lambda rows, k: {(q, g, i) for q in {x[0] for x in rows} for g in (False, True)
+                            for i in [i for _, n, i in sorted((-s, (i is not None, i or 0), i) for (p, i), (s, a) in rows.items()
+                                                              if p == q and (a or not g))][:k]}
+    for k in (1, 3, 1000):
+        cut = {(r[0], r[1]): (r[2], r[3]) for r in R.bm25_filter_scores(index.coalesce(2), terms, wanted, k=k).collect()}
+        assert best(cut, k) == best(got, k) and all(got[x] == v for x, v in cut.items())
+    assert R.bm25_filter_scores(index, terms, wanted, k=1).count() < len(want) / 2
+    assert R.bm25_filter_scores(index, terms.limit(0), wanted.limit(0), k=3).collect() == []
+
+
+def test_stored_tables_have_buckets_for_their_text(spark, tmp_path, monkeypatch):
+    (tmp_path / "data").mkdir()
+    corpus(spark).selectExpr("doc_id", "text", "'en' lang", "'s' source", "1L n_chars").write.parquet(str(tmp_path / "data" / "documents.parquet"))
+    d, least = str(tmp_path / "data"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert RQ.index_buckets(spark, d) == least
+    monkeypatch.setattr(RQ, "_STORED", {})
+    monkeypatch.setattr(RQ, "BUCKET_BYTES", 1000)
+    assert RQ.index_buckets(spark, d) > least
+    assert RQ.stored_index(spark, d, "chunks").count() == R.postings(RQ.stored_chunks(spark, d), "chunk_uid").count() > 0
+
+
 def test_pruned_topk_of_empty_tables(spark):
     terms = R.query_terms(spark.createDataFrame([(1, "a")], "item_id long, text string"))
     index = index_of(spark, corpus(spark).limit(0), block_docs=16)
