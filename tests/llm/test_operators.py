@@ -1,6 +1,7 @@
 """Operators of the training-data subpackage on a small fixture with nulls, blank and long texts,
 ties, repeated rows, empty tables and columns of clashing names, against plain-Python versions."""
 
+import math
 import hashlib
 import re
 import struct
@@ -186,7 +187,6 @@ def test_language_and_scores_on_odd_rows(spark):
         for w in [*words(t), None]:
             w = w and w.encode().lower()
             counts[w], n = counts.get(w, 0) + 1, n + 1
-    import math
     norm = math.log10(n + 0.1 * (len(counts) + 1))
     want = sum(math.log10(counts[w and w.encode().lower()] + 0.1) - norm for w in [*words(BASE), None])
     assert next(r["base_score"] for r in out if r["doc_id"] == 1) == pytest.approx(want)
@@ -226,6 +226,47 @@ def test_class_scores_of_small_slices(spark, monkeypatch):
         assert abs(a["base_score"] - b["base_score"]) < 1e-9 and abs(a["score"] - b["score"]) < 1e-9
 
 
+def test_rest_of_the_words_is_clustered_by_contexts(spark):
+    """Words outside the vocabulary share a class by what stands before them, not by their ending, and the head
+    changes no score; classes, counts and scores equal a plain version."""
+    left, right = [f"l{x}{y}" for x in "abc" for y in "stuvw"], [f"r{x}{y}" for x in "abc" for y in "vwxyz"]
+    rows = [(i, " ".join(f"alpha one {left[(i + j) % 15]} beta two {right[(i * 2 + j) % 15]}" for j in range(4))) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(60, None), (61, "one new two ls"), (62, "one las")], "doc_id long, text string")
+    train = F.col("doc_id") < 61
+    counts = classlm.word_counts(docs.where(train), "text")
+    model, rest = classlm.learn(docs.where(train), "text", counts, vocabulary=4, classes=4, tail_classes=8)
+    cls = {bytes(r["word"]).decode(): r["cls"] for r in rest.collect()}
+    assert set(cls) == set(left + right)
+    assert len({cls[w] for w in left}) == len({cls[w] for w in right}) == 1 and cls["lav"] != cls["rav"]
+    assert {bytes(r["word"]).decode(): r["c"] for r in rest.collect()} == {
+        bytes(r["word"]).decode(): r["c"] for r in counts.collect() if bytes(r["word"]) not in model.vocabulary}
+    # every class shares out its mass, and so does every context
+    n_vocab, known = len(model.vocabulary), rest.collect()
+    of = model.row_class
+    for k in range(len(model.class_count)):
+        mine = [r["c"] - model.discount for r in known if r["cls"] == k]
+        share = sum(10 ** model.row_emission[i] for i in [*range(n_vocab), model.end] if of[i] == k)
+        if mine or share:
+            assert share + (sum(mine) + model.discount * len(mine)) / model.class_count[k] == pytest.approx(1)
+    assert (10 ** model.transition).sum(axis=1) == pytest.approx(1)
+    got = [{r["doc_id"]: r for r in classlm.score(docs, train, vocabulary=4, classes=4, tail_classes=8, head_words=h).collect()} for h in (4, 9, 1000)]
+    for i, r in got[0].items():
+        assert all((x[i]["n_tokens"], x[i]["n_known"]) == (r["n_tokens"], r["n_known"]) and x[i]["score"] == pytest.approx(r["score"]) for x in got)
+    # a plain score of a text of known words
+    row = {w.decode(): i for w, i in model.vocabulary.items()}
+    count = {bytes(r["word"]).decode(): r["c"] for r in known}
+    total, before = 0.0, of[model.end]
+    for w in [*rows[7][1].split(), None]:
+        if w is None or w in row:
+            c = of[row[w] if w else model.end]
+            total += model.transition[before, c] + model.row_emission[row[w] if w else model.end]
+            before = c
+        else:
+            total += model.transition[before, cls[w]] + math.log10((count[w] - model.discount) / model.class_count[cls[w]])
+            before = of[n_vocab] + classlm.tail_class(w.encode(), 8)
+    assert got[0][7]["score"] == pytest.approx(total)
+
+
 def test_components_of_a_path_and_a_star(spark):
     e = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(e, "a long, b long"), "a", "b").collect()}
