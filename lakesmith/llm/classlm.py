@@ -46,7 +46,7 @@ FLUSH_CONTEXTS = 2_000_000  # contexts that it holds at most
 SLICE_TOKENS = 200_000  # tokens that a scoring task handles at a time
 SLICE_CELLS = 1 << 20  # cells of word times context that a round handles at a time
 STILL = 1e-6  # gain of log likelihood a token under which the exchange of the vocabulary ends
-TOLERANCE = 1e-4  # gain of log likelihood a token under which the rounds over the rest of the words end
+TOLERANCE = 1e-3  # gain of log likelihood a token under which the rounds over the rest of the words end
 
 
 def tokens(column: pa.Array) -> Iterator[list[bytes]]:
@@ -244,17 +244,30 @@ def context_likelihoods(joint: np.ndarray) -> np.ndarray:
     return np.log((joint + share) / (joint.sum(axis=0, keepdims=True) + 1))[:, :-1]
 
 
-def _best(prev: pa.Array, likelihoods: np.ndarray, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For slices of context lists: the contexts, the word of each and the best class of every word."""
-    lens, flat = np.diff(prev.offsets.to_numpy()), prev.flatten().to_numpy().astype(np.int64)
-    ends, k = np.cumsum(lens), len(likelihoods)
+def _choices(likelihoods: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The likelihoods, and the best class of a word met once and of one met twice, by its contexts."""
+    pairs = np.stack([np.argmax(row + likelihoods, axis=1) for row in likelihoods])
+    return likelihoods, np.argmax(likelihoods, axis=1), pairs
+
+
+def _best(prev: pa.Array, choices: tuple[np.ndarray, np.ndarray, np.ndarray], cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of contexts and the best class of every word of a column of context lists, and all contexts."""
+    likelihoods, once, twice = choices
+    lens, flat = np.diff(prev.offsets.to_numpy()).astype(np.int64), prev.flatten().to_numpy().astype(np.int64)
+    start, k = np.cumsum(lens) - lens, len(likelihoods)
+    best = np.zeros(len(lens), dtype=np.int64)
+    one, two, more = (np.flatnonzero(x) for x in (lens == 1, lens == 2, lens > 2))
+    best[one] = once[flat[start[one]]]
+    best[two] = twice[flat[start[two]], flat[start[two] + 1]]
     step = max(1, cells // k)
-    for a in range(0, len(lens), step):
-        n = lens[a: a + step]
-        part = flat[ends[a] - lens[a]: ends[a + len(n) - 1]]
-        word = np.repeat(np.arange(len(n)), n)
-        x = np.bincount(word * k + part, minlength=len(n) * k).reshape(len(n), k)
-        yield part, word, np.argmax(x @ likelihoods, axis=1)
+    for a in range(0, len(more), step):
+        some = more[a: a + step]
+        n = lens[some]
+        word = np.repeat(np.arange(len(some)), n)
+        at = np.arange(len(word)) + np.repeat(start[some] - (np.cumsum(n) - n), n)
+        x = np.bincount(word * k + flat[at], minlength=len(some) * k).reshape(len(some), k)
+        best[some] = np.argmax(x @ likelihoods, axis=1)
+    return lens, best, flat
 
 
 def cluster_rest(contexts: DataFrame, joint: np.ndarray, fixed: np.ndarray, tolerance: float | None = None) -> tuple[DataFrame, np.ndarray]:
@@ -267,13 +280,13 @@ def cluster_rest(contexts: DataFrame, joint: np.ndarray, fixed: np.ndarray, tole
     sc, k = contexts.sparkSession.sparkContext, len(joint)
     now, cells = _likelihood(joint), SLICE_CELLS
     while True:
-        shared = sc.broadcast(context_likelihoods(joint))
+        shared = sc.broadcast(_choices(context_likelihoods(joint)))
 
         def run(batches, shared=shared):
             total = np.zeros(k * k, dtype=np.int64)
             for b in batches:
-                for part, word, best in _best(b.column(0), shared.value, cells):
-                    total += np.bincount(part * k + best[word], minlength=k * k)
+                lens, best, flat = _best(b.column(0), shared.value, cells)
+                total += np.bincount(flat * k + np.repeat(best, lens), minlength=k * k)
             hit = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["k", "n"])
         table = contexts.select("prev").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
@@ -286,9 +299,8 @@ def cluster_rest(contexts: DataFrame, joint: np.ndarray, fixed: np.ndarray, tole
 
     def run_last(batches):
         for b in batches:
-            best = [x[2] for x in _best(b.column(1), shared.value, cells)]
-            lens = np.diff(b.column(1).offsets.to_numpy()).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lens), pa.array(np.concatenate([np.zeros(0), *best]).astype(np.int32))], names=["word", "c", "cls"])
+            lens, best, _ = _best(b.column(1), shared.value, cells)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lens), pa.array(best.astype(np.int32))], names=["word", "c", "cls"])
     return materialise(contexts.mapInArrow(run_last, "word binary, c long, cls int"), "word-classes"), joint
 
 
