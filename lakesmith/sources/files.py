@@ -4,6 +4,8 @@ Files are listed with the ``binaryFile`` source (content pruned), read by
 Spark's own readers, and — for the zip-based formats — parsed per file
 inside ``mapInPandas`` on the executors.  A file becomes a column
 (``_source_uri``); the driver sees CSV paths and header records only.
+Trees of documents are listed and read by the tasks, as ``binaryFile`` keeps
+an entry of every file on the driver.
 """
 
 from __future__ import annotations
@@ -11,9 +13,11 @@ from __future__ import annotations
 import csv
 import io
 import posixpath
+import re
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from urllib.parse import quote
 from xml.etree import ElementTree as ET
 
 import numpy as np
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lakesmith.functions.schema import unique_columns
 from lakesmith.functions.text import basename
-from lakesmith.session import cut_lineage
+from lakesmith.session import cut_lineage, scratch_path
 
 # Accepted suffixes of the table ingestion and of the document loaders.
 TABLE_SUFFIXES = (".csv", ".xlsx", ".xlsm")
@@ -33,6 +37,7 @@ DOCUMENT_SUFFIXES = (".pdf", ".txt", ".docx", ".md", ".csv", ".xlsx")
 
 MAX_HEADER_LINES = 256
 READ_TASKS_PER_CORE = 16  # a tree of many small files is read in at most so many tasks per core
+BATCH_FILES, BATCH_BYTES = 4096, 8 << 20  # a task holds the entries, or the contents, of so many files at once
 
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -290,30 +295,133 @@ def table_documents(content: bytes, ext: str) -> list[str]:
     return ["\n".join(f"{n}: {v}" for n, v in zip(names, row) if v != "") for row in rows]
 
 
+def _spark_tree(spark: SparkSession, root: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``path`` and ``length`` of the files of a tree, and a function that gives ``path``, ``source`` (the path as a URI)
+    and ``content`` of those with a suffix, by Spark's ``binaryFile``, which keeps an entry of each file on the driver."""
+    most = READ_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    tree = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    suffix = lambda ext: "*" + "".join(f"[{ch}{ch.upper()}]" if ch.isalpha() else ch for ch in ext)
+    listed = tree.load(root).select("path", "length").coalesce(most)
+    return listed, lambda ext, *_: (spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=suffix(ext)).load(root)
+                                    .select("path", F.col("_metadata.file_path").alias("source"), "content").coalesce(most))
+
+
+def _arrow_folder(spark: SparkSession, root: str) -> tuple[str, str] | None:
+    """A folder as (the URI that Arrow opens, the start of the paths Spark gives to the files below it); None for what
+    only Spark's readers know: another file system, a single file, a pattern, nothing there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    host, below = uri.getAuthority() or "", uri.getPath()
+    try:
+        fs, base = pafs.FileSystem.from_uri(opened := f"{uri.getScheme()}://{host}{quote(below)}")
+        found = fs.get_file_info(base).type
+    except (OSError, pa.ArrowException):
+        return None
+    return (opened, f"{uri.getScheme()}:{host and '//'}{host}{below.rstrip('/')}") if found == pafs.FileType.Directory else None
+
+
+def _hidden(name: str, folder: bool) -> bool:
+    """What Spark's readers pass over."""
+    if folder and name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name
+
+
+def _uri_text(path: str) -> str:
+    """A path as the text of a Java URI, the form of ``_metadata.file_path``."""
+    return re.sub('[\x00-\x20"#%<>?\\[\\\\\\]^`{|}\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]', lambda m: quote(m[0], safe=""), path)
+
+
+def _arrow_tree(spark: SparkSession, uri: str, start: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """What ``_spark_tree`` gives, listed and read by the tasks, so that the driver holds nothing that grows with the files.
+
+    Folders are listed a level at a time, each by one call, into a table that is kept, as the kinds, the accepted
+    and the rejected files are read from it.  As for Spark's readers, hidden and empty files are not there; checksum
+    files that Hadoop keeps beside local ones are not read."""
+    most = READ_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    entry = "path string, length long, folder boolean"
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(uri)
+        base = base.rstrip("/")
+        for b in batches:
+            for above in b.column(0).to_pylist():
+                kept = []
+                for f in fs.get_file_info(pafs.FileSelector(f"{base}{above}" or "/")):
+                    folder = f.type == pafs.FileType.Directory
+                    if not _hidden(f.base_name, folder) and (folder or f.size):
+                        kept.append((f"{above}/{f.base_name}", f.size, folder))
+                for i in range(0, len(kept), BATCH_FILES):
+                    paths, sizes, folders = zip(*kept[i:i + BATCH_FILES])
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(folders, pa.bool_())],
+                                                     ["path", "length", "folder"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(uri)
+        base, paths, contents, size = base.rstrip("/"), [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([start + p for p in paths], pa.string()), pa.array([_uri_text(start + p) for p in paths], pa.string()),
+                                               pa.array(contents, pa.binary())], ["path", "source", "content"])
+
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with fs.open_input_file(base + path) as f:
+                    content = f.read()
+                if paths and (len(paths) >= BATCH_FILES or size + len(content) > BATCH_BYTES):
+                    yield batch()
+                    paths, contents, size = [], [], 0
+                paths.append(path)
+                contents.append(content)
+                size += len(content)
+        if paths:
+            yield batch()
+
+    store, level, n = scratch_path(spark, "listing"), 0, 1
+    folders = spark.createDataFrame([("",)], "path string")
+    while n:
+        at = f"{store}/level={level}"
+        folders.repartition(min(n, most)).mapInArrow(entries, entry).write.parquet(at)
+        folders = spark.read.schema(entry).parquet(at).where("folder").select("path")
+        n, level = folders.count(), level + 1
+    files = spark.read.schema(entry).parquet(store).where("NOT folder").select("path", "length")
+
+    def contents_of(ext: str, number: int, size: int) -> DataFrame:
+        some = files.where(extension() == ext).select("path")
+        return some.repartition(_read_tasks(spark, number, size, most)).mapInArrow(read, "path string, source string, content binary")
+
+    return files.select(F.concat(F.lit(start), "path").alias("path"), "length"), contents_of
+
+
+def _read_tasks(spark: SparkSession, files: int, size: int, most: int) -> int:
+    """The tasks that Spark's scan would make of files that can't be split; small files in ``most`` at most."""
+    limit, cost = (spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(f"spark.sql.files.{k}"))
+                   for k in ("maxPartitionBytes", "openCostInBytes"))
+    total = size + files * cost
+    wanted = -(-total // min(limit, max(cost, total // spark.sparkContext.defaultParallelism, 1)))
+    return max(1, -(-size // limit), min(wanted, files, most))
+
+
 def load_documents(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """S14 composite: list a tree, dispatch by suffix, load each kind with
     its reader; returns (documents(source, text), rejected files).  Small files
     go many to a task."""
-    most = READ_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-              .select("path", "length").coalesce(most))
+    folder = _arrow_folder(spark, root)
+    listed, contents = _arrow_tree(spark, *folder) if folder else _spark_tree(spark, root)
     ok, rejected = dispatch(listed)
-    kinds = {r[0] for r in ok.select("ext").distinct().collect()}
-    tree = lambda ext: (spark.read.option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*" + "".join(f"[{ch}{ch.upper()}]" if ch.isalpha() else ch for ch in ext)))
+    kinds = {r["ext"]: (r["n"], r["size"]) for r in ok.groupBy("ext").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size")).collect()}
     docs = [spark.createDataFrame([], "source string, text string")]
-    for ext in sorted(kinds & {".txt", ".md"}):
-        # the text source spends milliseconds on every file (on 51,282 files 13 s, this one 1.5 s)
-        docs.append(tree(ext).format("binaryFile").load(root)
-                    .select(F.col("_metadata.file_path").alias("source"), F.col("content").cast("string").alias("text")).coalesce(most))
+    for ext in sorted(kinds.keys() & {".txt", ".md"}):
+        # the text source spends milliseconds on every file (on 51,282 files 13 s, binaryFile 1.5 s)
+        docs.append(contents(ext, *kinds[ext]).select("source", F.col("content").cast("string").alias("text")))
     if ".docx" in kinds:
-        docs.append(read_docx_files(tree(".docx").format("binaryFile").load(root)))
+        docs.append(read_docx_files(contents(".docx", *kinds[".docx"])))
     if ".csv" in kinds:
         # rows are read by header group, so the list of CSV paths is schema metadata
         docs.append(rows_as_documents(read_csv_files(
             spark, [r[0] for r in ok.where(F.col("ext") == ".csv").select("path").collect()])))
     if ".xlsx" in kinds:
-        docs.append(rows_as_documents(read_xlsx_files(spark, tree(".xlsx").format("binaryFile").load(root))))
+        docs.append(rows_as_documents(read_xlsx_files(spark, contents(".xlsx", *kinds[".xlsx"]))))
     # PDF text extraction is not built (no parser in the environment): PDFs are rejected.
     rejected = rejected.unionByName(ok.where(F.col("ext") == ".pdf").select("path", "length")
                                     .withColumn("reason", F.lit("pdf text extraction not available")))

@@ -227,3 +227,74 @@ def test_text_documents_writes_a_file_per_document_in_few_folders(spark, tmp_pat
     landing = next(x for x in set(os.listdir(root)) - before if x.startswith("landing_text"))
     walked = list(os.walk(f"{root}/{landing}"))
     assert sum(len(files) for _, _, files in walked) == 1000 and len(walked) <= Q.TEXT_FOLDERS + 1
+
+
+def _odd_tree(root: str) -> None:
+    names = ["a b.txt", "p%20q.txt", "é ü .TXT", "h#q?.md", "[x]{y}^`|\\.txt", "a;b,c=d&e+f@g$h!i'j(k)*~.txt", '"<>.txt', "_hid/x.txt", "_k=v/x.txt", ".dot/x.txt", "_y.txt",
+             ".z.txt", "c._COPYING_", "_metadata.txt", "_metadata_d/x.txt", "dir.txt/in.md", "noext", "x.pdf", "日本/　.txt", "tab\t.txt", "_metadata=1.txt", "deep/er/and/er.txt"]
+    for name in names:
+        at = os.path.join(root, name)
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        with open(at, "w") as f:
+            f.write(f"{name}\n")
+    with open(f"{root}/bytes.txt", "wb") as f:
+        f.write(b"\xff\x00\r\n\xc3")
+    open(f"{root}/empty.txt", "w").close()
+    os.makedirs(f"{root}/no files")
+    os.symlink(f"{root}/a b.txt", f"{root}/link.txt")
+    os.symlink(f"{root}/_k=v", f"{root}/linked")
+    os.symlink(f"{root}/nowhere", f"{root}/broken.txt")
+
+
+def test_tree_listed_by_tasks_is_that_of_sparks_reader(spark, tmp_dir):
+    """Odd names, hidden, empty and linked files: paths, lengths, URIs and bytes are those of ``binaryFile``, for a path and for a URI."""
+    root = f"{tmp_dir}/tree x%20/é"
+    _odd_tree(root)
+    wanted = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for at in (root, f"file:{root}", f"file://{root}/"):
+        listed, contents = SF._arrow_tree(spark, *SF._arrow_folder(spark, at))
+        assert rows(listed) == rows(wanted.select("path", "length")) and listed.count() == 19
+        for ext in (".txt", ".md", ".pdf"):
+            of = wanted.where(SF.extension() == ext)
+            assert rows(contents(ext, 1, 1).select("path", "source", F.hex("content"))) == rows(of.select("path", "_metadata.file_path", F.hex("content")))
+    docs, rejected = SF.load_documents(spark, root)
+    texts = wanted.where(SF.extension().isin(".txt", ".md")).select("_metadata.file_path", F.hex("content"))
+    assert rows(docs.select("source", F.hex(F.col("text").cast("binary")))) == rows(texts)
+    assert {os.path.basename(r["path"]) for r in rejected.collect()} == {"noext", "x.pdf"}
+
+
+def test_trees_that_arrow_does_not_know_are_read_by_spark(spark, tmp_dir):
+    """A pattern, a single file and another file system; nothing there is Spark's error."""
+    import pytest
+    from pyspark.errors import AnalysisException
+    _odd_tree(f"{tmp_dir}/t")
+    assert SF._arrow_folder(spark, f"{tmp_dir}/t/de*") is None and SF._arrow_folder(spark, f"{tmp_dir}/t/noext") is None
+    docs, _ = SF.load_documents(spark, f"{tmp_dir}/t/de*")
+    assert [r["text"] for r in docs.collect()] == ["deep/er/and/er.txt\n"]
+    docs, rejected = SF.load_documents(spark, f"{tmp_dir}/t/noext")
+    assert docs.count() == 0 and rejected.count() == 1
+    with pytest.raises(AnalysisException):
+        SF.load_documents(spark, f"{tmp_dir}/none")
+
+
+def test_text_documents_keeps_no_entry_of_a_file_on_the_driver(spark, tmp_path):
+    """What the driver knows of the loaded tree (the files of the relations in the plan) does not grow with the documents."""
+    from lakesmith.plans import ingest_queries as Q
+    (tmp_path / "d").mkdir()
+    spark.range(3000).selectExpr("id AS doc_id", "concat('t', id) AS text").write.parquet(str(tmp_path / "d" / "documents.parquet"))
+    got = Q.q_text_documents(spark, str(tmp_path / "d"))
+    assert len(got.inputFiles()) <= SF.READ_TASKS_PER_CORE * spark.sparkContext.defaultParallelism + 1
+    assert {tuple(r) for r in got.collect()} == {(i, f"t{i}") for i in range(3000)}
+
+
+def test_large_files_go_to_batches_of_bounded_bytes(spark, tmp_dir, monkeypatch):
+    """Files are read whole whatever the bounds of a batch, and a folder of more files than a batch holds is listed whole."""
+    monkeypatch.setattr(SF, "BATCH_FILES", 3)
+    monkeypatch.setattr(SF, "BATCH_BYTES", 10)
+    texts = {f"{i}.txt": chr(97 + i) * (1 + 4 * i) for i in range(11)}
+    for name, text in texts.items():
+        with open(f"{tmp_dir}/{name}", "w") as f:
+            f.write(text)
+    docs, _ = SF.load_documents(spark, tmp_dir)
+    assert {os.path.basename(r["source"]): r["text"] for r in docs.collect()} == texts and docs.count() == 11
