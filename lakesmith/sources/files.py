@@ -244,11 +244,24 @@ def write_text_files(rows: DataFrame, root: str, name: Column, text: str = "text
     writes the same files again.  File systems that Arrow does not know raise its error."""
     pafs.FileSystem.from_uri(root)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts packed one by one, with their own length where that is shorter: the shuffle lies on disk beside the files."""
+        codec = pa.Codec("zstd", 1)
+        for b in batches:
+            lines, sizes = [], []
+            for line in b.column(1).to_pylist():
+                packed = codec.compress(line, asbytes=True)
+                shorter = len(packed) < len(line)
+                lines.append(packed if shorter else line)
+                sizes.append(len(line) if shorter else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lines, pa.binary()), pa.array(sizes, pa.int32()), *b.columns[3:]], schema=b.schema)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(root)
+        codec = pa.Codec("zstd", 1)
         folders, at, out, n = set(), None, None, 0
         for b in batches:
-            for file, line in zip(b.column(0).to_pylist(), b.column(1)):
+            for file, line, size in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 if file != at:
                     if out is not None:
                         out.close()
@@ -258,7 +271,7 @@ def write_text_files(rows: DataFrame, root: str, name: Column, text: str = "text
                         fs.create_dir(folder, recursive=True)
                         folders.add(folder)
                     out = fs.open_output_stream(f"{base}/{file}")
-                out.write(line.as_buffer())
+                out.write(line.as_buffer() if size is None else codec.decompress(line.as_buffer(), size))
                 out.write(b"\n")
         if out is not None:
             out.close()
@@ -266,10 +279,10 @@ def write_text_files(rows: DataFrame, root: str, name: Column, text: str = "text
 
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
     # the place in the scan makes the order of equal keys, and so the files of a task, the same in every run of it
-    placed = rows.select(name.alias("file"), F.coalesce(F.col(text), F.lit("")).alias("line"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
-                                                       F.monotonically_increasing_id().alias("place"))
-    (placed.repartition(parts, "file").sortWithinPartitions("file", *[f"o{i}" for i in range(len(order))], "place")
-     .select("file", F.col("line").cast("binary")).mapInArrow(write, "n long").agg(F.sum("n")).collect())
+    placed = rows.select(name.alias("file"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("line"), F.lit(None).cast("int").alias("size"),
+                         *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.monotonically_increasing_id().alias("place"))
+    (placed.mapInArrow(pack, placed.schema).repartition(parts, "file").sortWithinPartitions("file", *[f"o{i}" for i in range(len(order))], "place")
+     .select("file", "line", "size").mapInArrow(write, "n long").agg(F.sum("n")).collect())
 
 
 def read_text_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

@@ -298,3 +298,34 @@ def test_large_files_go_to_batches_of_bounded_bytes(spark, tmp_dir, monkeypatch)
             f.write(text)
     docs, _ = SF.load_documents(spark, tmp_dir)
     assert {os.path.basename(r["source"]): r["text"] for r in docs.collect()} == texts and docs.count() == 11
+
+
+def test_text_files_hold_long_short_and_repeated_texts_whole(spark, tmp_dir):
+    """Texts that pack well, badly or not at all, many lines of one file in order, and any characters."""
+    rows = [(1, 2, "ab" * 500_000), (1, 1, ""), (1, 3, "x"), (2, 1, "é\u0000\r\n日本 \U0001f33f"), (2, 2, None), *[(3, i, f"line {i} " * 20) for i in range(40)]]
+    df = spark.createDataFrame(rows, "k long, i long, text string")
+    SF.write_text_files(df, f"{tmp_dir}/t", F.concat(F.col("k").cast("string"), F.lit(".txt")), order=["i"])
+    for k in (1, 2, 3):
+        with open(f"{tmp_dir}/t/{k}.txt", "rb") as f:
+            assert f.read() == "".join(f"{text or ''}\n" for key, _, text in sorted(rows, key=lambda r: r[:2]) if key == k).encode()
+
+
+def test_texts_are_packed_for_the_shuffle_of_the_writer(spark, tmp_dir, monkeypatch):
+    """What is dealt out by file is less than half of plain text of few words, and unpacked again in the file."""
+    import random
+    words, draw = [f"word{i:04d}" for i in range(300)], random.Random(7)
+    rows = [(i, " ".join(draw.choices(words, k=600))) for i in range(50)]
+    df = spark.createDataFrame(rows, "k long, text string")
+    dealt, real = [], type(df).repartition
+
+    def repartition(self, *args):
+        if "line" in self.columns:
+            dealt.append(self.select(F.sum(F.length("line"))).first()[0])
+        return real(self, *args)
+
+    monkeypatch.setattr(type(df), "repartition", repartition)
+    SF.write_text_files(df, f"{tmp_dir}/t", F.concat(F.col("k").cast("string"), F.lit(".txt")))
+    monkeypatch.undo()
+    assert len(dealt) == 1 and dealt[0] < sum(len(t) for _, t in rows) / 2
+    docs, _ = SF.load_documents(spark, f"{tmp_dir}/t")
+    assert {r["text"] for r in docs.collect()} == {f"{t}\n" for _, t in rows}
